@@ -1,0 +1,11 @@
+"""Training-data operators. Nothing outside this subpackage imports it.
+
+Functions that run on executors are pickled by value, so a cluster needs no
+copy of this package on its Python path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
