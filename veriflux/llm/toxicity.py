@@ -30,9 +30,9 @@ from .common import id_text, small_text_batches, to_batch
 #: At most so many labelled documents of each class are read for training.
 SAMPLE_PER_CLASS = 3000
 FOLDS, HELD_OUT = 5, 0
-MAX_VOTERS, MIN_SUPPORT, MIN_PRECISION = 300, 3, 0.8
-MAX_FEATURES = 20_000
-EM_ROUNDS, CLIMBS = 25, 120
+MAX_VOTERS, MIN_PRECISION = 300, 0.8
+MAX_FEATURES, PENALTY = 1500, 2e-4
+EM_ROUNDS, CLIMBS = 25, 250
 LETTERS = re.compile(r"[^\W\d_]+")
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -57,17 +57,20 @@ class Model:
 
     def scorer(self):
         weights, known = self.weights, {}
+        heads = {p.lstrip("^")[:3] for p in weights}
+
+        def active(token: str) -> tuple[str, ...]:
+            if len(known) > 400_000:
+                known.clear()
+            known[token] = f = tuple(p for w in LETTERS.findall(token) if w[:3] in heads for p in parts(w) if p in weights)
+            return f
 
         def score(text: str | None) -> float:
-            active: set[str] = set()
-            for w in words(text):
-                if (f := known.get(w)) is None:
-                    if len(known) > 400_000:
-                        known.clear()
-                    known[w] = f = tuple(p for p in parts(w) if p in weights)
-                if f:
-                    active.update(f)
-            return float(1 / (1 + np.exp(-np.clip(self.bias + sum(weights[p] for p in sorted(active)), -40, 40))))
+            on: set[str] = set()
+            for token in set((text or "").lower().split()):
+                if f := known[token] if token in known else active(token):
+                    on.update(f)
+            return float(1 / (1 + np.exp(-np.clip(self.bias + sum(weights[p] for p in sorted(on)), -40, 40))))
 
         return score
 
@@ -99,24 +102,22 @@ def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tu
     return posterior, rates, corr
 
 
-def fit_linear(rows: list[np.ndarray], n: int, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on sets of feature numbers, by accelerated gradient steps with an L2 penalty."""
-    if not n:
-        return np.zeros(0), float(np.log((target @ weight + 0.5) / ((1 - target) @ weight + 0.5)))
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    scale = weight / weight.mean()
-    size = np.maximum(np.bincount(feature, minlength=n) * 0.25, 0.25) + 0.3
-    w, v, bias, lead = np.zeros(n), np.zeros(n), 0.0, 0.0
-    for step in range(CLIMBS):
-        at = 1 / (1 + np.exp(-np.clip(np.bincount(of, v[feature], len(rows)) + lead, -30, 30)))
-        miss = (at - target) * scale
-        grad = np.bincount(feature, miss[of], n) + 0.3 * v
-        new, shifted = v - 0.5 * grad / size, lead - miss.sum() / (0.25 * scale.sum())
-        ahead = step / (step + 3)
-        v, lead = new + ahead * (new - w), shifted + ahead * (shifted - bias)
-        w, bias = new, shifted
-    return w, bias
+def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression of rows x features in {0, 1}, by accelerated proximal steps with an L1 penalty."""
+    scale, target = (weight / weight.sum()).astype(np.float32), target.astype(np.float32)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    top = np.ones(x.shape[1], np.float32)
+    for _ in range(30):
+        top = x.T @ (scale * (x @ (top / np.linalg.norm(top))))
+    step = np.float32(1 / (0.26 * np.linalg.norm(top)))
+    w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    w[-1] = v[-1] = np.log((target @ scale + 1e-6) / ((1 - target) @ scale + 1e-6))
+    for i in range(CLIMBS):
+        at = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        new = v - step * (x.T @ ((at - target) * scale))
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * PENALTY, 0)
+        v, w = new + np.float32(i / (i + 3)) * (new - w), new
+    return w[:-1], float(w[-1])
 
 
 def train(sample: list[tuple[set[str], int]], class_weight: dict[int, float]) -> Model:
@@ -135,7 +136,19 @@ def train(sample: list[tuple[set[str], int]], class_weight: dict[int, float]) ->
         t, c = toxic[f] * class_weight[1], clean[f] * class_weight[0]
         return t / (t + c)
 
-    known = sorted((f for f, k in toxic.items() if k >= MIN_SUPPORT and precision(f) >= MIN_PRECISION), key=lambda f: (-toxic[f] * precision(f) ** 4, f))[:MAX_VOTERS]
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    xlog = lambda k, e: k * np.log(k / e) if k else 0.0
+
+    def strength(f):  # likelihood ratio of independence between feature and label
+        t, c = toxic[f], clean[f]
+        p = (t + c) / (n1 + n0)
+        return 2 * (xlog(t, n1 * p) + xlog(c, n0 * p) + xlog(n1 - t, n1 * (1 - p)) + xlog(n0 - c, n0 * (1 - p)))
+
+    # among so many features, chance alone gives ratios up to about this
+    chance = 2 * np.log(len(toxic | clean) + 1)
+    ratio = {f: r for f, k in (toxic + clean).items() if k >= 3 and (r := strength(f)) >= chance}
+    ranked = sorted(ratio, key=lambda f: (-ratio[f], f))
+    known = [f for f in ranked if precision(f) >= MIN_PRECISION][:MAX_VOTERS]
     place = {f: i for i, f in enumerate(known)}
     votes = np.zeros((len(sample), len(known) + 2), np.int8)
     for i, s in enumerate(sets):
@@ -145,12 +158,12 @@ def train(sample: list[tuple[set[str], int]], class_weight: dict[int, float]) ->
     votes[:, -1] = labels
     posterior, rates, corr = label_model(votes, labels, weight)
 
-    both = {f: toxic[f] + clean[f] for f in toxic | clean}
-    odds = lambda f: abs(np.log((toxic[f] + 0.5) / (labels.sum() + 1) / ((clean[f] + 0.5) / (len(labels) - labels.sum() + 1)))) * np.sqrt(both[f])
-    chosen = sorted((f for f, k in both.items() if k >= MIN_SUPPORT), key=lambda f: (-odds(f), f))[:MAX_FEATURES]
+    chosen = ranked[:MAX_FEATURES]
     number = {f: i for i, f in enumerate(chosen)}
-    rows = [np.array(sorted(number[f] for f in s & number.keys()), np.int64) for s in sets]
-    w, bias = fit_linear(rows, len(chosen), posterior, weight)
+    x = np.zeros((len(sample), len(chosen)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, [number[f] for f in s & number.keys()]] = 1
+    w, bias = fit_linear(x, posterior, weight)
     return Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, float(bias), [*known, "none", "label"], rates, corr)
 
 
