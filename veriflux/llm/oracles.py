@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .secrets import RULES
+
 #: A-Z alone in lower case; lower() would also change other letters.
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -24,4 +26,38 @@ c AS (SELECT x, min(y) AS m FROM r GROUP BY x)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.m AS component_id, s.doc_id = c.m AS kept
 FROM s JOIN c ON s.doc_id = c.x"""
 
-ORACLES = {"op6_exact_dedup": EXACT, "op9_minhash": NEAR}
+VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS m FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS k FROM p GROUP BY x)
+SELECT c.x AS vec_id, coalesce(n.k, 0) AS n_links, c.m AS component_id, c.x = c.m AS kept FROM c LEFT JOIN n ON n.x = c.x"""
+
+
+def _secret_oracle() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    columns, keep = [], []
+    for i, rule in enumerate(RULES):
+        p = quote(rule.pattern)
+        columns.append(f"string_split_regex(body, {p}) AS p{i}, regexp_extract_all(body, {p}) AS m{i}")
+        size = f"length(regexp_extract(m{i}[j], {p}, {rule.group}))"
+        start = f"CAST(list_sum(list_transform(p{i}[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:j-1], lambda x: length(x))), 0) AS BIGINT)"
+        keep.append(f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda j: {size} >= {rule.least}), lambda j: {{'s': {start}, 'o': {i}, 't': '{rule.kind}:' || {start} || ':' || ({start} + length(m{i}[j]))}}) AS k{i}")
+    base = [i for i, r in enumerate(RULES) if r.base]
+    text = lambda ks: f"coalesce(array_to_string(list_transform(list_sort(flatten([{', '.join(f'k{i}' for i in ks)}])), lambda x: x.t), ','), '')"
+    counts = ", ".join(f"CAST(len(k{i}) AS BIGINT) AS n_{RULES[i].kind}" for i in base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+m AS (SELECT doc_id, {', '.join(columns)} FROM d),
+k AS (SELECT doc_id, {', '.join(keep)} FROM m)
+SELECT doc_id, {counts}, sha256({text(base)}) AS base_sha256, {text(range(len(RULES)))} AS spans FROM k"""
+
+
+ORACLES = {"op4_secrets": _secret_oracle(), "op5_embedding_dedup": VECTORS, "op6_exact_dedup": EXACT, "op9_minhash": NEAR}
