@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, secrets, token_counts, toxicity
+from . import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, secrets, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -51,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_toxicity, op4_secrets, op5_embedding_dedup, op6_exact_dedup, op7_mixing, op8_packing, op9_minhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_langid, op2_toxicity, op3_suffix_dedup, op4_secrets, op5_embedding_dedup, op6_exact_dedup, op7_mixing, op8_packing, op9_minhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
