@@ -1,10 +1,23 @@
-def flagship(spark, d):
-    return spark.range(1)
+"""The engine's registered queries and their SQL oracles."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from .plans import agent_queries, corpus_queries, metric_queries  # noqa: F401  registering
+from .plans.registry import ORACLES, QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate alerts by tool and severity over provenance graphs."""
+    return QUERIES["gate_alert_counts"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
