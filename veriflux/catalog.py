@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import agent_queries, corpus_queries, metric_queries  # noqa: F401  registering
+from .plans import agent_queries, corpus_queries, metric_queries, more_queries  # noqa: F401  registering
 from .plans.registry import ORACLES, QUERIES
 
 
