@@ -120,57 +120,75 @@ def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[n
     return w[:-1], float(w[-1])
 
 
-def train(sample: list[tuple[set[str], int]], class_weight: dict[int, float]) -> Model:
-    labels = np.array([y for _, y in sample], np.float64)
+class Sample:
+    """Training documents as sorted arrays of feature numbers, a few bytes for each word."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.numbers: dict[str, int] = {}
+        self.of_word: dict[str, np.ndarray] = {}
+        self.rows: list[np.ndarray] = []
+        self.labels: list[int] = []
+
+    def number(self, part: str) -> int:
+        if (n := self.numbers.get(part)) is None:
+            self.numbers[part] = n = len(self.names)
+            self.names.append(part)
+        return n
+
+    def add(self, distinct: list[str], label: int) -> None:
+        for w in distinct:
+            if w not in self.of_word:
+                self.of_word[w] = np.array([self.number(p) for p in parts(w)], np.int32)
+        self.rows.append(np.unique(np.concatenate([self.of_word[w] for w in distinct])) if distinct else np.zeros(0, np.int32))
+        self.labels.append(label)
+
+
+def train(sample: Sample, class_weight: dict[int, float]) -> Model:
+    labels = np.array(sample.labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         at = labels.mean() if len(labels) else 0.0
         return Model({}, 20.0 if at else -20.0, [], np.zeros((2, 0)), np.zeros((0, 0)))
-    weight = np.array([class_weight[y] for _, y in sample])
-    sets = [{p for w in ws for p in parts(w)} for ws, _ in sample]
-    seen = [Counter(), Counter()]
-    for s, (_, y) in zip(sets, sample):
-        seen[y].update(s)
-    toxic, clean = seen[1], seen[0]
-
-    def precision(f):
-        t, c = toxic[f] * class_weight[1], clean[f] * class_weight[0]
-        return t / (t + c)
-
+    weight, n_parts = np.array([class_weight[y] for y in sample.labels]), len(sample.names)
+    counts = [np.zeros(n_parts) for _ in range(2)]
+    for row, y in zip(sample.rows, sample.labels):
+        counts[y][row] += 1
+    clean, toxic = counts
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    xlog = lambda k, e: k * np.log(k / e) if k else 0.0
-
-    def strength(f):  # likelihood ratio of independence between feature and label
-        t, c = toxic[f], clean[f]
-        p = (t + c) / (n1 + n0)
-        return 2 * (xlog(t, n1 * p) + xlog(c, n0 * p) + xlog(n1 - t, n1 * (1 - p)) + xlog(n0 - c, n0 * (1 - p)))
-
-    # among so many features, chance alone gives ratios up to about this
-    chance = 2 * np.log(len(toxic | clean) + 1)
-    ratio = {f: r for f, k in (toxic + clean).items() if k >= 3 and (r := strength(f)) >= chance}
-    ranked = sorted(ratio, key=lambda f: (-ratio[f], f))
-    known = [f for f in ranked if precision(f) >= MIN_PRECISION][:MAX_VOTERS]
-    place = {f: i for i, f in enumerate(known)}
-    votes = np.zeros((len(sample), len(known) + 2), np.int8)
-    for i, s in enumerate(sets):
-        for f in s & place.keys():
-            votes[i, place[f]] = 1
-    votes[:, -2] = votes[:, :-2].sum(1) == 0
-    votes[:, -1] = labels
-    posterior, rates, corr = label_model(votes, labels, weight)
 
+    def xlog(k, e):
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-12) / np.maximum(e, 1e-12)), 0.0)
+
+    # likelihood ratio of independence between feature and label; chance alone gives ratios up to about the limit
+    p = (toxic + clean) / (n1 + n0)
+    ratio = 2 * (xlog(toxic, n1 * p) + xlog(clean, n0 * p) + xlog(n1 - toxic, n1 * (1 - p)) + xlog(n0 - clean, n0 * (1 - p)))
+    strong = np.flatnonzero((toxic + clean >= 3) & (ratio >= 2 * np.log(n_parts + 1)))
+    ranked = sorted(strong.tolist(), key=lambda f: (-ratio[f], sample.names[f]))
+    t, c = toxic * class_weight[1], clean * class_weight[0]
+    known = [f for f in ranked if t[f] >= MIN_PRECISION * (t[f] + c[f])][:MAX_VOTERS]
     chosen = ranked[:MAX_FEATURES]
-    number = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(sample), len(chosen)), np.float32)
-    for i, s in enumerate(sets):
-        x[i, [number[f] for f in s & number.keys()]] = 1
-    w, bias = fit_linear(x, posterior, weight)
-    return Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, float(bias), [*known, "none", "label"], rates, corr)
+
+    def table(features: list[int], kind) -> np.ndarray:
+        column = np.full(n_parts, -1)
+        column[features] = np.arange(len(features))
+        out = np.zeros((len(sample.rows), len(features)), kind)
+        for i, row in enumerate(sample.rows):
+            at = column[row]
+            out[i, at[at >= 0]] = 1
+        return out
+
+    votes = table(known, np.int8)
+    votes = np.hstack([votes, (votes.sum(1, keepdims=True) == 0).astype(np.int8), labels[:, None].astype(np.int8)])
+    posterior, rates, corr = label_model(votes, labels, weight)
+    w, bias = fit_linear(table(chosen, np.float32), posterior, weight)
+    weights = {sample.names[f]: float(w[i]) for i, f in enumerate(chosen) if abs(w[i]) > 1e-3}
+    return Model(weights, float(bias), [*(sample.names[f] for f in known), "none", "label"], rates, corr)
 
 
 def sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("words", pa.list_(pa.string())), ("toxic", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.string())), ("toxic", pa.int32())])
     for batch in batches:
-        yield to_batch(schema, [sorted(words(t)) for t in batch.column(1).to_pylist()], batch.column(2))
+        yield to_batch(schema, batch.column(0), [sorted(words(t)) for t in batch.column(1).to_pylist()], batch.column(2))
 
 
 def fold(doc_id):
@@ -188,13 +206,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     strata = marked.groupBy("toxic", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PER_CLASS)).alias("stratum"))
     picked = strata.agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("doc_id"), F.count("*").alias("n")).collect()
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
-    found = id_text(docs).join(F.broadcast(ids), "doc_id").mapInArrow(sample_words, "words array<string>, toxic int")  # 2 * SAMPLE_PER_CLASS rows
-    rows = sorted((sorted(r.words), r.toxic) for r in found.collect())
-    have = Counter(y for _, y in rows)
-    total = Counter()
+    found = id_text(docs).join(F.broadcast(ids), "doc_id").mapInArrow(sample_words, "doc_id long, words array<string>, toxic int")  # 2 * SAMPLE_PER_CLASS rows
+    arrived = found.toArrow()
+    order = sorted(range(arrived.num_rows), key=lambda i: (arrived["doc_id"][i].as_py(), arrived["toxic"][i].as_py()))
+    sample, total = Sample(), Counter()
+    for i in order:
+        sample.add(arrived["words"][i].as_py(), arrived["toxic"][i].as_py())
     for r in picked:
         total[r.toxic] += r.n
-    return train([(set(ws), y) for ws, y in rows], {y: total[y] / have[y] for y in have})
+    have = Counter(sample.labels)
+    return train(sample, {y: total[y] / have[y] for y in have})
 
 
 def score_all(model: Model):
