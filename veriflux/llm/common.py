@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if set_before := spark.sparkContext.getCheckpointDir():
         return set_before.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="veriflux-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
