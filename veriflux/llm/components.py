@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
 
+#: Stars of so many links (16 bytes each) are joined in one task; more are joined by shuffles.
+ONE_TASK = 1_000_000
+
 LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -47,16 +50,25 @@ def local_stars(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Itera
         yield stars()
 
 
-def components(links: DataFrame, tmp: Scratch, name: str = "components") -> DataFrame:
+def all_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return local_stars(batches, 1 << 62)
+
+
+def components(links: DataFrame, tmp: Scratch, name: str = "components", one_task: int = ONE_TASK) -> DataFrame:
     """(id, component_id) for each node of links(u, v); component_id is the smallest reachable node.
 
     Nodes without links do not occur. Links may repeat; loops are dropped. Each
     task first contracts what it holds, so a star with a third of all nodes
-    arrives as one thin row for each node, and joins run between written tables,
-    which lets Spark split a hot node's rows.
+    arrives as one thin row for each node. Where the stars are counted and found
+    to be few, one task joins them; else alternating large and small stars do,
+    with joins between written tables, which lets Spark split a hot node's rows.
     """
     links = links.where("u <> v").mapInArrow(local_stars, "u long, v long")
     edges = tmp.save(links.distinct(), f"{name}-0")
+    if edges.count() <= one_task:
+        done = tmp.save(edges.coalesce(1).mapInArrow(all_stars, "u long, v long"), f"{name}-done")
+        tmp.drop(f"{name}-0")
+        return done.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     for step in range(1, 64):
         # small star: a node's smaller neighbours, and itself, move to the smallest of them
         least = tmp.save(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n")), f"{name}-least-{step}")
