@@ -34,6 +34,7 @@ PERCENT = 75
 #: Buckets up to this size give all their pairs; larger ones stars, then blocks.
 SMALL_BUCKET = 6
 BLOCK = 2048
+BLOCK_SHINGLES = 2_000_000
 #: Pairs whose signatures differ in more symbols are not confirmed: at similarity
 #: 0.75 the count is binomial(50, 1/4), above 27 with probability 2e-6.
 FAR = 27
@@ -178,36 +179,51 @@ def near_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(differing(left, right) <= FAR)).select(["a", "b"])
 
 
-def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of one bucket's strays with one block of its members.
+def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a group of one bucket's strays with a block of its members, on full sets.
 
-    Rows come sorted by bucket, block and role, strays (role 0) first.
+    Rows come sorted by bucket, block, group and role, strays (role 0) first. A
+    pair that shares several buckets is tried in the first of its common keys
+    only: if that one is a small bucket, the pair has been tried before.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    at, strays, members = None, [], []
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    at, strays, members, held = None, [], [], 0
 
     def compare():
         if not strays or not members:
             return
-        sid, scomp = (np.array([x[i] for x in strays]) for i in (0, 1))
-        ssig = np.frombuffer(b"".join(x[2] for x in strays), np.uint16).reshape(-1, SYMBOLS)
-        mid, mcomp = (np.array([x[i] for x in members]) for i in (0, 1))
-        msig = np.frombuffer(b"".join(x[2] for x in members), np.uint16).reshape(-1, SYMBOLS)
+        bucket = np.int64(at[0]).view(np.uint64)
+        sid, scomp, ssig, sset = zip(*strays)
+        mid, mcomp, msig, mset = zip(*members)
+        ssig, msig = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SYMBOLS) for x in (ssig, msig))
+        mid, mcomp, skeys, mkeys = np.array(mid), np.array(mcomp), chunk_keys(ssig), chunk_keys(msig)
         for i in range(len(sid)):
-            near = np.flatnonzero(((msig != ssig[i]).sum(1) <= FAR) & (mcomp != scomp[i]))
-            if len(near):
-                other = mid[near]
-                yield to_batch(schema, np.minimum(other, sid[i]), np.maximum(other, sid[i]))
+            near = np.flatnonzero((differing(np.broadcast_to(ssig[i], msig.shape), msig) <= FAR) & (mcomp != scomp[i]))
+            near = near[skeys[i][(mkeys[near] == skeys[i]).argmax(1)] == bucket]
+            if not len(near):
+                continue
+            sizes = np.array([len(mset[j]) for j in near])
+            values = np.concatenate([mset[j] for j in near])
+            hit = sset[i][np.minimum(np.searchsorted(sset[i], values), len(sset[i]) - 1)] == values
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            linked = near[100 * both >= PERCENT * (sizes + len(sset[i]) - both)]
+            if len(linked):  # one link to each component is enough
+                linked = linked[np.unique(mcomp[linked], return_index=True)[1]]
+                yield to_batch(schema, np.minimum(mid[linked], sid[i]), np.maximum(mid[linked], sid[i]))
 
     for batch in batches:
-        for bucket, block, role, node, comp, sig in zip(*(c.to_pylist() for c in batch.columns)):
-            if (bucket, block) != at:
+        sets = batch.column(7)
+        values, ends = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+        for row, (bucket, block, group, role, node, comp, sig) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(7)))):
+            if (bucket, block, group) != at:
                 yield from compare()
-                at, strays, members = (bucket, block), [], []
-            (members if role else strays).append((node, comp, sig))
-            if len(members) >= BLOCK:
+                at, strays, members, held = (bucket, block, group), [], [], 0
+            found = np.sort(values[ends[row] : ends[row + 1]])
+            (members if role else strays).append((node, comp, sig, found))
+            held += len(found) * role
+            if held > BLOCK_SHINGLES:
                 yield from compare()
-                members = []
+                members, held = [], 0
     yield from compare()
 
 
@@ -285,16 +301,17 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
         "placed",
     )
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("members"), F.count("*").alias("comps")).where("comps > 1")
-    main = tmp.save(main.select("bucket", "main", (F.floor(F.col("members") / BLOCK) + 1).cast("int").alias("blocks")), "main")
-    open_ = placed.join(main, "bucket").join(nodes.select("id", "signature"), "id")
-    row = ["bucket", "block", "role", "id", "comp", "signature"]
-    strays = open_.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(0))
-    rest = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("role", F.lit(1))
-    blocks = strays.select(row).union(rest.select(row)).repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "role")
-    tried = near.select("a", "b")
-    last = tmp.save(blocks.mapInArrow(block_pairs, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "last")
-    new = tmp.save(confirm(last, sets), "links-last")
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    parts = lambda n: (F.floor(n / BLOCK) + 1).cast("int")
+    main = tmp.save(main.select("bucket", "main", parts(F.col("members")).alias("blocks"), parts(F.col("members") - F.col("most")).alias("groups")), "main")
+    open_ = placed.join(main, "bucket").join(nodes.select("id", "signature"), "id").join(sets.dropDuplicates(["id"]), "id")
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ["bucket", "block", "group", "role", "id", "comp", "signature", "shingles"]
+    strays = open_.where("comp <> main").withColumn("group", own("groups", 1)).withColumn("role", F.lit(0)).withColumn("block", every("blocks"))
+    rest = open_.withColumn("block", own("blocks", 2)).withColumn("role", F.lit(1)).withColumn("group", every("groups"))
+    blocks = strays.select(row).union(rest.select(row)).repartition(n, "bucket", "block", "group").sortWithinPartitions("bucket", "block", "group", "role")
+    new = tmp.save(blocks.mapInArrow(block_links, "u long, v long"), "links-last")
     comp = components(links.union(new), tmp, "comp-last")
 
     ids = nodes.select("set_hi", "set_lo", "id").join(comp, "id", "left").select("set_hi", "set_lo", F.coalesce("component_id", "id").alias("component_id"))
@@ -302,5 +319,5 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     joined = full.join(ids, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", "component_id")
     rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     result = tmp.save(joined.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
-    tmp.drop("signed", "nodes", "pairs", "near", "sets", "placed", "main", "last", "ids")
+    tmp.drop("signed", "nodes", "pairs", "near", "sets", "placed", "main", "ids")
     return result
