@@ -52,15 +52,20 @@ def trigrams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2))
 
 
+def _least(options) -> Query:
+    """Without options that ask for more than another one."""
+    return frozenset(o for o in options if not any(p < o for p in options))
+
+
 def _any(strings: set[str]) -> Query:
     options = frozenset(trigrams(s) for s in strings)
-    return None if not options or frozenset() in options else options
+    return None if not options or frozenset() in options else _least(options)
 
 
 def _both(a: Query, b: Query) -> Query:
     if a is None or b is None:
         return a or b
-    return frozenset(x | y for x, y in product(a, b)) if len(a) * len(b) <= MAX_STRINGS else max(a, b, key=lambda q: min(map(len, q)))
+    return _least(frozenset(x | y for x, y in product(a, b))) if len(a) * len(b) <= MAX_STRINGS else max(a, b, key=lambda q: min(map(len, q)))
 
 
 def _exact(node) -> set[str] | None:
