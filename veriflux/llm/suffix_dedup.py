@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,7 +145,7 @@ def doubles(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def parse(n_buckets: int):
+def parse(n_buckets: int, n_settled: int):
     """Parsed phrases of each batch for the owners of their triggers (kind 0), and spans settled within the batch (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def parse(n_buckets: int):
                 sent[two[again]] = False
                 local = two[again]
                 d, s, e = merged_by_doc(doc[local], np.maximum(at[local] - AROUND, 0), at[local] + SPAN)
-                for bucket, blobs in spread((mix64(d.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), [d, s.astype(np.int32), e.astype(np.int32)]):
+                for bucket, blobs in spread((mix64(d.view(np.uint64)) % np.uint64(n_settled)).astype(np.int32), [d, s.astype(np.int32), e.astype(np.int32)]):
                     yield to_batch(PARSED, [bucket], [1], [np.int32(len(blobs[1]) // 4).tobytes() + b"".join(blobs)])
             doc, at, h, phrase = doc[sent], at[sent].astype(np.int32), h[sent], phrase[sent]
             for bucket, blobs in spread((h % np.uint64(n_buckets)).astype(np.int32), [cut(h), cut(phrase), doc, at]):
@@ -183,27 +184,27 @@ def own_parse(n_buckets: int):
     """Spans that are repeated (kind 1) and triggers that need the dictionary (kind 2; start: the trigger, end: its hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, settled = [], []
         for batch in batches:
             for kind, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 n, view = int.from_bytes(body[:4], "little"), memoryview(body)[4:]
                 if kind:
-                    yield from to_docs(n_buckets, 1, np.frombuffer(view[: 8 * n], np.int64), np.frombuffer(view[8 * n : 12 * n], np.int32), np.frombuffer(view[12 * n :], np.int32))
+                    settled.append((np.frombuffer(view[: 8 * n], np.int64), np.frombuffer(view[8 * n : 12 * n], np.int32), np.frombuffer(view[12 * n :], np.int32)))
                 else:
                     parts.append((uncut(view[: 5 * n], n), uncut(view[5 * n : 10 * n], n), np.frombuffer(view[10 * n : 18 * n], np.int64), np.frombuffer(view[18 * n :], np.int32)))
-        if not parts:
-            return
-        h, phrase, doc, at = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        two = doubles(h)
-        h, phrase, doc, at = h[two], phrase[two], doc[two], at[two].astype(np.int64)
-        if not len(h):
-            return
-        again, open_ = repeated(h, phrase, doc)
-        d, s, e = merged_by_doc(doc[again], np.maximum(at[again] - AROUND, 0), at[again] + SPAN)
-        yield from to_docs(n_buckets, 1, d, s, e)
-        # 31 bits of the hash bring equal triggers together again
-        yield from to_docs(n_buckets, 2, doc[open_], at[open_], (h[open_] & np.uint64(0x7FFFFFFF)).astype(np.int64))
+        if parts:
+            h, phrase, doc, at = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            two = doubles(h)
+            h, phrase, doc, at = h[two], phrase[two], doc[two], at[two].astype(np.int64)
+            if len(h):
+                again, open_ = repeated(h, phrase, doc)
+                settled.append((doc[again], np.maximum(at[again] - AROUND, 0), at[again] + SPAN))
+                # 31 bits of the hash bring equal triggers together again
+                yield from to_docs(n_buckets, 2, doc[open_], at[open_], (h[open_] & np.uint64(0x7FFFFFFF)).astype(np.int64))
+        if settled:
+            d, s, e = (np.concatenate(x) for x in zip(*settled))
+            yield from to_docs(n_buckets, 1, *merged_by_doc(d, s.astype(np.int64), e.astype(np.int64)))
 
     return run
 
@@ -355,8 +356,10 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def release(spark) -> None:
     """Lets Spark delete the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round drops Python's references, the second what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -375,8 +378,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small_text_batches(spark)
     tmp, n = Scratch(spark, "suffix"), partitions(spark)
     texts, found_schema = id_text(docs), "doc_bucket int, kind int, ids binary, starts binary, ends binary"
-    parsed = texts.mapInArrow(parse(4 * n), "bucket int, kind int, body binary").repartition(n, "bucket")
-    found = tmp.save(parsed.mapInArrow(own_parse(4 * n), found_schema), "found")
+    parsed = texts.mapInArrow(parse(4 * n, 2 * n), "bucket int, kind int, body binary").repartition(n, "bucket")
+    found = tmp.save(parsed.mapInArrow(own_parse(2 * n), found_schema), "found")
     del parsed
     release(spark)
     listed = tmp.save(found.repartition(n, "doc_bucket").mapInArrow(list_by_doc, "doc_id long, spans binary, open binary"), "listed")
@@ -390,7 +393,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     open_ = waiting.where("body is not null")
     phrases = open_.select("doc_id", "body", "open").mapInArrow(dictionary(4 * n), "bucket int, kind int, body binary").repartition(n, "bucket")
-    more = tmp.save(phrases.mapInArrow(own_dictionary(4 * n), found_schema), "more")
+    more = tmp.save(phrases.mapInArrow(own_dictionary(2 * n), found_schema), "more")
     more = tmp.save(more.repartition(n, "doc_bucket").mapInArrow(list_by_doc, "doc_id long, spans binary, open binary"), "more_listed")
     del phrases
     release(spark)
