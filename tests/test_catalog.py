@@ -77,6 +77,28 @@ def test_models(spark):
     assert got == {1: True, 2: False}
 
 
+def test_probe_covers_every_label(spark):
+    # label 7 lies apart, 3 to 5 overlap; 9 has too few rows for every fold, 11 for any; nulls are no label
+    at = {3: 0.0, 4: 0.1, 5: 0.2, 7: 5.0, 9: -9.0, 11: 20.0, None: 0.0}
+    rows = [(1000 * n + i, [c + (i % 11) / 10, (i % 7) / 10], label) for n, (label, c) in enumerate(at.items()) for i in range({9: 3, 11: 1}.get(label, 43))]
+    vectors = spark.createDataFrame([*rows, (9999, None, 3)], "vec_id long, embedding array<double>, label int")
+    got = {r.layer: r.auc for r in ml.probe_report(vectors.repartition(3)).collect()}
+    assert set(got) == {3, 4, 5, 7, 9, 11}
+    assert got[7] > 0.95 and got[9] > 0.95 and got[11] is None and got[4] < 0.95
+    again = {r.layer: r.auc for r in ml.probe_report(vectors.repartition(7)).collect()}
+    assert all(got[c] == pytest.approx(again[c], abs=1e-3) for c in (3, 4, 5, 7, 9))
+
+
+def test_folds_are_stratified(spark):
+    keyed = spark.createDataFrame([(i, [float(i)], i % 10 // 4) for i in range(301)], "key long, x array<double>, label int")
+    rows = keyed.select("key", ml.array_to_vector("x").alias("vector"), "label")
+    first, second = ({r.key: (r.label, r.fold) for r in ml.stratified_folds(rows.repartition(n)).collect()} for n in (2, 5))
+    assert first == second and len(first) == 301
+    for label in range(3):
+        sizes = [sum(v == (label, k) for v in first.values()) for k in range(5)]
+        assert max(sizes) - min(sizes) <= 1 and sum(sizes) == sum(i % 10 // 4 == label for i in range(301))
+
+
 def test_entry_points_live_without_the_training_data_operators(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for name in ("veriflux", "__spark_entry__.py"):

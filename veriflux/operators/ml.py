@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import confusion_counts
 
+#: Folds of a probe; buckets in which rows are ranked.
+FOLDS, BUCKETS = 5, 1024
+#: Of probes: penalty, most Newton steps, rows handled at once, bytes of second derivatives held by a task.
+PENALTY, MAX_STEPS, BLOCK_ROWS, HESSIANS_BYTES = 0.01, 30, 2048, 64_000_000
+
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows with balanced class weights n / (classes * n_class)."""
@@ -60,17 +67,155 @@ def lexical_auc(train: DataFrame, test: DataFrame) -> float:
 
 
 def probe() -> Pipeline:
-    return Pipeline(stages=[StandardScaler(inputCol="vector", outputCol="features", withMean=True), LogisticRegression(weightCol="weight", maxIter=30, regParam=0.01)])
+    return Pipeline(stages=[StandardScaler(inputCol="vector", outputCol="features", withMean=True), LogisticRegression(weightCol="weight", maxIter=30, regParam=PENALTY)])
+
+
+def stratified_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """rows(key, vector, label) with a fold: each label's rows are dealt in turn, in hash order.
+
+    Fold sizes of a label differ by one at most, in any partitioning. Ranks are
+    counted by hash bucket, so no task holds a whole label.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("key", vector_to_array("vector"))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    sizes = hashed.groupBy("label", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("bucket")) - F.col("n")  # BUCKETS rows for each label
+    at = hashed.join(F.broadcast(sizes.select("label", "bucket", before.alias("before"))), ["label", "bucket"])
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("label", "bucket").orderBy("h"))
+    return at.withColumn("fold", F.pmod(rank, F.lit(folds)).cast("int")).drop("h", "bucket", "before")
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, label, fold) of a few rows at a time."""
+    for batch in batches:
+        for part in (batch.slice(i, BLOCK_ROWS) for i in range(0, batch.num_rows, BLOCK_ROWS)):
+            yield part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy()
+
+
+def summed(rows: DataFrame, size: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """What add(out, x, label, fold) adds up in an array of so many numbers, over all rows; partial sums meet in a tree."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for x, label, fold in blocks(batches):
+            add(out, x, label, fold)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
-def cross_validated_auc(rows: DataFrame, folds: int = 3) -> float:
-    """Mean AUC over folds of rows(key, vector, label)."""
-    rows = weighted(split_fold(rows, "key", folds)).cache()
+    return rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(np.add)
+
+
+def scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.hstack([(x - mean) * scale, np.ones((len(x), 1))])
+
+
+def fit_probes(rows: DataFrame, models: list[tuple], width: int, folds: int) -> dict[tuple, np.ndarray]:
+    """For each (class, fold), weights on raw vectors, the intercept last, fitted on the other folds: see probe().
+
+    Newton's method for many probes at a time: each step reads the rows once for
+    all of them. A constant position gets weight 0.
+    """
+    def count(out, x, label, fold):
+        for k in range(folds):
+            out[k * (width + 1) :][: width + 1] += np.r_[x[fold == k].sum(0), (fold == k).sum()]
+
+    sums = summed(rows, folds * (width + 1), count).reshape(folds, -1)
+    sums = sums.sum(0) - sums
+    n, mean = sums[:, -1], sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+
+    def square(out, x, label, fold):
+        for k in range(folds):
+            out[k * width :][:width] += ((x[fold != k] - mean[k]) ** 2).sum(0)
+
+    sd = np.sqrt(summed(rows, folds * width, square).reshape(folds, -1) / np.maximum(n[:, None] - 1, 1))
+    scale = np.divide(1, sd, out=np.zeros_like(sd), where=sd > 0)
+    found: dict[tuple, np.ndarray] = {}
+    side = width + 1
+    together = max(1, HESSIANS_BYTES // (8 * side * side))
+    positives = {(r.label, r.fold): r["count"] for r in rows.groupBy("label", "fold").count().collect()}
+    for start in range(0, len(models), together):
+        part = models[start : start + together]
+        mine = [sum(positives.get((c, f), 0) for f in range(folds) if f != k) for c, k in part]
+        weights = [(n[k] / (2 * (n[k] - m)), n[k] / (2 * m)) for (_, k), m in zip(part, mine)]
+        penalty = np.r_[np.full(width, PENALTY), 0.0]
+        each = 1 + side + side * side
+        at, best, step, before = np.zeros((len(part), side)), np.zeros((len(part), side)), np.zeros((len(part), side)), np.full(len(part), np.inf)
+        size = np.ones(len(part))
+        for _ in range(MAX_STEPS):
+
+            def slopes(out, x, label, fold, at=at, part=part, weights=weights):
+                for k in {k for _, k in part}:
+                    z, own = scaled(x[fold != k], mean[k], scale[k]), label[fold != k]
+                    for i, (c, f) in enumerate(part):
+                        if f == k:
+                            y = own == c
+                            m, w = z @ at[i], np.where(y, weights[i][1], weights[i][0])
+                            p = 0.5 + 0.5 * np.tanh(m / 2)
+                            o = out[i * each : (i + 1) * each]
+                            o[0] += (w * np.logaddexp(0, np.where(y, -m, m))).sum()
+                            o[1 : 1 + side] += z.T @ (w * (p - y))
+                            o[1 + side :] += (z.T @ (z * (w * p * (1 - p))[:, None])).ravel()
+
+            got = summed(rows, len(part) * each, slopes).reshape(len(part), each) / np.array([[n[k]] for _, k in part])
+            loss = got[:, 0] + (penalty * at**2).sum(1) / 2
+            slope = got[:, 1 : 1 + side] + penalty * at
+            better = loss <= before + 1e-12
+            for i in np.flatnonzero(better):
+                best[i], before[i], size[i] = at[i], loss[i], 1.0
+                step[i] = np.linalg.solve(got[i, 1 + side :].reshape(side, side) + np.diag(penalty + 1e-12), slope[i])
+            size[~better] /= 2
+            if (better & (np.abs(slope).max(1) < 1e-7)).all():
+                break
+            at = best - size[:, None] * step
+        for (c, k), b in zip(part, best):
+            raw = b[:-1] * scale[k]
+            found[c, k] = np.r_[raw, b[-1] - raw @ mean[k]]
+    return found
+
+
+def held_out_aucs(rows: DataFrame, fitted: dict[tuple, np.ndarray]) -> dict[tuple, float]:
+    """Exact AUC of each probe on its fold. Scores are ranked by bucket, so no task ranks a whole fold."""
+    names = list(fitted)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, label, fold in blocks(batches):
+            for i, (c, k) in enumerate(names):
+                if len(own := label[fold == k]):
+                    s = x[fold == k] @ fitted[c, k][:-1] + fitted[c, k][-1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int32)), pa.array(s), pa.array((own == c).astype(np.int64))], ["m", "score", "y"])
+
+    scores = rows.mapInArrow(score, "m int, score double, y long").groupBy("m", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    scores = scores.withColumn("bucket", F.floor(BUCKETS * (0.5 + 0.5 * F.tanh(F.col("score") / 2))))
+    below = F.sum("neg").over(Window.partitionBy("m", "bucket").orderBy("score")) - F.col("neg") / 2
+    parts = scores.withColumn("won", F.col("pos") * below).groupBy("m", "bucket").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    under = F.sum("neg").over(Window.partitionBy("m").orderBy("bucket")) - F.col("neg")  # BUCKETS rows for each probe
+    won = parts.withColumn("won", F.col("won") + F.col("pos") * under).groupBy("m").agg((F.sum("won") / F.sum("pos") / F.sum("neg")).alias("auc"))
+    return {names[r.m]: r.auc for r in won.collect()}
+
+
+def probes(rows: DataFrame, classes: list | None = None, folds: int = FOLDS) -> dict:
+    """AUC of each class (all labels, if none are given) against the other labels of rows(key, vector, label).
+
+    It is the mean over folds; a fold counts if its rows, and the others, have
+    both sides. Where none does, the class has None. Vectors are of equal length.
+    """
+    rows = stratified_folds(rows, folds).select(vector_to_array("vector").alias("x"), "label", "fold").cache()
     try:
-        at = [BinaryClassificationEvaluator().evaluate(probe().fit(rows.where(f"fold <> {k}")).transform(rows.where(f"fold = {k}"))) for k in range(folds)]
+        sizes = {(r.label, r.fold): r["count"] for r in rows.groupBy("label", "fold").count().collect()}
+        classes = sorted({c for c, _ in sizes}) if classes is None else classes
+        in_fold = [sum(n for (_, f), n in sizes.items() if f == k) for k in range(folds)]
+        models = []
+        for c in classes:
+            mine = [sizes.get((c, k), 0) for k in range(folds)]
+            models += [(c, k) for k in range(folds) if 0 < mine[k] < in_fold[k] and 0 < sum(mine) - mine[k] < sum(in_fold) - in_fold[k]]
+        aucs = held_out_aucs(rows, fit_probes(rows, models, len(rows.first().x), folds)) if models else {}
     finally:
         rows.unpersist()
-    return sum(at) / len(at)
+    found = {c: [a for (x, _), a in aucs.items() if x == c] for c in classes}
+    return {c: sum(a) / len(a) if a else None for c, a in found.items()}
+
+
+def cross_validated_auc(rows: DataFrame, folds: int = FOLDS) -> float | None:
+    """Mean AUC over stratified folds of rows(key, vector, label), label 1 against the others."""
+    return probes(rows, [1], folds)[1]
 
 
 def cross_dataset_auc(train: DataFrame, test: DataFrame) -> float:
@@ -83,11 +228,10 @@ def entropy_features(rows: DataFrame, column: str) -> DataFrame:
 
 
 def probe_report(vectors: DataFrame) -> DataFrame:
-    """Cross-validated AUC of the least label against the others, and the best of the rows by AUC."""
-    v = vectors.select(F.col("vec_id").alias("key"), array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"), F.col("label").alias("cls"))
-    classes = [r[0] for r in v.select("cls").distinct().orderBy("cls").limit(2).collect()]
-    found = [(int(c), float(cross_validated_auc(v.withColumn("label", (F.col("cls") == c).cast("int"))))) for c in classes]
-    return vectors.sparkSession.createDataFrame(found, "layer int, auc double")
+    """Cross-validated AUC of each non-null label (as layer) against the others; null where no fold has both sides."""
+    v = vectors.where("label is not null and embedding is not null")
+    v = v.select(F.col("vec_id").alias("key"), array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"), "label")
+    return vectors.sparkSession.createDataFrame([(int(c), auc) for c, auc in probes(v).items()], "layer int, auc double")
 
 
 def best_layer(aucs: DataFrame) -> DataFrame:
