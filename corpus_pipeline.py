@@ -39,13 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its whole epochs, and once more if most of it is in the rest."""
-    draws = mixing.mix(docs)
-    copies = F.col("epochs") + ((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size"))).cast("int")
-    wanted = draws.groupBy(F.col("doc_id").alias("drawn_id")).agg(F.max(copies).alias("n_copies"))
-    joined = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.drawn_id")))
-    drawn = joined.where(F.col("w.n_copies") > 0).select("d.*", F.explode(F.sequence(F.lit(1), F.col("w.n_copies"))).alias("copy__"))
-    return drawn.drop("copy__")
+    """The draws of the mix, laid out by shard; the one at which a source's target ends has the words that are left."""
+    return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,6 +186,24 @@ def test_mixing(spark):
     assert sum(r.words for r in mixed) == sum(taken.values())
 
 
+def test_pipeline_mix_gives_the_words_of_the_targets(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = {i: "\n " * (i % 2) + "  ".join(words(rng, rng.choice([0, 7, 900]))) + " " * (i % 3) for i in range(60)}
+    df = spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    taken, size = collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        size["ab"[i % 2]] += len(t.split())
+    for r in got:
+        taken[r.source] += len(r.text.split())
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+    want = mixing.targets([size["a"], size["b"]], [3, 1])
+    assert all(abs(taken[s] - w) <= 1 for s, w in zip("ab", want))
+    assert [(r.doc_id, len(r.text.split())) for r in got] == [(r.doc_id, r.words) for r in mixing.mixture(df).collect()]
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([10, 100, 100], [3, 1, 2]) == [20.0, pytest.approx(295 / 3), pytest.approx(590 / 3)]
     assert mixing.targets([], []) == []

@@ -24,6 +24,8 @@ from .common import Scratch, id_text
 WEIGHTS = (3, 1, 2)
 SHARE, CEILING = 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
+#: Where a word ends and others may follow.
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 BLOCK_BITS, LEVEL_BITS = 10, 6
 BLOCKS, FANOUT = 1 << BLOCK_BITS, 1 << LEVEL_BITS
 SHARDS = 16
@@ -76,10 +78,9 @@ def place(seed: int) -> Column:
     return F.xxhash64(F.col("doc_id"), F.lit(seed))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return id_text(docs, F.col("source").cast("string").alias("source")).select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    )
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    rows = id_text(docs, F.col("source").cast("string").alias("source"), *more)
+    return rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).drop("text")
 
 
 def plan_sources(rows: DataFrame, seed: int) -> list[Plan]:
@@ -142,9 +143,13 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     epoch order. Equal inputs give equal results in any partitioning. A source
     without words has target 0. Null doc_ids tie. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = Scratch(spark, "mixing").save(sized(docs), "sized")
-    plans = plan_sources(rows, seed)
+    rows = Scratch(docs.sparkSession, "mixing").save(sized(docs), "sized")
+    return drawn(rows, plan_sources(rows, seed), seed, shards)
+
+
+def drawn(rows: DataFrame, plans: list[Plan], seed: int, shards: int, *more: str) -> DataFrame:
+    """mix() for the sized rows of these plans, with more of their columns."""
+    spark = rows.sparkSession
     quotas = np.array([p.epochs * BLOCKS + p.last_blocks for p in plans], np.int64)
     dealt = np.vstack([np.zeros((1, len(plans)), np.int64), splitting_tree(quotas, shards, seed).cumsum(0)])
     signed = lambda x: x - (1 << 63)
@@ -163,15 +168,32 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     last = F.when(F.col("rest") > 0, F.array(shard_of(F.col("epochs") * BLOCKS + F.pmod(block + F.xxhash64("source", F.lit(seed)), F.col("last_blocks"))))).otherwise(F.array().cast("array<int>"))
     return joined.withColumn("rest", rest).select(
         "doc_id", "source", "size", "source_size", "target", "epochs", "rest",
-        (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"), F.concat(whole, last).alias("shards"),
+        (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"), F.concat(whole, last).alias("shards"), *more,
     )
 
 
-def mixture(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: doc_id, shard, copy, words, sorted at random within a shard."""
-    draws = mix(docs, seed, shards).select(
-        "doc_id", F.posexplode("shards").alias("copy", "shard"), "size", "epochs", "rest"
-    )
+def laid_out(draws: DataFrame, seed: int, *more: str) -> DataFrame:
+    """A row for each draw, with its words: sorted at random within a shard."""
+    rows = draws.select("doc_id", F.posexplode("shards").alias("copy", "shard"), "size", "epochs", "rest", *more)
     words = F.when(F.col("copy") < F.col("epochs"), F.col("size")).otherwise(F.col("rest"))
-    rows = draws.select("doc_id", "shard", "copy", words.alias("words"), F.xxhash64("doc_id", "copy", F.lit(seed)).alias("order"))
+    rows = rows.select("doc_id", "shard", "copy", words.alias("words"), F.xxhash64("doc_id", "copy", F.lit(seed)).alias("order"), "size", *more)
     return rows.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").drop("order")
+
+
+def mixture(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
+    """The mix itself: doc_id, shard, copy, words, sorted at random within a shard."""
+    return laid_out(mix(docs, seed, shards), seed).drop("size")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
+    """The mix as rows of docs, in the order of mixture().
+
+    A draw of a part of a document has the text up to the end of its last word,
+    and n_chars, if docs has that column, counts it.
+    """
+    rows = Scratch(docs.sparkSession, "mixing").save(sized(docs), "sized")
+    draws = laid_out(drawn(sized(docs, F.expr("struct(*)").alias("row")), plan_sources(rows, seed), seed, shards, "row"), seed, "row")
+    part, text = F.col("words") < F.col("size"), F.col("row")["text"].cast("string")
+    taken = F.array_join(F.slice(F.split(text, WORD_END), 1, F.col("words").cast("int")), "")
+    cut = {"text": taken, "n_chars": F.length(taken)}
+    return draws.select(*[F.when(part, cut[c].cast(kind)).otherwise(F.col("row")[c]).alias(c) if c in cut else F.col("row")[c].alias(c) for c, kind in docs.dtypes])
