@@ -1,4 +1,4 @@
-"""Removal of repeated 50-byte passages by prefix-free parsing.
+"""Removal of repeated 50-byte passages: phrases around triggers, as in prefix-free parsing, met by hash.
 
 A rolling hash of TRIGGER bytes places triggers: a position is one where its
 hash is the least of some window of SPAN - TRIGGER + 1 positions. So every
@@ -7,9 +7,10 @@ a trigger stands its phrase: the TRIGGER bytes and SPAN - TRIGGER more on both
 sides, which is all that the strings through this trigger can touch.
 
 The parse lists the phrases of each document by (trigger hash, phrase hash); the
-dictionary holds each distinct phrase once. Suffixes of the corpus, up to SPAN
-bytes, are ordered by the parse where phrases are equal and by a suffix array
-over the dictionary's phrases where they are not:
+dictionary holds each distinct phrase once. There is no suffix array of the parse
+and no order of the corpus: every SPAN-byte string lies in a phrase of its own
+trigger, so rows with equal triggers are all that can be equal, and they meet by
+hash instead of in a sort of the whole corpus:
 1. parse: owner tasks take ranges of trigger hashes. A phrase that a smaller
    document has too is repeated throughout, and needs no bytes.
 2. dictionary: only a document's phrases whose trigger also stands in a different
