@@ -36,7 +36,7 @@ SMALL_BUCKET = 6
 BLOCK = 2048
 BLOCK_SHINGLES = 2_000_000
 #: Pairs whose signatures differ in more symbols are not confirmed: at similarity
-#: 0.75 the count is binomial(50, 1/4), above 27 with probability 2e-6.
+#: 0.75 the count is binomial(50, 1/4), above 27 with probability 2.9e-6.
 FAR = 27
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("signature", pa.binary())])
