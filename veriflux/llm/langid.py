@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, small_text_batches, to_batch
 
-#: For each language, one document of each of so many hash strata, cut to a share of the dictionary.
+#: For each language, one document of each of so many hash strata, cut to its beginning: 4 * DICTIONARY_BYTES // SAMPLE_DOCS
+#: characters, of which the dictionary keeps an equal share of its bytes.
 SAMPLE_DOCS, DICTIONARY_BYTES = 128, 200_000
 FOLDS, HELD_OUT = 4, 2
 LEVEL = 5
