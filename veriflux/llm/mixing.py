@@ -142,6 +142,7 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     at most 2 * size. shards holds the output shard of each of these draws, in
     epoch order. Equal inputs give equal results in any partitioning. A source
     without words has target 0. Null doc_ids tie. An empty table gives no rows.
+    More than MAX_SOURCES distinct sources raise ValueError: their plans are made on the driver.
     """
     rows = Scratch(docs.sparkSession, "mixing").save(sized(docs), "sized")
     return drawn(rows, plan_sources(rows, seed), seed, shards)
