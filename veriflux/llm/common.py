@@ -42,22 +42,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written under the shared folder, so that a lost executor costs no recomputation."""
+    """Tables written under the shared folder, so that a lost executor costs no recomputation.
+
+    What is left of them goes when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.marked = False
+
+    def path(self, name: str = ""):
+        """A Hadoop path, and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        if not self.marked:
+            root, files = self.path()
+            self.marked = files.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self.path(name)
+            files.delete(path, True)
+
+    def keep(self, name: str) -> None:
+        """Drops all tables but one."""
+        root, files = self.path()
+        self.drop(*(x.getPath().getName() for x in files.listStatus(root) if x.getPath().getName() != name))
 
 
 def small_text_batches(spark: SparkSession) -> None:

@@ -7,10 +7,13 @@ each chunk is indexed once for each way of leaving ERRORS of its symbols out, so
 every such pair meets in a bucket. At a similarity of 0.75 a pair that never
 meets has probability (1 - .75**5 - 5*.25*.75**4)**10 = 4e-5.
 
-Documents with one shingle set are one node. A bucket gives a star around a
-pseudo-random member, and small buckets all their pairs. Links are confirmed
-on full shingle sets, in rounds that skip pairs already known to be connected.
-What is left of a large bucket is compared in blocks, never all rows in a task.
+Documents with one shingle set are one node. A small bucket gives all its pairs,
+a large one stars: a task that indexes many of its members links them to one of
+them and sends only that one on, so an owner never holds a whole bucket. Links
+are confirmed on full shingle sets, in rounds that skip pairs already known to
+be connected. Members of a large bucket that are then still outside its main
+component are strays. All buckets with one main component form one group, in
+which each node stands once, and strays are compared with the group in tiles.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ SYMBOLS = CHUNKS * WIDTH
 SHINGLE_WORDS = 5
 #: Similarity in percent from which documents are linked.
 PERCENT = 75
-#: Buckets up to this size give all their pairs; larger ones stars, then blocks.
+#: Buckets up to this size give all their pairs; larger ones stars, then tiles.
 SMALL_BUCKET = 6
+#: Nodes that a task indexes at once, and folds the large buckets of.
+INDEX_ROWS = 16_384
 BLOCK = 2048
 BLOCK_SHINGLES = 2_000_000
 #: Pairs whose signatures differ in more symbols are not confirmed: at similarity
@@ -40,7 +45,7 @@ BLOCK_SHINGLES = 2_000_000
 FAR = 27
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("signature", pa.binary())])
-BLOB = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("size", pa.int64())])
 
 _rng = np.random.RandomState(20240501)
@@ -111,43 +116,63 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def index(n_buckets: int):
+    """Bucket entries for the owners of their keys (kind 0), and stars of a task's own large buckets (kind 1)."""
+
+    def flush(ids: list[np.ndarray], signatures: list[bytes]) -> Iterator[pa.RecordBatch]:
+        node = np.concatenate(ids)
+        key = chunk_keys(np.frombuffer(b"".join(signatures), np.uint16).reshape(len(node), SYMBOLS)).ravel()
+        node = np.repeat(node, SYMBOLS)
+        key, node, start, size = buckets(key, node)
+        many, begin = np.repeat(size, size), np.repeat(start, size)
+        star = (many > SMALL_BUCKET) & (begin != np.arange(len(key)))
+        if star.any():
+            i = np.flatnonzero(star)
+            # these pass their owner by, so they may go to any
+            for at, blobs in spread((mix64(node[i].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), [node[begin[i]], node[i], key[i].view(np.int64), many[i]]):
+                yield to_batch(BLOB, [at], [1], [np.int64(len(blobs[0]) // 8).tobytes() + b"".join(blobs)])
+        i = np.flatnonzero(~star)
+        weight = np.where(many[i] > SMALL_BUCKET, many[i], 1)
+        for at, blobs in spread((key[i] % np.uint64(n_buckets)).astype(np.int32), [key[i], node[i], weight]):
+            yield to_batch(BLOB, [at], [0], [np.int64(len(blobs[0]) // 8).tobytes() + b"".join(blobs)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, signatures = [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            keys = chunk_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), SYMBOLS))
-            ids = np.repeat(ids, SYMBOLS)
-            for at, blobs in spread((keys.ravel() % np.uint64(n_buckets)).astype(np.int32), [keys.ravel(), ids]):
-                yield to_batch(BLOB, [at], *[[x] for x in blobs])
+            if batch.num_rows:
+                ids.append(batch.column(0).to_numpy())
+                signatures += batch.column(1).to_pylist()
+            if len(signatures) >= INDEX_ROWS:
+                yield from flush(ids, signatures)
+                ids, signatures = [], []
+        if signatures:
+            yield from flush(ids, signatures)
 
     return run
 
 
+def buckets(key: np.ndarray, node: np.ndarray, *more: np.ndarray):
+    """The rows sorted by key, in a pseudo-random order of its own within each; each bucket's start and size."""
+    order = np.lexsort((mix64(node.view(np.uint64) ^ key), key))
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key, node[order], *(x[order] for x in more), start, np.diff(np.r_[start, len(key)])
+
+
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars and, of small buckets, all pairs; size is the bucket's, so that large ones can be told."""
-    keys, ids = [], []
+    held = []
     for batch in batches:
-        keys += batch.column(1).to_pylist()
-        ids += batch.column(2).to_pylist()
-    if not keys:
-        return
-    key, node = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(ids), np.int64)
-    order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
-    first = np.r_[True, key[1:] != key[:-1]]
-    start = np.flatnonzero(first)
-    size = np.diff(np.r_[start, len(key)])
-    keep = np.repeat(size > 1, size)
-    key, node = key[keep], node[keep]
-    if not len(key):
+        for kind, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            n = int.from_bytes(body[:8], "little")
+            if kind:
+                yield to_batch(PAIR, *np.frombuffer(body, np.int64, 4 * n, 8).reshape(4, n))
+            else:
+                held.append(np.frombuffer(body, np.int64, 3 * n, 8).reshape(3, n))
+    if not held:
         return
-    # the member that comes first in a pseudo-random order of its own for each bucket is the hub
-    order = np.lexsort((mix64(node.view(np.uint64) ^ key), key))
-    key, node = key[order], node[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    n, begin = np.repeat(size, size), np.repeat(start, size)
+    key, node, weight = np.concatenate(held, 1)
+    key, node, weight, start, size = buckets(key.view(np.uint64), node, weight)
+    n, begin = np.repeat(np.add.reduceat(weight, start), size), np.repeat(start, size)
     place = np.arange(len(key)) - begin
     out = []
     for gap in range(1, SMALL_BUCKET):
@@ -156,6 +181,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     i = np.flatnonzero((n > SMALL_BUCKET) & (place > 0))
     out.append((node[begin[i]], node[i], key[i].view(np.int64), n[i]))
     a, b, bucket, many = (np.concatenate(x) for x in zip(*out))
+    if not len(a):
+        return
     a, b = np.where(bucket == 0, np.minimum(a, b), a), np.where(bucket == 0, np.maximum(a, b), b)
     # pairs that several small buckets of this task share leave it once
     order = np.lexsort((b, a, bucket))
@@ -179,51 +206,50 @@ def near_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(differing(left, right) <= FAR)).select(["a", "b"])
 
 
-def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a group of one bucket's strays with a block of its members, on full sets.
+def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a part of a group's strays with a block of its nodes, on full sets.
 
-    Rows come sorted by bucket, block, group and role, strays (role 0) first. A
-    pair that shares several buckets is tried in the first of its common keys
-    only: if that one is a small bucket, the pair has been tried before.
+    Rows come sorted by group, block, part and role, strays (role 0) first. Two
+    strays are compared once, where the smaller one stands among the strays.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    at, strays, members, held = None, [], [], 0
+    at, strays, nodes, held = None, [], [], 0
 
     def compare():
-        if not strays or not members:
+        if not strays or not nodes:
             return
-        bucket = np.int64(at[0]).view(np.uint64)
-        sid, scomp, ssig, sset = zip(*strays)
-        mid, mcomp, msig, mset = zip(*members)
-        ssig, msig = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SYMBOLS) for x in (ssig, msig))
-        mid, mcomp, skeys, mkeys = np.array(mid), np.array(mcomp), chunk_keys(ssig), chunk_keys(msig)
-        for i in range(len(sid)):
-            near = np.flatnonzero((differing(np.broadcast_to(ssig[i], msig.shape), msig) <= FAR) & (mcomp != scomp[i]))
-            near = near[skeys[i][(mkeys[near] == skeys[i]).argmax(1)] == bucket]
+        mid, mcomp, mstray, msig, mset = zip(*nodes)
+        msig = np.frombuffer(b"".join(msig), np.uint16).reshape(-1, SYMBOLS)
+        mid, mcomp, mstray = np.array(mid), np.array(mcomp), np.array(mstray)
+        sizes = np.array([len(x) for x in mset])
+        for sid, scomp, _, ssig, sset in strays:
+            open_ = (mcomp != scomp) & (~mstray | (mid > sid))
+            open_ &= (100 * np.minimum(sizes, len(sset)) >= PERCENT * np.maximum(sizes, len(sset)))  # sets too unequal in size cannot be similar
+            i = np.flatnonzero(open_)
+            near = i[differing(np.frombuffer(ssig, np.uint16), msig[i]) <= FAR]
             if not len(near):
                 continue
-            sizes = np.array([len(mset[j]) for j in near])
             values = np.concatenate([mset[j] for j in near])
-            hit = sset[i][np.minimum(np.searchsorted(sset[i], values), len(sset[i]) - 1)] == values
-            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-            linked = near[100 * both >= PERCENT * (sizes + len(sset[i]) - both)]
+            hit = sset[np.minimum(np.searchsorted(sset, values), len(sset) - 1)] == values
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+            linked = near[100 * both >= PERCENT * (sizes[near] + len(sset) - both)]
             if len(linked):  # one link to each component is enough
                 linked = linked[np.unique(mcomp[linked], return_index=True)[1]]
-                yield to_batch(schema, np.minimum(mid[linked], sid[i]), np.maximum(mid[linked], sid[i]))
+                yield to_batch(schema, np.minimum(mid[linked], sid), np.maximum(mid[linked], sid))
 
     for batch in batches:
-        sets = batch.column(7)
+        sets = batch.column(8)
         values, ends = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
-        for row, (bucket, block, group, role, node, comp, sig) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(7)))):
-            if (bucket, block, group) != at:
+        for row, (group, block, part, role, node, comp, stray, sig) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(8)))):
+            if (group, block, part) != at:
                 yield from compare()
-                at, strays, members, held = (bucket, block, group), [], [], 0
+                at, strays, nodes, held = (group, block, part), [], [], 0
             found = np.sort(values[ends[row] : ends[row + 1]])
-            (members if role else strays).append((node, comp, sig, found))
+            (nodes if role else strays).append((node, comp, stray, sig, found))
             held += len(found) * role
             if held > BLOCK_SHINGLES:
                 yield from compare()
-                members, held = [], 0
+                nodes, held = [], 0
     yield from compare()
 
 
@@ -248,6 +274,41 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def tiles(large: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
+    """What stars cannot decide: strays of large buckets beside the nodes that they share one with.
+
+    Buckets with one main component are one group, where comparing all its
+    strays with all its nodes is no more work than going bucket by bucket, as it
+    is for copies that meet in many buckets; else each of them is its own group.
+    A group has ceil(nodes / BLOCK) blocks and as many parts of strays.
+    """
+    member = large.select("bucket", F.col("b").alias("id")).union(large.select("bucket", F.col("a").alias("id"))).distinct()
+    placed = tmp.save(member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("comp")), "placed")
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket")
+    main = sizes.agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), (F.sum("n") * (F.sum("n") - F.max("n"))).cast("double").alias("work"), F.count("*").alias("comps"))
+    main = tmp.save(main.where("comps > 1").drop("comps"), "main")
+    open_ = placed.join(main, "bucket")
+    stray = F.col("comp") != F.col("main")
+    united = open_.groupBy("main", "id").agg(F.max(stray.cast("int")).alias("stray"))
+    united = united.groupBy("main").agg((F.count("*") * F.sum("stray")).cast("double").alias("united"))
+    own = united.join(main.groupBy("main").agg(F.sum("work").alias("work")), "main").where("united > work").select("main", F.lit(True).alias("split"))
+    keyed = open_.join(own, "main", "left").select("main", F.when(F.col("split"), F.col("bucket")).alias("bucket"), "id", "comp")
+    keyed = tmp.save(keyed.groupBy("main", "bucket", "id", "comp").agg(F.lit(1).alias("one")).drop("one"), "keyed")
+    parts = lambda n: (F.floor((n - 1) / BLOCK) + 1).cast("int")
+    counts = keyed.groupBy("main", "bucket").agg(parts(F.count("*")).alias("blocks"), parts(F.sum(stray.cast("int"))).alias("parts"))
+    counts = counts.select(F.col("main").alias("main_"), F.col("bucket").alias("bucket_"), "blocks", "parts")
+    group = keyed.join(counts, (F.col("main") == F.col("main_")) & F.col("bucket").eqNullSafe(F.col("bucket_")))
+    group = group.select(F.xxhash64("main", "bucket").alias("group"), "blocks", "parts", "id", "comp", stray.alias("stray"))
+    full = group.join(nodes.select("id", "signature"), "id").join(sets.dropDuplicates(["id"]), "id")
+    of = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ["group", "block", "part", "role", "id", "comp", "stray", "signature", "shingles"]
+    strays = full.where("stray").withColumn("part", of("parts", 1)).withColumn("role", F.lit(0)).withColumn("block", each("blocks"))
+    rest = full.withColumn("block", of("blocks", 2)).withColumn("role", F.lit(1)).withColumn("part", each("parts"))
+    n = partitions(large.sparkSession)
+    return strays.select(row).union(rest.select(row)).repartition(n, "group", "block", "part").sortWithinPartitions("group", "block", "part", "role")
+
+
 def minhash_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -267,7 +328,7 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     full = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = tmp.save(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "nodes")
 
-    found = nodes.select("id", "signature").mapInArrow(index(4 * n), "bucket int, keys binary, ids binary").repartition(n, "bucket")
+    found = nodes.select("id", "signature").mapInArrow(index(4 * n), "bucket int, kind int, body binary").repartition(n, "bucket")
     pairs = tmp.save(found.mapInArrow(candidates, "a long, b long, bucket long, size long"), "pairs")
     left = nodes.select(F.col("id").alias("a"), F.col("signature").alias("left"))
     right = nodes.select(F.col("id").alias("b"), F.col("signature").alias("right"))
@@ -294,24 +355,7 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
         links = new if links is None else links.union(new)
         comp = components(links, tmp, f"comp-{step}")
 
-    # what a star cannot decide: members of a large bucket outside its hub's component
-    member = large.select("bucket", F.col("b").alias("id")).union(large.select("bucket", F.col("a").alias("id")).distinct())
-    placed = tmp.save(
-        member.join(comp, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("comp")),
-        "placed",
-    )
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    parts = lambda n: (F.floor(n / BLOCK) + 1).cast("int")
-    main = tmp.save(main.select("bucket", "main", parts(F.col("members")).alias("blocks"), parts(F.col("members") - F.col("most")).alias("groups")), "main")
-    open_ = placed.join(main, "bucket").join(nodes.select("id", "signature"), "id").join(sets.dropDuplicates(["id"]), "id")
-    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row = ["bucket", "block", "group", "role", "id", "comp", "signature", "shingles"]
-    strays = open_.where("comp <> main").withColumn("group", own("groups", 1)).withColumn("role", F.lit(0)).withColumn("block", every("blocks"))
-    rest = open_.withColumn("block", own("blocks", 2)).withColumn("role", F.lit(1)).withColumn("group", every("groups"))
-    blocks = strays.select(row).union(rest.select(row)).repartition(n, "bucket", "block", "group").sortWithinPartitions("bucket", "block", "group", "role")
-    new = tmp.save(blocks.mapInArrow(block_links, "u long, v long"), "links-last")
+    new = tmp.save(tiles(large, comp, nodes, sets, tmp).mapInArrow(tile_links, "u long, v long"), "links-last")
     comp = components(links.union(new), tmp, "comp-last")
 
     ids = nodes.select("set_hi", "set_lo", "id").join(comp, "id", "left").select("set_hi", "set_lo", F.coalesce("component_id", "id").alias("component_id"))
@@ -319,5 +363,5 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     joined = full.join(ids, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", "component_id")
     rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     result = tmp.save(joined.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
-    tmp.drop("signed", "nodes", "pairs", "near", "sets", "placed", "main", "ids")
+    tmp.keep("result")
     return result
