@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veriflux.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, secrets, suffix_dedup, token_counts, toxicity
 
@@ -41,7 +42,7 @@ def test_empty_table(spark, name):
 def test_pipeline_on_awkward_rows(spark, tmp_path):
     import corpus_pipeline
 
-    for which, docs in (("some", cases.clashing(cases.frame(spark)).drop("bucket")), ("none", cases.empty(spark))):
+    for which, docs in (("some", cases.clashing(cases.frame(spark))), ("none", cases.empty(spark))):
         d = f"{tmp_path}/{which}"
         docs.write.parquet(f"{d}/documents.parquet")
         cases.labels(spark).write.parquet(f"{d}/labels.parquet")
@@ -72,3 +73,19 @@ def test_embeddings(spark):
         assert linked[alone] == (0, alone, True)
     assert linked[None] == (0, None, True)
     assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, kept string")).collect() == []
+
+
+def test_repeated_rows_leave_one(spark, tmp_path):
+    import corpus_pipeline
+
+    text, other = cases.rows()[0][1], "nothing in common with any of these rows here at all"
+    rows = [(1, text), (1, text), (1, other), (0, text.upper()), (None, "no number one"), (None, "No number one"), (None, text), (7, None), (7, ""), (8, "  "), (8, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("again_id", F.lit("x")).withColumn("row", F.lit("y")).repartition(3)
+    exact = corpus_pipeline.drop_copies(spark, df, "")
+    assert exact.columns == df.columns
+    got = [(r.doc_id, (r.text or "").lower()) for r in exact.collect()]
+    assert sorted(got, key=repr) == sorted([(1, text), (1, other), (None, "no number one"), (7, ""), (8, "  ")], key=repr)
+    near = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert near.columns == df.columns
+    got = [(r.doc_id, (r.text or "").lower()) for r in near.collect()]
+    assert sorted(got, key=repr) == sorted([(0, text), (1, other), (None, "no number one"), (None, text), (7, ""), (8, "  ")], key=repr)

@@ -87,6 +87,30 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def survivors(docs: DataFrame, verdicts: DataFrame, keys: list[str], keyed) -> DataFrame:
+    """The rows of docs that verdicts(doc_id, kept, *keys) keep, one of those with equal doc_id and keys.
+
+    A doc_id that stands once is looked up by itself. Rows whose doc_id repeats or
+    is null need their keys again: keyed(rows) adds them to (row, doc_id, text).
+    Of several equal ones the row that comes first in hash order stays.
+    """
+    counted = verdicts.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("kept"))
+    once = counted.where("n = 1 and kept = 1 and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
+    out = docs.join(once, docs["doc_id"].cast("long") == once["kept_id"], "left_semi")
+    again = counted.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("again_id"))
+    if not again.limit(1).count():
+        return out
+    several = docs.join(again, docs["doc_id"].cast("long") == again["again_id"], "left_semi").union(docs.where("doc_id is null"))
+    rows = keyed(several.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id"), *[F.col(k).alias(f"kept_{k}") for k in keys])
+    same = rows["doc_id"].eqNullSafe(kept["kept_id"])
+    for k in keys:
+        same = same & rows[k].eqNullSafe(kept[f"kept_{k}"])
+    order = F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind])
+    chosen = rows.join(kept, same, "left_semi").groupBy("doc_id", *keys).agg(F.min_by("row", order).alias("row"))
+    return out.union(chosen.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

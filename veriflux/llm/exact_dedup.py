@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, Scratch, id_text, partitions, small_text_batches, to_batch
+from .common import LOWER_AZ, Scratch, id_text, partitions, small_text_batches, survivors, to_batch
 
 PREFIX_BITS = 16
 #: An index bucket holds so many entries before it is split.
@@ -158,3 +158,14 @@ def exact_dedup(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFr
     )
     tmp.drop("index", "classes")
     return result
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, one of each class of equal texts.
+
+    The row with the largest doc_id stays; of repeated rows with that doc_id, or
+    of a class without any doc_id, the first in hash order.
+    """
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256)
+    return survivors(docs, exact_dedup(docs), ["text_sha256"], lambda rows: rows.withColumn("text_sha256", sha))

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER_AZ, Scratch, id_text, mix64, partitions, small_text_batches, spread, to_batch
+from .common import LOWER_AZ, Scratch, id_text, mix64, partitions, small_text_batches, spread, survivors, to_batch
 from .components import components
 
 CHUNKS, WIDTH, ERRORS, BITS = 10, 5, 1, 16
@@ -86,14 +87,19 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (mix64(least.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.uint16)
 
 
+def mark(text: str | None, found: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, or for a text without words, as two signed numbers."""
+    d = xxhash.xxh3_128_intdigest(found.tobytes() if len(found) else (text or "").encode("utf-8", "surrogatepass"))
+    return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+
+
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:
         rows = []
         for text in batch.column(1).to_pylist():
             found = shingles(text, words)
-            d = xxhash.xxh3_128_intdigest(found.tobytes())
-            rows.append((len(found), (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), signature(found).tobytes()))
+            rows.append((len(found), *mark(text, found), signature(found).tobytes()))
         if rows:
             yield to_batch(SIGNED, batch.column(0), *zip(*rows))
 
@@ -320,6 +326,35 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     kept. Repeated rows with one doc_id are one document. An empty table gives
     no rows.
     """
+    return verdicts(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, one of each group of linked documents.
+
+    The document with the smallest doc_id stays. Of rows with one doc_id, or with
+    none, and equal shingle sets the first in hash order stays; rows without a
+    doc_id link with nothing else, and rows without words with nothing at all:
+    of these, equal texts (A-Z in lower case) with one doc_id are one.
+    """
+    found = verdicts(docs)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = WordHashes()
+            for batch in batches:
+                marks = [mark(t, shingles(t, words)) for t in batch.column(2).to_pylist()]
+                if marks:
+                    columns = [*batch.columns, *(pa.array(x, pa.int64()) for x in zip(*marks))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "set_hi", "set_lo"])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("set_hi", T.LongType()), T.StructField("set_lo", T.LongType())]))
+
+    return survivors(docs, found, ["set_hi", "set_lo"], keyed)
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """minhash_dedup() with set_hi and set_lo, the hash of the document's set (of its text, where that has no words)."""
     spark = docs.sparkSession
     small_text_batches(spark)
     tmp, n = Scratch(spark, "minhash"), partitions(spark)
@@ -360,8 +395,8 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
 
     ids = nodes.select("set_hi", "set_lo", "id").join(comp, "id", "left").select("set_hi", "set_lo", F.coalesce("component_id", "id").alias("component_id"))
     ids = tmp.save(ids, "ids")
-    joined = full.join(ids, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", "component_id")
-    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = full.join(ids, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", "component_id", "set_hi", "set_lo")
+    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_hi", "set_lo")
     result = tmp.save(joined.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
     tmp.keep("result")
     return result
