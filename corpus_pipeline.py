@@ -7,44 +7,61 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veriflux.llm import exact_dedup, minhash, mixing, packing, toxicity
 from veriflux.llm.common import Scratch
 
 
-def ids_of(verdicts: DataFrame, keep: str) -> DataFrame:
-    return verdicts.where(keep).select(F.col("doc_id").alias("kept_id")).distinct()
-
-
-def keeping(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, a null doc_id included, with docs' own columns."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; clean ones all stay."""
+    """Documents that the classifier does not call toxic; clean ones all stay.
+
+    Each row is judged by its whole text alone, so repeated rows and rows with a
+    null doc_id share the verdict of their text, and a null or empty text has the
+    score of a text without known words. Other columns, whatever their names,
+    pass through. Without labels of both classes the score is that of the one
+    class, or near 0. An empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, labels)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z in lower case), the document with the largest doc_id."""
-    return keeping(docs, ids_of(exact_dedup.exact_dedup(docs), "kept"))
+    """Of equal texts (A-Z in lower case; null counts as empty), the row with the largest doc_id.
+
+    Exactly one row of each class stays: of repeated rows with that doc_id, or of
+    a class without any doc_id, the first in hash order. Long texts are compared
+    by all their bytes. Other columns pass through. An empty table gives no rows.
+    """
+    return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets, the one with the smallest doc_id."""
-    return keeping(docs, ids_of(minhash.minhash_dedup(docs), "kept"))
+    """Of documents linked by similar shingle sets, the one with the smallest doc_id.
+
+    Null and empty texts link with nothing and stay, and so do rows with a null
+    doc_id. Repeated rows (one doc_id or none, and equal sets) leave one, the first
+    in hash order. Other columns pass through. An empty table gives no rows.
+    """
+    return minhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The draws of the mix, laid out by shard; the one at which a source's target ends has the words that are left."""
+    """The draws of the mix, laid out by shard and shuffled within it; the one at which a source's target ends has the words that are left.
+
+    A null source is one of its own and comes last; a document without words is
+    taken as often as its source's others, and a source without words not at all.
+    Rows that tie at the end of a target share what is left of it. Other columns
+    pass through; n_chars counts a cut text. An empty table gives no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 1024."""
+    """Token pieces in sequences of 1024, as op8_packing gives them.
+
+    A null or empty text is its end mark alone. Repeated rows and null doc_ids are
+    packed like any other; other columns do not go on. An empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
