@@ -83,6 +83,17 @@ def test_directory_splits_overfull_buckets():
     assert max(loads[bucket == b].sum() for b in set(bucket.tolist())) <= 10
 
 
+def test_owners_take_key_ranges_of_even_load():
+    rng = np.random.default_rng(2)
+    loads = rng.integers(0, 9, 1 << 18)  # deeper than 16 bits
+    loads[77] = 4000
+    bucket, depth = exact_dedup.directory(loads, 20)
+    owner = exact_dedup.owners(bucket, loads, 40)
+    assert depth > 16 and (np.diff(owner) >= 0).all() and owner.max() == 39
+    assert all(len(set(owner[bucket == b].tolist())) == 1 for b in bucket[:: 1 << 12])
+    assert np.bincount(owner, loads).max() < loads.sum() / 40 + 4100
+
+
 def shingle_set(text):
     w = lower_az(text).split()
     return {tuple(w)} - {()} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

@@ -3,10 +3,12 @@
 1. Each input task folds its own equal texts and writes an index page entry for
    each distinct text (hash key, bytes, count, largest doc_id) to the shared
    folder, plus one thin row for each document that names its entry.
-2. A histogram over the keys' leading bits (at most 2**PREFIX_BITS rows) drives
-   directory doubling: a bucket above its capacity is split by the next bit.
-3. Owner tasks take key ranges (buckets), chain entries with equal keys and
-   compare bytes, so a hash collision cannot merge different texts.
+2. A histogram over the keys' leading bits drives directory doubling: a bucket
+   above its capacity is split by the next bit. The capacity grows with the
+   table, so the directory's size follows the number of owners, not of texts.
+3. Owner tasks take consecutive buckets, which are key ranges of about equal
+   load, chain entries with equal keys and compare bytes, so a hash collision
+   cannot merge different texts.
 4. Documents look up their entry's class; no text moves in that join.
 
 A third of all rows with one text is one entry for each input task.
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, Scratch, id_text, partitions, small_text_batches, survivors, to_batch
 
-PREFIX_BITS = 16
-#: An index bucket holds so many entries before it is split.
-BUCKET_ENTRIES = 64
+#: An index bucket holds so many entries before it is split, or what makes SHARE buckets an owner if that is more.
+BUCKET_ENTRIES, SHARE = 64, 16
+#: The histogram is so many bits deeper than buckets of even load need; keys are hashes, so a bucket that is
+#: overfull even there holds copies of one key, which no bit could split: they are chained like any others.
+DEEPER = 4
 #: Bytes of distinct text that one input task holds before it writes its entries.
 FOLD_BYTES = 64 << 20
 
@@ -93,6 +97,14 @@ def directory(loads: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return (np.int64(1) << local) | (np.arange(len(loads)) >> (bits - local)), depth
 
 
+def owners(bucket: np.ndarray, loads: np.ndarray, n: int) -> np.ndarray:
+    """Owner of each key prefix: consecutive buckets go to one of n owners, so that loads are about even."""
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    before = np.cumsum(loads) - loads
+    owner = before[first] * n // max(1, int(loads.sum()))
+    return np.repeat(np.minimum(owner, n - 1), np.diff(np.r_[first, len(bucket)])).astype(np.int32)
+
+
 def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains of equal keys, told apart by their bytes. Rows come sorted by key."""
     at, chain, out = None, [], []
@@ -136,16 +148,19 @@ def exact_dedup(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFr
     written = tmp.save(id_text(docs).mapInArrow(fold, "page boolean, entry long, key long, body binary, n long, doc_id long"), "index", "page")
     pages, rows = written.filter("page"), written.filter("not page").select("entry", "doc_id")
 
-    prefix = F.shiftrightunsigned("key", 64 - PREFIX_BITS).cast("int")
-    loads = np.zeros(1 << PREFIX_BITS, np.int64)
-    for p, c in pages.groupBy(prefix.alias("prefix")).count().collect():  # at most 2**PREFIX_BITS rows
+    entries = pages.count()
+    capacity = max(bucket_entries, -(-entries // (SHARE * n)))
+    bits = max(1, (entries // capacity).bit_length() + DEEPER)
+    prefix = F.shiftrightunsigned("key", 64 - bits).cast("int")
+    loads = np.zeros(1 << bits, np.int64)  # fewer than 2**(DEEPER + 1) * SHARE * n numbers
+    for p, c in pages.groupBy(prefix.alias("prefix")).count().collect():
         loads[p] = c
-    bucket, _ = directory(loads, bucket_entries)
-    table = spark.createDataFrame(pa.table({"prefix": np.arange(1 << PREFIX_BITS, dtype=np.int32), "bucket": bucket}))
+    bucket, _ = directory(loads, capacity)
+    table = spark.createDataFrame(pa.table({"prefix": np.arange(1 << bits, dtype=np.int32), "owner": owners(bucket, loads, n)}))
     owned = (
-        pages.join(F.broadcast(table), prefix == F.col("prefix"))  # 2**PREFIX_BITS rows of 12 bytes
-        .select("bucket", "key", "entry", "body", "n", "doc_id")
-        .repartition(n, "bucket")
+        pages.join(F.broadcast(table), prefix == F.col("prefix"))  # as many rows as loads, of 8 bytes
+        .select("owner", "key", "entry", "body", "n", "doc_id")
+        .repartitionById(n, "owner")
         .sortWithinPartitions("key")
         .select("key", "entry", "body", "n", "doc_id")
     )
@@ -156,7 +171,7 @@ def exact_dedup(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFr
         ),
         "result",
     )
-    tmp.drop("index", "classes")
+    tmp.keep("result")
     return result
 
 
