@@ -150,6 +150,7 @@ def test_secret_spans(spark):
     texts = [
         "token = 'abcdef' and Password:short api-key=zzzzzz apikey=abcdefg", "secret: token:abcdefgh", "AKIA" + "A" * 16 + " AKIAB " + "ab12" * 6 + "é" + "ff" * 12, "ü😀 passwd=abc.def/ghi token=",
         "ghp_" + "a1" * 18 + " xoxb-1234567890ab -----BEGIN RSA PRIVATE KEY----- eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh12", "AKIA" + "Z9" * 30, "API_KEY  =  " + "0a" * 20, "", None,
+        " ".join(f"é{'0123456789abcdef' * 2} token=abc{i:05d}" for i in range(700)),
     ]
     base = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
     more = [(r.kind, re.compile(r.pattern), 0, 0) for r in secrets.RULES if not r.base]

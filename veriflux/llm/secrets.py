@@ -5,7 +5,10 @@ every match must contain, as an OR of ANDs of trigrams. The index holds
 postings (trigram, doc_id) for all trigrams that any rule asks for, over
 lower-cased text. Intersecting a document's postings gives the rules it is a
 candidate for; only these rules' expressions run on it. A rule without
-mandatory trigrams is run on every document.
+mandatory trigrams is run on every document, where its text lies.
+
+Texts of candidates alone are shuffled: a bitmap of candidates' hashes, of at
+most MOST_WORDS words, tells every other row apart before that.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from .common import Scratch, id_text
 
 #: A repeated or optional part is spelled out into at most so many exact strings.
 MAX_STRINGS = 64
+#: The bitmap has so many words of 64 bits at least and at most: 1 << 18 of them are 3 MB to broadcast.
+FEWEST_WORDS, MOST_WORDS = 1 << 10, 1 << 18
+#: Matches whose places are added up one by one; places of whole runs of them are added first.
+RUN = 64
 
 
 @dataclass(frozen=True)
@@ -129,9 +136,10 @@ def trigram_query(pattern: str) -> Query:
 
 def build_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Postings (trigram, doc_id) of the given trigrams; trigram is its place in vocabulary."""
-    low = F.lower("text")
-    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary)]))
-    return docs.where("text is not null").select("doc_id", F.explode(hits).alias("trigram"))
+    low = docs.select("doc_id", F.lower("text").alias("low"))  # once a row, before it is probed
+    hits = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary)]))
+    # an inner explode would have the planner probe a second time, to drop rows without hits early
+    return low.select("doc_id", F.explode_outer(hits).alias("trigram")).where("trigram is not null")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query], vocabulary: list[str]) -> DataFrame:
@@ -159,23 +167,30 @@ def candidates(index: DataFrame, queries: dict[str, Query], vocabulary: list[str
     return found.where(" or ".join(asked))
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL for body with name standing for value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def spans_of(rule: Rule, order: int) -> Column:
     """Structs (start, end, order, kind) of a rule's matches that are long enough, in code points."""
-    pattern = F.lit(rule.pattern)
-    pieces = F.transform(F.split("text", rule.pattern, -1), F.length)
-    matches = F.regexp_extract_all("text", pattern, F.lit(0))
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    ended = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,order:int,kind:string,body:string>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["match"])).alias("end"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), x["match"].alias("body")))).alias("spans"),
-        ),
-    )["spans"]
-    size = (lambda s: F.length(F.regexp_extract(s["body"], rule.pattern, rule.group))) if rule.group else (lambda s: s["end"] - s["start"])
-    kept = F.filter(ended, lambda s: size(s) >= rule.least) if rule.least else ended
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["order"].alias("order"), s["kind"].alias("kind")))
+    pattern = quoted(rule.pattern)
+    add = lambda part: f"aggregate({part}, 0, (at, y) -> at + y.gap + y.size)"
+    # gap: code points between the match before and this one
+    gaps = f"slice(transform(split(text, {pattern}, -1), y -> length(y)), 1, size(m))"
+    found = let("m", f"regexp_extract_all(text, {pattern}, 0)", f"zip_with({gaps}, m, (g, b) -> struct(g AS gap, length(b) AS size, b AS body))")
+    runs = f"transform(filter(sequence(0, size(f)), i -> i % {RUN} = 0), i -> {add(f'slice(f, i + 1, {RUN})')})"
+    begins = f"aggregate({runs}, array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    start = f"r.begins[i div {RUN}] + {add(f'slice(r.f, cast(i div {RUN} * {RUN} + 1 AS int), cast(i % {RUN} AS int))')} + x.gap"
+    struct = f"struct(s AS start, s + x.size AS end, {order} AS order, {quoted(rule.kind)} AS kind, x.body AS body)"
+    placed = let("f", found, let("r", f"struct(f AS f, {begins} AS begins)", f"transform(r.f, (x, i) -> {let('s', start, struct)})"))
+    size = f"length(regexp_extract(x.body, {pattern}, {rule.group}))" if rule.group else "x.end - x.start"
+    kept = f"filter({placed}, x -> {size} >= {rule.least})" if rule.least else placed
+    return F.expr(f"transform({kept}, x -> struct(x.start AS start, x.end AS end, x.order AS order, x.kind AS kind))")
 
 
 def joined(spans: Column) -> Column:
@@ -191,17 +206,36 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     empty string. Null doc_ids and repeated rows are scanned like any other row.
     An empty table gives no rows.
     """
-    tmp = Scratch(docs.sparkSession, "secrets")
+    spark = docs.sparkSession
+    tmp = Scratch(spark, "secrets")
     texts = id_text(docs)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     vocabulary = sorted({t for q in queries.values() if q for option in q for t in option})
+    if not vocabulary:
+        return spans_for(texts, rules, queries)
+    index = tmp.save(build_index(texts, vocabulary), "index")
+    hits = tmp.save(candidates(index, queries, vocabulary).withColumnRenamed("doc_id", "hit_id"), "candidates")
+    tmp.drop("index")
+    words = min(MOST_WORDS, max(FEWEST_WORDS, 1 << (hits.count() // 4).bit_length()))  # some 16 bits a candidate
+    hashed = F.xxhash64("doc_id")
+    word, bit = F.pmod(F.shiftright(hashed, 6), F.lit(words)).cast("int"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")
+    bitmap = hits.withColumnRenamed("hit_id", "doc_id").select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = texts.withColumn("word_", word).join(F.broadcast(bitmap), F.col("word_") == F.col("word"), "left")  # at most MOST_WORDS rows of 12 bytes
+    marked = marked.select("doc_id", "text", (F.coalesce("bits", F.lit(0).cast("long")).bitwiseAND(bit) != 0).alias("maybe"))
+    near = marked.where("maybe").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    far = marked.where("not maybe")
+    # both sides have read the bitmap; a text is scanned in one of them
+    return spans_for(far, rules, queries).union(spans_for(near, rules, queries))
+
+
+def spans_for(texts: DataFrame, rules: tuple[Rule, ...], queries: dict[str, Query]) -> DataFrame:
+    """scan()'s rows for texts with a boolean column for each rule that has a query, or for texts that are no candidates."""
     none = F.array().cast("array<struct<start:int,end:int,order:int,kind:string>>")
-    if vocabulary:
-        index = tmp.save(build_index(texts, vocabulary), "index")
-        hits = candidates(index, queries, vocabulary).withColumnRenamed("doc_id", "hit_id")
-        texts = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     columns = []
     for i, rule in enumerate(rules):
+        if queries[rule.kind] and rule.kind not in texts.columns:
+            columns.append(none.alias(f"spans_{rule.kind}"))
+            continue
         asked = F.coalesce(F.col(rule.kind), F.lit(False)) if queries[rule.kind] else F.col("text").rlike(rule.pattern)
         columns.append(F.when(asked, spans_of(rule, i)).otherwise(none).alias(f"spans_{rule.kind}"))
     found = texts.select("doc_id", *columns)
