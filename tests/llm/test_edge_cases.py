@@ -63,6 +63,7 @@ def test_embeddings(spark):
     rows = [
         (1, v, 0), (2, v, 0), (2, v, 0), (3, w, 0), (4, v, 1), (5, v, None), (6, None, 0), (7, [0.0] * 8, 0), (8, [float("nan")] + v[1:], 0), (9, [float("inf")] + v[1:], 0),
         (10, [1.0, None] + v[2:], 0), (11, [], 0), (12, [1.0, 0.0], 0), (None, v, 0), (13, [-x for x in v], 0), (14, [2.0] + v[1:], 0),
+        (15, [3e38 * x for x in w], 7), (16, [1e-38 * x for x in v], 7),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     got = cases.result(embedding_dedup.embedding_dedup(df))
@@ -71,6 +72,9 @@ def test_embeddings(spark):
     assert linked[1] == (4, 1, True) and linked[2] == (4, 1, False) and linked[3] == (4, 1, False) and linked[14] == (4, 1, False)
     for alone in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13):
         assert linked[alone] == (0, alone, True)
+    assert linked[15] == (1, 15, True) and linked[16] == (1, 15, False)
+    named = df.withColumn("label", F.concat(F.lit("n"), "label")).withColumn("embedding", F.expr("transform(embedding, x -> x * 1e200D)"))
+    assert cases.result(embedding_dedup.embedding_dedup(named)) == got
     assert linked[None] == (0, None, True)
     assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, kept string")).collect() == []
 

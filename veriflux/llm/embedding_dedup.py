@@ -1,12 +1,13 @@
 """Embedding near-duplicates by int8 tile products with rigorous error bounds.
 
 Equal vectors of a label fold into one class before anything is compared. A
-label's classes are dealt into blocks; each pair of blocks is a tile, one row of
-packed vectors for each side. A tile multiplies int8 codes (exact in float32);
-|x.y - s_x s_y q_x.q_y| <= |e_x| |y| + |s_x q_x| |e_y| bounds what quantisation
-can hide, and only pairs whose upper bound reaches the threshold are computed in
-double precision. A tile returns link counts and a spanning forest of its links,
-never the pairs.
+label's classes are dealt into blocks; each pair of blocks is a tile, which gets
+int8 codes, a scale and two norms of each of its vectors, no more. It multiplies
+codes (exact in float32); |x.y - s_x s_y q_x.q_y| <= |e_x| |y| + |s_x q_x| |e_y|
+bounds what quantisation can hide. A pair whose lower bound reaches the threshold
+is linked; where only the upper bound does, the pair is open, and its two rows
+are fetched once for the tile in full precision. A tile returns link counts, a
+spanning forest of its links and such rows, never pairs.
 """
 
 from __future__ import annotations
@@ -18,91 +19,148 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, to_batch
+from .common import Scratch, partitions, small_text_batches, to_batch
 from .components import components, forest
 
 THRESHOLD = 0.93
 #: Vectors of one side of a tile.
 BLOCK = 1024
 
-TILE = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
+#: What a tile found: u has v more links (COUNT), u and v are in one component (TREE), u on side v has an open pair (ROW).
+COUNT, TREE, ROW = 0, 1, 2
+TILE = pa.schema([("group", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
+FOUND = "group long, x int, y int, kind int, u long, v long"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes as float32, scales, norms of the quantised rows and of their errors (rounded up), for unit rows."""
+    """int8 codes, scales, norms of the quantised rows and of their errors (rounded up), for unit rows."""
     scale = np.abs(x).max(1) / 127
     codes = np.rint(x / scale[:, None])
     near = codes * scale[:, None]
     slack = 1 + 1e-9
-    return codes.astype(np.float32), scale, np.linalg.norm(near, axis=1) * slack, np.linalg.norm(x - near, axis=1) * slack
+    return codes.astype(np.int8), scale, np.linalg.norm(near, axis=1) * slack, np.linalg.norm(x - near, axis=1) * slack
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of linked pairs of two sets of vectors; for same, i < j."""
-    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-    qa, sa, ra, ea = quantise(a / na[:, None])
-    qb, sb, rb, eb = quantise(b / nb[:, None])
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def bounded(a: tuple, b: tuple, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of two quantised sets are linked for sure, and which are open; for same, only i < j."""
+    (qa, sa, ra, ea), (qb, sb, _, eb) = a, b
+    qa, qb = qa.astype(np.float32), qb.astype(np.float32)
     # |codes| <= 127, so sums of up to 1000 products stay below 2**24 and float32 is exact
     dot = sum(qa[:, k : k + 1000].astype(np.float64) @ qb[:, k : k + 1000].T.astype(np.float64) for k in range(0, qa.shape[1], 1000)) if qa.shape[1] > 1000 else qa @ qb.T
-    upper = dot * np.outer(sa, sb) + ea[:, None] * (1 + 1e-9) + np.outer(ra, eb) + 1e-9
-    i, j = np.nonzero(upper >= threshold)
+    near, hidden = dot * np.outer(sa, sb), ea[:, None] * (1 + 1e-9) + np.outer(ra, eb) + 1e-9
+    sure = near - hidden >= threshold
+    open_ = (near + hidden >= threshold) & ~sure
     if same:
-        i, j = i[i < j], j[i < j]
-    sure = np.zeros(len(i), bool)
+        sure, open_ = np.triu(sure, 1), np.triu(open_, 1)
+    return sure, open_
+
+
+def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (a[i], b[j]) have a cosine of at least threshold in double precision."""
+    na, nb, out = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)), np.zeros(len(i), bool)
     for k in range(0, len(i), 100_000):
         p, q = i[k : k + 100_000], j[k : k + 100_000]
-        sure[k : k + 100_000] = (a[p] * b[q]).sum(1) / (na[p] * nb[q]) >= threshold
-    return i[sure], j[sure]
+        out[k : k + 100_000] = (a[p] * b[q]).sum(1) / (na[p] * nb[q]) >= threshold
+    return out
+
+
+def report(at: tuple, ids: tuple, sizes: tuple, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts and a forest of the links (i, j) between a tile's sides."""
+    if not len(i):
+        return
+    more = [np.bincount(k, sizes[1 - side][other], len(ids[side])).astype(np.int64) for side, (k, other) in enumerate(((i, j), (j, i)))]
+    u, n = np.concatenate(ids), np.concatenate(more)
+    child, parent = forest(ids[0][i], ids[1][j])
+    for kind, a, b in ((COUNT, u[n > 0], n[n > 0]), (TREE, child, parent)):
+        yield to_batch(TILE, *(np.full(len(a), k) for k in at), np.full(len(a), kind), a, b)
 
 
-def compare(dims_threshold: float):
-    """Rows (kind 0: u has v more links; kind 1: u and v are in one component) of each tile.
+def by_tile(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
+    """finish(tile, ids, sizes, bodies), each of the last three by side, for every tile that has both sides.
 
     Rows come sorted by tile and side, so one tile's vectors are held at a time.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sides = None, ([], [])
-
-        def finish():
-            left, right = sides
-            own = at[1] == at[2]
-            if not left or not (own or right):
-                return
-            rows = (left, left if own else right)
-            ids, sizes = zip(*((np.array([r[0] for r in s]), np.array([r[1] for r in s])) for s in rows))
-            a, b = (np.frombuffer(b"".join(r[2] for r in s), np.float64).reshape(len(s), -1) for s in rows)
-            i, j = tile_links(a, b, own, dims_threshold)
-            if len(i):
-                more = np.bincount(i, sizes[1][j], len(left)).astype(np.int64)
-                back = np.bincount(j, sizes[0][i], len(rows[1])).astype(np.int64)
-                u, n = np.concatenate([ids[0], ids[1]]), np.concatenate([more, back])
-                yield to_batch(TILE, np.zeros((n > 0).sum(), np.int32), u[n > 0], n[n > 0])
-                child, parent = forest(ids[0][i], ids[1][j])
-                yield to_batch(TILE, np.ones(len(child), np.int32), child, parent)
-
-        for batch in batches:
-            for label, x, y, side, vec_id, n, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if (label, x, y) != at:
-                    if at:
-                        yield from finish()
-                    at, sides = (label, x, y), ([], [])
-                sides[side].append((vec_id, n, body))
-        if at:
-            yield from finish()
-
-    return run
+    def done():
+        own = at[1] == at[2]
+        if sides[0] and (own or sides[1]):
+            rows = [list(zip(*s)) for s in (sides[0], sides[0] if own else sides[1])]
+            yield from finish(at, *([np.array(r[0]) for r in rows], [np.array(r[1]) for r in rows], [r[2] for r in rows]))
+
+    at, sides = None, ([], [])
+    for batch in batches:
+        for group, x, y, side, vec_id, n, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if (group, x, y) != at:
+                if at:
+                    yield from done()
+                at, sides = (group, x, y), ([], [])
+            sides[side].append((vec_id, n, body))
+    if at:
+        yield from done()
+
+
+def compare(threshold: float):
+    """Sure links of tiles, and the rows that have open pairs; bodies are encode()'s."""
+
+    def finish(at, ids, sizes, bodies):
+        sides = []
+        for body in bodies:
+            table = np.frombuffer(b"".join(body), np.uint8).reshape(len(body), -1)
+            norms = np.ascontiguousarray(table[:, :24]).view(np.float64)
+            sides.append((table[:, 24:].view(np.int8), *norms.T))
+        sure, open_ = bounded(*sides, at[1] == at[2], threshold)
+        yield from report(at, ids, sizes, *np.nonzero(sure))
+        some = (open_.any(1), open_.any(0))
+        for side, some in enumerate([some[0] | some[1]] if at[1] == at[2] else some):
+            u = ids[side][some]
+            yield to_batch(TILE, *(np.full(len(u), k) for k in at), np.full(len(u), ROW), u, np.full(len(u), side))
+
+    return lambda batches: by_tile(batches, finish)
+
+
+def settle(threshold: float):
+    """Links among the open pairs of tiles; bodies are doubles of the rows that compare() asked for."""
+
+    def finish(at, ids, sizes, bodies):
+        sides = [np.frombuffer(b"".join(b), np.float64).reshape(len(b), -1) for b in bodies]
+        i, j = np.nonzero(bounded(*(quantise(unit(x)) for x in sides), at[1] == at[2], threshold)[1])
+        linked = exact(*sides, i, j, threshold)
+        yield from report(at, ids, sizes, i[linked], j[linked])
+
+    return lambda batches: by_tile(batches, finish)
 
 
 def pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The vectors as bytes of doubles, so that equal ones group by their bytes."""
-    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("dims", pa.int32()), ("body", pa.binary())])
+    """The vectors as bytes of doubles, so that equal ones group by their bytes.
+
+    A power of two brings the largest component near 1, which changes no cosine
+    and keeps squares of very large and very small numbers finite.
+    """
+    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dims", pa.int32()), ("body", pa.binary())])
+
+    def body(v: list | None) -> bytes | None:
+        x = None if v is None or None in v else np.array(v, np.float64)
+        if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
+            return None
+        return (np.ldexp(x, -np.frexp(np.abs(x).max())[1]) + 0.0).tobytes()  # -0.0 becomes 0.0
+
+    for batch in batches:
+        found = [body(v) for v in batch.column(2).to_pylist()]
+        yield to_batch(schema, batch.column(0), batch.column(1), [len(b) // 8 if b else 0 for b in found], found)
+
+
+def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `coded` to each class: three doubles (scale, norms of the quantised row and of its error) and int8 codes."""
     for batch in batches:
-        body = []
-        for v in batch.column(2).to_pylist():
-            x = None if v is None or None in v else np.array(v, np.float64) + 0.0  # -0.0 becomes 0.0
-            body.append(None if x is None or not len(x) or not np.isfinite(x).all() or not x.any() or not np.isfinite(x @ x) else x.tobytes())
-        yield to_batch(schema, batch.column(0), batch.column(1), [len(b) // 8 if b else 0 for b in body], body)
+        coded = []
+        for body in batch.column("body").to_pylist():
+            codes, *norms = quantise(unit(np.frombuffer(body, np.float64)[None, :]))
+            coded.append(np.concatenate(norms).tobytes() + codes.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded, pa.binary())], names=[*batch.schema.names, "coded"])
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -116,30 +174,32 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     table gives no rows.
     """
     spark = vectors.sparkSession
+    small_text_batches(spark)
     tmp, n = Scratch(spark, "embeddings"), partitions(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    packed = tmp.save(rows.mapInArrow(pack_vectors, "vec_id long, label long, dims int, body binary"), "packed")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    packed = tmp.save(rows.mapInArrow(pack_vectors, "vec_id long, label string, dims int, body binary"), "packed")
     able = F.col("label").isNotNull() & F.col("body").isNotNull() & F.col("vec_id").isNotNull()
     key = ["label", "dims", "body"]
-    classes = tmp.save(packed.where(able).groupBy(key).agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")), "classes")
-    blocks = classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    blocks = tmp.save(blocks, "blocks")
-    dealt = classes.join(blocks, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    classes = packed.where(able).groupBy(key).agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
+    classes = tmp.save(classes.mapInArrow(encode, "label string, dims int, body binary, class_id long, n long, coded binary"), "classes")
+    blocks = tmp.save(classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    dealt = classes.select("label", "dims", "class_id", "n", "coded").join(blocks, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place, tile = ["group", "x", "y", "side"], ["group", "x", "y"]
     tiles = other.select(
         F.xxhash64("label", "dims").alias("group"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("class_id").alias("vec_id"), "n", "body",
-    )
-    found = tmp.save(
-        tiles.repartition(n, "group", "x", "y").sortWithinPartitions("group", "x", "y", "side").mapInArrow(compare(threshold), "kind int, u long, v long"), "found"
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "class_id", "n", "coded",
     )
-    comp = components(found.where("kind = 1").select("u", "v"), tmp)
-    counts = found.where("kind = 0").groupBy(F.col("u").alias("class_id")).agg(F.sum("v").alias("more"))
-    verdicts = classes.join(counts, "class_id", "left").join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
+    found = tmp.save(tiles.repartition(n, *tile).sortWithinPartitions(place).mapInArrow(compare(threshold), FOUND), "found")
+    wanted = found.where(F.col("kind") == ROW).select(*tile, F.col("v").cast("int").alias("side"), F.col("u").alias("class_id"))
+    doubles = wanted.join(classes.select("class_id", "n", "body"), "class_id").select(*place, "class_id", "n", "body")
+    found = found.union(tmp.save(doubles.repartition(n, *tile).sortWithinPartitions(place).mapInArrow(settle(threshold), FOUND), "settled"))
+    comp = components(found.where(F.col("kind") == TREE).select("u", "v"), tmp)
+    counts = found.where(F.col("kind") == COUNT).groupBy(F.col("u").alias("class_id")).agg(F.sum("v").alias("more"))
+    verdicts = classes.select(*key, "class_id", "n").join(counts, "class_id", "left").join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
     verdicts = tmp.save(verdicts.select(*key, (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id")), "verdicts")
     linked = packed.where(able).join(verdicts, key).select("vec_id", "n_links", "component_id")
     alone = packed.where(~able).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     result = tmp.save(linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "result")
-    tmp.drop("packed", "classes", "blocks", "found", "verdicts")
+    tmp.keep("result")
     return result
