@@ -256,7 +256,7 @@ def test_packing_round_trip(spark, corpus):
 def test_fast_ids_equal_the_tokenizer_file():
     from tokenizers import Tokenizer
 
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(6)
     letters = [chr(c) for c in range(1, 0x250)]

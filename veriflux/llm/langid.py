@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import id_text, small_text_batches, to_batch
 
-#: For each language, one document of each of so many hash strata, cut to its beginning: 4 * DICTIONARY_BYTES // SAMPLE_DOCS
-#: characters, of which the dictionary keeps an equal share of its bytes.
-SAMPLE_DOCS, DICTIONARY_BYTES = 128, 200_000
+#: For each language, one document of each of so many hash strata; the dictionary has an equal share of its bytes for
+#: each, which a longer text gives in pieces of SAMPLE_PIECE bytes from all over it.
+SAMPLE_DOCS, DICTIONARY_BYTES, SAMPLE_PIECE = 128, 200_000, 250
 FOLDS, HELD_OUT = 4, 2
 LEVEL = 5
 #: Decisions whose second-best size is less than this part above the best are rejected.
@@ -44,7 +44,8 @@ def fold(doc_id):
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language, from rows with a language outside the held-out fold.
 
-    At most SAMPLE_DOCS documents of each language reach the driver.
+    At most SAMPLE_DOCS documents of each language reach the driver, and of each
+    no more than four shares of DICTIONARY_BYTES.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
@@ -52,18 +53,37 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     picked = strata.agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("doc_id"))
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.select("doc_id", "lang").collect()], "doc_id long, lang string")
     found = rows.join(F.broadcast(ids), ["doc_id", "lang"])  # SAMPLE_DOCS rows for each language
-    texts: dict[str, list[str]] = {}
-    for r in found.select("lang", F.substring("text", 1, 4 * DICTIONARY_BYTES // SAMPLE_DOCS).alias("text")).collect():
-        texts.setdefault(r.lang, []).append(r.text)
-    return {lang: dictionary(texts[lang]) for lang in sorted(texts)}
-
-
-def dictionary(texts: list[str]) -> bytes:
-    """Equal shares of the sample texts, the shortest texts giving way to longer ones."""
-    encoded = sorted({plain(t) for t in texts}, key=lambda b: (len(b), b))
+    found = found.mapInArrow(sample_pieces, "doc_id long, lang string, sample binary")
+    found = found.groupBy("doc_id", "lang").agg(F.min("sample").alias("sample"))  # a doc_id that repeats is one document
+    samples: dict[str, list[bytes]] = {}
+    for r in found.select("lang", "sample").collect():
+        samples.setdefault(r.lang, []).append(bytes(r.sample))
+    return {lang: dictionary(samples[lang]) for lang in sorted(samples)}
+
+
+def pieces_of(body: bytes, room: int) -> bytes:
+    """body, or pieces of it that start at even distances and fill the room."""
+    if len(body) <= room:
+        return body
+    n = max(1, room // SAMPLE_PIECE)
+    starts = np.linspace(0, len(body) - SAMPLE_PIECE, n).astype(int).tolist() if n > 1 else [(len(body) - SAMPLE_PIECE) // 2]
+    return b" ".join(body[s : s + SAMPLE_PIECE] for s in starts)
+
+
+def sample_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, lang and up to four shares of each text's words; what short texts leave free goes to longer ones."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("sample", pa.binary())])
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        yield to_batch(schema, batch.column("doc_id"), batch.column("lang"), [pieces_of(plain(t or ""), 4 * DICTIONARY_BYTES // SAMPLE_DOCS) for t in texts])
+
+
+def dictionary(samples: list[bytes]) -> bytes:
+    """Equal shares of the samples, the shortest giving way to longer ones."""
+    ordered = sorted(set(samples), key=lambda b: (len(b), b))
     out, room = [], DICTIONARY_BYTES
-    for i, b in enumerate(encoded):
-        out.append(b[: room // (len(encoded) - i)])
+    for i, b in enumerate(ordered):
+        out.append(pieces_of(b, room // (len(ordered) - i)))
         room -= len(out[-1])
     return b"\n".join(out)
 

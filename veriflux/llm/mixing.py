@@ -56,10 +56,8 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
         return quotas[None, :]
     left = shards // 2
     take, rng = int(quotas.sum()) * left // shards, np.random.default_rng(seed)
-    if quotas.sum() < 1_000_000_000 and len(quotas):
-        drawn = rng.multivariate_hypergeometric(quotas, take, method="marginals")
-    else:
-        drawn = quotas * left // shards
+    # quotas add up to at most 3 * BLOCKS * MAX_SOURCES, below the method's limit of 10**9
+    drawn = rng.multivariate_hypergeometric(quotas, take, method="marginals") if len(quotas) else quotas
     return np.vstack([splitting_tree(drawn, left, 2 * seed), splitting_tree(quotas - drawn, shards - left, 2 * seed + 1)])
 
 
@@ -75,12 +73,13 @@ class Plan:
 
 
 def place(seed: int) -> Column:
-    return F.xxhash64(F.col("doc_id"), F.lit(seed))
+    """Rows of sized() tie only where doc_id and text are equal."""
+    return F.xxhash64(F.col("doc_id"), F.col("text_hash"), F.lit(seed))
 
 
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
     rows = id_text(docs, F.col("source").cast("string").alias("source"), *more)
-    return rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).drop("text")
+    return rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("text_hash", F.xxhash64("text")).drop("text")
 
 
 def plan_sources(rows: DataFrame, seed: int) -> list[Plan]:
@@ -138,10 +137,10 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     Sources, in code-point order with null last, weigh 3, 1, 2 and so on over.
     A document is taken epochs times whole, and rest words of it once more: all
     of it, none, or a part of it for the one at which the source's target ends
-    (documents that tie there, repeated rows, share it). taken is the sum; it is
+    (rows that tie there have one doc_id and text, and get equal parts of it). taken is the sum; it is
     at most 2 * size. shards holds the output shard of each of these draws, in
     epoch order. Equal inputs give equal results in any partitioning. A source
-    without words has target 0. Null doc_ids tie. An empty table gives no rows.
+    without words has target 0. Rows with a null doc_id are told apart by their texts. An empty table gives no rows.
     More than MAX_SOURCES distinct sources raise ValueError: their plans are made on the driver.
     """
     rows = Scratch(docs.sparkSession, "mixing").save(sized(docs), "sized")

@@ -26,40 +26,49 @@ from .common import Scratch, id_text, small_text_batches, to_batch, worker_cache
 
 SEQUENCE = 1024
 END_ID = 0
-#: Rows of the pattern table, which depends on the histogram's shape, not on the number of documents.
-MAX_SLOTS = 4_000_000
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("task", pa.int64()), ("local", pa.int64())])
 PLACED = pa.schema([*list(PIECE)[:5], ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def encoder(json_path: str, ranks_path: str):
+def special_tokens(json_path: str) -> list[str]:
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(json_path).get_added_tokens_decoder().values()]
+
+
+def encoder(json_path: str, ranks_path: str, special: list[str]):
     """text -> token ids of the tokenizer in json_path.
 
     Texts of Latin letters and common punctuation go through the same
     vocabulary's rank file, five times as fast with equal ids; any other text,
-    and one that spells a special token, through the tokenizer file itself.
+    and one that spells a special token, through the tokenizer file itself,
+    which a worker that meets no such text never loads.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(json_path)
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast, exact = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), []
+    del ranks
 
     def encode(text: str) -> np.ndarray:
         if (text.isascii() or max(text) < "ɐ") and not any(s in text for s in special):
             return fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not exact:
+            from tokenizers import Tokenizer
+
+            exact.append(Tokenizer.from_file(json_path))
+        return np.array(exact[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
 
 def tokenise(json_path: str, ranks_path: str, length: int, end_id: int):
+    special = special_tokens(json_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_cache(("encoder", json_path), lambda: encoder(json_path, ranks_path))
+        encode = worker_cache(("encoder", json_path), lambda: encoder(json_path, ranks_path, special))
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
@@ -107,7 +116,11 @@ def shortest_pack_first(counts: np.ndarray, length: int) -> list[tuple[int, tupl
 
 
 def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, int]:
-    """Rows (length, first rank, sequence of that rank, offset) sorted by length and rank; number of sequences."""
+    """Rows (length, first rank, sequence of that rank, offset) sorted by length and rank; number of sequences.
+
+    Each length opens at most two patterns and splits at most one more, whatever
+    the number of documents, so there are fewer than three patterns a length.
+    """
     rows, used, at = [], {}, 0
     for count, pattern in patterns:
         offset = 0
@@ -116,8 +129,6 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, int]
             used[n] = used.get(n, 0) + count
             offset += n
         at += count
-    if len(rows) > MAX_SLOTS:
-        raise ValueError("the pattern table is too large")
     table = np.array(rows, np.int64).reshape(-1, 4)
     return table[np.lexsort((table[:, 1], table[:, 0]))], at
 
@@ -158,5 +169,5 @@ def pack(docs: DataFrame, length: int = SEQUENCE, json_path: str | None = None,
     table, n_packed = slots(shortest_pack_first(counts, length))
     ranked = pieces.join(first, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("local")).alias("rank"))
     result = tmp.save(ranked.mapInArrow(assign(table, n_packed, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "result")
-    tmp.drop("pieces", "by_task", "first")
+    tmp.keep("result")
     return result

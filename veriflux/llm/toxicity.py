@@ -10,7 +10,9 @@
 3. A linear classifier on word and word-part features learns those posteriors
    and scores every whole text.
 
-The driver sees only the bounded training sample, as sets of distinct words.
+The driver sees only the bounded training sample, as sets of distinct words. The
+model's size is bounded too: the MAX_VOTERS strongest voters and the MAX_FEATURES
+features that tell the classes apart best. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -207,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     picked = strata.agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("doc_id"), F.count("*").alias("n")).collect()
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
     found = id_text(docs).join(F.broadcast(ids), "doc_id").mapInArrow(sample_words, "doc_id long, words array<string>, toxic int")  # 2 * SAMPLE_PER_CLASS rows
-    arrived = found.toArrow()
+    arrived = found.groupBy("doc_id", "toxic").agg(F.min("words").alias("words")).select("doc_id", "words", "toxic").toArrow()  # a doc_id that repeats is one document
     order = sorted(range(arrived.num_rows), key=lambda i: (arrived["doc_id"][i].as_py(), arrived["toxic"][i].as_py()))
     sample, total = Sample(), Counter()
     for i in order:
