@@ -291,21 +291,23 @@ def test_token_counts_follow_unigram(spark):
         assert got[i] == (len(parts), sum(len(other.encode(token_counts.MARK + p).ids) for p in parts))
 
 
-def test_trie_counts_do_not_depend_on_its_size():
+def test_trie_counts_equal_those_of_single_words():
     scores = {token_counts.MARK: -5.0, "a": -2.0, "b": -2.0, "ab": -2.5, "abab": -3.0, token_counts.MARK + "a": -3.0}
-    big, tiny = token_counts.Trie(scores, -20.0), token_counts.Trie(scores, -20.0, 3)
-    rng = random.Random(9)
-    for _ in range(300):
-        w = "".join(rng.choices("abé", k=rng.randrange(1, 90)))
+    pieces, rng = token_counts.Pieces(scores, -20.0), random.Random(9)
+    big, tiny = token_counts.Counter(pieces), token_counts.Counter(pieces, 3)
+    tokens = ["".join(rng.choices("abé漢😀\ud800", weights=[9, 9, 1, 1, 1, 1], k=rng.randrange(1, 90))) for _ in range(400)]
+    big.learn(set(tokens))
+    for w in tokens:
+        tiny.learn({w})
         best = [(0.0, 0)]
         full = token_counts.MARK + w
         for end in range(1, len(full) + 1):
             options = [(best[s][0] + scores[full[s:end]], best[s][1] - 1) for s in range(end) if full[s:end] in scores]
             if full[end - 1] not in scores:
-                n = len(full[end - 1].encode())
+                n = len(full[end - 1].encode("utf-8", "replace"))
                 options.append((best[end - 1][0] - 20.0 * n, best[end - 1][1] - n))
             best.append(max(options))
-        assert big.count(w) == tiny.count(w) == -best[-1][1]
+        assert big.count(w) == tiny.count(w) == token_counts.count_one(full, pieces) == -best[-1][1]
 
 
 def learnable(n=600):
