@@ -110,9 +110,9 @@ def test_minhash(spark, corpus, monkeypatch, small, block):
     assert cases.result(minhash.minhash_dedup(frame(spark, corpus))) == sorted(((i, len(s), low[i], low[i] == i) for i, s in sets.items()), key=repr)
 
 
-def test_suffix_dedup(spark, corpus):
+def without_repeats(docs):
     first, want = {}, []
-    for i, t in sorted(corpus):
+    for i, t in sorted(docs):
         b = t.encode()
         gone = bytearray(len(b))
         for k in range(len(b) - 49):
@@ -120,10 +120,33 @@ def test_suffix_dedup(spark, corpus):
                 gone[k : k + 50] = b"\1" * 50
         runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         want.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
-    assert cases.result(suffix_dedup.remove_repeats(frame(spark, corpus))) == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("many,sorted_", [(400, 100_000), (2, 50)])
+def test_suffix_dedup(spark, corpus, monkeypatch, many, sorted_):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 2)
+    monkeypatch.setattr(suffix_dedup, "SORTED", sorted_)
+    rng = random.Random(21)
+    # a third of the documents share 20 bytes with different surroundings, some of these more
+    head, more = "http://example.org/a", [" ".join(words(rng, 8)) for _ in range(6)]
+    shared = [(1000 + i, " ".join([*words(rng, 6), rng.choice(more) + head + rng.choice([*more, f"{rng.random()}" * 3]), *words(rng, 9)])) for i in range(130)]
+    docs = [*corpus, *shared, (5000, "ab" * 700), (5001, "é" * 40 + "ab" * 90), (5002, "x" * 49), (5003, "x" * 50)]
+    want = without_repeats(docs)
+    assert cases.result(suffix_dedup.remove_repeats(frame(spark, docs))) == want
     assert sum(w[2] for w in want) > 10_000
 
 
+def test_hot_triggers_are_found(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", 50)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    rng = random.Random(4)
+    texts = [(i, f"{rng.random()}" * 4 + "the same forty characters in every text " + f"{rng.random()}" * 4) for i in range(200)]
+    hot = suffix_dedup.hot_triggers(frame(spark, texts))
+    assert 1 <= len(hot) <= 40
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(9, 16))
