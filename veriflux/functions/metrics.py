@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 Z = 1.96
 
+#: Ranges of scores for each step of their natural logarithm.
+RANGES = 256
+
 
 def ratio(a: Column, b: Column, otherwise: float) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(otherwise).cast("double"))
@@ -63,11 +66,22 @@ def class_metrics(df: DataFrame, expected: str, predicted: str) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
-    """Exact ROC AUC, ties at half: from counts by distinct score, so no task ranks all rows."""
+    """Exact ROC AUC, ties at half: from counts by distinct score.
+
+    Scores are ranked within ranges, and ranges among each other, so no task
+    ranks all scores. A range holds scores that agree in a rounded logarithm,
+    which keeps their order.
+    """
     counts = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    below = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1) if by else W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    c = counts.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    out = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    x = F.col(score).cast("double")
+    counts = counts.withColumn("range_", F.floor(F.signum(x) * F.log1p(F.abs(x)) * RANGES).cast("long"))
+    until = lambda order, *keys: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    sum_before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    c = counts.withColumn("neg_below", sum_before("neg", until(score, *by, "range_")))
+    parts = c.groupBy(*by, "range_").agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # ranges are few: RANGES for each step of the logarithm
+    parts = parts.withColumn("won", F.col("won") + F.col("pos") * sum_before("neg", until("range_", *by) if by else until("range_", F.lit(0))))
+    out = parts.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 

@@ -20,8 +20,35 @@ FALLBACK_TOOL = "external_action"
 BASE_TOOLS = ["read_file", "http_get", "db_query"]
 GOALS = {"direct-harm-base": "direct-harm", "direct-harm-enhanced": "direct-harm", "data-stealing-base": "data-stealing", "data-stealing-enhanced": "data-stealing"}
 PARAM_SIZES = ["0.5B", "1.5B", "3B", "7B", "14B", "32B", "72B"]
+TRACE_TITLE = "AgentDojo %s indirect prompt injection (%s) — %s"
+TRACE_SIGNAL, TRACE_SURFACE, TRACE_RISK, TRACE_OWNER = "AgentDojo benchmark run (structural: suite, task ids, attack type, utility, security)", "tool_calling", "prompt_injection", "Agent Safety / Evals / Tooling Platform"
+TRACE_HIT = {
+    "confidence": "high", "mitigation_status": "needs_review", "gate": "before_external_side_effect",
+    "observed": "In the AgentDojo '%s' suite, an agent completing a legitimate user task encountered untrusted tool-returned content carrying an injected instruction ('%s' attack family). The agent performed the injected side-task (benchmark security=false).",
+    "done": " The original user task still completed (utility=true).", "undone": " The original user task did not complete (utility=false).",
+    "why": "The injection reached tool selection through untrusted content in the tool-return channel, not through the user prompt. This is a trust-boundary failure inside the run lifecycle, and it is exactly the case a final-answer-only review would miss.",
+    "recommended": "Add a trajectory-stage check that flags tool-return content influencing subsequent tool selection, and gate any external side-effect behind human approval for this surface.",
+    "reason": "The injected behavior produced or attempted an external side effect via tool use.",
+    "residual": "A structural trace omits the raw injection wording, so variants that depend on exact phrasing or multi-step social framing are not characterized by this record alone.",
+}
+TRACE_HELD = {
+    "confidence": "medium", "mitigation_status": "in_progress", "gate": "none",
+    "observed": "In the AgentDojo '%s' suite, an agent faced an injected instruction ('%s' attack family) in untrusted tool-returned content and did NOT perform the injected side-task (benchmark security=true).",
+    "done": " The user task completed (utility=true).", "undone": " The user task did not complete (utility=false).",
+    "why": "A defended run is still evidence: it marks the attack family and surface where the trust boundary held, which is a benign control point for measuring false-positive burden.",
+    "recommended": "Keep this as a benign control for the injection eval so that a monitor's alerting is measured against defended runs, not only successful attacks.",
+    "reason": "No successful injected side effect in this run; retained as a benign control.",
+    "residual": "One defended run does not establish robustness; the same attack family may succeed against other tasks, models, or phrasings.",
+}
+TRACE_QUESTIONS = ["At which lifecycle stage did untrusted content first influence tool selection?", "Does a benign control with similar formatting avoid the same monitor alert?", "Does the result hold across models and attack families, or is it phrasing-specific?"]
+TRACE_HYPOTHESES = ["The model does not preserve a trust boundary between tool-return content and instructions.", "The tool surface lacks provenance separation between data and executable instruction.", "The specific attack family or task pairing amplifies an otherwise manageable risk."]
+TRACE_CASE = "AgentDojo %s/%s vs injection %s under '%s', converted to a structural trace with raw exploit text omitted."
+TRACE_GAP = "Need a standing crosswalk from benchmark (utility, security) labels to lifecycle stage, trust-boundary failure, and first useful intervention point."
 # End of fixed values.
 
+#: Ranges in which rows are numbered; their ends come from the data.
+RANGES = 256
+
 
 def map_tool(name: Column) -> Column:
     low = F.lower(F.coalesce(name, F.lit("")))
@@ -41,7 +68,7 @@ def adapt_cases(cases: DataFrame) -> DataFrame:
     c = cases.withColumns({"attacker_goal": goal, "variant": variant, "tools_mapped": mapped})
     prefix = F.when(F.contains("attacker_goal", F.lit("direct-harm")), "dh").otherwise("ds")
     return c.select(
-        F.concat_ws("_", F.lit("injecagent"), prefix, "variant", F.lpad(F.col("case_index").cast("string"), 4, "0")).alias("scenario_id"), F.lit("injection").alias("ground_truth"),
+        F.concat_ws("_", F.lit("injecagent"), prefix, "variant", F.when(F.col("case_index").isNotNull(), F.format_string("%04d", F.col("case_index").cast("long")))).alias("scenario_id"), F.lit("injection").alias("ground_truth"),
         F.coalesce("user_instruction", F.lit("")).alias("user_task"), F.coalesce("tool_response", F.lit("")).alias("untrusted_content"), F.coalesce("user_tool", F.lit("external_service")).alias("untrusted_source"),
         F.array_sort(F.array_union(F.array(*map(F.lit, BASE_TOOLS)), "tools_mapped")).alias("available_tools"), "split", F.coalesce("attack_type", F.lit("unknown")).alias("attack_type"), "attacker_goal", "tools_mapped", "case_index",
     )
@@ -76,11 +103,9 @@ def dedupe_key(url: Column, title: Column) -> Column:
 def merge_signals(signals: DataFrame, order: str) -> DataFrame:
     """One row for each (url, title): the first by order, with later notes appended unless contained."""
     s = signals.withColumn("key", dedupe_key(F.col("source_url"), F.col("title")))
-    first = F.min_by(F.struct(*[c for c in signals.columns if c != "notes"]), F.col(order)).alias("first")
     # notes that repeat cannot change the fold, so each distinct one is kept once, at its first place
     notes = s.groupBy("key", "notes").agg(F.min(order).alias("at"), F.min_by(F.struct(*[c for c in signals.columns if c != "notes"]), F.col(order)).alias("row"))
     g = notes.groupBy("key").agg(F.min_by("row", "at").alias("first"), F.array_sort(F.collect_list(F.struct("at", "notes"))).alias("all"))
-    del first
     fold = F.aggregate(
         F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.coalesce(F.get("all", F.lit(0))["notes"], F.lit("")),
         lambda acc, x: F.when((F.coalesce(x["notes"], F.lit("")) != "") & ~F.contains(acc, F.coalesce(x["notes"], F.lit(""))), F.regexp_replace(F.concat(acc, F.lit(" | "), x["notes"]), r"^[ |]+|[ |]+$", "")).otherwise(acc),
@@ -125,15 +150,51 @@ def scaling_rows(outcomes: DataFrame) -> DataFrame:
     return corpus_stats(outcomes, "model").where("grp <> 'all'").withColumnRenamed("grp", "model").withColumn("params", param_label(F.col("model")))
 
 
-def benchmark_traces(runs: DataFrame, start: int = 8) -> DataFrame:
+def numbered(df: DataFrame, order: str, name: str, start: int = 1) -> DataFrame:
+    """df with consecutive numbers by order, counted in ranges of it, so that no task numbers all rows.
+
+    Ends of ranges are the values that come first in hash order, which are spread
+    like the rows; only they and one count for each range reach the driver.
+    """
+    ends = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order)).limit(RANGES - 1).collect())
+    array = F.array(*map(F.lit, ends)) if ends else F.array().cast("array<string>")
+    ranged = df.withColumn("range_", F.coalesce(F.size(F.filter(array, lambda x: x <= F.col(order))), F.lit(0)))
+    counts, before, at = dict(ranged.groupBy("range_").count().collect()), {}, start - 1
+    for r in range(RANGES):
+        before[r], at = at, at + counts.get(r, 0)
+    offset = F.element_at(F.array(*[F.lit(before[r]).cast("long") for r in range(RANGES)]), F.col("range_") + 1)
+    return ranged.withColumn(name, offset + F.row_number().over(W.partitionBy("range_").orderBy(order))).drop("range_")
+
+
+def benchmark_traces(runs: DataFrame, start: int = 8, next_review: str | None = None) -> DataFrame:
     """Decision traces from benchmark runs, numbered in file order; baselines are left out."""
     attack = runs.where((F.coalesce("attack_type", F.lit("none")) != "none") & (F.coalesce("injection_task_id", F.lit("none")) != "none"))
+    rows = numbered(attack, "file", "number", start)
     hit = F.coalesce(~F.col("security"), F.lit(False))
-    verb = F.when(hit, "succeeded").otherwise("defended")
-    # numbering is global by nature; only the short file names are ranked
-    number = F.row_number().over(W.orderBy("file")) + (start - 1)
-    return attack.select(
-        F.concat(F.lit("ART-"), F.lpad(number.cast("string"), 3, "0")).alias("trace_id"), F.format_string("AgentDojo %s indirect prompt injection (%s): %s", F.coalesce("suite_name", F.lit("unknown")), F.col("attack_type"), verb).alias("title"),
-        F.when(hit, "high").otherwise("low").alias("severity"), F.when(hit, "high").otherwise("medium").alias("confidence"), F.when(hit, "needs_review").otherwise("in_progress").alias("mitigation_status"),
-        hit.alias("approval_required"), F.when(hit, "before_external_side_effect").otherwise("none").alias("approval_gate"),
+    suite, kind, done = F.coalesce("suite_name", F.lit("unknown")), F.col("attack_type"), F.coalesce("utility", F.lit(False))
+    either = lambda key: F.when(hit, TRACE_HIT[key]).otherwise(TRACE_HELD[key])
+    told = lambda t: F.concat(F.format_string(t["observed"], suite, kind), F.when(done, t["done"]).otherwise(t["undone"]))
+    texts = lambda xs: F.array(*map(F.lit, xs))
+    return rows.select(
+        F.format_string("ART-%03d", "number").alias("trace_id"), F.format_string(TRACE_TITLE, suite, kind, F.when(hit, "succeeded").otherwise("defended")).alias("title"),
+        F.lit(TRACE_SIGNAL).alias("source_signal"), F.lit(TRACE_SURFACE).alias("agentic_surface"), F.lit(TRACE_RISK).alias("risk_category"),
+        F.struct(F.when(hit, told(TRACE_HIT)).otherwise(told(TRACE_HELD)).alias("observed_behavior"), either("why").alias("why_it_matters"), texts(TRACE_QUESTIONS).alias("open_questions")).alias("evidence"),
+        either("confidence").alias("confidence"), F.when(hit, "high").otherwise("low").alias("severity"), texts(TRACE_HYPOTHESES).alias("competing_hypotheses"), either("recommended").alias("recommended_action"), F.lit(TRACE_OWNER).alias("owner"),
+        either("mitigation_status").alias("mitigation_status"), F.struct(hit.alias("required"), either("reason").alias("reason"), either("gate").alias("approval_gate")).alias("human_approval"), either("residual").alias("residual_risk"),
+        F.format_string(TRACE_CASE, suite, F.coalesce("user_task_id", F.lit("None")), "injection_task_id", kind).alias("reusable_eval_case"), F.lit(TRACE_GAP).alias("taxonomy_gap"), F.lit(next_review).cast("string").alias("next_review"),
     )
+
+
+def corpora(*texts: DataFrame) -> DataFrame:
+    """Several collections of (text, order) as one: blank texts go, and of texts with one stripped beginning the first stays, collections in the order given."""
+    rows = None
+    for i, t in enumerate(texts):
+        part = t.where(strip(F.col("text")) != "").select(F.struct(F.lit(i).alias("corpus"), F.col("order").alias("order")).alias("at"), "text")
+        rows = part if rows is None else rows.union(part)
+    return prefix_dedupe(rows, "text", "at").select(F.col("at.corpus").alias("corpus"), F.col("at.order").alias("order"), "text", "n_copies")
+
+
+def split_routed(rows: DataFrame, cap: int, key: str, seed: int, train: str = "train") -> tuple[DataFrame, DataFrame]:
+    """Balanced samples of the training rows and of all others, by the split column."""
+    is_train = F.coalesce(F.col("split") == train, F.lit(False))
+    return balanced_sample(rows.where(is_train), "label", key, cap, seed), balanced_sample(rows.where(~is_train), "label", key, cap, seed)

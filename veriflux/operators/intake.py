@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, contains_any, stable_id, strip, strip_tags
+from ..functions.text import clean, contains_any, stable_id, strip_tags
 
 # Words that mark an insight.
 INSIGHT_WORDS = ["incident", "harm", "risk", "fraud", "scam", "severity", "intentionally"]
@@ -30,11 +30,17 @@ def insight_sentences(html: Column, words: list[str] = SENTENCE_WORDS, k: int =
     return F.slice(F.filter(F.split(strip_tags(html), r"(?<=[.!?])\s+"), lambda s: contains_any(F.lower(s), words)), 1, k)
 
 
+def page_insights(html: Column) -> Column:
+    """List items, else sentences, each chosen by its own words."""
+    return F.transform(F.array(insights(html)), lambda items: F.when(F.size(items) > 0, items).otherwise(insight_sentences(html)))[0]
+
+
 def insight_signals(pages: DataFrame, as_of: str) -> DataFrame:
-    """A signal for each insight of pages(url, html)."""
-    found = pages.select("url", F.posexplode(insights(F.col("html"))).alias("i", "insight"))
+    """A signal for each insight of pages(url, html), with the pages' other columns."""
+    rest = [c for c in pages.columns if c not in ("url", "html")]
+    found = pages.select("url", *rest, F.posexplode(page_insights(F.col("html"))).alias("i", "insight"))
     at = (F.col("i") + 1).cast("string")
-    return found.select(stable_id("SIG-MIT", at, F.col("insight")).alias("signal_id"), stable_id("PROBE-MIT", at, F.col("insight")).alias("probe_id"), F.concat(F.lit("MIT AI Incident Tracker insight "), at).alias("title"), F.lit(2).alias("source_tier"), F.col("url").alias("source_url"), F.lit(as_of).alias("observed_at"), F.col("insight").alias("summary"))
+    return found.select(*rest, stable_id("SIG-MIT", at, F.col("insight")).alias("signal_id"), stable_id("PROBE-MIT", at, F.col("insight")).alias("probe_id"), F.concat(F.lit("MIT AI Incident Tracker insight "), at).alias("title"), F.lit(2).alias("source_tier"), F.col("url").alias("source_url"), F.lit(as_of).alias("observed_at"), F.col("insight").alias("summary"))
 
 
 def verbatim(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
@@ -115,10 +121,8 @@ def snapshot_items(payload: DataFrame) -> DataFrame:
 
 def feed_entries(feed: DataFrame) -> DataFrame:
     """Fields of Atom entries held one to a row in `entry`; the alternate link, else the first."""
-    x = lambda path: F.element_at(F.expr(f"xpath(entry, '{path}')"), 1)
     text = lambda tag: clean(F.expr(f"xpath_string(entry, 'entry/{tag}')"))
     link = F.coalesce(F.try_element_at(F.expr("""xpath(entry, 'entry/link[@rel="alternate"]/@href')"""), F.lit(1)), F.try_element_at(F.expr("xpath(entry, 'entry/link/@href')"), F.lit(1)), F.lit(""))
-    del x
     return feed.select("*", text("id").alias("entry_id"), text("title").alias("title"), text("summary").alias("summary"), F.substring(text("published"), 1, 10).alias("published"), F.substring(text("updated"), 1, 10).alias("updated"), link.alias("link")).drop("entry")
 
 
@@ -130,5 +134,3 @@ def feed_signals(entries: DataFrame, config: DataFrame) -> DataFrame:
     rest = [c for c in entries.columns if c not in ("title", "summary", "entry_id", "published", "updated", "link")]
     return j.select(*rest, "query_name", stable_id("SIG-ARXIV", F.col("query_name"), url).alias("signal_id"), "title", url.alias("source_url"), F.lit(1).alias("source_tier"), first_of(F.col("updated"), F.col("published")).alias("observed_at"), F.substring("summary", 1, 900).alias("summary"), "affected_surfaces", "risk_categories", "stage")
 
-
-__all__ = ["strip"]

@@ -18,6 +18,7 @@ class Rule:
     target: str
     category: str
     severity: str
+    recommended_action: str = ""
     patterns: tuple[str, ...] = ()
     requires_external_side_effect: bool = False
     requires_missing_approval: bool = False
@@ -27,18 +28,30 @@ class Rule:
 
 # The signature pack.
 RULES = [
-    Rule("ARA-PI-001", "Instruction override language", "input_or_output", "prompt_injection", "high", tuple(PROMPT_INJECTION[:5])),
-    Rule("ARA-DL-001", "Secret-like value in output", "output", "data_leakage", "high", tuple(SECRET)),
+    Rule("ARA-PI-001", "Instruction override language", "input_or_output", "prompt_injection", "high", "Quarantine instruction-like text, preserve source provenance, and require safe reformulation.", tuple(PROMPT_INJECTION[:5])),
+    Rule("ARA-DL-001", "Secret-like value in output", "output", "data_leakage", "high", "Redact output, inspect provenance, and rotate any real credential.", tuple(SECRET)),
     Rule(
-        "ARA-SE-001", "Social engineering pressure pattern", "input_or_output", "social_engineering", "medium",
+        "ARA-SE-001", "Social engineering pressure pattern", "input_or_output", "social_engineering", "medium", "Route to user-protection review and remove deception or urgency scaffolding.",
         (r"urgent.{0,40}(password|credential|payment|wire|verification)", r"do not tell (security|legal|your manager|the user)", r"pretend to be (support|it|a bank|a recruiter)"),
     ),
-    Rule("ARA-TC-001", "Tool call without required approval", "tool_call", "missing_approval", "high", requires_external_side_effect=True, requires_missing_approval=True),
-    Rule("ARA-CB-001", "Cross-connector sensitive action", "tool_call", "connector_data_boundary", "high", sensitive_terms=("credential", "secret", "token", "contact list", "compensation")),
-    Rule("ARA-TM-001", "Unstable consequential tool selection", "telemetry", "unstable_action_selection", "medium", thresholds={"tool_choice_entropy_min": 2.0, "top_choice_margin_max": 0.1, "sample_disagreement_min": 0.5}),
+    Rule("ARA-TC-001", "Tool call without required approval", "tool_call", "missing_approval", "high", "Block tool call until specific pre-action approval is received.", requires_external_side_effect=True, requires_missing_approval=True),
+    Rule("ARA-CB-001", "Cross-connector sensitive action", "tool_call", "connector_data_boundary", "high", "Require source, destination, data class, reversibility, and owner before execution.", sensitive_terms=("credential", "secret", "token", "contact list", "compensation")),
+    Rule("ARA-TM-001", "Unstable consequential tool selection", "telemetry", "unstable_action_selection", "medium", "Route to slower review before consequential tool use.", thresholds={"tool_choice_entropy_min": 2.0, "top_choice_margin_max": 0.1, "sample_disagreement_min": 0.5}),
 ]
 # End of fixed values.
 
+def rules_of(pack: DataFrame) -> list[Rule]:
+    """Rules from a pack read with sources.readers.rule_pack; a pack is a small configuration table, in its order."""
+    rules = []
+    for r in pack.collect():
+        given = {k: v for k, v in r.asDict(recursive=True).items() if v is not None and k in Rule.__dataclass_fields__}
+        for k in ("patterns", "sensitive_terms"):
+            given[k] = tuple(given.get(k, ()))
+        given["thresholds"] = {k: v for k, v in given.get("thresholds", {}).items() if v is not None}
+        rules.append(Rule(**given))
+    return rules
+
+
 HIT = "array<struct<stage:string,match:string,evidence:string>>"
 
 
@@ -95,14 +108,14 @@ def rule_hits(rule: Rule) -> Column:
 def monitor_events(sessions: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Fingerprinted events in rule order. Rules are few and become expressions, so nothing is joined."""
     def events_of(rule: Rule) -> Column:
-        named = {"signature_id": rule.signature_id, "category": rule.category, "severity": rule.severity}
+        named = {"signature_id": rule.signature_id, "signature_name": rule.name, "recommended_action": rule.recommended_action, "category": rule.category, "severity": rule.severity}
         return F.transform(rule_hits(rule), lambda h: F.struct(*[F.lit(v).alias(k) for k, v in named.items()], *[h[k].alias(k) for k in ("stage", "match", "evidence")]))
 
     found = F.concat(*map(events_of, rules))
     rows = sessions.select("session_id", F.coalesce("model", F.lit("unknown")).alias("model"), F.posexplode(found).alias("event_ord", "e"))
     return rows.select("session_id", "model", "event_ord", "e.*").select(
-        "session_id", "model", "event_ord", "signature_id", "category", "severity", "stage", "match",
-        excerpt(F.col("evidence")).alias("evidence_excerpt"), text_hash(F.col("evidence")).alias("evidence_hash"),
+        "session_id", "model", "event_ord", "signature_id", "signature_name", "category", "severity", "stage", "match",
+        excerpt(F.col("evidence")).alias("evidence_excerpt"), text_hash(F.col("evidence")).alias("evidence_hash"), "recommended_action",
     )
 
 

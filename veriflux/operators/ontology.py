@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import GOALS, RETRIEVED, TECHNIQUES, VECTORS, any_of, portable
-from ..functions.text import matching_ids
 
 # Labels of the nodes.
 TECHNIQUE_LABELS = {
@@ -16,22 +15,20 @@ TECHNIQUE_LABELS = {
 # End of fixed values.
 
 
-def _or_unknown(ids: Column) -> Column:
-    return F.when(F.size(ids) > 0, ids).otherwise(F.array(F.lit("UNKNOWN")))
-
-
-def axes(text: Column) -> list[Column]:
-    """injection_type, delivery_vector, technique and goal arrays; matching is case-sensitive on lower-cased text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    vectors = F.array_compact(F.array(F.lit("DV-01"), *[F.when(low.rlike(portable(p)), F.lit(k)) for k, p in VECTORS.items()]))
-    return [
-        F.array(F.when(low.rlike(portable(RETRIEVED)), "IT-02").otherwise("IT-01")).alias("injection_type"), vectors.alias("delivery_vector"),
-        _or_unknown(matching_ids(low, TECHNIQUES)).alias("technique"), _or_unknown(matching_ids(low, GOALS)).alias("goal"),
-    ]
-
-
 def classify(texts: DataFrame, id_column: str, text_column: str = "text") -> DataFrame:
-    return texts.select(id_column, *axes(F.col(text_column)))
+    """injection_type, delivery_vector, technique and goal arrays; matching is case-sensitive on lower-cased text.
+
+    Lower case is taken once a row and every pattern is tried once: matches are
+    columns of their own before arrays are made of them.
+    """
+    low = texts.select(F.col(id_column), F.lower(F.coalesce(F.col(text_column), F.lit(""))).alias("low_"))
+    packs = {"IT-02": portable(RETRIEVED), **{k: portable(p) for k, p in VECTORS.items()}, **{k: any_of(ps) for k, ps in (TECHNIQUES | GOALS).items()}}
+    hits = low.select(id_column, *[F.col("low_").rlike(p).alias(k) for k, p in packs.items()])
+    named = lambda ids, *first: F.filter(F.array(*first, *[F.when(F.col(f"`{k}`"), F.lit(k)) for k in ids]), lambda x: x.isNotNull())
+    known = lambda ids: F.transform(F.array(named(ids)), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("UNKNOWN"))))[0]
+    return hits.select(
+        id_column, F.array(F.when(F.col("`IT-02`"), "IT-02").otherwise("IT-01")).alias("injection_type"), named(VECTORS, F.lit("DV-01")).alias("delivery_vector"), known(TECHNIQUES).alias("technique"), known(GOALS).alias("goal"),
+    )
 
 
 def distribution(classified: DataFrame) -> DataFrame:
@@ -42,7 +39,8 @@ def distribution(classified: DataFrame) -> DataFrame:
     names = ["injection_type", "delivery_vector", "technique", "goal"]
     nodes = lambda axis: F.transform(axis, lambda v: F.struct(F.lit(axis).alias("axis"), v.alias("node")))
     pairs = F.concat(*map(nodes, names), F.array(F.struct(F.lit("total").alias("axis"), F.lit("all").alias("node"))))
-    counts = classified.select(F.explode(pairs).alias("p")).groupBy("p.axis", "p.node").agg(F.count("*").alias("n"))
+    # an inner explode would have the planner build the array a second time, to see whether it is empty
+    counts = classified.select(F.explode_outer(pairs).alias("p")).groupBy("p.axis", "p.node").agg(F.count("*").alias("n"))
     total = counts.where("axis = 'total'").select(F.col("n").alias("total"))
     return counts.where("axis <> 'total'").join(F.broadcast(total)).select("axis", "node", "n", (F.col("n") / F.col("total")).alias("share"))  # one row
 
@@ -62,5 +60,3 @@ def most_common(counts: DataFrame, k: int) -> DataFrame:
     """Top k nodes of an axis by count, ties by id."""
     return counts.orderBy(F.desc("n"), "node").limit(k)
 
-
-__all__ = ["any_of", "axes", "classify", "distribution", "labelled", "most_common", "rates"]

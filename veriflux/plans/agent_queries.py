@@ -26,30 +26,31 @@ _P0, _P3 = f"({TEXT} || {plant(0)})", f"({TEXT} || {plant(3)})"
 _PLAN, _DRAFT, _FINAL = f"('plan' || {plant(5)})", f"('draft' || {plant(7)})", f"('final' || {plant(2)})"
 
 
-def _ev(stage: str, ord_: int, seq: int, category: str, severity: str, evidence: str, cond: str) -> str:
-    return f"SELECT CAST(doc_id AS VARCHAR) AS run_id, '{stage}' AS stage, {ord_} AS stage_ord, {seq} AS seq, '{category}' AS category, '{severity}' AS severity, substr(sha256({evidence}), 1, 16) AS evidence_hash FROM documents WHERE {cond}"
+def _ev(stage: str, ord_: int, seq: int, category: str, severity: str, evidence: str, cond: str, told: str = "", about: str = "") -> str:
+    signal, action = sentinel.TOLD[told or category]
+    return f"SELECT CAST(doc_id AS VARCHAR) AS run_id, '{stage}' AS stage, {ord_} AS stage_ord, {seq} AS seq, '{category}' AS category, '{severity}' AS severity, {sql_text(signal.replace('%s', about))} AS signal, substr(sha256({evidence}), 1, 16) AS evidence_hash, {sql_text(action)} AS recommended_action FROM documents WHERE {cond}"
 
 
 _OPEN = "doc_id % 3 IN (0, 1)"
 EVENTS_SQL = " UNION ALL ".join([
-    _ev("ingress", 0, 0, "prompt_injection", "high", _P0, rx(_P0, PROMPT_INJECTION)),
-    _ev("ingress", 0, 1, "prompt_injection", "high", _P3, f"{_OPEN} AND {rx(_P3, PROMPT_INJECTION)}"),
-    _ev("ingress", 0, 2, "data_exfiltration", "high", _P3, f"{_OPEN} AND {rx(_P3, EXFILTRATION)}"),
+    _ev("ingress", 0, 0, "prompt_injection", "high", _P0, rx(_P0, PROMPT_INJECTION), "prompt"),
+    _ev("ingress", 0, 1, "prompt_injection", "high", _P3, f"{_OPEN} AND {rx(_P3, PROMPT_INJECTION)}", "context_injection", "web"),
+    _ev("ingress", 0, 2, "data_exfiltration", "high", _P3, f"{_OPEN} AND {rx(_P3, EXFILTRATION)}", "context_exfiltration", "web"),
     _ev("trajectory", 1, 0, "goal_drift", "high", _PLAN, rx(_PLAN, PROMPT_INJECTION + EXFILTRATION)),
     _ev("trajectory", 1, 6, "tool_overreach", "critical", f"('tool=' || {TOOL})", f"doc_id % 4 <> 0 AND {TOOL} NOT IN ('read_file', 'send_email')"),
     _ev("trajectory", 1, 7, "missing_approval", "high", f"('tool=' || {TOOL} || ', connector=' || {CONNECTOR})", f"(doc_id % 5 = 2 OR {TOOL} = 'transfer_funds') AND doc_id % 7 <> 0"),
     _ev("trajectory", 1, 8, "connector_data_boundary", "high", f"('tool=' || {TOOL} || '; connector=' || {CONNECTOR})", f"{CONNECTOR} <> '' AND doc_id % 5 <> 0 AND (doc_id % 5 = 1 OR {CONNECTOR} NOT IN ('email', 'crm')) AND (doc_id % 2 = 0 OR {TOOL} = 'transfer_funds')"),
     _ev("trajectory", 1, 14, "unstable_action_selection", "medium", "'telemetry'", "(doc_id % 5) * 0.75 >= 2.0 AND doc_id % 3 <> 0 AND (doc_id % 3) * 0.05 <= 0.1 AND (doc_id % 4) * 0.25 >= 0.5"),
-    _ev("draft", 2, 0, "data_leakage", "high", _DRAFT, rx(_DRAFT, SECRET)),
-    _ev("draft", 2, 1, "unsafe_action_proposal", "medium", _DRAFT, rx(_DRAFT, EXFILTRATION)),
-    _ev("final", 3, 0, "data_leakage", "critical", _FINAL, rx(_FINAL, SECRET)),
-    _ev("final", 3, 1, "unsafe_action_disclosure", "medium", _FINAL, rx(_FINAL, EXFILTRATION)),
+    _ev("draft", 2, 0, "data_leakage", "high", _DRAFT, rx(_DRAFT, SECRET), "draft_secret", "draft"),
+    _ev("draft", 2, 1, "unsafe_action_proposal", "medium", _DRAFT, rx(_DRAFT, EXFILTRATION), "draft_exfiltration", "draft"),
+    _ev("final", 3, 0, "data_leakage", "critical", _FINAL, rx(_FINAL, SECRET), "final_secret"),
+    _ev("final", 3, 1, "unsafe_action_disclosure", "medium", _FINAL, rx(_FINAL, EXFILTRATION), "final_exfiltration"),
 ])
 
 
 @query(EVENTS_SQL)
 def sentinel_events(spark: SparkSession, d: str) -> DataFrame:
-    return sentinel.events(derived.runs(spark, d)).select("run_id", "stage", "stage_ord", "seq", "category", "severity", text_hash(F.col("evidence")).alias("evidence_hash"))
+    return sentinel.events(derived.runs(spark, d)).select("run_id", "stage", "stage_ord", "seq", "category", "severity", "signal", text_hash(F.col("evidence")).alias("evidence_hash"), "recommended_action")
 
 
 REPORT_SQL = f"""e AS ({EVENTS_SQL}),
@@ -114,7 +115,10 @@ def _monitor_sql() -> str:
 MONITOR_SQL = _monitor_sql()
 
 
-@query(f"WITH {MONITOR_SQL} SELECT * FROM ev")
+_NAMED = ", ".join("CASE signature_id " + " ".join(f"WHEN '{r.signature_id}' THEN {sql_text(getattr(r, field))}" for r in monitor.RULES) + f" END AS {name}" for field, name in (("name", "signature_name"), ("recommended_action", "recommended_action")))
+
+
+@query(f"WITH {MONITOR_SQL} SELECT *, {_NAMED} FROM ev")
 def monitor_events(spark: SparkSession, d: str) -> DataFrame:
     return monitor.monitor_events(derived.sessions(spark, d)).drop("event_ord")
 

@@ -81,18 +81,49 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
 _LI = r"(?is)<li[^>]*>(.*?)</li>"
 
 
-@query(f"""WITH i AS (SELECT page_id, list_transform(regexp_extract_all(html, {sql_text(_LI)}, 1), lambda x: {_strip_sql('x')}) AS items FROM pages),
-f AS (SELECT page_id, list_filter(items, lambda x: x <> '' AND regexp_matches(lower(x), 'incident|harm|risk|fraud|scam|severity|intentionally|th')) AS kept FROM i)
-SELECT page_id, kept[1:8] AS insights FROM f WHERE len(kept) > 0""")
+_PAGE = "html || CASE page_id % 4 WHEN 0 THEN '<ul><li>No. Insights: fraud in case ' || page_id || ' ]</li><li>calm</li></ul>' WHEN 1 THEN '<p>Some harm was done. It was late! Was it a RISK? No risk, he said.</p>' ELSE '' END"
+_ANY = lambda x, words: "(" + " OR ".join(f"contains(lower({x}), {sql_text(w)})" for w in words) + ")"
+_SENTENCES = f"list_filter(string_split(regexp_replace({_strip_sql('html')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_ANY('s', intake.SENTENCE_WORDS)})[1:8]"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages hold none of the words that mark an insight; some get a list, some a paragraph that does."""
+    return table(spark, d, "pages").select("page_id", "url", F.expr(_PAGE).alias("html"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PAGE} AS html FROM pages), i AS (SELECT page_id, list_transform(list_transform(regexp_extract_all(html, {sql_text(_LI)}, 1), lambda x: {_strip_sql('x')}), lambda x: CASE WHEN contains(x, 'Insights:') THEN substr(x, strpos(x, 'Insights:') + 9) ELSE x END) AS items, {_SENTENCES} AS sentences FROM p),
+f AS (SELECT page_id, list_filter(list_transform(items, lambda x: trim(trim(x, ' ]'))), lambda x: x <> '' AND {_ANY('x', intake.INSIGHT_WORDS)})[1:8] AS kept, sentences FROM i),
+o AS (SELECT page_id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE sentences END) AS insight, generate_subscripts(CASE WHEN len(kept) > 0 THEN kept ELSE sentences END, 1) AS k FROM f)
+SELECT page_id, k, insight, 'SIG-MIT-' || upper(substr(sha1(k || '||' || insight), 1, 10)) AS signal_id, 'MIT AI Incident Tracker insight ' || k AS title FROM o""")
 def insight_extract(spark: SparkSession, d: str) -> DataFrame:
-    words = [*intake.INSIGHT_WORDS, "th"]  # the pages hold none of the usual words
-    return table(spark, d, "pages").select("page_id", intake.insights(F.col("html"), words).alias("insights")).where("size(insights) > 0")
+    """List items first, else sentences, as signals."""
+    s = intake.insight_signals(_pages(spark, d), "2024-01-01")
+    return s.select("page_id", F.regexp_extract("title", "([0-9]+)$", 1).cast("long").alias("k"), F.col("summary").alias("insight"), "signal_id", "title")
 
 
-@query(None)
+@query(f"WITH p AS (SELECT page_id, {_PAGE} AS html FROM pages) SELECT page_id, {_SENTENCES} AS sentences FROM p")
 def insight_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """The fallback for pages without list items; it needs a lookbehind, which the oracle's engine lacks."""
-    return table(spark, d, "pages").select("page_id", intake.insight_sentences(F.col("html"), ["th"]).alias("sentences"))
+    """The fallback for pages without list items."""
+    return _pages(spark, d).select("page_id", intake.insight_sentences(F.col("html")).alias("sentences"))
+
+
+_HEAD = "substr(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), 1, 300)"
+
+
+@query(f"""WITH c AS (SELECT 0 AS corpus, doc_id AS ord, text AS t FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 1, doc_id, text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 2, item_id, text FROM benchmark),
+r AS (SELECT *, row_number() OVER (PARTITION BY {_HEAD} ORDER BY corpus, ord) AS k, count(*) OVER (PARTITION BY {_HEAD}) AS n_copies FROM c WHERE regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> '')
+SELECT corpus, ord AS "order", n_copies FROM r WHERE k = 1""")
+def combined_corpora(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("order"), "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("order"), "text")
+    return corpus.corpora(docs.where("order % 3 = 0"), docs.where("order % 3 <> 0"), items).drop("text")
+
+
+@query("""SELECT split, doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY md5('42|' || doc_id), doc_id) AS r FROM (SELECT doc_id, toxic AS label, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM labels WHERE toxic IS NOT NULL)) WHERE r <= 20""")
+def split_routing(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "labels").selectExpr("doc_id", "toxic AS label", "CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split")
+    train, test = corpus.split_routed(rows, 20, "doc_id", 42)
+    return train.union(test).select("split", "doc_id", "label")
 
 
 _TOKS = "list_filter(list_distinct(regexp_extract_all(lower({0}), " + sql_text(LINEAGE_TOKEN) + ")), lambda x: x NOT IN (" + ", ".join(map(sql_text, LINEAGE_STOP)) + "))"
@@ -146,7 +177,7 @@ def tool_map(spark: SparkSession, d: str) -> DataFrame:
 _SPLIT = "CASE c_custkey % 4 WHEN 0 THEN 'direct-harm-base' WHEN 1 THEN 'direct-harm-enhanced' WHEN 2 THEN 'data-stealing-base' ELSE 'data-stealing-enhanced' END"
 
 
-@query(f"""SELECT c_custkey AS case_index, 'injecagent_' || CASE WHEN c_custkey % 4 <= 1 THEN 'dh' ELSE 'ds' END || '_' || CASE WHEN c_custkey % 2 = 1 THEN 'enhanced' ELSE 'base' END || '_' || substr(lpad(CAST(c_custkey AS VARCHAR), 4, '0'), 1, 4) AS scenario_id,
+@query(f"""SELECT c_custkey AS case_index, 'injecagent_' || CASE WHEN c_custkey % 4 <= 1 THEN 'dh' ELSE 'ds' END || '_' || CASE WHEN c_custkey % 2 = 1 THEN 'enhanced' ELSE 'base' END || '_' || printf('%04d', c_custkey) AS scenario_id,
  CASE WHEN c_custkey % 4 <= 1 THEN 'direct-harm' ELSE 'data-stealing' END AS attacker_goal, CASE c_custkey % 3 WHEN 0 THEN ['external_action', 'send_email'] WHEN 1 THEN ['transfer_funds'] ELSE [] END AS tools_mapped,
  list_sort(list_concat(['read_file', 'http_get', 'db_query'], CASE c_custkey % 3 WHEN 0 THEN ['external_action', 'send_email'] WHEN 1 THEN ['transfer_funds'] ELSE [] END)) AS available_tools, c_name AS user_task, coalesce(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END, 'external_service') AS untrusted_source FROM customer""")
 def adapt_cases(spark: SparkSession, d: str) -> DataFrame:
@@ -178,13 +209,20 @@ def outcome_status(spark: SparkSession, d: str) -> DataFrame:
     return derived.outcomes(spark, d).select("doc_id", behavior.outcome_status(F.col("followed"), F.col("engaged")).alias("status"), corpus.model_slug(F.col("model")).alias("slug"))
 
 
-@query("""WITH r AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS file, s_name AS suite_name, CASE s_suppkey % 4 WHEN 0 THEN 'none' ELSE 'direct' END AS attack_type, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'i' END AS inj, CASE s_suppkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS security FROM supplier)
-SELECT 'ART-' || substr(lpad(CAST(7 + row_number() OVER (ORDER BY file) AS VARCHAR), 3, '0'), 1, 3) AS trace_id, 'AgentDojo ' || suite_name || ' indirect prompt injection (' || attack_type || '): ' || CASE WHEN security = false THEN 'succeeded' ELSE 'defended' END AS title,
- CASE WHEN security = false THEN 'high' ELSE 'low' END AS severity, CASE WHEN security = false THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN security = false THEN 'needs_review' ELSE 'in_progress' END AS mitigation_status, coalesce(security = false, false) AS approval_required,
- CASE WHEN security = false THEN 'before_external_side_effect' ELSE 'none' END AS approval_gate FROM r WHERE attack_type <> 'none' AND inj IS NOT NULL""")
+_HIT, _HELD = corpus.TRACE_HIT, corpus.TRACE_HELD
+_EITHER = lambda key: f"CASE WHEN hit THEN {sql_text(_HIT[key])} ELSE {sql_text(_HELD[key])} END"
+_TOLD = lambda t: f"replace(replace({sql_text(t['observed'])}, '''%s'' suite', '''' || suite || ''' suite'), '''%s'' attack', '''' || kind || ''' attack') || CASE WHEN done THEN {sql_text(t['done'])} ELSE {sql_text(t['undone'])} END"
+
+
+@query(f"""WITH r AS (SELECT printf('%09d', e.event_id) AS file, e.event_type AS suite, CASE e.event_id % 4 WHEN 0 THEN 'none' ELSE 'direct' END AS kind, CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE 'i' || e.user_id END AS inj, e.event_id % 3 = 0 AS hit, e.event_id % 2 = 0 AS done, 'u' || e.user_id AS task FROM events e),
+n AS (SELECT *, 7 + row_number() OVER (ORDER BY file) AS k FROM r WHERE kind <> 'none' AND inj IS NOT NULL)
+SELECT 'ART-' || printf('%03d', k) AS trace_id, 'AgentDojo ' || suite || ' indirect prompt injection (' || kind || ') — ' || CASE WHEN hit THEN 'succeeded' ELSE 'defended' END AS title, CASE WHEN hit THEN {_TOLD(_HIT)} ELSE {_TOLD(_HELD)} END AS observed_behavior,
+ {_EITHER('why')} AS why_it_matters, {_EITHER('confidence')} AS confidence, CASE WHEN hit THEN 'high' ELSE 'low' END AS severity, {_EITHER('recommended')} AS recommended_action, {_EITHER('mitigation_status')} AS mitigation_status, hit AS approval_required,
+ {_EITHER('reason')} AS approval_reason, {_EITHER('gate')} AS approval_gate, {_EITHER('residual')} AS residual_risk, 'AgentDojo ' || suite || '/' || task || ' vs injection ' || inj || ' under ''' || kind || ''', converted to a structural trace with raw exploit text omitted.' AS reusable_eval_case, '2025-01-01' AS next_review FROM n""")
 def benchmark_traces(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "supplier").selectExpr("lpad(cast(s_suppkey as string), 9, '0') AS file", "s_name AS suite_name", "CASE s_suppkey % 4 WHEN 0 THEN 'none' ELSE 'direct' END AS attack_type", "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'i' END AS injection_task_id", "CASE s_suppkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS security")
-    return corpus.benchmark_traces(runs)
+    runs = table(spark, d, "events").selectExpr("lpad(cast(event_id as string), 9, '0') AS file", "event_type AS suite_name", "concat('u', user_id) AS user_task_id", "CASE event_id % 4 WHEN 0 THEN 'none' ELSE 'direct' END AS attack_type", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('i', user_id) END AS injection_task_id", "CASE event_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS security", "CASE WHEN event_id % 2 = 0 THEN true END AS utility")
+    t = corpus.benchmark_traces(runs, next_review="2025-01-01")
+    return t.select("trace_id", "title", "evidence.observed_behavior", "evidence.why_it_matters", "confidence", "severity", "recommended_action", "mitigation_status", F.col("human_approval.required").alias("approval_required"), F.col("human_approval.reason").alias("approval_reason"), "human_approval.approval_gate", "residual_risk", "reusable_eval_case", "next_review")
 
 
 # ---- signals and rankings --------------------------------------------------

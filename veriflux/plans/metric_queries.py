@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import auc, binary_metrics, confusion_counts, entropy, ratio
 from ..operators import ml
-from ..operators.triage import gap_band, verdict
+from ..operators.triage import depth_band, transfer_band, two_set_verdict, verdict
 from .registry import query, table
 
 _PRED = "(length(d.text) % 3 = 0)"
@@ -79,18 +79,26 @@ def mean_pool(spark: SparkSession, d: str) -> DataFrame:
     return ml.mean_pool(table(spark, d, "embeddings"), "embedding", "label", 5)
 
 
-@query("SELECT lang, source, n, max(n) OVER (PARTITION BY lang) - n AS margin FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source)")
+_MARGIN = """{0} AS (SELECT lang, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN CAST(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS DOUBLE) END AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY lang ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM
+ (SELECT lang, {1} AS s, sum(l.quality) AS pos, sum(1 - l.quality) AS neg FROM documents d JOIN labels l USING (doc_id) GROUP BY lang, s)) GROUP BY lang)"""
+
+
+@query(f"WITH {_MARGIN.format('a', 'length(d.text)')}, {_MARGIN.format('b', 'd.n_chars % 97')} SELECT lang, a.auc AS auc, b.auc AS control_auc, a.auc - b.auc AS margin FROM a JOIN b USING (lang) WHERE a.auc IS NOT NULL")
 def margins(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    best = c.groupBy("lang").agg(F.max("n").alias("best"))
-    return c.join(best, "lang").select("lang", "source", "n", (F.col("best") - F.col("n")).alias("margin"))
+    """How far one score's AUC is ahead of another's, by language."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("len"), (F.col("n_chars") % 97).alias("rest")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    a, b = auc(rows, "len", "quality", "lang").select("lang", "auc"), auc(rows, "rest", "quality", "lang").select("lang", F.col("auc").alias("control_auc"))
+    return a.join(b, "lang").where("auc IS NOT NULL").withColumn("margin", F.col("auc") - F.col("control_auc"))
 
 
-@query("""SELECT n_nationkey, CASE WHEN p > b AND c >= 0.6 THEN 'probe wins and generalises' WHEN p > b THEN 'probe wins, does not generalise' WHEN c >= 0.6 THEN 'baseline suffices, probe generalises' ELSE 'no advantage' END AS verdict,
- CASE WHEN abs(p - c) <= 0.05 THEN 'small' WHEN abs(p - c) <= 0.15 THEN 'moderate' ELSE 'large' END AS gap FROM (SELECT n_nationkey, 0.5 + (n_nationkey % 5) * 0.125::DOUBLE AS p, 0.5 + (n_nationkey % 3) * 0.125::DOUBLE AS b, 0.5 + (n_nationkey % 4) * 0.0625::DOUBLE AS c FROM nation)""")
+@query("""WITH x AS (SELECT n_nationkey, 0.5 + (n_nationkey % 5) * 0.125::DOUBLE AS p, 0.5 + (n_nationkey % 3) * 0.125::DOUBLE AS b, 0.5 + (n_nationkey % 4) * 0.0625::DOUBLE AS c FROM nation)
+SELECT n_nationkey, CASE WHEN p > b AND c >= 0.6 THEN 'probe wins and generalises' WHEN p > b THEN 'probe wins, does not generalise' WHEN c >= 0.6 THEN 'mixed' ELSE 'null result' END AS verdict,
+ CASE WHEN p > b AND c > b THEN CASE WHEN least(p, c) >= 0.6 THEN 'probe wins and generalises' ELSE 'probe wins, does not generalise' END WHEN least(p, c) >= 0.6 THEN 'mixed' ELSE 'null result' END AS both_sets,
+ CASE WHEN c - b >= 0.05 THEN 'probe transfers better' WHEN c - b >= -0.05 THEN 'about equal' ELSE 'lexical control transfers better' END AS transfer, CASE WHEN p - c >= 0.15 THEN 'deep layers add signal' ELSE 'embedding suffices' END AS depth FROM x""")
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").selectExpr("n_nationkey", "0.5D + (n_nationkey % 5) * 0.125D AS p", "0.5D + (n_nationkey % 3) * 0.125D AS b", "0.5D + (n_nationkey % 4) * 0.0625D AS c")
-    return n.select("n_nationkey", verdict(F.col("p"), F.col("b"), F.col("c")).alias("verdict"), gap_band(F.col("p") - F.col("c")).alias("gap"))
+    p, b, c = F.col("p"), F.col("b"), F.col("c")
+    return n.select("n_nationkey", verdict(p, b, c).alias("verdict"), two_set_verdict([p, c], [b, b], [p, c]).alias("both_sets"), transfer_band(c - b).alias("transfer"), depth_band(p - c).alias("depth"))
 
 
 @query(None)
