@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veriflux.functions import metrics, text
 from veriflux.functions.patterns import EXFILTRATION, PROMPT_INJECTION, SECRET, portable
 from veriflux.operators import behavior, corpus, intake, monitor, network, provenance, sentinel, triage, validate
+from veriflux.plans import pipelines
 from veriflux.sources import readers, schemas
 
 
@@ -268,3 +269,90 @@ def test_intake(spark, tmp_path):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota"), (2, "short one")], "item_id int, text string")
     docs = spark.createDataFrame([(1, "x ALPHA beta gamma delta epsilon zeta eta theta iota, y"), (2, "a short one here"), (3, "alpha beta")], "doc_id int, text string")
     assert sorted(map(tuple, intake.verbatim(items, docs).collect())) == [(1, 1), (2, 2)]
+
+
+def test_ids_widen(spark):
+    cases = spark.range(10_001).selectExpr("'direct-harm-base' AS split", "id AS case_index", "'u' AS user_instruction", "'t' AS user_tool", "'r' AS tool_response", "array('GmailSend') AS attacker_tools", "'a' AS attack_type")
+    ids = {r[0] for r in corpus.adapt_cases(cases).select("scenario_id").collect()}
+    assert len(ids) == 10_001 and {"injecagent_dh_base_0007", "injecagent_dh_base_10000"} <= ids
+    runs = spark.range(1500).selectExpr("lpad(cast(id as string), 5, '0') AS file", "'s' AS suite_name", "'u' AS user_task_id", "'direct' AS attack_type", "'i' AS injection_task_id", "id % 2 = 0 AS security", "true AS utility").repartition(5)
+    rows = corpus.benchmark_traces(runs).select("trace_id", "title").collect()
+    assert {r.trace_id for r in rows} == {f"ART-{8 + i:03d}" for i in range(1500)}
+    assert corpus.benchmark_traces(runs.limit(0)).count() == 0
+    assert corpus.benchmark_traces(runs.where("file = '00002'")).first().title == "AgentDojo s indirect prompt injection (direct) — defended"
+
+
+def test_bands_keep_the_sign(spark):
+    from veriflux.operators import triage
+
+    bands = spark.createDataFrame([(0.3,), (0.05,), (0.0,), (-0.05,), (-0.3,)], "m double").select(triage.transfer_band(F.col("m"))).collect()
+    assert [b[0] for b in bands] == ["probe transfers better"] * 2 + ["about equal"] * 2 + ["lexical control transfers better"]
+    row = spark.createDataFrame([(0.9, 0.5, 0.7, 0.8, 0.9)], "p double, b double, c double, p2 double, b2 double")
+    both = triage.two_set_verdict([F.col("p"), F.col("p2")], [F.col("b"), F.col("b2")], [F.col("c")])
+    assert row.select(both).first()[0] == "mixed"
+
+
+def test_rule_pack_and_results_as_data(spark, tmp_path):
+    import json
+
+    pack = [{"signature_id": "X-1", "name": "n", "target": "output", "category": "c", "severity": "low", "patterns": ["sesame"], "recommended_action": "stop"}, {"signature_id": "X-2", "name": "t", "target": "telemetry", "category": "d", "severity": "high", "thresholds": {"tool_choice_entropy_min": 1.0, "top_choice_margin_max": 0.5, "sample_disagreement_min": 0.1}}]
+    sessions = [{"session_id": "s", "model_output": "open Sesame", "telemetry": {"tool_choice_entropy": 2.0, "top_choice_margin": 0.1, "sample_disagreement": 0.5}}, {"session_id": "q", "model_output": "no"}]
+    (tmp_path / "rules.json").write_text(json.dumps(pack))
+    (tmp_path / "sessions.json").write_text(json.dumps(sessions))
+    events = pipelines.monitored(spark, str(tmp_path / "sessions.json"), str(tmp_path / "rules.json"))
+    got = [(r.session_id, r.signature_id, r.signature_name, r.recommended_action) for r in events.orderBy("event_ord").collect()]
+    assert got == [("s", "X-1", "n", "stop"), ("s", "X-2", "t", "")]
+    (tmp_path / "result.json").write_text(json.dumps({"events": [r.asDict() for r in events.drop("event_ord").collect()], "summary": {}}))
+    one = monitor.privacy_aggregate(readers.monitor_results(spark, str(tmp_path / "result.json"))).first()
+    assert one.source_event_count == 2 and one.affected_session_count == 1 and one.signature_ids == ["X-1", "X-2"]
+
+
+def test_command_line_tables(spark, tmp_path, capsys):
+    import json
+
+    from veriflux.__main__ import main
+
+    sessions = [{"session_id": f"s{i}", "model_output": "token = abcdefgh12" if i % 2 else "fine"} for i in range(6)]
+    (tmp_path / "sessions.json").write_text(json.dumps(sessions))
+    assert main(["monitor", str(tmp_path / "sessions.json")]) == 0
+    assert "| total | all | 3 |" in capsys.readouterr().out
+    assert main(["events", str(tmp_path / "sessions.json"), "--output", str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out/events-0")).count() == 3
+    (tmp_path / "p.html").write_text("<p>Fraud was found. All is well.</p>")
+    assert main(["insights", str(tmp_path / "p.html"), "2024-01-01"]) == 0
+    assert "Fraud was found." in capsys.readouterr().out
+
+
+def test_append_once_and_read_through(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    assert readers.append_once(rows, str(tmp_path / "log"), "id").count() == 2
+    readers.append_once(spark.createDataFrame([(2, "c"), (3, "d")], "id long, t string"), str(tmp_path / "log"), "id")
+    assert sorted((r.id, r.t) for r in spark.read.json(str(tmp_path / "log")).collect()) == [(1, "a"), (2, "b"), (3, "d")]
+    built = []
+    for _ in range(2):
+        kept = readers.read_through(spark, str(tmp_path / "features"), lambda: built.append(1) or rows)
+    assert kept.count() == 2 and len(built) == 1
+
+
+def test_corpora_and_split_routing(spark):
+    a = spark.createDataFrame([("  x y", 1), (" ", 2), ("z", 3)], "text string, order long")
+    b = spark.createDataFrame([("x y ", 1), ("new", 2)], "text string, order long")
+    assert sorted((r.corpus, r.order) for r in corpus.corpora(a, b).collect()) == [(0, 1), (0, 3), (1, 2)]
+    rows = spark.createDataFrame([(i, i % 2, "train" if i % 3 else "test") for i in range(60)], "id long, label int, split string")
+    train, test = corpus.split_routed(rows, 5, "id", 1)
+    assert train.groupBy("label").count().where("count = 5").count() == 2 and {r.split for r in test.collect()} == {"test"}
+
+
+def test_auc_in_ranges_equals_pairs(spark):
+    import random
+
+    from veriflux.functions.metrics import auc
+
+    rng = random.Random(3)
+    rows = [(rng.choice([-5.0, -0.1, 0.0, 0.1, 0.11, 1e6, 1e12, rng.random()]), rng.randrange(2), "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "s double, y int, g string").repartition(4)
+    for by in ((), ("g",)):
+        for r in auc(df, "s", "y", *by).collect():
+            mine = [x for x in rows if not by or x[2] == r.g]
+            pos, neg = [s for s, y, _ in mine if y], [s for s, y, _ in mine if not y]
+            assert abs(r.auc - sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))) < 1e-9

@@ -1,24 +1,64 @@
-"""python -m veriflux COMMAND PATH...: the pipelines from a command line."""
+"""python -m veriflux COMMAND PATH...: the pipelines from a command line.
+
+Tables are printed as Markdown; with --output they are written as lines of JSON
+instead, distributed and of any size.
+"""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import corpus, monitor, network, ontology, triage
 from .plans import pipelines
-from .plans.report import markdown
+from .plans.report import lines
+from .sources import readers
 
 TEXT = {"network": pipelines.network_report, "gate": pipelines.gate_report, "outcomes": pipelines.outcome_report, "matrix": pipelines.matrix_report, "assess": pipelines.assessment_report}
 
 
+def _classified(spark: SparkSession, path: str) -> DataFrame:
+    texts = readers.labelled_texts(spark, path).withColumn("text_id", F.sha1("text"))
+    return ontology.classify(texts, "text_id")
+
+
+#: Commands that give tables: what they print or write, and in which order.
+TABLES = {
+    "sentinel": lambda s, path: [(pipelines.risk_sentinel(s, path)[1], None)],
+    "ablation": lambda s, path: [(pipelines.stage_ablation(s, path), None)],
+    "monitor": lambda s, path, rules=None: [(monitor.monitor_summary(pipelines.monitored(s, path, rules)), ["dimension", "value"])],
+    "events": lambda s, path, rules=None: [(pipelines.monitored(s, path, rules), ["session_id", "event_ord"])],
+    "anonymize": lambda s, path: [(monitor.privacy_aggregate(readers.monitor_results(s, path)), None), (monitor.fingerprints(readers.monitor_results(s, path)), ["evidence_hash", "signature_id"])],
+    "route": lambda s, path: [(network.scored_events(network.assert_privacy_safe(readers.nodes(s, path))), [F.desc("score"), "event_id"])],
+    "behavior": lambda s, path: [(pipelines.behavior_profiles(s, path), ["trace_id"])],
+    "merge": lambda s, path: [(corpus.merge_signals(readers.signals(s, path).drop("file"), "signal_id"), ["key"])],
+    "triage": lambda s, path: [(triage.signal_counts(readers.signals(s, path)), ["dimension", F.desc("n"), "value"]), (triage.backlog(readers.signals(s, path)), [F.desc("priority"), "probe_id"])],
+    "classify": lambda s, path: [(ontology.distribution(_classified(s, path)), ["axis", F.desc("n"), "node"]), (ontology.rates(_classified(s, path)), None)],
+    "eval": lambda s, path: [(t, o) for t, o in zip(pipelines.rubric_eval(s, path), (["expected", "predicted"], ["category"]))],
+    "traces": lambda s, path: [(corpus.benchmark_traces(readers.benchmark_runs(s, path)), ["trace_id"])],
+    "adapt": lambda s, *paths: [(corpus.adapt_cases(readers.cases(s, dict(p.split("=", 1) for p in paths))), ["scenario_id"])],
+    "insights": lambda s, path, as_of: [(pipelines.page_insights(s, path, as_of), ["signal_id"])],
+    "curated": lambda s, path, as_of: [(pipelines.curated_signals(s, path, as_of), ["signal_id"])],
+    "posts": lambda s, path: [(pipelines.post_signals(s, path), ["event_id"])],
+    "feed": lambda s, path, config: [(pipelines.feed_backlog(s, path, readers.query_config(s, config)), ["signal_id"])],
+}
+
+
+def show(table: DataFrame, order: list | None) -> None:
+    for line in lines(table, order):
+        print(line)
+    print()
+
+
 def main(argv: list[str]) -> int:
     """0: done; 1: some traces are not valid; 2: nothing to read."""
     parser = argparse.ArgumentParser(prog="veriflux", description=__doc__)
-    parser.add_argument("command", choices=[*TEXT, "validate", "sentinel", "ablation", "monitor"])
+    parser.add_argument("command", choices=[*TEXT, "validate", *TABLES])
     parser.add_argument("paths", nargs="+")
+    parser.add_argument("--output", help="write tables to this folder instead of printing them")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("veriflux").getOrCreate()
     if args.command in TEXT:
@@ -29,14 +69,15 @@ def main(argv: list[str]) -> int:
         bad = checked.where(F.size("errors") > 0).select("trace_id", "errors")
         if checked.isEmpty():
             return 2
-        print(markdown(summary, ["dimension", "value"]) + "\n\n" + markdown(bad, ["trace_id"]))
-        return int(not bad.isEmpty())
-    if args.command == "ablation":
-        print(markdown(pipelines.stage_ablation(spark, args.paths[0])))
-        return 0
-    rows, summary = (pipelines.risk_sentinel if args.command == "sentinel" else pipelines.local_monitor)(spark, args.paths[0])
-    print(markdown(summary))
-    return 0
+        tables = [(summary, ["dimension", "value"]), (bad, ["trace_id"])]
+    else:
+        tables = TABLES[args.command](spark, *args.paths)
+    for i, (table, order) in enumerate(tables):
+        if args.output:
+            readers.write_json(table, f"{args.output}/{args.command}-{i}")
+        else:
+            show(table, order)
+    return int(args.command == "validate" and not bad.isEmpty())
 
 
 if __name__ == "__main__":

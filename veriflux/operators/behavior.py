@@ -24,9 +24,14 @@ def sensitivity(tool: Column) -> Column:
     return out.otherwise(OTHER_SENSITIVITY)
 
 
-def overlaps(values: Column, text: Column) -> Column:
-    """Whether a value of four or more characters occurs in the text, or shares a token with it."""
-    low, tokens = normalize(text), lineage_tokens(normalize(text))
+def text_marks(text: Column) -> Column:
+    """What overlaps() asks of a text: its lower case and its tokens."""
+    return F.struct(normalize(text).alias("low"), lineage_tokens(normalize(text)).alias("tokens"))
+
+
+def overlaps(values: Column, marks: Column) -> Column:
+    """Whether a value of four or more characters occurs in the text with these marks, or shares a token with it."""
+    low, tokens = marks["low"], marks["tokens"]
 
     def one(raw: Column) -> Column:
         value = strip(normalize(raw))
@@ -46,13 +51,13 @@ def emitting_step(action: Column, steps: Column) -> Column:
 
 
 def downstream(action: Column) -> Column:
-    """Whether an action follows from untrusted content: by label, by flag, or by its argument values."""
+    """Whether an action follows from untrusted content: by label, by flag, or by its argument values. marks_ holds the content's text_marks()."""
     untrusted, step = F.coalesce("untrusted_content", F.lit("")), emitting_step(action, F.col("steps"))
     none = F.array().cast("array<string>")
     labels = F.concat(F.coalesce(action["derived_from"], none), F.coalesce(step["derived_from"], none))
     known = F.concat(F.array(*map(F.lit, UNTRUSTED_LABELS)), F.array_compact(F.array("untrusted_source")))
     return (untrusted != "") & (
-        F.coalesce(F.arrays_overlap(labels, known), F.lit(False)) | F.coalesce(action["tainted"], F.lit(False)) | F.coalesce(step["tainted"], F.lit(False)) | overlaps(F.map_values(action["arguments"]), untrusted)
+        F.coalesce(F.arrays_overlap(labels, known), F.lit(False)) | F.coalesce(action["tainted"], F.lit(False)) | F.coalesce(step["tainted"], F.lit(False)) | overlaps(F.map_values(action["arguments"]), F.col("marks_"))
     )
 
 
@@ -79,8 +84,8 @@ def blast_radius(actions: Column) -> Column:
 def profile(traces: DataFrame) -> DataFrame:
     """A row for each trace: both detection modes, the four factors, compiled risk, recommendation, taint path."""
     none = F.array().cast("array<string>")
-    t = traces.withColumn("actions_", F.coalesce("privileged_actions_attempted", F.array()))
-    t = t.withColumn("tainted_", F.filter("actions_", downstream)).withColumn("signals_", matching(F.coalesce("untrusted_content", F.lit("")), INJECTION_SIGNALS))
+    t = traces.withColumns({"actions_": F.coalesce("privileged_actions_attempted", F.array()), "marks_": text_marks(F.col("untrusted_content"))})
+    t = t.withColumn("tainted_", F.filter("actions_", downstream)).withColumn("signals_", matching(F.coalesce("untrusted_content", F.lit("")), INJECTION_SIGNALS)).drop("marks_")
     any_, untrusted = F.size("actions_") > 0, F.coalesce("untrusted_content", F.lit("")) != ""
     t = t.select(
         "*", F.when(untrusted, 0.0).otherwise(1.0).alias("trust"),

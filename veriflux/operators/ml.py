@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import confusion_counts
+from ..functions.patterns import PROMPT_INJECTION
 
 #: Folds of a probe; buckets in which rows are ranked.
 FOLDS, BUCKETS = 5, 1024
@@ -31,21 +36,54 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(w), label)  # one row for each class
 
 
-def tfidf_pipeline(max_n: int = 3, vocabulary: int = 50_000, hashed: bool = False, n_rows: int = 1000) -> Pipeline:
-    """Word 1..n-grams, sub-linear counts, idf, unit length, balanced logistic regression.
+#: Most steps of the classifier's fit.
+MAX_ITERATIONS = 1000
 
-    idf here is ln((n+1)/(df+1)); other libraries add 1, so weights agree only
-    up to that. `hashed` needs no vocabulary pass over the corpus.
-    """
+
+def gram_pipeline(max_n: int = 3, vocabulary: int = 50_000, hashed: bool = False) -> Pipeline:
+    """Counts of word 1..n-grams. `hashed` needs no vocabulary pass over the corpus."""
     stages = [SQLTransformer(statement="SELECT *, translate(lower(text), 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc') AS plain FROM __THIS__"), RegexTokenizer(inputCol="plain", outputCol="g1", pattern=r"\b\w\w+\b", gaps=False)]
     stages += [NGram(n=n, inputCol="g1", outputCol=f"g{n}") for n in range(2, max_n + 1)]
     grams = ", ".join(f"g{n}" for n in range(1, max_n + 1))
     stages.append(SQLTransformer(statement=f"SELECT *, concat({grams}) AS grams FROM __THIS__"))
     stages.append(HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 18) if hashed else CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=vocabulary, minDF=2))
-    stages += [IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features", p=2.0), LogisticRegression(regParam=1.0 / n_rows, weightCol="weight", maxIter=50)]
     return Pipeline(stages=stages)
 
 
+def sublinear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts n of sparse vectors in the column tf become 1 + ln n."""
+    for batch in batches:
+        at = batch.schema.get_field_index("tf")
+        kind, size, indices, values = batch.column(at).flatten()  # what a vector is stored as
+        logs = pa.ListArray.from_arrays(values.offsets, pc.add(pc.ln(values.values), 1.0))
+        tf = pa.StructArray.from_arrays([kind, size, indices, logs.cast(values.type)], fields=list(batch.schema.field(at).type))
+        yield pa.RecordBatch.from_arrays([tf if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+
+class TfIdf:
+    """Word 1..n-grams, 1 + ln of counts, smooth idf ln((n + 1) / (df + 1)) + 1, unit length, balanced logistic regression.
+
+    The corpus is cut into grams twice, for the vocabulary and for the counts; the
+    fit and all scoring read kept counts.
+    """
+
+    def __init__(self, train: DataFrame, max_n: int = 3, vocabulary: int = 50_000, hashed: bool = False):
+        self.grams = gram_pipeline(max_n, vocabulary, hashed).fit(train)
+        counted = self.counted(weighted(train)).persist(StorageLevel.DISK_ONLY)
+        n = max(1, counted.count())
+        idf = IDF(inputCol="tf", outputCol="idf").fit(counted)
+        scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1), inputCol="tf", outputCol="weighed")
+        self.model = Pipeline(stages=[scale, Normalizer(inputCol="weighed", outputCol="features", p=2.0), LogisticRegression(regParam=1.0 / n, weightCol="weight", maxIter=MAX_ITERATIONS)]).fit(counted)
+        counted.unpersist()
+
+    def counted(self, rows: DataFrame) -> DataFrame:
+        counts = self.grams.transform(rows).select(*[c for c in rows.columns if c != "text"], "tf")
+        return counts.mapInArrow(sublinear, counts.schema)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(self.counted(rows.withColumn("weight", F.lit(1.0))))
+
+
 def split_fold(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
     """Rows with a fold from a hash of the key: the same in any partitioning."""
     return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
@@ -53,17 +91,14 @@ def split_fold(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
 
 def tfidf_report(docs: DataFrame) -> DataFrame:
     """Confusion counts on training folds and the held-out fold, for docs(doc_id, text, label)."""
-    rows = weighted(split_fold(docs.where("label is not null and text is not null"), "doc_id"))
-    train = rows.where("fold <> 0")
-    model = tfidf_pipeline(n_rows=max(1, train.count())).fit(train)
-    scored = model.transform(rows).select((F.col("fold") == 0).alias("held_out"), (F.col("prediction") == 1.0).alias("pred"), "label")
+    rows = split_fold(docs.where("label is not null and text is not null"), "doc_id")
+    scored = TfIdf(rows.where("fold <> 0")).score(rows).select((F.col("fold") == 0).alias("held_out"), (F.col("prediction") == 1.0).alias("pred"), "label")
     return scored.groupBy("held_out").agg(*confusion_counts(F.col("pred"), F.col("label")))
 
 
 def lexical_auc(train: DataFrame, test: DataFrame) -> float:
     """AUC of a word 1..2-gram control fitted on one data set, on another."""
-    model = tfidf_pipeline(max_n=2, n_rows=max(1, train.count())).fit(weighted(train))
-    return BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(model.transform(test.withColumn("weight", F.lit(1.0))))
+    return BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(TfIdf(train, max_n=2).score(test))
 
 
 def probe() -> Pipeline:
@@ -248,12 +283,13 @@ def mean_pool(rows: DataFrame, vector: str, by: str, digits: int) -> DataFrame:
 Scorer = Callable[[list[str]], list[float]]
 
 
-def length_scorer(texts: list[str]) -> list[float]:
-    """A stand-in for a model that is not at hand."""
-    return [min(1.0, len(t) / 4000) for t in texts]
+def pattern_scorer(texts: list[str]) -> list[float]:
+    """The built-in tier: the more injection patterns occur, ignoring case, the nearer to 1; external models take its place."""
+    patterns = [re.compile(p, re.IGNORECASE) for p in PROMPT_INJECTION]
+    return [1 - 0.5 ** sum(p.search(t) is not None for p in patterns) for t in texts]
 
 
-def score_texts(texts: DataFrame, scorer: Scorer = length_scorer, batch: int = 32, window: int = 512) -> DataFrame:
+def score_texts(texts: DataFrame, scorer: Scorer = pattern_scorer, batch: int = 32, window: int = 512) -> DataFrame:
     """Scores of an external model that reads `window` words at a time; a text has the highest of its windows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from ..functions.text import matches, matching, text_hash
 from ..operators import behavior, monitor, network, provenance, sentinel, validate
 from . import derived
 from .derived import ALERTS_SQL, ARGS, CONNECTOR, OUTCOMES_SQL, STEPS_SQL, TOOL, plant
-from .registry import query, sql_text, table
+from .registry import query, sql_text, table, texts
 
 TEXT = "coalesce(text, '')"
 
@@ -256,7 +256,14 @@ def behavior_profile(spark: SparkSession, d: str) -> DataFrame:
     return behavior.profile(derived.detonations(spark, d)).drop("taint_path")
 
 
-@query(None)
+_PATHS = f"""list_concat(
+  CASE WHEN len(sig) > 0 THEN list_concat(['untrusted_content_contains_injection_signal'], list_transform(sig[1:3], lambda p: '  signal_pattern: ' || p)) ELSE [] END,
+  CASE WHEN act AND regexp_matches('calling' || {plant(0)}, {sql_text('(?i)' + any_of(INJECTION_SIGNALS))}) THEN ['step_1_output_echoes_injection_signal'] ELSE [] END,
+  CASE WHEN act THEN ['tainted_privileged_action:' || tool || '(step=1)[to=' || vals[1] || ', amount=' || vals[2] || ', body=' || vals[3] || ']'] ELSE [] END)"""
+_SIG = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(u, {sql_text('(?i)' + portable(p))}) THEN {sql_text(p)} END" for p in INJECTION_SIGNALS) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {PROFILE_SQL}, sg AS (SELECT *, {_SIG} AS sig FROM prof) SELECT CAST(doc_id AS VARCHAR) AS trace_id, CASE WHEN u <> '' THEN {_PATHS} ELSE [] END AS taint_path FROM sg")
 def taint_narrative(spark: SparkSession, d: str) -> DataFrame:
     return behavior.profile(derived.detonations(spark, d)).select("trace_id", "taint_path")
 
@@ -276,7 +283,7 @@ def naive_detector(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, {' + '.join(f'CAST(regexp_matches({_P0}, {sql_text(chr(40) + chr(63) + chr(105) + chr(41) + portable(p))}) AS INTEGER)' for p in PROMPT_INJECTION)} AS n_patterns, regexp_matches({_P0}, {sql_text('(?i)' + any_of(PROMPT_INJECTION))}) AS regex_tier, contains(lower({_P0}), 'ignore previous instructions') AS keyword_tier FROM documents")
 def regex_multi_match(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr(_P0)
-    return table(spark, d, "documents").select("doc_id", F.size(matching(text, PROMPT_INJECTION)).alias("n_patterns"), matches(text, PROMPT_INJECTION).alias("regex_tier"), F.contains(F.lower(text), F.lit("ignore previous instructions")).alias("keyword_tier"))
+    return texts(spark, d).select("doc_id", F.size(matching(text, PROMPT_INJECTION)).alias("n_patterns"), matches(text, PROMPT_INJECTION).alias("regex_tier"), F.contains(F.lower(text), F.lit("ignore previous instructions")).alias("keyword_tier"))
 
 
 @query(f"""WITH {PROFILE_SQL}, q AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'injection' WHEN 1 THEN 'benign' ELSE 'ambiguous' END AS gt, CAST(act AS INTEGER) AS np, doc_id % 4 AS att, least(doc_id % 4, doc_id % 3) AS val, prov, prec, doc_id % 8 = 1 AS naive FROM prof)
@@ -345,7 +352,7 @@ def multiclass_prf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, list_filter([{', '.join(f'CASE WHEN contains(lower({_P0}), {sql_text(m)}) THEN {sql_text(m)} END' for m in validate.FORBIDDEN_MARKERS)}], lambda x: x IS NOT NULL) AS markers FROM documents")
 def content_guard(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", validate.forbidden_markers(F.expr(_P0)).alias("markers"))
+    return texts(spark, d).select("doc_id", validate.forbidden_markers(F.expr(_P0)).alias("markers"))
 
 
 __all__ = ["OUTCOMES_SQL", "TASK_PRIVILEGED"]

@@ -10,7 +10,7 @@ from ..functions.text import clean, excerpt, lineage_tokens, stable_id, strip_ta
 from ..operators import behavior, corpus, intake, ontology, triage, validate
 from . import derived
 from .derived import OUTCOMES_SQL
-from .registry import query, sql_text, table
+from .registry import query, sql_text, table, texts
 
 # ---- ontology -------------------------------------------------------------
 
@@ -28,7 +28,7 @@ ax AS (SELECT doc_id, [CASE WHEN regexp_matches(low, {sql_text(portable(RETRIEVE
 
 @query(f"WITH {AXES_SQL} SELECT * FROM ax")
 def ontology_axes(spark: SparkSession, d: str) -> DataFrame:
-    return ontology.classify(table(spark, d, "documents"), "doc_id")
+    return ontology.classify(texts(spark, d), "doc_id")
 
 
 DIST_SQL = "u AS (" + " UNION ALL ".join(f"SELECT '{a}' AS axis, unnest({a}) AS node FROM ax" for a in ("injection_type", "delivery_vector", "technique", "goal")) + ")"
@@ -36,17 +36,17 @@ DIST_SQL = "u AS (" + " UNION ALL ".join(f"SELECT '{a}' AS axis, unnest({a}) AS
 
 @query(f"WITH {AXES_SQL}, {DIST_SQL} SELECT axis, node, count(*) AS n, count(*) / (SELECT count(*) FROM ax) AS share FROM u GROUP BY axis, node")
 def ontology_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return ontology.distribution(ontology.classify(table(spark, d, "documents"), "doc_id"))
+    return ontology.distribution(ontology.classify(texts(spark, d), "doc_id"))
 
 
 @query(f"WITH {AXES_SQL} SELECT count(*) AS n, count(*) FILTER (len(technique) > 1) AS multi_technique, count(*) FILTER (technique = ['UNKNOWN']) AS no_technique FROM ax")
 def multi_technique_rate(spark: SparkSession, d: str) -> DataFrame:
-    return ontology.rates(ontology.classify(table(spark, d, "documents"), "doc_id"))
+    return ontology.rates(ontology.classify(texts(spark, d), "doc_id"))
 
 
 @query(f"WITH {AXES_SQL}, {DIST_SQL} SELECT node, n, CASE node {' '.join(f'WHEN {sql_text(k)} THEN {sql_text(v)}' for k, v in ontology.TECHNIQUE_LABELS.items())} ELSE node END AS label FROM (SELECT node, count(*) AS n FROM u WHERE axis = 'technique' GROUP BY node ORDER BY n DESC, node LIMIT 3)")
 def topk_labels(spark: SparkSession, d: str) -> DataFrame:
-    counts = ontology.distribution(ontology.classify(table(spark, d, "documents"), "doc_id")).where("axis = 'technique'").select("node", "n")
+    counts = ontology.distribution(ontology.classify(texts(spark, d), "doc_id")).where("axis = 'technique'").select("node", "n")
     return ontology.labelled(ontology.most_common(counts, 3)).select("node", "n", "label")
 
 
@@ -62,7 +62,7 @@ def _clean_sql(x: str) -> str:
 @query(f"SELECT doc_id, sha256({_clean_sql('text')}) AS clean_sha, substr({_clean_sql('text')}, 1, 160) AS excerpt, substr(sha256(text), 1, 16) AS text_hash, 'DOC-' || upper(substr(sha1(source || '||' || lang), 1, 10)) AS stable_id FROM documents")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.sha2(clean(t), 256).alias("clean_sha"), excerpt(t).alias("excerpt"), text_hash(t).alias("text_hash"), stable_id("DOC", F.col("source"), F.col("lang")).alias("stable_id"))
+    return texts(spark, d).select("doc_id", F.sha2(clean(t), 256).alias("clean_sha"), excerpt(t).alias("excerpt"), text_hash(t).alias("text_hash"), stable_id("DOC", F.col("source"), F.col("lang")).alias("stable_id"))
 
 
 def _strip_sql(x: str) -> str:
@@ -132,12 +132,12 @@ _TOKS = "list_filter(list_distinct(regexp_extract_all(lower({0}), " + sql_text(L
 @query(f"SELECT doc_id, CAST(len({_TOKS.replace('{0}', 'text')}) AS INTEGER) AS n_tokens, sha256(array_to_string(list_sort({_TOKS.replace('{0}', 'text')}), ' ')) AS tokens_sha FROM documents")
 def lineage_token_sets(spark: SparkSession, d: str) -> DataFrame:
     toks = lineage_tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(toks).alias("n_tokens"), F.sha2(F.array_join(F.array_sort(toks), " "), 256).alias("tokens_sha"))
+    return texts(spark, d).select("doc_id", F.size(toks).alias("n_tokens"), F.sha2(F.array_join(F.array_sort(toks), " "), 256).alias("tokens_sha"))
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text)))")
 def lineage_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return intake.verbatim(table(spark, d, "benchmark"), table(spark, d, "documents"))
+    return intake.verbatim(table(spark, d, "benchmark"), texts(spark, d))
 
 
 # ---- dedupe and sampling ---------------------------------------------------
@@ -145,7 +145,7 @@ def lineage_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, source, n_copies FROM (SELECT *, row_number() OVER (PARTITION BY substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 300) ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 300)) AS n_copies FROM documents) WHERE r = 1")
 def prefix_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.prefix_dedupe(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), "text", "doc_id").drop("text")
+    return corpus.prefix_dedupe(texts(spark, d).select("doc_id", "text", "lang", "source"), "text", "doc_id").drop("text")
 
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 25")
@@ -267,24 +267,21 @@ def signal_merge(spark: SparkSession, d: str) -> DataFrame:
     return corpus.merge_signals(derived.signals(spark, d), "ord").select("key", "signal_id", "notes")
 
 
-_LIT_DELTA = [("d1", ["tool_calling", "memory"], ["write", "send"]), ("d2", ["connector"], ["read"]), ("d3", ["governance", "tool_calling", "connector"], ["a", "b", "c", "d"])]
-_LIT_RISK = [("r1", ["tool_calling"], ["e1"]), ("r2", ["connector", "governance"], []), ("r3", ["final_output"], ["e1", "e2"]), ("r4", ["memory", "tool_calling"], ["e1", "e2", "e3", "e4"])]
+_DELTA = "p_name || p_partkey AS name, [lower(p_brand), 'size' || p_size % 7, 'x' || p_partkey % 11] AS surfaces, CASE p_partkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['a'] ELSE ['a', 'b', 'c', 'd'] END AS new_authorities"
+_RISK = "s_name AS name, ['size' || s_suppkey % 9, 'x' || s_suppkey % 13, 'governance'] AS surfaces, CASE s_suppkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['e', 'f'] ELSE ['e', 'f', 'g', 'h'] END AS known_evidence"
+_CELL = "len(list_intersect(ds, rs)) * 4 + least(len(au), 3) * 2 + least(len(ev), 3)"
+_SHARED = "list_sort(list_intersect(ds, rs))"
 
 
-def _values(rows) -> str:
-    lit = lambda v: "[" + ", ".join(map(sql_text, v)) + "]" if isinstance(v, list) else sql_text(v)
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
-
-
-_CELL = """len(list_intersect(ds, rs)) * 4 + least(len(au), 3) * 2 + least(len(ev), 3)"""
-
-
-@query(f"""WITH dl(delta, ds, au) AS (VALUES {_values(_LIT_DELTA)}), rk(risk, rs, ev) AS (VALUES {_values([(a, b, c or ['']) for a, b, c in _LIT_RISK])}), rk2 AS (SELECT risk, rs, list_filter(ev, lambda x: x <> '') AS ev FROM rk)
-SELECT delta, risk, CAST({_CELL} AS INTEGER) AS score, CASE WHEN {_CELL} >= 13 THEN 'probe_now' ELSE 'watchlist' END AS status, list_sort(list_intersect(ds, rs)) AS overlap FROM dl, rk2 WHERE len(list_intersect(ds, rs)) > 0 AND {_CELL} >= 8""")
+@query(f"""WITH dl AS (SELECT name AS delta, surfaces AS ds, new_authorities AS au FROM (SELECT {_DELTA} FROM part)), rk AS (SELECT name AS risk, surfaces AS rs, known_evidence AS ev FROM (SELECT {_RISK} FROM supplier))
+SELECT delta, risk, CAST({_CELL} AS INTEGER) AS score, CASE WHEN {_CELL} >= 13 THEN 'probe_now' ELSE 'watchlist' END AS status, {_SHARED} AS overlap,
+ 'Create a synthetic fixture for ' || delta || ' x ' || risk || ' covering ' || array_to_string({_SHARED}, ', ') || '; avoid raw exploit content and score first useful intervention point.' AS safe_probe FROM dl, rk WHERE len(list_intersect(ds, rs)) > 0 AND {_CELL} >= 8""")
 def delta_matrix(spark: SparkSession, d: str) -> DataFrame:
-    deltas = spark.createDataFrame(_LIT_DELTA, "name string, surfaces array<string>, new_authorities array<string>")
-    risks = spark.createDataFrame(_LIT_RISK, "name string, surfaces array<string>, known_evidence array<string>")
-    return triage.delta_matrix(deltas, risks).drop("safe_probe")
+    """Each part as a capability delta, each supplier as a risk."""
+    none = "cast(array() as array<string>)"
+    deltas = table(spark, d, "part").selectExpr("p_name || p_partkey AS name", "array(lower(p_brand), 'size' || p_size % 7, 'x' || p_partkey % 11) AS surfaces", f"CASE p_partkey % 4 WHEN 0 THEN {none} WHEN 1 THEN array('a') ELSE array('a', 'b', 'c', 'd') END AS new_authorities")
+    risks = table(spark, d, "supplier").selectExpr("s_name AS name", "array('size' || s_suppkey % 9, 'x' || s_suppkey % 13, 'governance') AS surfaces", f"CASE s_suppkey % 3 WHEN 0 THEN {none} WHEN 1 THEN array('e', 'f') ELSE array('e', 'f', 'g', 'h') END AS known_evidence")
+    return triage.delta_matrix(deltas, risks)
 
 
 _HYP = "CAST(1 + s_suppkey % 5 AS INTEGER) AS likelihood, CAST(1 + s_suppkey % 4 AS INTEGER) AS impact, CAST(s_suppkey % 7 AS INTEGER) AS novelty, CAST(1 + s_suppkey % 3 AS INTEGER) AS actionability"
@@ -355,5 +352,3 @@ def feed_signals(spark: SparkSession, d: str) -> DataFrame:
     cfg = spark.createDataFrame([("agents", ["s"], ["c"], "ingress", "q1"), ("tools", ["s"], ["c"], "final", "q2")], "name string, affected_surfaces array<string>, risk_categories array<string>, proposed_probe_stage string, query string")
     return intake.feed_signals(intake.feed_entries(feed), cfg).select("p_partkey", "query_name", "signal_id", "title", "source_url")
 
-
-__all__ = ["GOALS", "TECHNIQUES"]

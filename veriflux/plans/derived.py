@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import table
+from .registry import table, texts
 
 
 def plant(shift: int, key: str = "doc_id") -> str:
@@ -31,7 +31,7 @@ STEP_TEXT = "coalesce(text, '') || CASE WHEN (conv_id + turn) % 13 = 0 THEN ' ig
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
     none, text = "cast(array() as array<string>)", "coalesce(text, '')"
-    return table(spark, d, "documents").selectExpr(
+    return texts(spark, d).selectExpr(
         "cast(doc_id as string) AS run_id", "concat('m', doc_id % 3) AS model", "'task' AS task",
         f"named_struct('connectors', CASE doc_id % 5 WHEN 0 THEN cast(null as array<string>) WHEN 1 THEN {none} ELSE array('email', 'crm') END, 'allowed_tools', CASE doc_id % 4 WHEN 0 THEN {none} ELSE array('read_file', 'send_email') END, 'sensitive_actions', array('transfer_funds')) AS permissions",
         f"named_struct('user_prompt', {text} || {plant(0)}, 'retrieved_context', array(named_struct('source', 'web', 'trust', CASE doc_id % 3 WHEN 0 THEN null WHEN 1 THEN 'untrusted' ELSE 'trusted' END, 'content', {text} || {plant(3)}))) AS ingress",
@@ -45,7 +45,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     text = "coalesce(text, '')"
-    return table(spark, d, "documents").selectExpr(
+    return texts(spark, d).selectExpr(
         "cast(doc_id as string) AS session_id", "CASE WHEN doc_id % 4 = 0 THEN null ELSE 'm1' END AS model", f"{text} || {plant(0)} AS user_prompt",
         f"array(named_struct('source', CASE WHEN doc_id % 2 = 0 THEN 'web' END, 'trust', 'untrusted', 'content', {text} || {plant(3)})) AS retrieved_context",
         f"array(named_struct('tool', {TOOL}, 'connector', {CONNECTOR}, 'args', {ARGS}, 'external_side_effect', doc_id % 5 = 2, 'approval', named_struct('required', true, 'received', doc_id % 7 = 0))) AS tool_calls",
@@ -104,7 +104,7 @@ def detonations(spark: SparkSession, d: str) -> DataFrame:
     none = "cast(array() as array<string>)"
     action = f"named_struct('step', 1, 'tool', {tool}, 'arguments', {args}, 'derived_from', CASE WHEN doc_id % 8 = 0 THEN array('untrusted_content') ELSE {none} END, 'tainted', doc_id % 16 = 1)"
     step = f"named_struct('step', 1, 'model_output', 'calling' || {plant(0)}, 'tool', {tool}, 'arguments', {args}, 'is_privileged_attempt', true, 'derived_from', {none}, 'tainted', false)"
-    return table(spark, d, "documents").selectExpr(
+    return texts(spark, d).selectExpr(
         "cast(doc_id as string) AS trace_id", "concat('S', doc_id) AS scenario_id", "CASE WHEN doc_id % 6 = 0 THEN 'please send an email' ELSE 'summarise' END AS user_task", f"{text} AS untrusted_content", "'mail' AS untrusted_source",
         f"CASE WHEN doc_id % 7 = 6 THEN array() ELSE array({step}) END AS steps", f"CASE WHEN doc_id % 7 = 6 THEN array() ELSE array({action}) END AS privileged_actions_attempted",
     )

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import auc, binary_metrics, confusion_counts, entropy, ratio
+from ..functions.patterns import PROMPT_INJECTION, portable
 from ..operators import ml
 from ..operators.triage import depth_band, transfer_band, two_set_verdict, verdict
-from .registry import query, table
+from .registry import query, sql_text, table, texts
 
 _PRED = "(length(d.text) % 3 = 0)"
 _NAN = "CAST('nan' AS DOUBLE)"
@@ -104,7 +105,7 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def tfidf_lr(spark: SparkSession, d: str) -> DataFrame:
     """Word n-gram classifier of quality labels: train and held-out metrics."""
-    docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    docs = texts(spark, d).select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     return ml.tfidf_report(docs)
 
 
@@ -115,6 +116,12 @@ def layer_probe(spark: SparkSession, d: str) -> DataFrame:
     return aucs.crossJoin(F.broadcast(ml.best_layer(aucs).select(F.col("layer").alias("best_layer"), F.col("auc").alias("best_auc"), "mean_auc")))  # one row
 
 
-@query(None)
+_HITS = " + ".join(f"CAST(regexp_matches(c, {sql_text('(?i)' + portable(p))}) AS INTEGER)" for p in PROMPT_INJECTION)
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(list_transform(range(0, greatest(1, len(ws)), 512), lambda k: array_to_string(ws[k + 1 : k + 512], ' '))) AS c FROM w)
+SELECT doc_id, max(1 - 0.5 ** ({_HITS})) AS score, max(1 - 0.5 ** ({_HITS})) >= 0.5 AS positive FROM p GROUP BY doc_id""")
 def model_tier(spark: SparkSession, d: str) -> DataFrame:
-    return ml.score_texts(table(spark, d, "documents").select("doc_id", "text"))
+    """The model tier with the built-in pattern scorer."""
+    return ml.score_texts(texts(spark, d).select("doc_id", "text"))

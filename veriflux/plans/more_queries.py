@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_values
 from ..functions.metrics import binary_metrics
-from ..operators import behavior, corpus, validate
+from ..operators import behavior, corpus, operating, validate
 from ..operators.network import RAW_FIELD_NAMES
 from . import derived
 from .registry import query, table
@@ -63,9 +63,37 @@ def scenario_labels(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.coalesce(F.expr("CASE WHEN p_partkey % 4 <> 0 THEN p_brand END"), F.lit("unknown")).alias("label"), corpus.param_label(F.concat("p_name", F.lit(" 7b"))).alias("params"))
 
 
-@query("""WITH m AS (SELECT o_orderkey, o_orderstatus, date_diff('day', o_orderdate, TIMESTAMP '1998-08-02') AS age, o_orderkey % 8 NOT IN (0, 1) AS owned FROM orders)
-SELECT o_orderstatus AS status, count(*) AS n, count(*) FILTER (owned) / count(*) AS ownership, CAST(quantile_cont(age, 0.5) AS DOUBLE) AS median_age, CAST(quantile_cont(age, 0.9) AS DOUBLE) AS p90_age FROM m GROUP BY 1""")
+_DAY = "CAST(o_orderdate AS DATE)"
+_RISK_SQL = f"""risk AS (SELECT o_orderpriority, 'c' || o_orderkey % 60 AS cell, o_orderkey % 8 NOT IN (0, 1) AS owned, o_orderkey % 3 <> 0 AS evidenced, {_DAY} AS created, CASE WHEN o_orderkey % 5 <> 0 THEN {_DAY} + CAST(o_orderkey % 40 AS INTEGER) END AS decided, o_orderstatus = 'F' AS closed, o_orderkey % 13 = 0 AS reopened,
+ CASE o_orderkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END IN ('high', 'critical') AS high, CASE o_orderkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'deployed' WHEN 2 THEN 'none' ELSE 'proposed' END AS mitigation_status, {_DAY} + CAST(o_orderkey % 90 AS INTEGER) AS next_review, CASE WHEN o_orderkey % 7 <> 0 THEN {_DAY} + CAST(o_orderkey % 100 AS INTEGER) END AS reviewed,
+ CASE WHEN o_orderkey % 4 = 0 THEN {_DAY} - CAST(o_orderkey % 30 AS INTEGER) END AS first_signal FROM orders)"""
+
+
+def _risks(spark: SparkSession, d: str) -> DataFrame:
+    """One risk record for each order."""
+    day = "cast(o_orderdate as date)"
+    return table(spark, d, "orders").selectExpr(
+        "o_orderpriority", "concat('c', o_orderkey % 60) AS cell", "CASE o_orderkey % 8 WHEN 0 THEN ' ' ELSE 'ana' END AS owner", "o_orderkey % 8 <> 1 AS acknowledged", "o_orderkey % 3 <> 0 AS evidenced", f"{day} AS created", f"CASE WHEN o_orderkey % 5 <> 0 THEN date_add({day}, cast(o_orderkey % 40 as int)) END AS decided",
+        "o_orderstatus = 'F' AS closed", "o_orderkey % 13 = 0 AS reopened", "CASE o_orderkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity", "CASE o_orderkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'deployed' WHEN 2 THEN null ELSE 'proposed' END AS mitigation_status",
+        f"date_add({day}, cast(o_orderkey % 90 as int)) AS next_review", f"CASE WHEN o_orderkey % 7 <> 0 THEN date_add({day}, cast(o_orderkey % 100 as int)) END AS reviewed", f"CASE WHEN o_orderkey % 4 = 0 THEN date_sub({day}, cast(o_orderkey % 30 as int)) END AS first_signal",
+    )
+
+
+@query(f"""WITH {_RISK_SQL} SELECT o_orderpriority, count(*) AS n_risks, count(DISTINCT CASE WHEN owned AND evidenced THEN cell END) / 64 AS coverage, count(*) FILTER (NOT closed AND owned) / nullif(count(*) FILTER (NOT closed), 0) AS ownership,
+ CAST(quantile_cont(decided - created, 0.5) AS DOUBLE) AS median_latency, CAST(quantile_cont(decided - created, 0.9) AS DOUBLE) AS p90_latency, CAST(max(CASE WHEN NOT closed AND high THEN DATE '1998-08-02' - created END) AS INTEGER) AS oldest_open_high, count(*) FILTER (closed) / count(*) AS closure_rate, count(*) FILTER (closed AND reopened) / nullif(count(*) FILTER (closed), 0) AS reopen_rate,
+ count(*) FILTER (high AND reviewed <= next_review) / nullif(count(*) FILTER (high), 0) AS freshness, CAST(quantile_cont(created - first_signal, 0.5) AS DOUBLE) AS median_lead, count(first_signal) AS n_dated_signals FROM risk GROUP BY o_orderpriority""")
 def operating_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Ownership and age of open records by status, at a fixed date."""
-    o = table(spark, d, "orders").select("o_orderstatus", F.datediff(F.lit("1998-08-02").cast("timestamp"), "o_orderdate").alias("age"), (~F.expr("o_orderkey % 8").isin(0, 1)).alias("owned"))
-    return o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), (F.count_if("owned") / F.count("*")).alias("ownership"), F.percentile("age", 0.5).alias("median_age"), F.percentile("age", 0.9).alias("p90_age"))
+    """The metrics of risks by priority, at a fixed date."""
+    return operating.risk_metrics(_risks(spark, d), 64, "1998-08-02", "o_orderpriority")
+
+
+@query(f"WITH {_RISK_SQL} SELECT mitigation_status, count(*) AS n FROM risk WHERE NOT closed GROUP BY 1")
+def mitigation_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return operating.mitigation_distribution(_risks(spark, d))
+
+
+@query("""SELECT event_type, count(*) AS n_signals, count(*) FILTER (event_id % 9 <> 0 AND event_id % 6 <= 3) / count(*) AS triaged_in_time, count(*) FILTER (event_id % 2 = 0 AND event_id % 3 = 0) / nullif(count(*) FILTER (event_id % 2 = 0), 0) AS conversion, count(*) FILTER (event_id % 11 = 0) AS n_dismissed FROM events GROUP BY 1""")
+def signal_conversion(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as an intake signal."""
+    s = table(spark, d, "events").selectExpr("event_type", "cast(ts as date) AS received", "CASE WHEN event_id % 9 <> 0 THEN date_add(cast(ts as date), cast(event_id % 6 as int)) END AS triaged", "event_id % 2 = 0 AS material", "event_id % 3 = 0 AS traced", "event_id % 11 = 0 AS dismissed")
+    return operating.signal_conversion(s, 3, "event_type")

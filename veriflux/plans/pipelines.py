@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.metrics import class_metrics
 from ..operators import behavior, corpus, intake, monitor, network, ontology, provenance, sentinel, triage, validate
 from ..sources import readers
 from .report import Section, report
@@ -30,6 +31,26 @@ def local_monitor(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return events, monitor.monitor_summary(events)
 
 
+def monitored(spark: SparkSession, path: str, rules: str | None = None) -> DataFrame:
+    """Monitor events of saved sessions, by the built-in rules or by a rule pack."""
+    pack = monitor.rules_of(readers.rule_pack(spark, rules)) if rules else monitor.RULES
+    return monitor.monitor_events(readers.sessions(spark, path), pack)
+
+
+def rubric_eval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Confusion counts of expected and found categories of saved evaluation cases, and metrics of each."""
+    cases = readers.eval_cases(spark, path).select(F.coalesce("expected_failure_category", F.lit("good")).alias("expected"), validate.rubric_category(F.col("input_trace")).alias("predicted"))
+    return cases.groupBy("expected", "predicted").agg(F.count("*").alias("n")), class_metrics(cases, "expected", "predicted")
+
+
+def curated_signals(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+    return intake.curated(readers.curated_csv(spark, path), as_of)
+
+
+def post_signals(spark: SparkSession, path: str) -> DataFrame:
+    return intake.posts(*readers.posts_payload(spark, path))
+
+
 def network_report(spark: SparkSession, path: str) -> str:
     nodes = network.assert_privacy_safe(readers.nodes(spark, path))
     return report("Shared signal triage", [Section("Counts", network.network_counts(nodes), ["dimension", F.desc("n"), "value"]), Section("Events", network.scored_events(nodes), [F.desc("score"), "event_id"])])

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
 
-#: A report is a summary; a larger table belongs in a file.
-MAX_ROWS = 1000
-
 
 def percent(x: float | None) -> str:
     return "n/a" if x is None or x != x else f"{100 * x:.1f}%"
@@ -32,12 +30,16 @@ def cell(v: Any) -> str:
 
 
 def markdown(df: DataFrame, order: list | None = None) -> str:
-    """A Markdown table of an aggregate; more than MAX_ROWS rows are an error, never cut silently."""
-    rows = (df.orderBy(*order) if order else df).limit(MAX_ROWS + 1).collect()
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} rows: write the table instead")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows])
+    """A Markdown table of an aggregate."""
+    return "\n".join(lines(df, order))
+
+
+def lines(df: DataFrame, order: list | None = None) -> Iterator[str]:
+    """The lines of a Markdown table; rows come one partition at a time, however many they are."""
+    yield "| " + " | ".join(df.columns) + " |"
+    yield "|" + "---|" * len(df.columns)
+    for r in (df.orderBy(*order) if order else df).toLocalIterator():
+        yield "| " + " | ".join(map(cell, r)) + " |"
 
 
 @dataclass

@@ -7,12 +7,15 @@ nothing is read on the driver.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 
 CORRUPT = "_corrupt_record"
+#: Below this size on disk a table may have fewer splits than there are cores.
+SMALL_BYTES = 32 << 20
 
 
 def json_files(spark: SparkSession, path: str, schema: str, recursive: bool = True) -> DataFrame:
@@ -26,6 +29,17 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, {CORRUPT} STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files, dealt to all cores for work that is heavy for its size.
+
+    A row group is read by one task, so one such file would keep one core busy.
+    Tables of SMALL_BYTES or more have splits of their own, and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES and len(df.inputFiles()) < cores else df
+
+
 def valid(df: DataFrame) -> DataFrame:
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
@@ -46,6 +60,20 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
     return valid(json_files(spark, path, schemas.SESSION))
 
 
+def rule_pack(spark: SparkSession, path: str) -> DataFrame:
+    """Signature rules as data; operators.monitor.rules_of makes rules of them."""
+    return valid(json_files(spark, path, schemas.RULE))
+
+
+def monitor_results(spark: SparkSession, path: str) -> DataFrame:
+    """The events of saved monitor results."""
+    return valid(json_files(spark, path, f"events ARRAY<STRUCT<{schemas.MONITOR_EVENT}>>")).select(F.explode("events").alias("e")).select("e.*")
+
+
+def query_config(spark: SparkSession, path: str) -> DataFrame:
+    return valid(json_files(spark, path, schemas.QUERY_CONFIG))
+
+
 def nodes(spark: SparkSession, path: str) -> DataFrame:
     return valid(json_files(spark, path, schemas.NODE))
 
@@ -135,6 +163,27 @@ def posts_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return items, users
 
 
+def append_once(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Appends, as lines of JSON, the rows whose key the file does not have yet; gives these rows."""
+    fields = df.schema
+    try:
+        have = df.sparkSession.read.schema(fields).json(path).select(key).distinct()
+        df = df.join(have, key, "left_anti")
+    except AnalysisException:
+        pass  # nothing has been written there yet
+    df.write.mode("append").json(path)
+    return df
+
+
+def read_through(spark: SparkSession, path: str, build) -> DataFrame:
+    """A kept table, built and written where it is not there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.parquet(path)
+        return spark.read.parquet(path)
+
+
 def write_json(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Line-delimited JSON; with partition_by, one folder for each value."""
     w = df.write.mode("overwrite")

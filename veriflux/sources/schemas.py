@@ -62,6 +62,10 @@ RISK = "risk_id STRING, name STRING, surfaces ARRAY<STRING>, known_evidence ARRA
 HYPOTHESIS = """risk_id STRING, title STRING, thesis STRING, likelihood INT, impact INT, novelty INT, actionability INT, confidence STRING,
  affected_surfaces ARRAY<STRING>, why_might_be_under_instrumented STRING, likely_failure_path STRING, early_indicators ARRAY<STRING>,
  safe_probe STRING, decision_needed STRING, sources ARRAY<STRUCT<label: STRING, url: STRING>>"""
+RULE = """signature_id STRING, name STRING, target STRING, category STRING, severity STRING, patterns ARRAY<STRING>, requires_external_side_effect BOOLEAN, requires_missing_approval BOOLEAN, sensitive_terms ARRAY<STRING>,
+ thresholds STRUCT<tool_choice_entropy_min: DOUBLE, top_choice_margin_max: DOUBLE, sample_disagreement_min: DOUBLE>, recommended_action STRING"""
+MONITOR_EVENT = "session_id STRING, model STRING, signature_id STRING, signature_name STRING, category STRING, severity STRING, stage STRING, match STRING, evidence_excerpt STRING, evidence_hash STRING, recommended_action STRING"
+QUERY_CONFIG = "name STRING, query STRING, affected_surfaces ARRAY<STRING>, risk_categories ARRAY<STRING>, proposed_probe_stage STRING"
 LABELLED = "text STRING, label INT, split STRING"
 EVAL_CASE = f"id STRING, category STRING, expected_label STRING, expected_failure_category STRING, rationale STRING, input_trace STRUCT<{TRACE}>"
 REGISTER = "risk_id STRING, title STRING, surface STRING, category STRING, severity STRING, likelihood STRING, owner STRING, status STRING, mitigation STRING, residual_risk STRING, approval_gate STRING, next_review STRING, notes STRING"
