@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread
 from . import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, secrets, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one of few files is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
