@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch of whole texts; keeps a batch of long texts small.
 TEXT_BATCH_ROWS = 1000
 
+#: A bitmap of ids has so many words of 64 bits at least and at most: 1 << 18 of them are 3 MB to broadcast.
+FEWEST_WORDS, MOST_WORDS = 1 << 10, 1 << 18
+
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -87,6 +90,20 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def likely(rows: DataFrame, ids: DataFrame, name: str = "likely") -> DataFrame:
+    """rows with a boolean: false only where their doc_id, null included, is not among ids(doc_id).
+
+    A bitmap of hashes, of at most MOST_WORDS words, goes to all tasks, so that
+    a join afterwards need not shuffle texts that it would drop.
+    """
+    words = min(MOST_WORDS, max(FEWEST_WORDS, 1 << (ids.count() // 4).bit_length()))  # some 16 bits an id
+    hashed = F.xxhash64("doc_id")
+    word, bit = F.pmod(F.shiftright(hashed, 6), F.lit(words)).cast("int"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")
+    bitmap = ids.select(word.alias("word__"), bit.alias("bit__")).groupBy("word__").agg(F.bit_or("bit__").alias("bits__"))
+    marked = rows.withColumn("at__", word).join(F.broadcast(bitmap), F.col("at__") == F.col("word__"), "left")  # at most MOST_WORDS rows of 12 bytes
+    return marked.select(*rows.columns, (F.coalesce("bits__", F.lit(0).cast("long")).bitwiseAND(bit) != 0).alias(name))
+
+
 def survivors(docs: DataFrame, verdicts: DataFrame, keys: list[str], keyed) -> DataFrame:
     """The rows of docs that verdicts(doc_id, kept, *keys) keep, one of those with equal doc_id and keys.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def components(links: DataFrame, tmp: Scratch, name: str = "components", one_tas
         done = tmp.save(edges.coalesce(1).mapInArrow(all_stars, "u long, v long"), f"{name}-done")
         tmp.drop(f"{name}-0")
         return done.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-    for step in range(1, 64):
+    for step in count(1):
         # small star: a node's smaller neighbours, and itself, move to the smallest of them
         least = tmp.save(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n")), f"{name}-least-{step}")
         loose = least.where("n > 1").select("u").limit(1).count()
@@ -86,4 +87,3 @@ def components(links: DataFrame, tmp: Scratch, name: str = "components", one_tas
         tmp.drop(f"{name}-{step - 1}", f"{name}-least-{step}")
         edges = tmp.save(moved.where("u <> v").union(stars.join(around, "u").select("u", F.col("m").alias("v")).where("u <> v")).distinct(), f"{name}-{step}")
         tmp.drop(f"{name}-small-{step}", f"{name}-around-{step}")
-    raise RuntimeError("components did not settle in 64 rounds")

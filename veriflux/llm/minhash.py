@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, Scratch, id_text, mix64, partitions, small_text_batches, spread, survivors, to_batch
+from .common import LOWER_AZ, Scratch, id_text, likely, mix64, partitions, small_text_batches, spread, survivors, to_batch
 from .components import components
 
 CHUNKS, WIDTH, ERRORS, BITS = 10, 5, 1, 16
@@ -297,12 +297,13 @@ def tiles(large: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame,
     stray = F.col("comp") != F.col("main")
     united = open_.groupBy("main", "id").agg(F.max(stray.cast("int")).alias("stray"))
     united = united.groupBy("main").agg((F.count("*") * F.sum("stray")).cast("double").alias("united"))
-    own = united.join(main.groupBy("main").agg(F.sum("work").alias("work")), "main").where("united > work").select("main", F.lit(True).alias("split"))
-    keyed = open_.join(own, "main", "left").select("main", F.when(F.col("split"), F.col("bucket")).alias("bucket"), "id", "comp")
+    split = united.join(main.groupBy("main").agg(F.sum("work").alias("work")), "main").where("united > work").select("main", F.lit(True).alias("split"))
+    chosen = tmp.save(main.join(split, "main", "left").select("bucket", "main", F.when(F.col("split"), F.col("bucket")).alias("own")), "chosen")
+    keyed = placed.join(chosen, "bucket").select("main", F.col("own").alias("bucket"), "id", "comp")
     keyed = tmp.save(keyed.groupBy("main", "bucket", "id", "comp").agg(F.lit(1).alias("one")).drop("one"), "keyed")
     parts = lambda n: (F.floor((n - 1) / BLOCK) + 1).cast("int")
     counts = keyed.groupBy("main", "bucket").agg(parts(F.count("*")).alias("blocks"), parts(F.sum(stray.cast("int"))).alias("parts"))
-    counts = counts.select(F.col("main").alias("main_"), F.col("bucket").alias("bucket_"), "blocks", "parts")
+    counts = tmp.save(counts.select(F.col("main").alias("main_"), F.col("bucket").alias("bucket_"), "blocks", "parts"), "counts")
     group = keyed.join(counts, (F.col("main") == F.col("main_")) & F.col("bucket").eqNullSafe(F.col("bucket_")))
     group = group.select(F.xxhash64("main", "bucket").alias("group"), "blocks", "parts", "id", "comp", stray.alias("stray"))
     full = group.join(nodes.select("id", "signature"), "id").join(sets.dropDuplicates(["id"]), "id")
@@ -375,7 +376,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
     # full sets of the nodes that may have a link; the members of a large bucket are among them
     large = pairs.where("bucket <> 0")
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).union(large.select("a")).union(large.select("b")).distinct()
-    sets = tmp.save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(shingle_sets, "id long, shingles array<long>"), "sets")
+    wanted = tmp.save(wanted, "wanted")
+    near_texts = likely(texts, wanted).where("likely").select("doc_id", "text")
+    sets = tmp.save(near_texts.join(wanted, "doc_id", "left_semi").mapInArrow(shingle_sets, "id long, shingles array<long>"), "sets")
 
     # each node's first pair, then its first three that still lead elsewhere, then all that do
     links, comp = None, None

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_text
+from .common import Scratch, id_text, partitions
 
 WEIGHTS = (3, 1, 2)
 SHARE, CEILING = 1.5, 2.0
@@ -172,17 +172,22 @@ def drawn(rows: DataFrame, plans: list[Plan], seed: int, shards: int, *more: str
     )
 
 
-def laid_out(draws: DataFrame, seed: int, *more: str) -> DataFrame:
+def laid_out(draws: DataFrame, seed: int, shards: int, *more: str) -> DataFrame:
     """A row for each draw, with its words: sorted at random within a shard."""
     rows = draws.select("doc_id", F.posexplode("shards").alias("copy", "shard"), "size", "epochs", "rest", *more)
     words = F.when(F.col("copy") < F.col("epochs"), F.col("size")).otherwise(F.col("rest"))
     rows = rows.select("doc_id", "shard", "copy", words.alias("words"), F.xxhash64("doc_id", "copy", F.lit(seed)).alias("order"), "size", *more)
-    return rows.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").drop("order")
+    # the order is a hash, so even ranges of it within each shard are even partitions, without a pass that samples them
+    each = max(1, partitions(draws.sparkSession) // shards)
+    place_ = F.shiftrightunsigned(unsigned(F.col("order")), 33)  # 31 leading bits, in the order that sorting has
+    rank = F.floor(place_ * each / F.lit(1 << 31))
+    rows = rows.withColumn("part", (F.col("shard") * each + rank).cast("int"))
+    return rows.repartitionById(shards * each, "part").sortWithinPartitions("shard", "order").drop("order", "part")
 
 
 def mixture(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     """The mix itself: doc_id, shard, copy, words, sorted at random within a shard."""
-    return laid_out(mix(docs, seed, shards), seed).drop("size")
+    return laid_out(mix(docs, seed, shards), seed, shards).drop("size")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
@@ -192,7 +197,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> Dat
     and n_chars, if docs has that column, counts it.
     """
     rows = Scratch(docs.sparkSession, "mixing").save(sized(docs), "sized")
-    draws = laid_out(drawn(sized(docs, F.expr("struct(*)").alias("row")), plan_sources(rows, seed), seed, shards, "row"), seed, "row")
+    draws = laid_out(drawn(sized(docs, F.expr("struct(*)").alias("row")), plan_sources(rows, seed), seed, shards, "row"), seed, shards, "row")
     part, text = F.col("words") < F.col("size"), F.col("row")["text"].cast("string")
     taken = F.array_join(F.slice(F.split(text, WORD_END), 1, F.col("words").cast("int")), "")
     cut = {"text": taken, "n_chars": F.length(taken)}

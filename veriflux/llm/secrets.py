@@ -7,8 +7,8 @@ lower-cased text. Intersecting a document's postings gives the rules it is a
 candidate for; only these rules' expressions run on it. A rule without
 mandatory trigrams is run on every document, where its text lies.
 
-Texts of candidates alone are shuffled: a bitmap of candidates' hashes, of at
-most MOST_WORDS words, tells every other row apart before that.
+Texts of candidates alone are shuffled: a bitmap of candidates' hashes, of
+bounded size, tells every other row apart before that.
 """
 
 from __future__ import annotations
@@ -21,12 +21,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_text
+from .common import Scratch, id_text, likely
 
 #: A repeated or optional part is spelled out into at most so many exact strings.
 MAX_STRINGS = 64
-#: The bitmap has so many words of 64 bits at least and at most: 1 << 18 of them are 3 MB to broadcast.
-FEWEST_WORDS, MOST_WORDS = 1 << 10, 1 << 18
 #: Matches whose places are added up one by one; places of whole runs of them are added first.
 RUN = 64
 
@@ -216,12 +214,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     index = tmp.save(build_index(texts, vocabulary), "index")
     hits = tmp.save(candidates(index, queries, vocabulary).withColumnRenamed("doc_id", "hit_id"), "candidates")
     tmp.drop("index")
-    words = min(MOST_WORDS, max(FEWEST_WORDS, 1 << (hits.count() // 4).bit_length()))  # some 16 bits a candidate
-    hashed = F.xxhash64("doc_id")
-    word, bit = F.pmod(F.shiftright(hashed, 6), F.lit(words)).cast("int"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")
-    bitmap = hits.withColumnRenamed("hit_id", "doc_id").select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    marked = texts.withColumn("word_", word).join(F.broadcast(bitmap), F.col("word_") == F.col("word"), "left")  # at most MOST_WORDS rows of 12 bytes
-    marked = marked.select("doc_id", "text", (F.coalesce("bits", F.lit(0).cast("long")).bitwiseAND(bit) != 0).alias("maybe"))
+    marked = likely(texts, hits.select(F.col("hit_id").alias("doc_id")), "maybe")
     near = marked.where("maybe").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     far = marked.where("not maybe")
     # both sides have read the bitmap; a text is scanned in one of them
