@@ -123,10 +123,10 @@ def compare(threshold: float):
 
 
 def settle(threshold: float):
-    """Links among the open pairs of tiles; bodies are doubles of the rows that compare() asked for."""
+    """Links among the open pairs of tiles; bodies are whole vectors of the rows that compare() asked for."""
 
     def finish(at, ids, sizes, bodies):
-        sides = [np.frombuffer(b"".join(b), np.float64).reshape(len(b), -1) for b in bodies]
+        sides = [np.stack([*map(unpacked, b)]) for b in bodies]
         i, j = np.nonzero(bounded(*(quantise(unit(x)) for x in sides), at[1] == at[2], threshold)[1])
         linked = exact(*sides, i, j, threshold)
         yield from report(at, ids, sizes, i[linked], j[linked])
@@ -134,8 +134,18 @@ def settle(threshold: float):
     return lambda batches: by_tile(batches, finish)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Doubles as bytes, of single precision where that holds them exactly; equal vectors give equal bytes."""
+    short = x.astype(np.float32)
+    return b"s" + short.tobytes() if (short == x).all() else b"d" + x.tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, np.float32 if body[:1] == b"s" else np.float64, -1, 1).astype(np.float64)
+
+
 def pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The vectors as bytes of doubles, so that equal ones group by their bytes.
+    """The vectors as bytes, so that equal ones group by them.
 
     A power of two brings the largest component near 1, which changes no cosine
     and keeps squares of very large and very small numbers finite.
@@ -146,11 +156,11 @@ def pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = None if v is None or None in v else np.array(v, np.float64)
         if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
             return None
-        return (np.ldexp(x, -np.frexp(np.abs(x).max())[1]) + 0.0).tobytes()  # -0.0 becomes 0.0
+        return packed(np.ldexp(x, -np.frexp(np.abs(x).max())[1]) + 0.0)  # -0.0 becomes 0.0
 
     for batch in batches:
         found = [body(v) for v in batch.column(2).to_pylist()]
-        yield to_batch(schema, batch.column(0), batch.column(1), [len(b) // 8 if b else 0 for b in found], found)
+        yield to_batch(schema, batch.column(0), batch.column(1), [len(unpacked(b)) if b else 0 for b in found], found)
 
 
 def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +168,7 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         coded = []
         for body in batch.column("body").to_pylist():
-            codes, *norms = quantise(unit(np.frombuffer(body, np.float64)[None, :]))
+            codes, *norms = quantise(unit(unpacked(body)[None, :]))
             coded.append(np.concatenate(norms).tobytes() + codes.tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded, pa.binary())], names=[*batch.schema.names, "coded"])
 
