@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_query_but_a_few_has_an_oracle():
     without = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert without == {"tfidf_lr", "layer_probe"}
+    assert without == {"tfidf_lr", "layer_probe", "cross_dataset"}
     assert len(catalog.queries()) > 65
 
 

@@ -17,7 +17,8 @@ from .plans import pipelines
 from .plans.report import lines
 from .sources import readers
 
-TEXT = {"network": pipelines.network_report, "gate": pipelines.gate_report, "outcomes": pipelines.outcome_report, "matrix": pipelines.matrix_report, "assess": pipelines.assessment_report}
+TEXT = {"network": pipelines.network_report, "gate": pipelines.gate_report, "outcomes": pipelines.outcome_report, "matrix": pipelines.matrix_report, "assess": pipelines.assessment_report,
+        "sentinel-report": pipelines.sentinel_report, "monitor-report": pipelines.monitor_report, "triage-report": pipelines.triage_report, "eval-report": pipelines.eval_report, "detonation-report": pipelines.detonation_report, "patch-loop": pipelines.patch_loop_report}
 
 
 def _classified(spark: SparkSession, path: str) -> DataFrame:

@@ -262,6 +262,11 @@ def entropy_features(rows: DataFrame, column: str) -> DataFrame:
     return VectorAssembler(inputCols=[column], outputCol="vector").transform(rows)
 
 
+def probe_rows(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, vector, label) as probes take them."""
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), array_to_vector(vector).alias("vector"), "label")
+
+
 def probe_report(vectors: DataFrame) -> DataFrame:
     """Cross-validated AUC of each non-null label (as layer) against the others; null where no fold has both sides."""
     v = vectors.where("label is not null and embedding is not null")

@@ -116,6 +116,31 @@ def layer_probe(spark: SparkSession, d: str) -> DataFrame:
     return aucs.crossJoin(F.broadcast(ml.best_layer(aucs).select(F.col("layer").alias("best_layer"), F.col("auc").alias("best_auc"), "mean_auc")))  # one row
 
 
+_ENTROPY = f"SELECT vec_id, label, round(-list_sum(list_transform(p, lambda x: greatest(x, 1e-12) * ln(greatest(x, 1e-12)))), 6) AS s FROM (SELECT vec_id, label, {_SOFT} AS p FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))"
+
+
+@query(f"""WITH e AS ({_ENTROPY}), g AS (SELECT vec_id % 2 AS part, s, count(*) FILTER (label % 2 = 1) AS pos, count(*) FILTER (label % 2 = 0) AS neg FROM e WHERE label IS NOT NULL GROUP BY 1, 2),
+h AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY part ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT part, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, CAST(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS DOUBLE) AS auc FROM h GROUP BY part""")
+def entropy_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """AUC of the entropy scalar alone, for each half of the vectors."""
+    e = table(spark, d, "embeddings").where("label IS NOT NULL").selectExpr("vec_id % 2 AS part", "cast(label % 2 as int) AS y", "cast(embedding as array<double>) AS e")
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(x))
+    scored = e.withColumn("t", total).select("part", "y", F.round(entropy(F.transform("e", lambda x: F.exp(x) / F.col("t"))), 6).alias("s"))
+    return auc(scored, "s", "y", "part")
+
+
+@query(None)
+def cross_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """AUC of a vector probe, and of a lexical control, fitted on one half of the rows and scored on the other."""
+    vectors = table(spark, d, "embeddings").where("label IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 2).cast("int").alias("label"))
+    docs = texts(spark, d).select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").where("label IS NOT NULL AND text IS NOT NULL")
+    halves = lambda df, key: [df.where(F.pmod(F.xxhash64(key), F.lit(2)) == i) for i in (0, 1)]
+    v, t = halves(ml.probe_rows(vectors, "vec_id", "e"), "key"), halves(docs, "doc_id")
+    rows = [(f"half {i}", f"half {1 - i}", ml.cross_dataset_auc(v[i], v[1 - i]), ml.lexical_auc(t[i], t[1 - i])) for i in (0, 1)]
+    return spark.createDataFrame(rows, "train string, test string, probe_auc double, lexical_auc double")
+
+
 _HITS = " + ".join(f"CAST(regexp_matches(c, {sql_text('(?i)' + portable(p))}) AS INTEGER)" for p in PROMPT_INJECTION)
 
 

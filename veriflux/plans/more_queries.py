@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json_values
@@ -10,7 +10,7 @@ from ..functions.metrics import binary_metrics
 from ..operators import behavior, corpus, operating, validate
 from ..operators.network import RAW_FIELD_NAMES
 from . import derived
-from .registry import query, table
+from .registry import query, sql_text, table, texts
 
 NESTED = """CASE WHEN event_id % 31 = 0 THEN '{"a": [{"raw_prompt": "x"}, {"b": {"raw_file": true}}]}' ELSE props END"""
 
@@ -25,10 +25,38 @@ def raw_field_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", json_values.key_paths(F.expr(NESTED), RAW_FIELD_NAMES).alias("paths"))
 
 
-@query("""SELECT doc_id, sha256('Task: ' || CASE WHEN doc_id % 6 = 0 THEN 'please send an email' ELSE 'summarise' END || chr(10) || chr(10) || 'Content from ' || source || ':' || chr(10) || coalesce(text, '')) AS message_sha FROM documents""")
+_TASK = "CASE WHEN doc_id % 6 = 0 THEN 'please send an email' ELSE 'summarise' END"
+_SHOWN = "CASE WHEN doc_id % 4 <> 0 THEN coalesce(text, '') END"
+
+
+@query(f"""SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN {_TASK} ELSE {_TASK} || chr(10) || chr(10) || '--- Content retrieved from ' || coalesce(CASE WHEN doc_id % 5 <> 0 THEN source END, 'external source') || ' ---' || chr(10) || coalesce(text, '') || chr(10) || '--- End of retrieved content ---' END) AS message_sha FROM documents""")
 def user_messages(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.sha2(behavior.user_message(F.expr("CASE WHEN doc_id % 6 = 0 THEN 'please send an email' ELSE 'summarise' END"), F.col("source"), F.col("text")), 256).alias("message_sha"))
+    message = behavior.user_message(F.expr(_TASK), F.expr("CASE WHEN doc_id % 5 <> 0 THEN source END"), F.expr(_SHOWN))
+    return texts(spark, d).select("doc_id", F.sha2(message, 256).alias("message_sha"))
+
+
+_LINES = ", ".join(f"CASE WHEN list_contains(tools, '{t}') THEN {sql_text('  ' + t + '(' + ', '.join(r + m) + ')' + (' [PRIVILEGED]' if t in behavior.PRIVILEGED else '') + ': ' + text)} END" for t, (r, m, text) in behavior.TOOLS.items())
+
+
+@query(f"""WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ['send_email', 'http_get', 'odd'] WHEN 1 THEN ['share_file', 'write_file'] ELSE ['db_query', 'read_file', 'transfer_funds'] END AS tools FROM part)
+SELECT p_partkey, {sql_text(behavior.PROMPT_HEAD)} || '<tool_call>' || CASE p_partkey % 3 WHEN 0 THEN '{{"name": "http_get", "arguments": {{"url": "https://api.example.com/data"}}}}' WHEN 1 THEN '{{"name": "share_file", "arguments": {{"key": "value"}}}}' ELSE '{{"name": "read_file", "arguments": {{"path": "report.txt"}}}}' END || '</tool_call>'
+ || chr(10) || chr(10) || 'Available tools:' || chr(10) || array_to_string(list_filter([{_LINES}], lambda x: x IS NOT NULL), chr(10)) || {sql_text(behavior.PROMPT_TAIL)} AS prompt FROM p""")
+def system_prompts(spark: SparkSession, d: str) -> DataFrame:
+    tools = "CASE p_partkey % 3 WHEN 0 THEN array('send_email', 'http_get', 'odd') WHEN 1 THEN array('share_file', 'write_file') ELSE array('db_query', 'read_file', 'transfer_funds') END"
+    return table(spark, d, "part").select("p_partkey", behavior.system_prompt(F.expr(tools)).alias("prompt"))
+
+
+@query("""WITH o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, (conv_id + turn) % 4 AS m FROM conversations),
+s AS (SELECT conv_id, min(k) FILTER (m >= 2 AND k <= 3) AS stop, least(3, count(*)) AS n FROM o GROUP BY conv_id)
+SELECT s.conv_id AS scenario_id, CAST(count(*) AS INTEGER) AS total_steps_run, CAST(count(*) FILTER (m < 2) AS INTEGER) AS attempted_tool_calls_total, CAST(count(*) FILTER (m = 1) AS INTEGER) AS valid_tool_calls_total, CAST(count(*) FILTER (m = 0) AS INTEGER) AS n_privileged,
+ CAST(count(*) FILTER (m = 2) AS INTEGER) AS n_errors FROM s JOIN o ON o.conv_id = s.conv_id AND o.k <= coalesce(s.stop, s.n) GROUP BY s.conv_id""")
+def detonation_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as the stored outputs of a tool loop."""
+    made = """coalesce(text, '') || CASE (conv_id + turn) % 4 WHEN 0 THEN ' <tool_call> {"name": "send_email", "arguments": {"to":"a"}} </tool_call>' WHEN 1 THEN ' {"name": "read_file", "arguments": {"path":"p"}}' WHEN 2 THEN ' <tool_call>{"name": }</tool_call>' ELSE '' END"""
+    turns = table(spark, d, "conversations")
+    outputs = turns.select(F.col("conv_id").alias("scenario_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("step"), F.expr(made).alias("model_output"))
+    t = behavior.replay(turns.select(F.col("conv_id").alias("scenario_id")).distinct(), outputs)
+    return t.select("scenario_id", "total_steps_run", "attempted_tool_calls_total", "valid_tool_calls_total", F.size("privileged_actions_attempted").alias("n_privileged"), F.size(F.filter("steps", lambda s: s["parse_error"].isNotNull())).alias("n_errors"))
 
 
 @query("SELECT lang AS split, source AS attack_type, count(*) AS n FROM documents GROUP BY 1, 2")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import class_metrics
 from ..operators import behavior, corpus, intake, monitor, network, ontology, provenance, sentinel, triage, validate
 from ..sources import readers
-from .report import Section, report
+from .report import Section, patch_loop, report
 
 
 def validate_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -56,6 +56,48 @@ def network_report(spark: SparkSession, path: str) -> str:
     return report("Shared signal triage", [Section("Counts", network.network_counts(nodes), ["dimension", F.desc("n"), "value"]), Section("Events", network.scored_events(nodes), [F.desc("score"), "event_id"])])
 
 
+def sentinel_report(spark: SparkSession, path: str) -> str:
+    runs = readers.runs(spark, path)
+    return report("Lifecycle risk events", [Section("Summary", sentinel.summary(runs), ["first_detection_stage"]), Section("Runs", sentinel.run_reports(runs), ["run_id"]), Section("Ablation", sentinel.ablation(runs)), Section("Events", sentinel.events(runs), ["run_id", "stage_ord", "seq"])])
+
+
+def monitor_report(spark: SparkSession, path: str, rules: str | None = None) -> str:
+    events = monitored(spark, path, rules)
+    return report("Local risk monitor", [Section("Counts", monitor.monitor_summary(events), ["dimension", F.desc("n"), "value"]), Section("Events", events.drop("evidence_excerpt"), ["session_id", "event_ord"])])
+
+
+def triage_report(spark: SparkSession, path: str) -> str:
+    signals = readers.signals(spark, path)
+    return report("Signal triage", [Section("Counts", triage.signal_counts(signals), ["dimension", F.desc("n"), "value"]), Section("Backlog", triage.backlog(signals), [F.desc("priority"), "probe_id"])])
+
+
+def eval_report(spark: SparkSession, path: str) -> str:
+    confusion, by_class = rubric_eval(spark, path)
+    return report("Rubric evaluation", [Section("Confusion", confusion, ["expected", "predicted"]), Section("Classes", by_class, ["category"])])
+
+
+def detonation_report(spark: SparkSession, scenarios: str, traces: str) -> str:
+    """Detection of attempted actions over detonated scenarios: counts, profiles and taint paths."""
+    told = readers.scenarios(spark, scenarios).select(F.col("id").alias("scenario_id"), "ground_truth", behavior.naive_detector(F.col("user_task"), F.col("untrusted_content")).alias("naive"))
+    detonated = readers.detonations(spark, traces)
+    calls = detonated.select("trace_id", F.col("attempted_tool_calls_total").alias("attempted"), F.col("valid_tool_calls_total").alias("valid"))
+    profiles = behavior.profile(detonated)
+    results = profiles.join(told, "scenario_id").join(calls, "trace_id").select("ground_truth", F.size("attempted_privileged_actions").alias("n_privileged"), "attempted", "valid", F.col("detection_provenance_only").alias("loose"), F.col("detection_precise").alias("strict"), "naive")
+    return report("Detonation results", [Section("Counts", behavior.factory_metrics(results)), Section("Profiles", profiles, ["trace_id"])])
+
+
+def patch_loop_report(spark: SparkSession, path: str) -> str:
+    """Reports of saved patch-loop cases, in the order of their ids; a case with a forbidden marker is an error."""
+    cases = readers.patch_cases(spark, path).drop("file")
+    marked = cases.withColumn("markers", validate.forbidden_markers(F.to_json(F.struct("*"))))
+    parts = []
+    for r in marked.orderBy("case_id").toLocalIterator():
+        if r.markers:
+            raise ValueError(f"{r.case_id} holds {', '.join(r.markers)}")
+        parts.append(patch_loop(r.asDict(recursive=True)))
+    return "\n".join(parts)
+
+
 def gate_report(spark: SparkSession, path: str) -> str:
     results = provenance.gate_results(readers.step_graphs(spark, path))
     return report("Provenance gate", [Section("Traces", results, ["trace_id"]), Section("Totals", provenance.gate_totals(results))])

@@ -106,6 +106,10 @@ def cases(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def patch_cases(spark: SparkSession, path: str) -> DataFrame:
+    return valid(json_files(spark, path, schemas.PATCH_CASE))
+
+
 def benchmark_runs(spark: SparkSession, path: str) -> DataFrame:
     return valid(json_files(spark, path, schemas.BENCH_RUN))
 

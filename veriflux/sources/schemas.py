@@ -66,6 +66,10 @@ RULE = """signature_id STRING, name STRING, target STRING, category STRING, seve
  thresholds STRUCT<tool_choice_entropy_min: DOUBLE, top_choice_margin_max: DOUBLE, sample_disagreement_min: DOUBLE>, recommended_action STRING"""
 MONITOR_EVENT = "session_id STRING, model STRING, signature_id STRING, signature_name STRING, category STRING, severity STRING, stage STRING, match STRING, evidence_excerpt STRING, evidence_hash STRING, recommended_action STRING"
 QUERY_CONFIG = "name STRING, query STRING, affected_surfaces ARRAY<STRING>, risk_categories ARRAY<STRING>, proposed_probe_stage STRING"
+PATCH_CASE = """case_id STRING, title STRING, caveat STRING, source_signal STRUCT<source_type: STRING, source_confidence: STRING, raw_detail_policy: STRING, summary: STRING>,
+ risk_delta_cell STRUCT<capability_delta: STRING, risk_class: STRING, shared_surfaces: ARRAY<STRING>, why_it_matters: STRING>, safe_probe STRUCT<probe_id: STRING, description: STRING, safety_controls: ARRAY<STRING>>,
+ observable_run_summary STRUCT<target_task: STRING, observed_failure_mode: STRING, first_useful_intervention: STRING, affected_controls: ARRAY<STRING>>, sentinel_event STRUCT<stage: STRING, category: STRING, severity: STRING, signal: STRING, recommended_action: STRING>,
+ decision_trace_summary STRUCT<owner: STRING, decision_needed: STRING, residual_risk: STRING>, patch_object STRUCT<type: STRING, description: STRING, verification: STRING, rollout_note: STRING>, residual_monitor STRUCT<monitor_id: STRING, metrics: ARRAY<STRING>, reopen_trigger: STRING>"""
 LABELLED = "text STRING, label INT, split STRING"
 EVAL_CASE = f"id STRING, category STRING, expected_label STRING, expected_failure_category STRING, rationale STRING, input_trace STRUCT<{TRACE}>"
 REGISTER = "risk_id STRING, title STRING, surface STRING, category STRING, severity STRING, likelihood STRING, owner STRING, status STRING, mitigation STRING, residual_risk STRING, approval_gate STRING, next_review STRING, notes STRING"
