@@ -145,6 +145,17 @@ def test_mixing_cuts_sorted_sources(spark):
         assert r.taken == taken[r.doc_id, texts[r.doc_id]]
 
 
+def test_many_sources_and_several_trees(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TREE_SOURCES", 40)
+    rng = random.Random(23)
+    docs = [(i, " ".join(["w"] * rng.randrange(0, 9)), f"s{i % 333:03d}" if i % 50 else None) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    target, taken = plain_mix(spark, df)
+    got = mixing.mix(df).collect()
+    assert len(target) == 334 and {(r.doc_id, r.taken) for r in got} == {(i, n) for (i, _), n in taken.items()}
+    assert all(r.target == pytest.approx(target[r.source]) for r in got)
+
+
 def test_stages_against_plain_versions(spark, tmp_path):
     rng = random.Random(31)
     words = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]

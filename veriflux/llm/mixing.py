@@ -3,7 +3,7 @@
 Every document has a pseudo-random 64-bit place within its source; the leading
 BLOCK_BITS of it name its block. A source's target is a number of whole epochs
 and a rest. The rest ends at one place, found by radix descent: each level
-collects at most FANOUT sums for each source, so no task sees a whole source.
+adds up at most FANOUT sums for each source, so no task sees a whole source.
 The drawn blocks of all sources are dealt to output shards by a binary tree: at
 each node the left half's share of every source's quota is one draw from the
 multivariate hypergeometric distribution, so quotas add up exactly and blocks
@@ -12,13 +12,13 @@ are disjoint. Within a shard, documents are in pseudo-random order.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.corpus import numbered
 from .common import Scratch, id_text, partitions
 
 WEIGHTS = (3, 1, 2)
@@ -26,11 +26,11 @@ SHARE, CEILING = 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 #: Where a word ends and others may follow.
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
-BLOCK_BITS, LEVEL_BITS = 10, 6
+BLOCK_BITS, LEVEL_BITS = 10, 8
 BLOCKS, FANOUT = 1 << BLOCK_BITS, 1 << LEVEL_BITS
 SHARDS = 16
-#: The driver holds a few numbers and SHARDS quotas for each source.
-MAX_SOURCES = 100_000
+#: So many sources, consecutive in their order, share one splitting tree.
+TREE_SOURCES = 50_000
 
 
 def targets(sizes: list[float], weights: list[float], share: float = SHARE, ceiling: float = CEILING) -> list[float]:
@@ -56,22 +56,11 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
         return quotas[None, :]
     left = shards // 2
     take, rng = int(quotas.sum()) * left // shards, np.random.default_rng(seed)
-    # quotas add up to at most 3 * BLOCKS * MAX_SOURCES, below the method's limit of 10**9
+    # quotas add up to at most 3 * BLOCKS * TREE_SOURCES, below the method's limit of 10**9
     drawn = rng.multivariate_hypergeometric(quotas, take, method="marginals") if len(quotas) else quotas
     return np.vstack([splitting_tree(drawn, left, 2 * seed), splitting_tree(quotas - drawn, shards - left, 2 * seed + 1)])
 
 
-@dataclass
-class Plan:
-    source: str | None
-    size: int
-    target: float
-    epochs: int = 0
-    edge: int = 0  # places before it are in the rest, as unsigned
-    at_edge: int = 0  # words that each document at the edge gives
-    last_blocks: int = 0
-
-
 def place(seed: int) -> Column:
     """Rows of sized() tie only where doc_id and text are equal."""
     return F.xxhash64(F.col("doc_id"), F.col("text_hash"), F.lit(seed))
@@ -82,47 +71,69 @@ def sized(docs: DataFrame, *more: Column) -> DataFrame:
     return rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("text_hash", F.xxhash64("text")).drop("text")
 
 
-def plan_sources(rows: DataFrame, seed: int) -> list[Plan]:
-    """Targets of all sources, and where the last, partial epoch of each ends."""
-    stats = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    stats.sort(key=lambda r: (r.source is None, r.source or ""))
-    plans = [Plan(r.source, r.size, t) for r, t in zip(stats, targets([r.size for r in stats], [WEIGHTS[i % 3] for i in range(len(stats))]))]
-    left: dict[int, float] = {}
-    for i, p in enumerate(plans):
-        if p.size:
-            p.epochs = min(int(p.target // p.size), math.floor(CEILING))
-            rest = round(p.target - p.epochs * p.size)
-            if rest >= 1 and p.epochs < CEILING:
-                left[i] = rest
+def weighed(rows: DataFrame, tmp: Scratch) -> DataFrame:
+    """(source, number, size, weight) of every source, in code-point order with null last."""
+    sizes = tmp.save(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    named = numbered(sizes.where("source is not null"), "source", "number", 0)
+    rest = sizes.where("source is null").withColumn("number", F.lit(sizes.where("source is not null").count()).cast("long"))
+    every = named.union(rest.select(named.columns))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod("number", F.lit(len(WEIGHTS))).cast("int") + 1)
+    return tmp.save(every.withColumn("weight", weight.cast("double")), "weighed")
+
+
+def targeted(sources: DataFrame) -> DataFrame:
+    """Adds targets() to the sources: a round is one sum over them, and the share of a unit of weight can but grow."""
+    total, weight = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    room, closed, unit = F.col("source_size") * CEILING, -1, 0.0
+    while weight:
+        rest = SHARE * total - (full if closed >= 0 else 0.0)
+        unit = rest / weight
+        over = room < F.lit(unit) * F.col("weight")
+        now, full, weight = sources.agg(F.count_if(over), F.sum(F.when(over, room).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        if now == closed or (closed < 0 and not now):
+            break
+        closed = now
+    return sources.withColumn("target", F.least(room, F.lit(unit) * F.col("weight")))
+
+
+def plan_sources(rows: DataFrame, seed: int, shards: int, tmp: Scratch) -> DataFrame:
+    """For each source: its target, how often it is taken whole, where its last, partial epoch ends, and the shards' shares of its blocks.
+
+    All of it is made by joins and sums by source, so sources may be many; Spark
+    broadcasts the written tables of few.
+    """
+    plans = targeted(weighed(rows, tmp))
+    size, target = F.col("source_size"), F.col("target")
+    plans = plans.withColumn("epochs", F.when(size > 0, F.least(F.floor(target / size), F.lit(int(CEILING)))).otherwise(0).cast("int"))
+    plans = tmp.save(plans.withColumn("left", F.rint(target - F.col("epochs") * size).cast("long")), "plans")
     # radix descent: one digit of the edge a level, for all sources at once
-    spark, prefix, bits = rows.sparkSession, dict.fromkeys(left, 0), 0
-    while left and bits < 64:
-        width = min(LEVEL_BITS, 64 - bits)
-        want = spark.createDataFrame([(i, plans[i].source, prefix[i]) for i in left], "i int, source string, prefix long")
-        digit = F.shiftrightunsigned(place(seed), 64 - bits - width)
-        found = rows.join(F.broadcast(want), rows["source"].eqNullSafe(want["source"]))  # MAX_SOURCES rows
+    edge = plans.where((F.col("left") >= 1) & (F.col("epochs") < CEILING)).select(F.col("source").alias("of"), F.lit(0).cast("long").alias("prefix"), "left", F.lit(1).cast("long").alias("n"))
+    for bits in range(0, 64, LEVEL_BITS):
+        digit = F.shiftrightunsigned(place(seed), 64 - bits - LEVEL_BITS).bitwiseAND(F.lit(FANOUT - 1).cast("long"))
+        found = rows.join(edge.drop("n"), F.col("source").eqNullSafe(F.col("of")))
         if bits:
             found = found.where(F.shiftrightunsigned(place(seed), 64 - bits) == F.col("prefix"))
-        sums: dict[int, dict[int, tuple[int, int]]] = {}
-        for i, d, words, n in found.groupBy("i", digit.bitwiseAND(F.lit((1 << width) - 1)).alias("d")).agg(F.sum("size"), F.count("*")).collect():
-            sums.setdefault(i, {})[d] = (words, n)
-        bits += width
-        for i in list(left):
-            for d in range(1 << width):
-                words, n = sums.get(i, {}).get(d, (0, 0))
-                if words >= left[i]:
-                    prefix[i] = prefix[i] << width | d
-                    if bits == 64:
-                        plans[i].edge, plans[i].at_edge = prefix[i], int(left[i]) // n
-                    break
-                left[i] -= words
-            else:
-                raise AssertionError("a rest is larger than its source")
-    for i in left:
-        plans[i].last_blocks = (plans[i].edge >> (64 - BLOCK_BITS)) + 1
-    return plans
+        sums = found.groupBy("of", "prefix", "left", digit.alias("d")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        until = Window.partitionBy("of").orderBy("d")  # FANOUT rows for each source
+        ends = sums.withColumn("sum", F.sum("words").over(until)).where(F.col("sum") >= F.col("left"))
+        first = ends.groupBy("of").agg(F.min(F.struct("d", "prefix", (F.col("left") - F.col("sum") + F.col("words")).alias("left"), "n")).alias("e"))
+        edge = tmp.save(first.select("of", (F.shiftleft("e.prefix", LEVEL_BITS) if bits else F.lit(0).cast("long")).bitwiseOR(F.col("e.d")).alias("prefix"), "e.left", "e.n"), f"edge-{bits}")
+    joined = plans.drop("left").join(edge, F.col("source").eqNullSafe(F.col("of")), "left")
+    last = F.coalesce(F.shiftrightunsigned("prefix", 64 - BLOCK_BITS) + 1, F.lit(0)).cast("int")
+    joined = joined.select(
+        "number", F.col("source").alias("source_"), "source_size", "target", "epochs", unsigned(F.coalesce("prefix", F.lit(0).cast("long"))).alias("edge"),
+        F.coalesce(F.floor(F.col("left") / F.col("n")), F.lit(0)).cast("long").alias("at_edge"), last.alias("last_blocks"),
+    )
+    schema = T.StructType([*joined.schema.fields, T.StructField("dealt", T.ArrayType(T.LongType()))])
+
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("number", ignore_index=True)
+        quotas = (part["epochs"].astype(np.int64) * BLOCKS + part["last_blocks"]).to_numpy(np.int64)
+        tree = splitting_tree(quotas, shards, seed + int(part["number"].iloc[0]))
+        return part.assign(dealt=list(tree.cumsum(0).T))
+
+    trees = joined.groupBy(F.floor(F.col("number") / TREE_SOURCES)).applyInPandas(deal, schema)  # TREE_SOURCES rows each
+    return tmp.save(trees, "dealt")
 
 
 def unsigned(place_: Column) -> Column:
@@ -143,21 +154,14 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     without words has target 0. Rows with a null doc_id are told apart by their texts. An empty table gives no rows.
     More than MAX_SOURCES distinct sources raise ValueError: their plans are made on the driver.
     """
-    rows = Scratch(docs.sparkSession, "mixing").save(sized(docs), "sized")
-    return drawn(rows, plan_sources(rows, seed), seed, shards)
+    tmp = Scratch(docs.sparkSession, "mixing")
+    rows = tmp.save(sized(docs), "sized")
+    return drawn(rows, plan_sources(rows, seed, shards, tmp), seed)
 
 
-def drawn(rows: DataFrame, plans: list[Plan], seed: int, shards: int, *more: str) -> DataFrame:
+def drawn(rows: DataFrame, plans: DataFrame, seed: int, *more: str) -> DataFrame:
     """mix() for the sized rows of these plans, with more of their columns."""
-    spark = rows.sparkSession
-    quotas = np.array([p.epochs * BLOCKS + p.last_blocks for p in plans], np.int64)
-    dealt = np.vstack([np.zeros((1, len(plans)), np.int64), splitting_tree(quotas, shards, seed).cumsum(0)])
-    signed = lambda x: x - (1 << 63)
-    table = spark.createDataFrame(
-        [(p.source, p.size, float(p.target), p.epochs, signed(p.edge), p.at_edge, p.last_blocks, [int(x) for x in dealt[1:, i]]) for i, p in enumerate(plans)],
-        "source_ string, source_size long, target double, epochs int, edge long, at_edge long, last_blocks int, dealt array<long>",
-    )
-    joined = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("source_")))  # MAX_SOURCES rows
+    joined = rows.join(plans, F.col("source").eqNullSafe(F.col("source_")))
     here, block = unsigned(place(seed)), F.shiftrightunsigned(place(seed), 64 - BLOCK_BITS).cast("long")
     rest = F.when(here < F.col("edge"), F.col("size")).when((here == F.col("edge")) & (F.col("last_blocks") > 0), F.least("size", "at_edge")).otherwise(0).cast("long")
     shard_of = lambda draw: F.size(F.filter("dealt", lambda x: x <= draw)).cast("int")
@@ -196,8 +200,9 @@ def mixed_documents(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> Dat
     A draw of a part of a document has the text up to the end of its last word,
     and n_chars, if docs has that column, counts it.
     """
-    rows = Scratch(docs.sparkSession, "mixing").save(sized(docs), "sized")
-    draws = laid_out(drawn(sized(docs, F.expr("struct(*)").alias("row")), plan_sources(rows, seed), seed, shards, "row"), seed, shards, "row")
+    tmp = Scratch(docs.sparkSession, "mixing")
+    rows = tmp.save(sized(docs), "sized")
+    draws = laid_out(drawn(sized(docs, F.expr("struct(*)").alias("row")), plan_sources(rows, seed, shards, tmp), seed, "row"), seed, shards, "row")
     part, text = F.col("words") < F.col("size"), F.col("row")["text"].cast("string")
     taken = F.array_join(F.slice(F.split(text, WORD_END), 1, F.col("words").cast("int")), "")
     cut = {"text": taken, "n_chars": F.length(taken)}
