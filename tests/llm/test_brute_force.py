@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -288,6 +289,17 @@ def test_fast_ids_equal_the_tokenizer_file():
         assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_fast_ids_equal_the_tokenizer_file_on_all_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, exact = packing.encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.special_tokens(path)), Tokenizer.from_file(path)
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert encode(text or "").tolist() == exact.encode(text or "", add_special_tokens=False).ids
+
+
 def test_shortest_pack_first_uses_every_piece():
     rng = np.random.default_rng(1)
     counts = np.zeros(1025, np.int64)
