@@ -399,3 +399,11 @@ def test_reports_of_files(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps(scenario))
     (tmp_path / "t.jsonl").write_text(json.dumps(trace) + "\n")
     assert "# Detonation results" in pipelines.detonation_report(spark, str(tmp_path / "s.json"), str(tmp_path / "t.jsonl"))
+
+
+def test_verbatim_items_of_all_lengths(spark):
+    texts = ["the quick brown fox jumps over the lazy dog and runs away", "quick brown fox", "a quick  brown fox", "xfox jumps overy", "nothing here", "", None]
+    items = ["quick brown fox jumps over the lazy dog and", "quick brown fox", "fox jumps over", "fox", "own fox", "", "no such words at all"]
+    docs, wanted = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.item_id, r.doc_id) for r in intake.verbatim(wanted, docs).collect())
+    assert got == [(i, d) for i, x in enumerate(items) for d, t in enumerate(texts) if t is not None and x in t]

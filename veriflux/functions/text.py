@@ -47,11 +47,6 @@ def matching(c: Column, patterns: list[str]) -> Column:
     return F.when(matches(c, patterns), each).otherwise(F.array().cast("array<string>"))
 
 
-def matching_ids(c: Column, packs: dict[str, list[str]]) -> Column:
-    """Ids of the packs with any pattern in the text, in order."""
-    return F.array_compact(F.array(*[F.when(c.rlike(any_of(ps)), F.lit(k)) for k, ps in packs.items()]))
-
-
 def first_match(c: Column, patterns: list[str]) -> Column:
     """The first pattern, in pack order, that occurs."""
     out = F.when(c.rlike("(?i)" + portable(patterns[0])), F.lit(patterns[0]))

@@ -47,8 +47,9 @@ def verbatim(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
     """(item_id, doc_id) where a document holds an item's trimmed text.
 
     Both sides meet on runs of `words` words: an item offers its first inner
-    run, a document all of its own, so only likely pairs are compared. Items too
-    short to have an inner run are compared by a broadcast of themselves.
+    run, a document all of its own, so only likely pairs are compared. Shorter
+    items meet documents on their longest inner word; those of one or two words
+    have none, and are looked for in every document.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     body = F.lower(F.trim("text"))
@@ -60,8 +61,14 @@ def verbatim(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
     runs = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda k: run(F.col("w"), k)))).alias("run"))
     near = runs.join(long.select("run", "item_id"), "run").select("item_id", "doc_id").distinct()
     hit = near.join(long.select("item_id", "item"), "item_id").join(d.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("item"))).select("item_id", "doc_id")
-    short = i.where(F.size("w") < words + 2).select("item_id", "item")
-    few = d.select("doc_id", "body").join(short, F.contains("body", F.col("item"))).select("item_id", "doc_id")
+    # of an item of a few words the longest inner one stands whole in a document that holds the item
+    inner = F.when(F.size("w") >= 3, F.slice("w", 2, F.size("w") - 2))
+    some = i.where(F.size("w").between(3, words + 1)).select("item_id", "item", F.element_at(F.array_sort(inner, lambda x, y: F.when(F.length(x) != F.length(y), F.length(x) - F.length(y)).when(x < y, -1).when(x > y, 1).otherwise(0)), -1).alias("word"))
+    whole = d.select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(some.select("item_id", "word"), "word").select("item_id", "doc_id")
+    few = whole.join(some.select("item_id", "item"), "item_id").join(d.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("item"))).select("item_id", "doc_id")
+    # an item of one or two words may stand inside longer words: nothing but looking helps
+    tiny = i.where(F.size("w") < 3).select("item_id", "item")
+    few = few.union(d.select("doc_id", "body").join(tiny, F.contains("body", F.col("item"))).select("item_id", "doc_id"))
     return hit.union(few)
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import class_metrics
-from ..functions.patterns import EXFILTRATION, INJECTION_SIGNALS, NAIVE, PROMPT_INJECTION, SECRET, TASK_PRIVILEGED, any_of, portable
+from ..functions.patterns import EXFILTRATION, INJECTION_SIGNALS, NAIVE, PROMPT_INJECTION, SECRET, any_of, portable
 from ..functions.text import matches, matching, text_hash
 from ..operators import behavior, monitor, network, provenance, sentinel, validate
 from . import derived
-from .derived import ALERTS_SQL, ARGS, CONNECTOR, OUTCOMES_SQL, STEPS_SQL, TOOL, plant
+from .derived import ALERTS_SQL, ARGS, CONNECTOR, STEPS_SQL, TOOL, plant
 from .registry import query, sql_text, table, texts
 
 TEXT = "coalesce(text, '')"
@@ -354,5 +354,3 @@ def multiclass_prf(spark: SparkSession, d: str) -> DataFrame:
 def content_guard(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("doc_id", validate.forbidden_markers(F.expr(_P0)).alias("markers"))
 
-
-__all__ = ["OUTCOMES_SQL", "TASK_PRIVILEGED"]
