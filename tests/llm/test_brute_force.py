@@ -13,6 +13,8 @@ import pytest
 
 from veriflux.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, secrets, suffix_dedup, token_counts, toxicity
 
+from veriflux.llm.common import likely
+
 from . import cases
 
 
@@ -100,8 +102,9 @@ def shingle_set(text):
     return {tuple(w)} - {()} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize("small,block", [(6, 2048), (2, 3)])
-def test_minhash(spark, corpus, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,rows", [(6, 2048, 16_384), (2, 3, 16_384), (2, 3, 20)])
+def test_minhash(spark, corpus, monkeypatch, small, block, rows):
+    monkeypatch.setattr(minhash, "INDEX_ROWS", rows)
     monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
     monkeypatch.setattr(minhash, "BLOCK", block)
     sets = {i: shingle_set(t) for i, t in corpus}
@@ -191,6 +194,14 @@ def test_secret_spans(spark):
         assert r.spans == ",".join(spans(texts[r.doc_id], base + more))
 
 
+def test_bitmap_of_ids_hides_none(spark):
+    rows = spark.createDataFrame([(i if i else None, f"t{i}") for i in range(2000)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i if i else None,) for i in range(0, 2000, 40)], "doc_id long")
+    got = {r.text: r.likely for r in likely(rows, ids).collect()}
+    assert len(got) == 2000 and all(got[f"t{i}"] for i in range(0, 2000, 40)) and sum(got.values()) < 120
+    assert not any(r.likely for r in likely(rows, ids.limit(0)).collect())
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert q["hex"] is None
