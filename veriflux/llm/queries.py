@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.readers import spread
-from . import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, secrets, suffix_dedup, token_counts, toxicity
+from . import centroids, embedding_dedup, exact_dedup, langid, minhash, mixing, packing, periodic_runs, secrets, suffix_dedup, token_counts, token_files, toxicity
 from .oracles import ORACLES
 
 
@@ -56,8 +56,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summarised(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_toxicity, op3_suffix_dedup, op4_secrets, op5_embedding_dedup, op6_exact_dedup, op7_mixing, op8_packing, op9_minhash, op10_token_counts)}
+    every = (
+        op1_langid, op2_toxicity, op3_suffix_dedup, op4_secrets, op5_embedding_dedup, op6_exact_dedup, op7_mixing, op8_packing, op9_minhash, op10_token_counts,
+        op11_periodic_runs, op12_centroids, op13_token_files,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
