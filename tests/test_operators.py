@@ -224,11 +224,19 @@ def test_metrics(spark):
 
 
 def test_validation(spark, tmp_path):
-    good = {"trace_id": "ART-001", "title": "t", "source_signal": "s", "agentic_surface": "a", "risk_category": "r", "evidence": {"observed_behavior": "o", "open_questions": []}, "confidence": "high", "severity": "high", "recommended_action": "x", "owner": "team",
-            "mitigation_status": "none", "human_approval": {"required": True, "reason": "r", "approval_gate": "g"}, "residual_risk": "r", "next_review": "2025-01-01"}
-    rows = [good, {**good, "trace_id": "ART-R01", "human_approval": {"required": False, "approval_gate": "none"}}, {**good, "trace_id": "bad", "severity": "huge"}]
-    got = [r.e for r in records(spark, rows, schemas.TRACE, tmp_path).orderBy("file").select(validate.trace_errors().alias("e")).collect()]
-    assert [len(e) for e in got] == [0, 2, 2] and all(e.startswith("schema") for e in got[2])
+    good = {"trace_id": "ART-001", "title": "t", "source_signal": "eval", "agentic_surface": "memory", "risk_category": "tool_overreach", "evidence": {"observed_behavior": "o", "why_it_matters": "w", "open_questions": []}, "confidence": "high", "severity": "high",
+            "recommended_action": "r", "owner": "o", "mitigation_status": "none", "human_approval": {"required": True, "reason": "r", "approval_gate": "before_policy_exception"}, "residual_risk": "r", "next_review": "2025-01-01"}
+    rows = [good, {**good, "trace_id": "ART-R01", "human_approval": {"required": False, "reason": "r", "approval_gate": "none"}}, {**good, "trace_id": "bad", "severity": "huge", "owner": None}]
+    for i, r in enumerate(rows):
+        (tmp_path / "in" / "sub").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / ("sub" if i else ".") / f"{i}.json").write_text(json.dumps(r))
+    (tmp_path / "in" / "sub" / "cut.json").write_text('{"trace_id": ')
+    checked, summary = pipelines.validate_traces(spark, str(tmp_path / "in"))
+    got = {r.file: r.errors for r in checked.collect()}
+    assert {k: len(v) for k, v in got.items()} == {"0.json": 0, "sub/1.json": 2, "sub/2.json": 3, "sub/cut.json": 1} and all(e.startswith("schema") for e in got["sub/2.json"])
+    assert {(r.dimension, r.value): r.n for r in summary.collect()}[("total", "all")] == 1
+    typed = spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", schemas.TRACE).alias("t")).select("t.*")
+    assert sorted(len(r.e) for r in typed.select(validate.trace_errors(validate.as_document("*")).alias("e")).collect()) == [0, 2, 3]  # a null member is a missing one
     with pytest.raises(Exception, match="must be integer"):
         h = spark.createDataFrame([("r", 9)], "risk_id string, likelihood int").selectExpr("*", "1 AS impact", "1 AS novelty", "1 AS actionability", "'low' AS confidence", "array('a') AS affected_surfaces", "array('a') AS early_indicators", "array(named_struct('label', 'l', 'url', 'u')) AS sources")
         validate.split_valid(h, validate.hypothesis_errors(), strict=True)[0].collect()
@@ -324,10 +332,17 @@ def test_command_line_tables(spark, tmp_path, capsys):
 
 
 def test_append_once_and_read_through(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
-    assert readers.append_once(rows, str(tmp_path / "log"), "id").count() == 2
-    readers.append_once(spark.createDataFrame([(2, "c"), (3, "d")], "id long, t string"), str(tmp_path / "log"), "id")
-    assert sorted((r.id, r.t) for r in spark.read.json(str(tmp_path / "log")).collect()) == [(1, "a"), (2, "b"), (3, "d")]
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "x"), (2, "x"), (None, "n")], "id long, t string").repartition(3)
+    for _ in range(2):  # the same batch again leaves no second copy
+        first = readers.append_once(rows, log, "id", "monday")
+        assert sorted(str(r.id) for r in first.collect()) == ["1", "2", "None"]
+    kept = {r.id: r.t for r in first.collect()}
+    second = readers.append_once(spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "id long, t string"), log, "id", "tuesday")
+    assert [(r.id, r.t) for r in second.collect()] == [(3, "d")]
+    assert {r.id: r.t for r in spark.read.json(log).collect()} == {**kept, 3: "d"} and spark.read.json(log).count() == 4
+    with pytest.raises(Exception, match="(?i)unresolved|cannot"):
+        readers.append_once(rows, log, "no_such_key", "monday")
     built = []
     for _ in range(2):
         kept = readers.read_through(spark, str(tmp_path / "features"), lambda: built.append(1) or rows)

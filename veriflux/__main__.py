@@ -67,10 +67,10 @@ def main(argv: list[str]) -> int:
         return 0
     if args.command == "validate":
         checked, summary = pipelines.validate_traces(spark, args.paths[0])
-        bad = checked.where(F.size("errors") > 0).select("trace_id", "errors")
+        bad = checked.where(F.size("errors") > 0).select("file", "trace_id", "errors")
         if checked.isEmpty():
             return 2
-        tables = [(summary, ["dimension", "value"]), (bad, ["trace_id"])]
+        tables = [(summary, ["dimension", "value"]), (bad, ["file"])]
     else:
         tables = TABLES[args.command](spark, *args.paths)
     for i, (table, order) in enumerate(tables):

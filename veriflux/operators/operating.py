@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import as_of
+
 HIGH = ["high", "critical"]
+#: Days in one range of the as-of join.
+DAYS = 32
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -36,6 +40,14 @@ def risk_metrics(records: DataFrame, taxonomy_cells: int, as_of: str, *by: str)
     )
 
 
+def with_first_signal(records: DataFrame, signals: DataFrame) -> DataFrame:
+    """records, with `first_signal`: the day of the nearest signal(cell, received) on its cell that came no later than the record."""
+    day = lambda c: F.unix_date(F.col(c)).cast("long").alias("day__")
+    known = signals.select("cell", day("received"), F.col("received").alias("first_signal"))
+    dated = records.drop("first_signal").withColumn("day__", day("created"))
+    return as_of(dated, known, ["cell"], "day__", ["first_signal"], width=DAYS).drop("day__")
+
+
 def mitigation_distribution(records: DataFrame) -> DataFrame:
     """Open risks by mitigation status."""
     return records.where(~F.coalesce("closed", F.lit(False))).groupBy(F.coalesce("mitigation_status", F.lit("none")).alias("mitigation_status")).agg(F.count("*").alias("n"))

@@ -2,8 +2,8 @@
 
 A trace is a row with its steps in order, as the reader delivers it. Closure,
 approval window and path are folds over that array: no shuffle, no recursion
-limit, and each trace stays in its task. `edges` and `closure_by_edges` give the
-relational form for traces stored as flat step tables.
+limit, and each trace stays in its task. That suits traces of some hundred steps;
+`flat_provenance` does the same for flat step tables and traces of any length.
 """
 
 from __future__ import annotations
@@ -142,14 +142,6 @@ def gate_totals(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in ("gate_fires", "detector_fires", "gate_correct", "detector_correct")])
 
 
-def edges(traces: DataFrame) -> DataFrame:
-    """(trace_id, child, child_idx, parent, parent_idx) for data-flow edges that point to earlier steps."""
-    s = parse_steps(traces).select("trace_id", F.explode("steps").alias("s"))
-    child = s.where("s.type <> 'approval'").select("trace_id", F.col("s.idx").alias("child_idx"), F.col("s.step_id").alias("child"), F.explode("s.derived_from").alias("parent"))
-    parent = s.where("s.type <> 'approval'").select("trace_id", F.col("s.step_id").alias("parent"), F.col("s.idx").alias("parent_idx"))
-    return child.join(parent, ["trace_id", "parent"]).where("parent_idx < child_idx").select("trace_id", "child", "child_idx", "parent", "parent_idx")
-
-
 def inferred_from_runs(runs: DataFrame) -> DataFrame:
     """What outcome flags alone let one infer about runs without a step graph."""
     present = F.col("injection_task_id").isNotNull()

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_schema import named, schema_errors
 from ..functions.patterns import FORBIDDEN_MARKERS
 from ..functions.text import contains_any, strip
+from ..sources.schemas import TRACE_SCHEMA
 
 # Enumerations and word lists of the checks.
 CONFIDENCE = ["low", "medium", "high"]
-SEVERITY = ["low", "medium", "high", "critical"]
-MITIGATION = ["none", "proposed", "in_progress", "deployed", "needs_review"]
 RAW_POLICY = ["safe_to_store", "summarize_only", "do_not_reproduce"]
 VAGUE_OWNERS = ["", "tbd", "unknown", "none", "n/a", "unassigned"]
 ACTION_WORDS = ["send", "submit", "delete", "exfil", "access", "expose", "transfer", "execute", "deploy", "funds", "credential", "bypass", "inject", "redirect", "external", "move", "modify", "overwrite", "leak"]
 MIN_OBSERVED, MIN_RECOMMENDED = 60, 50
 # End of fixed values.
-TRACE_ID = r"^ART-(R[0-9]{2}|[0-9]{3})$"
 SIGNAL_FIELDS = ["signal_id", "title", "source_tier", "source_type", "source_name", "source_url", "observed_at", "summary", "risk_hypothesis", "affected_surfaces", "risk_categories", "evidence_status", "novelty", "actionability", "source_reliability", "raw_detail_policy", "proposed_probe"]
 
 
@@ -30,24 +29,21 @@ def high(c: Column) -> Column:
     return F.coalesce(c.isin("high", "critical"), F.lit(False))
 
 
-def trace_errors() -> Column:
-    """Structural errors of a decision trace; only without any, the cross-field ones."""
-    required = ["trace_id", "title", "source_signal", "agentic_surface", "risk_category", "evidence", "confidence", "severity", "recommended_action", "owner", "mitigation_status", "human_approval", "residual_risk", "next_review"]
-    listed = lambda c, names: c.isNotNull() & ~c.isin(names)
-    schema = errors(
-        *[(F.col(f).isNull(), f"schema: {f} is missing") for f in required],
-        (~F.col("trace_id").rlike(TRACE_ID), "schema: trace_id has a wrong form"),
-        (listed(F.col("confidence"), CONFIDENCE), "schema: confidence is not listed"), (listed(F.col("severity"), SEVERITY), "schema: severity is not listed"),
-        (listed(F.col("mitigation_status"), MITIGATION), "schema: mitigation_status is not listed"),
-        (F.col("next_review").isNotNull() & F.expr("try_to_date(next_review)").isNull(), "schema: next_review is not a date"),
-    )
-    h, a = high(F.col("severity")), F.col("human_approval")
+def as_document(*columns: Column | str) -> Column:
+    """Typed columns as a VARIANT document; members that are null are absent."""
+    return F.parse_json(F.to_json(F.struct(*columns)))
+
+
+def trace_errors(document: Column, schema: dict = TRACE_SCHEMA) -> Column:
+    """Errors of a decision trace, a VARIANT, by its JSON Schema; only without any, the cross-field ones."""
+    get = lambda path, kind: F.try_variant_get(document, path, kind)
+    h = high(get("$.severity", "string"))
     cross = errors(
-        (h & ~F.coalesce(a["required"], F.lit(False)), "high/critical trace lacks human approval requirement"),
-        (h & (a["approval_gate"] == "none"), "high/critical trace lacks approval gate"),
-        (h & (F.coalesce("owner", F.lit("")) == ""), "high/critical trace lacks owner"),
+        (h & ~F.coalesce(get("$.human_approval.required", "boolean"), F.lit(False)), "high/critical trace lacks human approval requirement"),
+        (h & (get("$.human_approval.approval_gate", "string") == "none"), "high/critical trace lacks approval gate"),
+        (h & (F.coalesce(get("$.owner", "string"), F.lit("")) == ""), "high/critical trace lacks owner"),
     )
-    return F.when(F.size(schema) > 0, schema).otherwise(cross)
+    return named(schema_errors(document, schema), lambda e: F.when(F.size(e) > 0, F.transform(e, lambda m: F.concat(F.lit("schema: "), m))).otherwise(cross))
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:

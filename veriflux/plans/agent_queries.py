@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.metrics import class_metrics
 from ..functions.patterns import EXFILTRATION, INJECTION_SIGNALS, NAIVE, PROMPT_INJECTION, SECRET, any_of, portable
 from ..functions.text import matches, matching, text_hash
-from ..operators import behavior, monitor, network, provenance, sentinel, validate
+from ..operators import behavior, flat_provenance, monitor, network, provenance, sentinel, validate
 from . import derived
 from .derived import ALERTS_SQL, ARGS, CONNECTOR, STEPS_SQL, TOOL, plant
-from .registry import query, sql_text, table, texts
+from .registry import ORACLES, query, sql_text, table, texts
 
 TEXT = "coalesce(text, '')"
 
@@ -181,9 +181,16 @@ def taint_closure(spark: SparkSession, d: str) -> DataFrame:
     return steps.where(F.size("s.roots") > 0).select("trace_id", F.col("s.step_id").alias("step_id"), F.col("s.roots").alias("roots"))
 
 
+@query(f"WITH RECURSIVE {STEPS_SQL} SELECT t AS trace_id, i AS idx, 's' || i AS step_id, list_sort(list('s' || root)) AS roots FROM cl GROUP BY t, i")
+def flat_taint_closure(spark: SparkSession, d: str) -> DataFrame:
+    """The closure as a fixpoint over flat steps."""
+    return flat_provenance.taint_roots(derived.steps(spark, d))
+
+
 @query(f"WITH RECURSIVE {STEPS_SQL} SELECT t AS trace_id, 's' || i AS child, CAST(i AS INTEGER) AS child_idx, 's' || j AS parent, CAST(j AS INTEGER) AS parent_idx FROM ed")
 def provenance_edges(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.edges(derived.traces(spark, d))
+    e = flat_provenance.named_edges(flat_provenance.flat_steps(derived.steps(spark, d)))
+    return e.withColumns({c: F.col(c).cast("int") for c in ("child_idx", "parent_idx")})
 
 
 PATHS_SQL = f"""{ALERTS_SQL},
@@ -200,6 +207,12 @@ def gate_alerts(spark: SparkSession, d: str) -> DataFrame:
     return provenance.alerts(derived.traces(spark, d))
 
 
+@query(ORACLES["gate_alerts"])
+def flat_gate_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts over flat steps: approvals by an as-of join, paths by a search of all alerts at once."""
+    return flat_provenance.flat_alerts(derived.steps(spark, d))
+
+
 @query(f"{ALERTS_SQL} SELECT tool, CASE WHEN tool IN ('transfer_funds', 'modify_permissions', 'delete') THEN 'critical' ELSE 'high' END AS severity, count(*) AS n_alerts, count(DISTINCT t) AS n_traces FROM al GROUP BY 1, 2")
 def gate_alert_counts(spark: SparkSession, d: str) -> DataFrame:
     return provenance.alerts(derived.traces(spark, d)).groupBy("tool", "severity").agg(F.count("*").alias("n_alerts"), F.count_distinct("trace_id").alias("n_traces"))
@@ -309,11 +322,21 @@ _MIT = "CASE o_orderkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'deployed' ELSE 'prop
 _H = "o_orderkey % 5 IN (0, 1)"
 
 
-@query(f"""WITH s AS (SELECT o_orderkey, list_filter([CASE WHEN o_orderkey % 10 = 7 THEN 'schema: trace_id has a wrong form' END, CASE WHEN o_orderkey % 3 = 2 THEN 'schema: confidence is not listed' END, CASE WHEN o_orderkey % 12 = 0 THEN 'schema: next_review is not a date' END], lambda x: x IS NOT NULL) AS sc,
- list_filter([CASE WHEN {_H} AND o_orderkey % 7 = 0 THEN 'high/critical trace lacks human approval requirement' END, CASE WHEN {_H} AND o_orderkey % 11 = 0 THEN 'high/critical trace lacks approval gate' END, CASE WHEN {_H} AND o_orderkey % 8 = 1 THEN 'high/critical trace lacks owner' END], lambda x: x IS NOT NULL) AS cr FROM orders)
-SELECT o_orderkey, CASE WHEN len(sc) > 0 THEN sc ELSE cr END AS errors FROM s""")
+_BROKEN = {
+    0: ["$.trace_id has a wrong form"], 1: ["$.title is not of type string"], 2: ["$.source_signal is not listed"], 3: ["$ lacks agentic_surface"], 4: ["$.risk_category is not listed", "$.risk_category is not of type string"],
+    5: ["$.evidence is not of type object"], 6: ["$.evidence lacks why_it_matters"], 7: ["$.evidence.open_questions is not of type array"], 8: ["$.evidence.open_questions[1] is not of type string", "$.evidence.open_questions[3] is not of type string"],
+    9: ["$.confidence is not listed"], 10: ["$.severity is not listed"], 11: ["$.competing_hypotheses[0] is not of type string"], 12: ["$.mitigation_status is not listed"], 13: ["$ lacks human_approval"],
+    14: ["$.human_approval.required is not of type boolean"], 15: ["$.human_approval.approval_gate is not listed"], 16: ["$.next_review is not a date"], 17: ["$.next_review is not of type string"], 18: ["$ is not of type object"], 19: ["$ is not JSON"], 20: ["$.next_review is not a date"],
+}
+_BROKEN_SQL = " ".join(f"WHEN {k} THEN [{', '.join(sql_text('schema: ' + m) for m in v)}]" for k, v in _BROKEN.items())
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 23 {_BROKEN_SQL} ELSE list_sort(list_filter([CASE WHEN {_H} AND o_orderkey % 7 = 0 THEN 'high/critical trace lacks human approval requirement' END,
+ CASE WHEN {_H} AND o_orderkey % 11 = 0 THEN 'high/critical trace lacks approval gate' END, CASE WHEN {_H} AND o_orderkey % 8 = 1 THEN 'high/critical trace lacks owner' END], lambda x: x IS NOT NULL)) END AS errors FROM orders""")
 def trace_validate(spark: SparkSession, d: str) -> DataFrame:
-    return derived.decisions(spark, d).select("o_orderkey", validate.trace_errors().alias("errors"))
+    """One JSON document for each order; each rule of the schema is broken by some."""
+    document = F.try_parse_json(F.expr(derived.TRACE_JSON))
+    return table(spark, d, "orders").select("o_orderkey", F.array_sort(validate.trace_errors(document)).alias("errors"))
 
 
 @query(f"""WITH t AS (SELECT {_SEV} AS severity, lower(o_orderpriority) AS cat, {_H} AND {_MIT} <> 'deployed' AS bad FROM orders) SELECT 'severity' AS dimension, severity AS value, count(*) AS n, count(*) FILTER (bad) AS high_not_deployed FROM t GROUP BY severity

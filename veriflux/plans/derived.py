@@ -54,16 +54,21 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def traces(spark: SparkSession, d: str) -> DataFrame:
-    """One trace for each conversation, its turns as steps."""
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """Flat steps: one for each turn, a trace for each conversation."""
     none = "cast(array() as array<string>)"
-    steps = table(spark, d, "conversations").selectExpr(
+    return table(spark, d, "conversations").selectExpr(
         "conv_id", "turn",
         f"""named_struct('turn', turn, 'step_id', concat('s', turn), 'source', {STEP_SOURCE}, 'type', {STEP_TYPE}, 'content', {STEP_TEXT}, 'tool', CASE WHEN {STEP_TYPE} = 'tool_call' THEN {STEP_TOOL} END,
  'privileged', (conv_id + turn) % 17 = 0, 'args', cast(null as string), 'derived_from', concat(CASE WHEN turn >= 1 THEN array(concat('s', turn - 1)) ELSE {none} END, CASE WHEN turn >= 3 THEN array(concat('s', turn - 3)) ELSE {none} END, CASE WHEN (conv_id + turn) % 9 = 0 THEN array(concat('s', turn + 1)) ELSE {none} END),
  'approves', CASE (conv_id + turn) % 3 WHEN 0 THEN {none} WHEN 1 THEN array('*') ELSE array('transfer_funds') END) AS step""",
-    )
-    g = steps.groupBy("conv_id").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    ).select(F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("trace_id"), "conv_id", F.col("turn").alias("idx"), "step.*")
+
+
+def traces(spark: SparkSession, d: str) -> DataFrame:
+    """The same steps nested, for folds: each trace a row."""
+    flat = steps(spark, d)
+    g = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in flat.columns if c not in ("trace_id", "conv_id", "idx")]))).alias("steps"))
     return g.select(F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("trace_id"), F.lit("conversation").alias("scenario"), (F.col("conv_id") % 2 == 0).alias("expected_gate_alert"), "steps")
 
 
@@ -141,3 +146,16 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
         "'Block the action, show the taint path and require an explicit approval.' AS recommended_action", "CASE o_orderkey % 8 WHEN 0 THEN ' TBD ' WHEN 1 THEN '' ELSE 'team' END AS owner", "CASE o_orderkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'deployed' ELSE 'proposed' END AS mitigation_status",
         "named_struct('required', o_orderkey % 7 <> 0, 'reason', 'r', 'approval_gate', CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE 'before_external_side_effect' END) AS human_approval", "'r' AS residual_risk", "'e' AS reusable_eval_case", "'g' AS taxonomy_gap", "CASE WHEN o_orderkey % 12 = 0 THEN 'soon' ELSE '2025-01-01' END AS next_review",
     )
+
+
+#: Traces as JSON, valid in Spark and DuckDB: by order key, each breaks a rule of the schema, or none.
+TRACE_JSON = """CASE o_orderkey % 23 WHEN 18 THEN '["not", "an", "object"]' WHEN 19 THEN '{"cut": ' ELSE
+ '{"trace_id": "' || CASE o_orderkey % 23 WHEN 0 THEN 'X-1' ELSE 'ART-008' END || '", "title": ' || CASE o_orderkey % 23 WHEN 1 THEN '5' ELSE '"t"' END
+ || ', "source_signal": "' || CASE o_orderkey % 23 WHEN 2 THEN 'rumour' ELSE 'red_team' END || '"' || CASE o_orderkey % 23 WHEN 3 THEN '' ELSE ', "agentic_surface": "tool_calling"' END
+ || ', "risk_category": ' || CASE o_orderkey % 23 WHEN 4 THEN 'null' ELSE '"prompt_injection"' END || ', "evidence": ' || CASE o_orderkey % 23 WHEN 5 THEN '"seen"' ELSE
+   '{"observed_behavior": "b"' || CASE o_orderkey % 23 WHEN 6 THEN '' ELSE ', "why_it_matters": "w"' END || ', "open_questions": ' || CASE o_orderkey % 23 WHEN 7 THEN '"q"' WHEN 8 THEN '["q", 2, "r", null]' ELSE '["q"]' END || '}' END
+ || ', "confidence": "' || CASE o_orderkey % 23 WHEN 9 THEN 'certain' ELSE 'low' END || '", "severity": "' || CASE WHEN o_orderkey % 23 = 10 THEN 'extreme' WHEN o_orderkey % 5 = 0 THEN 'critical' WHEN o_orderkey % 5 = 1 THEN 'high' ELSE 'low' END
+ || '", "competing_hypotheses": ' || CASE o_orderkey % 23 WHEN 11 THEN '[null]' ELSE '[]' END || ', "recommended_action": "r", "owner": "' || CASE o_orderkey % 8 WHEN 1 THEN '' ELSE 'team' END
+ || '", "mitigation_status": "' || CASE o_orderkey % 23 WHEN 12 THEN 'done' ELSE 'none' END || '"' || CASE o_orderkey % 23 WHEN 13 THEN '' ELSE ', "human_approval": {"required": '
+   || CASE WHEN o_orderkey % 23 = 14 THEN '"yes"' WHEN o_orderkey % 7 = 0 THEN 'false' ELSE 'true' END || ', "reason": "r", "approval_gate": "' || CASE WHEN o_orderkey % 23 = 15 THEN 'later' WHEN o_orderkey % 11 = 0 THEN 'none' ELSE 'before_policy_exception' END || '"}' END
+ || ', "residual_risk": "r", "next_review": ' || CASE o_orderkey % 23 WHEN 16 THEN '"soon"' WHEN 17 THEN '20250101' WHEN 20 THEN '"2025-02-30"' ELSE '"2025-01-01"' END || '}' END"""

@@ -125,3 +125,12 @@ def signal_conversion(spark: SparkSession, d: str) -> DataFrame:
     """Each event as an intake signal."""
     s = table(spark, d, "events").selectExpr("event_type", "cast(ts as date) AS received", "CASE WHEN event_id % 9 <> 0 THEN date_add(cast(ts as date), cast(event_id % 6 as int)) END AS triaged", "event_id % 2 = 0 AS material", "event_id % 3 = 0 AS traced", "event_id % 11 = 0 AS dismissed")
     return operating.signal_conversion(s, 3, "event_type")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey % 50 AS cell, CAST(o_orderdate AS DATE) AS created FROM orders), s AS (SELECT DISTINCT user_id % 50 AS cell, CAST(ts AS DATE) - 9000 + CAST(event_id % 2500 AS INTEGER) AS received FROM events)
+SELECT r.o_orderkey, s.received AS first_signal, CAST(r.created - s.received AS INTEGER) AS lead_days FROM r ASOF LEFT JOIN s ON r.cell = s.cell AND r.created >= s.received""")
+def signal_lead_times(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as risk records, events as signals on the same cells: the nearest earlier signal of each."""
+    risks = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey % 50 AS cell", "cast(o_orderdate as date) AS created")
+    signals = table(spark, d, "events").selectExpr("user_id % 50 AS cell", "date_add(date_sub(cast(ts as date), 9000), cast(event_id % 2500 as int)) AS received")
+    return operating.with_first_signal(risks, signals).select("o_orderkey", "first_signal", F.datediff("created", "first_signal").alias("lead_days"))

@@ -12,8 +12,10 @@ from .report import Section, patch_loop, report
 
 
 def validate_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Each trace with its errors, and the summary of the valid ones."""
-    checked = readers.traces(spark, path).withColumn("errors", validate.trace_errors())
+    """Each trace file with its errors, and the summary of the valid ones."""
+    checked = readers.documents(spark, path).withColumn("errors", validate.trace_errors(F.col("document")))
+    get = lambda name: F.try_variant_get("document", f"$.{name}", "string").alias(name)
+    checked = checked.select("file", *map(get, ("trace_id", "severity", "risk_category", "mitigation_status")), "errors")
     return checked, validate.trace_summary(checked.where(F.size("errors") == 0))
 
 

@@ -7,21 +7,49 @@ nothing is read on the driver.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .positions import positioned
 
 CORRUPT = "_corrupt_record"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
 #: Below this size on disk a table may have fewer splits than there are cores.
 SMALL_BYTES = 32 << 20
 
 
 def json_files(spark: SparkSession, path: str, schema: str, recursive: bool = True) -> DataFrame:
     """One JSON object, or an array of them, in each file; with the file's name for ordering."""
-    df = spark.read.schema(f"{schema}, {CORRUPT} STRING").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", recursive).json(path)
-    return df.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return scanned(spark, path, schema, recursive).withColumn("file", file_name(spark, path))
+
+
+def scanned(spark: SparkSession, path: str, schema: str, recursive: bool = True) -> DataFrame:
+    return spark.read.schema(f"{schema}, {CORRUPT} STRING").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", recursive).json(path)
+
+
+def file_name(spark: SparkSession, path: str) -> Column:
+    """The path of a scanned row's file below the folder that was asked for; of a single file, its name."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), SCHEME, "")
+    below = re.sub(SCHEME, "", root).rstrip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(below)), F.substring(plain, F.lit(len(below) + 1), F.length(plain))).otherwise(F.element_at(F.split(plain, "/"), -1))
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """Whole JSON files as VARIANT `document`, null where a file is no JSON, with the file's path."""
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return df.select(file_name(spark, path).alias("file"), F.try_parse_json("value").alias("document"))
+
+
+def json_schema(path: str) -> dict:
+    """A JSON Schema from a file, for functions.json_schema."""
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -95,12 +123,12 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Benchmark cases of several splits, each from its own path, under one set of names."""
+    """Benchmark cases of several splits, each from its own path, under one set of names; case_index counts a split's cases in file order, from 0."""
     out = None
     for split, path in paths.items():
-        df = valid(json_files(spark, path, schemas.CASE)).select(
+        df = valid(positioned(scanned(spark, path, schemas.CASE), "case_index")).select(
             F.lit(split).alias("split"), F.col("User Instruction").alias("user_instruction"), F.col("User Tool").alias("user_tool"), F.col("Tool Response").alias("tool_response"),
-            F.col("Attacker Tools").alias("attacker_tools"), F.col("Attack Type").alias("attack_type"), F.monotonically_increasing_id().alias("case_index"),
+            F.col("Attacker Tools").alias("attacker_tools"), F.col("Attack Type").alias("attack_type"), "case_index",
         )
         out = df if out is None else out.unionByName(df)
     return out
@@ -167,25 +195,38 @@ def posts_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return items, users
 
 
-def append_once(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends, as lines of JSON, the rows whose key the file does not have yet; gives these rows."""
-    fields = df.schema
-    try:
-        have = df.sparkSession.read.schema(fields).json(path).select(key).distinct()
-        df = df.join(have, key, "left_anti")
-    except AnalysisException:
-        pass  # nothing has been written there yet
-    df.write.mode("append").json(path)
-    return df
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def one_of_each(df: DataFrame, key: str) -> DataFrame:
+    """Of rows that share a key, the one that comes first in hash order; equal keys are folded before they are shuffled."""
+    order = F.xxhash64(F.to_json(F.struct("*")))
+    chosen = df.select(F.col(key).alias("key__"), F.struct("*").alias("row__"), order.alias("order__")).groupBy("key__").agg(F.min_by("row__", "order__").alias("row__"))
+    return chosen.select("row__.*")
+
+
+def append_once(df: DataFrame, path: str, key: str, batch: str) -> DataFrame:
+    """Appends, as lines of JSON, one row of each key that no other batch has; gives these rows.
+
+    A batch has a folder of its own below path, which it replaces: what is
+    appended again under the same name, after a failure or by a retry, is there once.
+    """
+    spark, fields, own = df.sparkSession, df.schema, f"batch={batch}"
+    new = one_of_each(df, key)
+    if exists(spark, path):
+        have = spark.read.schema(f"{fields.toDDL()}, batch STRING").json(path)
+        new = new.join(have.where(F.col("batch") != batch).select(key).distinct(), key, "left_anti").select(*fields.names)
+    new.write.mode("overwrite").json(f"{path}/{own}")
+    return spark.read.schema(fields).json(f"{path}/{own}")
 
 
 def read_through(spark: SparkSession, path: str, build) -> DataFrame:
     """A kept table, built and written where it is not there yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_json(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -73,3 +73,34 @@ PATCH_CASE = """case_id STRING, title STRING, caveat STRING, source_signal STRUC
 LABELLED = "text STRING, label INT, split STRING"
 EVAL_CASE = f"id STRING, category STRING, expected_label STRING, expected_failure_category STRING, rationale STRING, input_trace STRUCT<{TRACE}>"
 REGISTER = "risk_id STRING, title STRING, surface STRING, category STRING, severity STRING, likelihood STRING, owner STRING, status STRING, mitigation STRING, residual_risk STRING, approval_gate STRING, next_review STRING, notes STRING"
+
+# The JSON Schema of a decision trace.
+_TEXT = {"type": "string"}
+_TEXTS = {"type": "array", "items": _TEXT}
+TRACE_SCHEMA = {
+    "type": "object",
+    "required": ["trace_id", "title", "source_signal", "agentic_surface", "risk_category", "evidence", "confidence", "severity", "recommended_action", "owner", "mitigation_status", "human_approval", "residual_risk", "next_review"],
+    "properties": {
+        "trace_id": {"type": "string", "pattern": "^ART-(R[0-9]{2}|[0-9]{3})$"},
+        "title": _TEXT,
+        "source_signal": {"type": "string", "enum": ["investigation", "eval", "red_team", "security_review", "product_launch", "external_research", "incident", "user_report", "synthetic_probe"]},
+        "agentic_surface": {"type": "string", "enum": ["browser", "connector", "tool_calling", "memory", "retrieval", "computer_use", "multi_agent", "workflow_automation"]},
+        "risk_category": {"type": "string", "enum": ["prompt_injection", "connector_data_boundary", "tool_overreach", "social_engineering", "policy_evasion", "memory_retrieval_contamination", "sensitive_action_confirmation", "cyber_adjacent_abuse"]},
+        "evidence": {"type": "object", "required": ["observed_behavior", "why_it_matters", "open_questions"], "properties": {"observed_behavior": _TEXT, "why_it_matters": _TEXT, "open_questions": _TEXTS}},
+        "confidence": {"type": "string", "enum": ["low", "medium", "high"]},
+        "severity": {"type": "string", "enum": ["low", "medium", "high", "critical"]},
+        "competing_hypotheses": _TEXTS,
+        "recommended_action": _TEXT,
+        "owner": _TEXT,
+        "mitigation_status": {"type": "string", "enum": ["none", "proposed", "in_progress", "deployed", "needs_review"]},
+        "human_approval": {
+            "type": "object", "required": ["required", "reason", "approval_gate"],
+            "properties": {"required": {"type": "boolean"}, "reason": _TEXT, "approval_gate": {"type": "string", "enum": ["none", "before_external_side_effect", "before_sensitive_data_access", "before_cross_connector_action", "before_high_risk_advice", "before_policy_exception"]}},
+        },
+        "residual_risk": _TEXT,
+        "reusable_eval_case": _TEXT,
+        "taxonomy_gap": _TEXT,
+        "next_review": {"type": "string", "format": "date"},
+    },
+}
+# End of fixed values.
