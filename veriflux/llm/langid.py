@@ -7,11 +7,11 @@ and a narrow margin marks the decision as rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ LEVEL = 5
 MARGIN = 0.01
 #: Texts are encoded in pieces of this many bytes, so a long text's own history does not outweigh the dictionary.
 PIECE = 4096
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")  # not numbers such as ² or Ⅷ, which are no letters
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
