@@ -42,8 +42,9 @@ PHRASE = TRIGGER + 2 * AROUND
 #: Phrase pairs that an owner task sorts at once; strings that are equal share a trigger, whose pairs stay together.
 SORTED = 100_000
 #: Triggers with so many different pairs in a sample of one document in SAMPLED (by hash) have their strings sent one by one.
-#: This decides where strings meet, not which; there are fewer such triggers than pairs in the sample by MANY.
-SAMPLED, MANY = 64, 400
+#: Such triggers are marked in a bitmap of HOT_BITS, and others that share their bits go the same way: this decides where
+#: strings meet, not which.
+SAMPLED, MANY, HOT_BITS = 64, 400, 1 << 22
 
 BASE = 0x9E3779B97F4A7C15
 PARSED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
@@ -196,11 +197,21 @@ def many_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hot_triggers(texts: DataFrame) -> np.ndarray:
-    """Hashes of triggers with very many different phrase pairs, sorted."""
+    """A bitmap of triggers with very many different phrase pairs, as words of 64 bits; empty where there are none."""
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
     pairs = some.mapInArrow(many_pairs, "trigger long, pair long").groupBy("trigger", "pair").agg(F.lit(1).alias("one"))
-    found = pairs.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).select("trigger").collect()
-    return np.sort(np.array([r.trigger for r in found], np.int64).view(np.uint64))
+    found = pairs.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).withColumn("bit", F.pmod("trigger", F.lit(HOT_BITS)))
+    words = found.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    rows = words.collect()  # at most HOT_BITS / 64 rows
+    bitmap = np.zeros(HOT_BITS // 64 if rows else 0, np.int64)
+    for r in rows:
+        bitmap[r.word] = r.bits
+    return bitmap.view(np.uint64)
+
+
+def is_hot(bitmap: np.ndarray, own: np.ndarray) -> np.ndarray:
+    bit = own % np.uint64(HOT_BITS)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def parse(n_buckets: int, n_settled: int, hot: np.ndarray):
@@ -229,7 +240,7 @@ def parse(n_buckets: int, n_settled: int, hot: np.ndarray):
                 body = text.encode("utf-8", "surrogatepass")
                 at, own, phrase, second, found = triggers(body)
                 if len(hot) and len(at):
-                    spread_out = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+                    spread_out = is_hot(hot, own)
                     if spread_out.any():
                         start, *hashes = windows(found, at[spread_out], len(body))
                         strings.append((np.full(len(start), doc_id, np.int64), start, *hashes))
@@ -330,7 +341,8 @@ def list_by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without(doc_id, body: bytes, spans: bytes):
     """The result row of a document from its spans."""
     pairs = np.frombuffer(spans, np.int32).reshape(-1, 2).astype(np.int64)
-    start, end = merged(np.minimum(pairs[:, 0], len(body)), np.minimum(pairs[:, 1], len(body)))
+    pairs = np.minimum(pairs[pairs[:, 0] < len(body)], len(body))  # a longer text with the same doc_id may have given some
+    start, end = merged(pairs[:, 0], pairs[:, 1])
     sha, kept = hashlib.sha256(), 0
     for s, e in zip(start.tolist(), end.tolist()):
         sha.update(body[kept:s])
@@ -361,6 +373,7 @@ def dictionary(n_buckets: int):
             hs, ids, ats, sizes, bodies = [], [], [], [], []
             for doc_id, body, opened in zip(*(c.to_pylist() for c in batch.columns)):
                 pairs = np.frombuffer(opened, np.int32).reshape(-1, 2)
+                pairs = pairs[pairs[:, 0] + TRIGGER <= len(body)]  # another text with the same doc_id may be longer
                 padded = np.zeros(len(body) + 2 * AROUND, np.uint8)
                 padded[AROUND:-AROUND] = np.frombuffer(body, np.uint8)
                 at = pairs[:, 0].astype(np.int64)
