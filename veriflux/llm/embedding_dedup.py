@@ -23,8 +23,9 @@ from .common import Scratch, partitions, small_text_batches, to_batch
 from .components import components, forest
 
 THRESHOLD = 0.93
-#: Vectors of one side of a tile.
-BLOCK = 1024
+#: Vectors that are multiplied at once, and blocks of them on one side of a tile at most: a class stands once in each row
+#: and column of its label's tiles, so wide tiles shuffle less. A label has WIDE sides at least before tiles widen.
+BLOCK, MOST_BLOCKS, WIDE = 1024, 32, 8
 
 #: What a tile found: u has v more links (COUNT), u and v are in one component (TREE), u on side v has an open pair (ROW).
 COUNT, TREE, ROW = 0, 1, 2
@@ -68,15 +69,33 @@ def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold:
     return out
 
 
-def report(at: tuple, ids: tuple, sizes: tuple, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts and a forest of the links (i, j) between a tile's sides."""
-    if not len(i):
-        return
-    more = [np.bincount(k, sizes[1 - side][other], len(ids[side])).astype(np.int64) for side, (k, other) in enumerate(((i, j), (j, i)))]
-    u, n = np.concatenate(ids), np.concatenate(more)
-    child, parent = forest(ids[0][i], ids[1][j])
-    for kind, a, b in ((COUNT, u[n > 0], n[n > 0]), (TREE, child, parent)):
-        yield to_batch(TILE, *(np.full(len(a), k) for k in at), np.full(len(a), kind), a, b)
+class Links:
+    """Link counts and a spanning forest of a tile's links, added block by block."""
+
+    def __init__(self, at: tuple, ids: list, sizes: list):
+        self.at, self.ids, self.sizes = at, ids, sizes
+        self.more, self.trees = [np.zeros(len(x), np.int64) for x in ids], []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            np.add.at(self.more[0], i, self.sizes[1][j])
+            np.add.at(self.more[1], j, self.sizes[0][i])
+            self.trees.append(forest(self.ids[0][i], self.ids[1][j]))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.trees:
+            u, n = np.concatenate(self.ids), np.concatenate(self.more)
+            child, parent = forest(*(np.concatenate(x) for x in zip(*self.trees)))
+            for kind, a, b in ((COUNT, u[n > 0], n[n > 0]), (TREE, child, parent)):
+                yield to_batch(TILE, *(np.full(len(a), k) for k in self.at), np.full(len(a), kind), a, b)
+
+
+def blocks_of(at: tuple, sides: list, size: int) -> Iterator[tuple[slice, slice, bool]]:
+    """Pairs of blocks of a tile's sides; of a tile on the diagonal those with i <= j, and whether i = j."""
+    own = at[1] == at[2]
+    for i in range(0, len(sides[0]), size):
+        for j in range(i if own else 0, len(sides[1]), size):
+            yield slice(i, i + size), slice(j, j + size), own and i == j
 
 
 def by_tile(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
@@ -103,7 +122,7 @@ def by_tile(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatc
         yield from done()
 
 
-def compare(threshold: float):
+def compare(threshold: float, block: int = BLOCK):
     """Sure links of tiles, and the rows that have open pairs; bodies are encode()'s."""
 
     def finish(at, ids, sizes, bodies):
@@ -112,24 +131,32 @@ def compare(threshold: float):
             table = np.frombuffer(b"".join(body), np.uint8).reshape(len(body), -1)
             norms = np.ascontiguousarray(table[:, :24]).view(np.float64)
             sides.append((table[:, 24:].view(np.int8), *norms.T))
-        sure, open_ = bounded(*sides, at[1] == at[2], threshold)
-        yield from report(at, ids, sizes, *np.nonzero(sure))
-        some = (open_.any(1), open_.any(0))
-        for side, some in enumerate([some[0] | some[1]] if at[1] == at[2] else some):
-            u = ids[side][some]
+        links, some = Links(at, ids, sizes), [np.zeros(len(x), bool) for x in ids]
+        for p, q, same in blocks_of(at, ids, block):
+            sure, open_ = bounded([x[p] for x in sides[0]], [x[q] for x in sides[1]], same, threshold)
+            i, j = np.nonzero(sure)
+            links.add(i + p.start, j + q.start)
+            some[0][p] |= open_.any(1)
+            some[1][q] |= open_.any(0)
+        yield from links.rows()
+        for side, rows in enumerate([some[0] | some[1]] if at[1] == at[2] else some):
+            u = ids[side][rows]
             yield to_batch(TILE, *(np.full(len(u), k) for k in at), np.full(len(u), ROW), u, np.full(len(u), side))
 
     return lambda batches: by_tile(batches, finish)
 
 
-def settle(threshold: float):
+def settle(threshold: float, block: int = BLOCK):
     """Links among the open pairs of tiles; bodies are whole vectors of the rows that compare() asked for."""
 
     def finish(at, ids, sizes, bodies):
         sides = [np.stack([*map(unpacked, b)]) for b in bodies]
-        i, j = np.nonzero(bounded(*(quantise(unit(x)) for x in sides), at[1] == at[2], threshold)[1])
-        linked = exact(*sides, i, j, threshold)
-        yield from report(at, ids, sizes, i[linked], j[linked])
+        coded, links = [quantise(unit(x)) for x in sides], Links(at, ids, sizes)
+        for p, q, same in blocks_of(at, ids, block):
+            i, j = np.nonzero(bounded([x[p] for x in coded[0]], [x[q] for x in coded[1]], same, threshold)[1])
+            linked = exact(sides[0][p], sides[1][q], i, j, threshold)
+            links.add(i[linked] + p.start, j[linked] + q.start)
+        yield from links.rows()
 
     return lambda batches: by_tile(batches, finish)
 
@@ -180,8 +207,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     in double precision is at least threshold. A vector that is null, empty,
     zero, or holds null or non-finite components links with nothing, and neither
     does a row with a null vec_id; such rows are their own component. Repeated
-    rows are different vectors with equal ids: each counts as a link. An empty
-    table gives no rows.
+    rows are different vectors with equal ids: each counts as a link, and rows of
+    one id may have different labels and vectors. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_text_batches(spark)
@@ -190,9 +217,11 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     packed = tmp.save(rows.mapInArrow(pack_vectors, "vec_id long, label string, dims int, body binary"), "packed")
     able = F.col("label").isNotNull() & F.col("body").isNotNull() & F.col("vec_id").isNotNull()
     key = ["label", "dims", "body"]
-    classes = packed.where(able).groupBy(key).agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
-    classes = tmp.save(classes.mapInArrow(encode, "label string, dims int, body binary, class_id long, n long, coded binary"), "classes")
-    blocks = tmp.save(classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    # written once with its numbers: a class is named by a number of its own, since one vec_id may stand in several
+    classes = packed.where(able).groupBy(key).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n")).withColumn("class_id", F.monotonically_increasing_id())
+    classes = tmp.save(classes.mapInArrow(encode, "label string, dims int, body binary, first_id long, n long, class_id long, coded binary"), "classes")
+    wide = F.least(F.greatest(F.floor(F.count("*") / (block * WIDE)), F.lit(1)), F.lit(MOST_BLOCKS)) * block
+    blocks = tmp.save(classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / wide).cast("int").alias("blocks")), "blocks")
     dealt = classes.select("label", "dims", "class_id", "n", "coded").join(blocks, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place, tile = ["group", "x", "y", "side"], ["group", "x", "y"]
@@ -200,14 +229,17 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         F.xxhash64("label", "dims").alias("group"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
         (F.col("own") > F.col("other")).cast("int").alias("side"), "class_id", "n", "coded",
     )
-    found = tmp.save(tiles.repartition(n, *tile).sortWithinPartitions(place).mapInArrow(compare(threshold), FOUND), "found")
+    found = tmp.save(tiles.repartition(n, *tile).sortWithinPartitions(place).mapInArrow(compare(threshold, block), FOUND), "found")
     wanted = found.where(F.col("kind") == ROW).select(*tile, F.col("v").cast("int").alias("side"), F.col("u").alias("class_id"))
     doubles = wanted.join(classes.select("class_id", "n", "body"), "class_id").select(*place, "class_id", "n", "body")
-    found = found.union(tmp.save(doubles.repartition(n, *tile).sortWithinPartitions(place).mapInArrow(settle(threshold), FOUND), "settled"))
-    comp = components(found.where(F.col("kind") == TREE).select("u", "v"), tmp)
+    found = found.union(tmp.save(doubles.repartition(n, *tile).sortWithinPartitions(place).mapInArrow(settle(threshold, block), FOUND), "settled"))
+    comp = components(found.where(F.col("kind") == TREE).select("u", "v"), tmp).select(F.col("id").alias("class_id"), "component_id")
     counts = found.where(F.col("kind") == COUNT).groupBy(F.col("u").alias("class_id")).agg(F.sum("v").alias("more"))
-    verdicts = classes.select(*key, "class_id", "n").join(counts, "class_id", "left").join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
-    verdicts = tmp.save(verdicts.select(*key, (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id")), "verdicts")
+    named = tmp.save(classes.select(*key, "class_id", "first_id", "n").join(comp, "class_id", "left").withColumn("root", F.coalesce("component_id", "class_id")), "named")
+    least = named.where("component_id is not null").groupBy("root").agg(F.min("first_id").alias("least"))  # the root's own row has no component_id
+    least = least.join(named.where("component_id is null").select("root", F.col("first_id").alias("own_id")), "root").select("root", F.least("least", "own_id").alias("least"))
+    verdicts = named.join(least, "root", "left").join(counts, "class_id", "left")
+    verdicts = tmp.save(verdicts.select(*key, (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "first_id").alias("component_id")), "verdicts")
     linked = packed.where(able).join(verdicts, key).select("vec_id", "n_links", "component_id")
     alone = packed.where(~able).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     result = tmp.save(linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "result")
