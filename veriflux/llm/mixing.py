@@ -28,6 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 BLOCK_BITS, LEVEL_BITS = 10, 8
 BLOCKS, FANOUT = 1 << BLOCK_BITS, 1 << LEVEL_BITS
+#: Rows of a source that are put in order at once when its target's end is found.
+AT_ONCE = 100_000
 SHARDS = 16
 #: So many sources, consecutive in their order, share one splitting tree.
 TREE_SOURCES = 50_000
@@ -96,6 +98,13 @@ def targeted(sources: DataFrame) -> DataFrame:
     return sources.withColumn("target", F.least(room, F.lit(unit) * F.col("weight")))
 
 
+def edges(sums: DataFrame, order: str) -> DataFrame:
+    """The row of each source at which its sums, in this order, reach what is left of its target; left counts from that row on."""
+    until = Window.partitionBy("of").orderBy(order)  # FANOUT rows of a source, or AT_ONCE
+    ends = sums.withColumn("sum", F.sum("words").over(until)).where(F.col("sum") >= F.col("left"))
+    return ends.withColumn("left", F.col("left") - F.col("sum") + F.col("words")).groupBy("of").agg(F.min_by(F.struct(*sums.columns), order).alias("e")).select("e.*")
+
+
 def plan_sources(rows: DataFrame, seed: int, shards: int, tmp: Scratch) -> DataFrame:
     """For each source: its target, how often it is taken whole, where its last, partial epoch ends, and the shards' shares of its blocks.
 
@@ -106,18 +115,21 @@ def plan_sources(rows: DataFrame, seed: int, shards: int, tmp: Scratch) -> DataF
     size, target = F.col("source_size"), F.col("target")
     plans = plans.withColumn("epochs", F.when(size > 0, F.least(F.floor(target / size), F.lit(int(CEILING)))).otherwise(0).cast("int"))
     plans = tmp.save(plans.withColumn("left", F.rint(target - F.col("epochs") * size).cast("long")), "plans")
-    # radix descent: one digit of the edge a level, for all sources at once
-    edge = plans.where((F.col("left") >= 1) & (F.col("epochs") < CEILING)).select(F.col("source").alias("of"), F.lit(0).cast("long").alias("prefix"), "left", F.lit(1).cast("long").alias("n"))
+    # radix descent: a digit of the edge a level, for all sources at once, until few rows of each source are near it
+    of_source = F.col("source").eqNullSafe(F.col("of"))
+    edge = plans.where((F.col("left") >= 1) & (F.col("epochs") < CEILING)).select(F.col("source").alias("of"), F.lit(0).cast("long").alias("prefix"), "left")
+    near = rows.select("source", "size", place(seed).alias("place"))
     for bits in range(0, 64, LEVEL_BITS):
-        digit = F.shiftrightunsigned(place(seed), 64 - bits - LEVEL_BITS).bitwiseAND(F.lit(FANOUT - 1).cast("long"))
-        found = rows.join(edge.drop("n"), F.col("source").eqNullSafe(F.col("of")))
-        if bits:
-            found = found.where(F.shiftrightunsigned(place(seed), 64 - bits) == F.col("prefix"))
-        sums = found.groupBy("of", "prefix", "left", digit.alias("d")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-        until = Window.partitionBy("of").orderBy("d")  # FANOUT rows for each source
-        ends = sums.withColumn("sum", F.sum("words").over(until)).where(F.col("sum") >= F.col("left"))
-        first = ends.groupBy("of").agg(F.min(F.struct("d", "prefix", (F.col("left") - F.col("sum") + F.col("words")).alias("left"), "n")).alias("e"))
-        edge = tmp.save(first.select("of", (F.shiftleft("e.prefix", LEVEL_BITS) if bits else F.lit(0).cast("long")).bitwiseOR(F.col("e.d")).alias("prefix"), "e.left", "e.n"), f"edge-{bits}")
+        digit = F.shiftrightunsigned("place", 64 - bits - LEVEL_BITS).bitwiseAND(F.lit(FANOUT - 1).cast("long"))
+        sums = near.join(edge, of_source).groupBy("of", "prefix", "left", digit.alias("d")).agg(F.sum("size").alias("words"))
+        ends = edges(sums, "d").select("of", (F.shiftleft("prefix", LEVEL_BITS) if bits else F.lit(0).cast("long")).bitwiseOR(F.col("d")).alias("prefix"), "left")
+        edge = tmp.save(ends, f"edge-{bits}")
+        here = F.shiftrightunsigned("place", 64 - bits - LEVEL_BITS) == F.col("prefix")
+        near = tmp.save(near.join(edge, of_source & here).select("source", "size", "place"), f"near-{bits}")
+        if (near.groupBy("source").count().agg(F.max("count")).first()[0] or 0) <= AT_ONCE:
+            break
+    sums = near.join(edge, of_source).groupBy("of", "left", unsigned(F.col("place")).alias("place")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    edge = tmp.save(edges(sums, "place").select("of", unsigned(F.col("place")).alias("prefix"), "left", "n"), "edge")
     joined = plans.drop("left").join(edge, F.col("source").eqNullSafe(F.col("of")), "left")
     last = F.coalesce(F.shiftrightunsigned("prefix", 64 - BLOCK_BITS) + 1, F.lit(0)).cast("int")
     joined = joined.select(
@@ -152,7 +164,6 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     at most 2 * size. shards holds the output shard of each of these draws, in
     epoch order. Equal inputs give equal results in any partitioning. A source
     without words has target 0. Rows with a null doc_id are told apart by their texts. An empty table gives no rows.
-    More than MAX_SOURCES distinct sources raise ValueError: their plans are made on the driver.
     """
     tmp = Scratch(docs.sparkSession, "mixing")
     rows = tmp.save(sized(docs), "sized")
