@@ -53,3 +53,10 @@ def labels(spark):
 
 def result(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def vectors(spark):
+    """(vec_id, embedding): 64 components and not, null, non-finite, repeated and tied ones."""
+    x = [i / 64 - 0.5 for i in range(64)]
+    rows = [(1, x), (2, x), (2, x), (2, [-c for c in x]), (3, None), (4, x[:63]), (5, [*x, 0.0]), (6, [*x[1:], None]), (7, [*x[1:], float("nan")]), (8, [*x[1:], float("-inf")]), (9, []), (None, [0.25] * 64), (10, [1e300] * 64), (11, [0.0] * 64)]
+    return spark.createDataFrame(rows + [(100 + i, [((i * k) % 17 - 8) / 9 for k in range(64)]) for i in range(40)], "vec_id long, embedding array<double>")

@@ -1,0 +1,218 @@
+"""Periodic runs, centroids and token files against plain versions, and on awkward rows."""
+
+import glob
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow.orc
+import pytest
+from pyspark.sql import functions as F
+
+from veriflux.llm import centroids, embedding_dedup, langid, periodic_runs, queries, suffix_dedup, token_files
+
+from . import cases
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_runs(w, least=12):
+    """Every period by itself: maximal stretches that agree with themselves q words on."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j - i >= q and j - i + q >= least:
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def test_runs_of_words():
+    rng = random.Random(1)
+    for _ in range(4000):
+        letters, n = rng.choice([1, 2, 2, 3, 4]), rng.randrange(0, 60)
+        w = [rng.randrange(letters) for _ in range(n)]
+        if n and rng.random() < 0.5:
+            a, p = rng.randrange(n), rng.randrange(1, n + 1)
+            w = [w[i] if i < a or a + p > n else w[a + (i - a) % p] for i in range(n)]
+        for least in (2, 12):
+            assert periodic_runs.runs_of(w, least) == plain_runs(w, least), w
+    for _ in range(400):  # texts of a batch, with what the filter leaves out
+        texts = [[b"%d" % rng.randrange(rng.choice([2, 3, 40])) for _ in range(rng.randrange(90))] * rng.choice([1, 1, 2, 3]) for _ in range(rng.randrange(1, 5))]
+        assert periodic_runs.runs_of_texts(texts, 12) == [plain_runs(t) for t in texts]
+
+
+def test_factors_are_longest_earlier_strings():
+    rng = random.Random(4)
+    for _ in range(500):
+        w = [rng.randrange(3) for _ in range(rng.randrange(40))]
+        at = 0
+        for start, source in periodic_runs.factors(w):
+            assert start == at
+            longest = max((next((k for k in range(len(w) - at) if w[j + k] != w[at + k]), len(w) - at) for j in range(at)), default=0)
+            assert (source >= 0) == (longest > 0) and (source < 0 or w[source : source + longest] == w[at : at + longest])
+            at += max(longest, 1)
+        assert at == len(w)
+
+
+def contract_of_op11(doc_id, text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    if h % 10 == 0 and n:
+        a = h // 10 % n
+        p = 1 + (n - a) // (3 + h // 10 % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    runs, drop = plain_runs(w), set()
+    for s, length, q in runs:
+        drop |= set(range(s + q, s + length))
+    best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)), sha(" ".join(x for i, x in enumerate(w) if i not in drop)))
+
+
+def test_op11_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000").select("doc_id", "text").collect()}
+    got = [tuple(r) for r in queries.op11_periodic_runs(spark, SF).where(F.col("doc_id").isin(list(docs))).collect()]
+    assert len(got) == len(docs) and sum(r[1] > 0 for r in got) > 80
+    for r in got:
+        assert r == contract_of_op11(r[0], docs[r[0]])
+
+
+def test_runs_on_awkward_rows(spark):
+    def run(df):
+        return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(df)))
+
+    docs = cases.frame(spark)
+    plain = cases.result(run(docs))
+    want = [contract_of_op11(*r[:2]) if r[0] is not None else (None, *contract_of_op11(1, r[1])[1:]) for r in cases.rows() if r[0] not in (11, 12)]  # of ids 1 and null none is planted
+    assert [r for r in plain if r[0] not in (11, 12)] == sorted(want, key=repr) and len(plain) == len(want) + 2
+    assert cases.result(run(cases.clashing(docs).repartition(5))) == plain
+    assert run(cases.empty(spark)).collect() == []
+    long = {r.doc_id: r for r in periodic_runs.periodic_runs(docs).where("doc_id in (11, 12)").collect()}
+    assert [tuple(x) for x in long[11].runs] == [(0, 18000, 6)] and long[11].collapsed == "long words go on and on" and long[12].collapsed.endswith(" end")
+    with pytest.raises(ValueError):
+        periodic_runs.periodic_runs(docs, 5)
+
+
+def plain_clusters(rows, k=16, rounds=3):
+    kept = [(i, [int(np.floor(64 * c)) for c in x]) for i, x in rows if x is not None and len(x) == 64 and all(c is not None and np.isfinite(c) and abs(c) < 2**20 for c in x)]
+    seeds = sorted(kept, key=lambda r: (hashlib.sha256(f"1:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), np.array(r[1], "<i4").tobytes()))[:k]
+    at = [s[1] for s in seeds]
+    nearest = lambda x: min((sum((a - b) ** 2 for a, b in zip(x, c)), i) for i, c in enumerate(at))
+    for _ in range(rounds):
+        own = [nearest(x)[1] for _, x in kept]
+        for c in range(len(at)):
+            members = [x for (_, x), o in zip(kept, own) if o == c]
+            if members:
+                at[c] = [sum(col) // len(members) for col in zip(*members)]
+    found = [(i, *nearest(x)) for i, x in kept]
+    total = {c: sum(d for _, d, o in found if o == c) for c in range(len(at))}
+    return sorted([(i, c, d, total[c], sum(total.values()), hashlib.sha256(",".join(map(str, at[c])).encode()).hexdigest()) for i, d, c in found], key=repr)
+
+
+def test_centroids_equal_plain_version(spark):
+    df = cases.vectors(spark)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    for parts in (1, 5):
+        clashing = df.repartition(parts).withColumn("cluster", F.lit("x")).withColumn("body", F.lit(1))
+        assert cases.result(centroids.summarised(*centroids.cluster(clashing))) == plain_clusters(rows)
+    few = df.where("vec_id in (1, 2, 3)")
+    assert cases.result(centroids.summarised(*centroids.cluster(few))) == plain_clusters([r for r in rows if r[0] in (1, 2, 3)])
+    for none in (df.where("vec_id = 3"), df.limit(0)):
+        assert centroids.summarised(*centroids.cluster(none)).collect() == []
+
+
+def test_partial_distances_are_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x, c = rng.integers(-3, 4, (200, 64)), rng.integers(-3, 4, (16, 64))
+        c[5] = c[2]  # ties
+        full = ((x[:, None] - c[None]) ** 2).sum(2)
+        cluster, least = centroids.nearest(x, c)
+        assert (cluster == full.argmin(1)).all() and (least == full.min(1)).all()
+
+
+def tokens_of(rows):
+    from tokenizers import Tokenizer
+
+    encode, at, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for doc_id, text in rows:
+        ids = [*encode.encode(text or "", add_special_tokens=False).ids, 0]
+        out.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_op13_equals_the_tokenizer(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    assert [tuple(r) for r in queries.op13_token_files(spark, SF).orderBy("start").collect()] == tokens_of(docs)
+
+
+def test_token_files_on_awkward_rows(spark):
+    docs = cases.frame(spark)
+    plain = [tuple(r) for r in token_files.token_files(docs).orderBy("start").collect()]
+    assert len(plain) == len(cases.rows()) and [r[0] for r in plain] == sorted((r[0] for r in cases.rows()), key=lambda i: -1 if i is None else i)
+    assert [r[1] for r in plain] == [sum(r[2] for r in plain[:i]) for i in range(len(plain))]
+    assert sorted((r[0] or -1, r[2], r[3]) for r in plain) == sorted((r[0] or -1, r[2], r[3]) for r in tokens_of([(r[0], r[1]) for r in cases.rows()]))
+    assert [tuple(r) for r in token_files.token_files(cases.clashing(docs).repartition(5)).orderBy("start").collect()] == plain
+    assert token_files.token_files(cases.empty(spark)).collect() == []
+    special = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "漢字 <|endoftext|>")], "doc_id long, text string")
+    assert [tuple(r) for r in token_files.token_files(special).orderBy("start").collect()] == tokens_of([(1, "a<|endoftext|>b"), (2, "漢字 <|endoftext|>")])
+
+
+def test_files_are_pruned_by_id(spark, tmp_path):
+    docs = spark.range(60_000).select((F.col("id") * 7).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    token_files.write_tokens(docs, f"file://{tmp_path}/t")
+    some = token_files.read_tokens(spark, f"file://{tmp_path}/t", [7 * 31, 7 * 59_999, 5])
+    plan = some._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(doc_id" in plan
+    assert sorted(r.doc_id for r in some.collect()) == [7 * 31, 7 * 59_999]
+    read = some.select("doc_id")
+    read.collect()
+    leaf = read._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert 0 < leaf.metrics().apply("numOutputRows").value() <= 6 * token_files.INDEX_ROWS  # row groups whose index cannot hold the ids are skipped
+    files = sorted(glob.glob(f"{tmp_path}/t/*.orc"))
+    ids = [pyarrow.orc.ORCFile(f).read(columns=["doc_id"])["doc_id"].to_pylist() for f in files]
+    assert sum(ids, []) == [7 * i for i in range(60_000)] and len(files) > 1  # files are ranges, in order
+
+
+def test_rows_with_one_id_and_different_texts(spark):
+    rng = random.Random(3)
+    body = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p = body(120)
+    rows = [(1, body(300) + p + body(200)), (2, p[:60]), (2, body(2000) + p[10:] + body(500)), (3, p[20:100] + "zz"), (3, body(900) + p[5:70]), (3, "")]
+    got = {(r.doc_id, r.n_bytes): r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for doc_id, text in rows:  # what any row of the id shares with smaller ids goes, within the row's length
+        spans, smaller = set(), "\0".join(t for i, t in rows if i < doc_id)
+        for i, t in rows:
+            spans |= {k for s in range(len(t) - 49) if i == doc_id and t[s : s + 50] in smaller for k in range(s, s + 50)}
+        kept = "".join(c for k, c in enumerate(text) if k not in spans)
+        r = got[doc_id, len(text)]
+        assert (r.n_removed, r.kept_sha256) == (len(text) - len(kept), hashlib.sha256(kept.encode()).hexdigest())
+        assert r.n_spans == sum(k in spans and k - 1 not in spans for k in range(len(text)))
+
+
+def test_vectors_with_one_id_in_several_labels_and_lengths(spark):
+    rng = np.random.default_rng(1)
+    v, w = [[float(c) for c in rng.normal(size=8)] for _ in range(2)]
+    rows = [(1, v, 0), (2, [c * 1.0001 for c in v[:7]] + [v[7]], 0), (1, w, 1), (3, w, 1), (1, v[:5], 0), (4, [2 * c + 1e-3 for c in v[:5]], 0), (0, v, 1), (9, v, 2), (9, [-c for c in v], 2)]
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 1, False), (9, 0, 9, True), (9, 0, 9, True)]
+
+
+def test_wide_tiles_give_the_same_links(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("label", F.lit(1))
+    want = cases.result(embedding_dedup.embedding_dedup(df))
+    assert cases.result(embedding_dedup.embedding_dedup(df, block=4)) == want  # hundreds of blocks, tiles of many
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "hello world", "en"), (2, "½ ² Ⅷ ١٢", None), (3, "hallo welt", "de")], "doc_id long, text string, lang string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}[2] == ("und", 0.0)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch, shared_dir  # noqa: F401  for the operators
+
 #: Rows in one Arrow batch of whole texts; keeps a batch of long texts small.
 TEXT_BATCH_ROWS = 1000
 
@@ -25,61 +23,6 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a private one where that is unset.
-
-    A temporary folder is made only for a local master; a cluster without
-    spark.checkpoint.dir is an error, since executors could not see the files.
-    """
-    conf = spark.sparkContext.getConf()
-    if path := conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    if set_before := spark.sparkContext.getCheckpointDir():
-        return set_before.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="veriflux-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-class Scratch:
-    """Tables written under the shared folder, so that a lost executor costs no recomputation.
-
-    What is left of them goes when the driver's JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.marked = False
-
-    def path(self, name: str = ""):
-        """A Hadoop path, and its file system."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path = f"{self.root}/{name}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        if not self.marked:
-            root, files = self.path()
-            self.marked = files.deleteOnExit(root)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path, files = self.path(name)
-            files.delete(path, True)
-
-    def keep(self, name: str) -> None:
-        """Drops all tables but one."""
-        root, files = self.path()
-        self.drop(*(x.getPath().getName() for x in files.listStatus(root) if x.getPath().getName() != name))
-
-
 def small_text_batches(spark: SparkSession) -> None:
     """Whole texts travel in batches of few rows; one long text costs no more than itself."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))

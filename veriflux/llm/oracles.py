@@ -41,6 +41,23 @@ n AS (SELECT x, count(*) AS k FROM p GROUP BY x)
 SELECT c.x AS vec_id, coalesce(n.k, 0) AS n_links, c.m AS component_id, c.x = c.m AS kept FROM c LEFT JOIN n ON n.x = c.x"""
 
 
+def _centroid_oracle(rounds: int = 3) -> str:
+    """Every round spelt out: assignments a0.., centroids c0.."""
+    steps = ["""v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, e FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16)"]
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (SELECT vec_id, v.e, c, CAST(list_sum(list_transform(list_zip(v.e, c{k}.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{k}),
+a{k} AS (SELECT vec_id, e, unnest(arg_min({{'c': c, 'd': d}}, {{'d': d, 'c': c}})) FROM d{k} GROUP BY vec_id, e)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{k}) GROUP BY c, i),
+c{k + 1} AS (SELECT c{k}.c, coalesce(m.e, c{k}.e) AS e FROM c{k} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM s{k} GROUP BY c) m ON m.c = c{k}.c)""")
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, CAST(a{rounds}.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = a{rounds}.c"""
+
+
 def _secret_oracle() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     columns, keep = [], []
@@ -60,4 +77,4 @@ k AS (SELECT doc_id, {', '.join(keep)} FROM m)
 SELECT doc_id, {counts}, sha256({text(base)}) AS base_sha256, {text(range(len(RULES)))} AS spans FROM k"""
 
 
-ORACLES = {"op4_secrets": _secret_oracle(), "op5_embedding_dedup": VECTORS, "op6_exact_dedup": EXACT, "op9_minhash": NEAR}
+ORACLES = {"op4_secrets": _secret_oracle(), "op5_embedding_dedup": VECTORS, "op6_exact_dedup": EXACT, "op9_minhash": NEAR, "op12_centroids": _centroid_oracle()}
