@@ -265,7 +265,7 @@ def test_merge_and_sampling(spark):
 def test_intake(spark, tmp_path):
     feed = tmp_path / "feed.xml"
     feed.write_text('<feed><entry><id>1</id><title>A\n  B</title><summary>s</summary><published>2024-01-01T0</published><updated>2024-02-01T0</updated><link href="one"/><link rel="alternate" href="two"/></entry><entry><id>2</id><title>C</title></entry></feed>')
-    e = intake.feed_entries(readers.atom_entries(spark, str(feed))).orderBy("entry_id").collect()
+    e = readers.atom_entries(spark, str(feed)).orderBy("entry_id").collect()
     assert [(r.title, r.link, r.updated) for r in e] == [("A B", "two", "2024-02-01"), ("C", "", "")]
     csv = tmp_path / "c.csv"
     csv.write_text('title,url,affected_surfaces,novelty\n"A, b",http://x,"a, b",\n,,,5\n')

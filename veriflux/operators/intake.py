@@ -10,12 +10,68 @@ from ..functions.text import clean, contains_any, stable_id, strip_tags
 # Words that mark an insight.
 INSIGHT_WORDS = ["incident", "harm", "risk", "fraud", "scam", "severity", "intentionally"]
 SENTENCE_WORDS = ["reported incidents", "harm", "risk", "fraud", "scams", "intentionally caused"]
+FINAL, HARM = ["governance", "final_output"], ["incident_taxonomy", "real_world_harm"]
+SOURCES = {
+    "arxiv": {
+        "source_tier": 1, "source_type": "research", "source_name": "arXiv", "evidence_status": "unverified", "novelty": 3, "actionability": 3, "source_reliability": 4, "raw_detail_policy": "summarize_only",
+        "risk_hypothesis": "This research result may describe an agentic AI risk, guardrail gap, or evaluation method worth translating into a safe probe.",
+        "safe_reproduction": "Use paper abstractions and synthetic fixtures; do not copy operational exploit strings.",
+    },
+    "lookup": {
+        "source_tier": 2, "source_type": "incident_database", "source_name": "AI Incident Database lookupbyurl", "novelty": 3, "source_reliability": 4, "raw_detail_policy": "safe_to_store", "affected_surfaces": FINAL, "risk_categories": [*HARM, "severity_mapping"],
+        "risk_hypothesis": "Incident-linked public reports can reveal real-world harms that should broaden the probe backlog beyond security-only failure modes.",
+        "description": "If the URL maps to an incident, abstract the harm pathway into one or more safe agentic-risk probes.", "expected_detection_stage": "governance",
+        "safe_reproduction": "Use incident category summaries and synthetic placeholders rather than recreating harmful details.",
+    },
+    "snapshot": {
+        "source_tier": 2, "source_type": "incident_database", "source_name": "AI Incident Database snapshot", "evidence_status": "corroborated", "novelty": 3, "actionability": 3, "source_reliability": 4, "raw_detail_policy": "summarize_only", "affected_surfaces": FINAL, "risk_categories": [*HARM, "severity_mapping"],
+        "risk_hypothesis": "This incident suggests a real-world harm pathway that may require an agentic-risk taxonomy cell or probe.",
+        "description": "Map the incident harm pathway to affected agentic surfaces and create a safe synthetic reproduction.", "expected_detection_stage": "governance",
+        "safe_reproduction": "Use only high-level incident summary and category labels.", "notes": "Generated from AIID-style snapshot input.",
+    },
+    "insight": {
+        "source_tier": 2, "source_type": "incident_database", "source_name": "MIT AI Incident Tracker", "evidence_status": "corroborated", "novelty": 3, "actionability": 3, "source_reliability": 4, "raw_detail_policy": "safe_to_store", "affected_surfaces": FINAL, "risk_categories": [*HARM, "public_salience"],
+        "risk_hypothesis": "Incident trends can identify publicly salient harm categories that should be mapped to agentic surfaces and safe probes.",
+        "description": "Translate the trend into a taxonomy-gap question and identify whether the current probe set covers the harm pathway.", "expected_detection_stage": "governance",
+        "safe_reproduction": "Use trend-level categories and synthetic probes rather than reproducing incident details.", "notes": "Generated from MIT AI Incident Tracker trend page; treat LLM-classified trends as indicative.",
+    },
+    "post": {
+        "source_tier": 3, "source_type": "social", "source_name": "X saved payload", "evidence_status": "unverified", "novelty": 4, "actionability": 3, "source_reliability": 2, "raw_detail_policy": "do_not_reproduce", "affected_surfaces": ["ingress", "final_output"], "risk_categories": ["jailbreak_motif", "guardrail_gap"],
+        "risk_hypothesis": "This public X post may describe a jailbreak motif, agent failure, guardrail gap, or socially salient risk worth abstracting into a safe probe.",
+        "description": "Human-review the post, abstract the failure pattern, and create a harmless probe without reproducing exploit text.", "expected_detection_stage": "ingress",
+        "safe_reproduction": "Use benign placeholders and avoid copying jailbreak strings or operational misuse instructions.", "notes": "Generated from X API; review required before promotion.",
+    },
+    "curated": {
+        "source_tier": 3, "source_type": "social", "source_name": "Curated social/web stream", "evidence_status": "unverified", "raw_detail_policy": "do_not_reproduce",
+        "risk_hypothesis": "This public weak signal may imply a candidate agentic-risk pattern.",
+        "description": "Create a harmless probe for the abstracted pattern.", "expected_detection_stage": "ingress",
+        "safe_reproduction": "Use benign placeholders and do not reproduce raw exploit details.", "notes": "Generated from review-gated manual/social intake.",
+    },
+}
 # End of fixed values.
+CLEANED = ["title", "source_name", "summary", "risk_hypothesis", "description", "safe_reproduction", "notes"]
+FIELDS = ["signal_id", "title", "source_tier", "source_type", "source_name", "source_url", "observed_at", "summary", "risk_hypothesis", "affected_surfaces", "risk_categories", "evidence_status", "novelty", "actionability", "source_reliability", "raw_detail_policy", "proposed_probe", "notes"]
+PROBE = ["probe_id", "description", "expected_detection_stage", "safe_reproduction"]
+
+
+def source_signal(source: str, **given: Column) -> list[Column]:
+    """The 18 fields of a signal: what is given, else the source's own words; texts are cleaned."""
+    literal = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x)
+    values = {**{k: literal(v) for k, v in SOURCES[source].items()}, **given}
+    values = {"notes": F.lit(""), **values}
+    values = {k: clean(v) if k in CLEANED else v for k, v in values.items()}
+    values["proposed_probe"] = F.struct(*[values[k].alias(k) for k in PROBE])
+    return [values[k].alias(k) for k in FIELDS]
+
+
+def others(df: DataFrame, *used: str) -> list[str]:
+    """The columns that go along with a record's signal."""
+    return [c for c in df.columns if c not in used and c not in FIELDS]
 
 
 def first_of(*cs: Column) -> Column:
-    """The first value that is neither null nor empty."""
-    return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in cs])
+    """The first value that is neither null nor empty; null without any."""
+    return F.coalesce(F.lit(None).cast("string"), *[F.nullif(c.cast("string"), F.lit("")) for c in cs])
 
 
 def insights(html: Column, words: list[str] = INSIGHT_WORDS, k: int = 8) -> Column:
@@ -37,10 +93,12 @@ def page_insights(html: Column) -> Column:
 
 def insight_signals(pages: DataFrame, as_of: str) -> DataFrame:
     """A signal for each insight of pages(url, html), with the pages' other columns."""
-    rest = [c for c in pages.columns if c not in ("url", "html")]
+    rest = others(pages, "url", "html")
     found = pages.select("url", *rest, F.posexplode(page_insights(F.col("html"))).alias("i", "insight"))
-    at = (F.col("i") + 1).cast("string")
-    return found.select(*rest, stable_id("SIG-MIT", at, F.col("insight")).alias("signal_id"), stable_id("PROBE-MIT", at, F.col("insight")).alias("probe_id"), F.concat(F.lit("MIT AI Incident Tracker insight "), at).alias("title"), F.lit(2).alias("source_tier"), F.col("url").alias("source_url"), F.lit(as_of).alias("observed_at"), F.col("insight").alias("summary"))
+    at, insight = (F.col("i") + 1).cast("string"), F.col("insight")
+    return found.select(*rest, *source_signal(
+        "insight", signal_id=stable_id("SIG-MIT", at, insight), probe_id=stable_id("PROBE-MIT", at, insight), title=F.concat(F.lit("MIT AI Incident Tracker insight "), at), source_url=F.col("url"), observed_at=F.lit(as_of), summary=insight,
+    ))
 
 
 def verbatim(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
@@ -72,13 +130,21 @@ def verbatim(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
     return hit.union(few)
 
 
-def posts(items: DataFrame, users: DataFrame) -> DataFrame:
-    """Posts with the address of their author, where known, and a short summary."""
-    text = clean(F.col("text"))
-    j = items.join(users, "author_id", "left")
+def posts(items: DataFrame, users: DataFrame, as_of: str, source_name: str | None = None, risk_categories: list[str] | None = None, affected_surfaces: list[str] | None = None, raw_detail_policy: str | None = None) -> DataFrame:
+    """A signal for each post of items(event_id, author_id, text, created_at), with the address of its author, where known, and a short summary."""
+    text, told = clean(F.col("text")), {}
+    for k, v in (("source_name", source_name), ("raw_detail_policy", raw_detail_policy)):
+        told |= {k: F.lit(v)} if v else {}
+    for k, v in (("risk_categories", risk_categories), ("affected_surfaces", affected_surfaces)):
+        told |= {k: F.array(*map(F.lit, v))} if v else {}
+    j = items.join(users.select("author_id", "username"), "author_id", "left")
     url = F.when(F.col("username").isNotNull(), F.concat(F.lit("https://x.com/"), "username", F.lit("/status/"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("https://x.com/i/web/status/"), F.col("event_id").cast("string")))
     short = F.when(F.length(text) <= 220, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, 217)), F.lit("...")))
-    return j.select("event_id", url.alias("url"), short.alias("summary"))
+    raw, day = F.coalesce(F.col("text").cast("string"), F.lit("")), F.substring(F.coalesce(F.col("created_at").cast("string"), F.lit(as_of)), 1, 10)
+    author = F.coalesce(F.concat(F.lit("@"), "username"), F.lit("X post"))
+    return j.select(*others(items, "author_id", "text", "created_at"), *source_signal(
+        "post", signal_id=stable_id("SIG-X", url, raw), probe_id=stable_id("PROBE-X", url, raw), title=F.concat(F.lit("X weak signal from "), author), source_url=url, observed_at=day, summary=short, **told,
+    ))
 
 
 def split_list(value: Column, default: str) -> Column:
@@ -90,34 +156,42 @@ def curated(records: DataFrame, as_of: str) -> DataFrame:
     have = set(records.columns)
     get = lambda name, *default: first_of(*([F.col(name)] if name in have else []), *map(F.lit, default))
     number = lambda name, default: F.when(F.coalesce(F.col(name).try_cast("int"), F.lit(0)) != 0, F.col(name).try_cast("int")).otherwise(default) if name in have else F.lit(default)
-    url, title = first_of(*[F.col(c) for c in ("source_url", "url") if c in have], F.lit("manual-curation")), get("title", "Curated social/web weak signal")
-    keep = [c for c in records.columns if c not in ("title", "source_url", "url", "affected_surfaces", "risk_categories", "novelty", "actionability", "source_reliability", "summary", "observed_at")]
     lists = lambda name, default: split_list(F.col(name), default) if name in have else F.split(F.lit(default), ",")
-    return records.select(
-        *keep, stable_id("SIG-SOCIAL", url, title).alias("signal_id"), stable_id("PROBE-SOCIAL", url, title).alias("probe_id"), clean(title).alias("title"), url.alias("source_url"), F.lit(3).alias("source_tier"),
-        F.substring(get("observed_at", as_of), 1, 10).alias("observed_at"), clean(get("summary", "Manual weak signal requiring review.")).alias("summary"), lists("affected_surfaces", "ingress,final_output").alias("affected_surfaces"),
-        lists("risk_categories", "jailbreak_motif").alias("risk_categories"), number("novelty", 4).alias("novelty"), number("actionability", 3).alias("actionability"), number("source_reliability", 2).alias("source_reliability"),
-    )
+    url, title = first_of(*[F.col(c) for c in ("source_url", "url") if c in have], F.lit("manual-curation")), get("title", "Curated social/web weak signal")
+    own = {k: get(name, SOURCES["curated"][k]) for k, name in (("source_name", "source_name"), ("risk_hypothesis", "risk_hypothesis"), ("evidence_status", "evidence_status"), ("raw_detail_policy", "raw_detail_policy"), ("description", "safe_probe_description"), ("expected_detection_stage", "expected_detection_stage"), ("safe_reproduction", "safe_reproduction"), ("notes", "notes"))}
+    return records.select(*others(records, "url", "safe_probe_description", "expected_detection_stage", "safe_reproduction"), *source_signal(
+        "curated", signal_id=stable_id("SIG-SOCIAL", url, title), probe_id=stable_id("PROBE-SOCIAL", url, title), title=title, source_url=url, observed_at=F.substring(get("observed_at", as_of), 1, 10),
+        summary=get("summary", "Manual weak signal requiring review."), affected_surfaces=lists("affected_surfaces", "ingress,final_output"), risk_categories=lists("risk_categories", "jailbreak_motif"),
+        novelty=number("novelty", 4), actionability=number("actionability", 3), source_reliability=number("source_reliability", 2), **own,
+    ))
 
 
-def incident_lookups(urls: DataFrame, incidents: DataFrame) -> DataFrame:
-    """A signal for each address, by how many known incidents it has."""
+def incident_lookups(urls: DataFrame, incidents: DataFrame, as_of: str) -> DataFrame:
+    """A signal for each of urls(url, and title and observed_at if there), by how many known incidents it has."""
     hits = incidents.groupBy("url").agg(F.count("*").alias("result_count"))
-    j = urls.join(hits, "url", "left").withColumn("result_count", F.coalesce("result_count", F.lit(0)))
-    found = F.col("result_count") > 0
-    return j.select("*", stable_id("SIG-AIID", F.col("url")).alias("signal_id"), F.when(found, "corroborated").otherwise("unverified").alias("evidence_status"), F.when(found, 3).otherwise(2).alias("actionability"))
+    return lookup_signals(urls.join(hits, "url", "left").withColumn("result_count", F.coalesce("result_count", F.lit(0))), as_of)
+
+
+def lookup_signals(found: DataFrame, as_of: str) -> DataFrame:
+    """A signal for each of found(url, result_count, and title and observed_at if there)."""
+    have, url, n = set(found.columns), F.col("url"), F.col("result_count")
+    get = lambda name, default: first_of(F.col(name), default) if name in have else default
+    return found.select(*others(found), *source_signal(
+        "lookup", signal_id=stable_id("SIG-AIID", url), probe_id=stable_id("PROBE-AIID", url), title=get("title", F.concat(F.lit("AIID lookup for "), url)), source_url=url, observed_at=get("observed_at", F.lit(as_of)),
+        summary=F.concat(F.lit("AIID lookup returned "), n.cast("string"), F.lit(" matching result(s) for the source URL.")), evidence_status=F.when(n > 0, "corroborated").otherwise("unverified"), actionability=F.when(n > 0, 3).otherwise(2), notes=F.concat(F.lit("lookup_result_count="), n.cast("string")),
+    ))
 
 
 def incident_snapshot(items: DataFrame, as_of: str) -> DataFrame:
     """Signals of incident records whose fields go by several names."""
     names = set(items.columns)
     pick = lambda *cs: first_of(*[clean(F.col(c)) for c in cs if c in names])
-    key, title = pick("incident_id", "id", "number", "url"), F.coalesce(pick("title", "name", "description"), F.lit("AI incident"))
-    rest = [c for c in items.columns if c not in ("title", "url", "summary", "date", "name", "id", "incident_id", "number", "description")]
-    return items.select(
-        *rest, stable_id("SIG-AIID", key, title).alias("signal_id"), stable_id("PROBE-AIID", key, title).alias("probe_id"), title.alias("title"), F.coalesce(pick("url", "source_url", "report_url"), F.lit("manual-snapshot")).alias("source_url"),
-        F.substring(F.coalesce(pick("date", "observed_at"), F.lit(as_of)), 1, 10).alias("observed_at"), F.substring(F.coalesce(pick("summary", "description", "text"), title), 1, 900).alias("summary"), F.lit(2).alias("source_tier"),
-    )
+    key = pick("incident_id", "id", "number", "url")
+    title = F.coalesce(pick("title", "name", "description"), F.concat(F.lit("AI incident "), F.coalesce(key, F.lit(""))))
+    return items.select(*others(items, "url", "date", "name", "id", "incident_id", "number", "description", "report_url", "text"), *source_signal(
+        "snapshot", signal_id=stable_id("SIG-AIID", key, title), probe_id=stable_id("PROBE-AIID", key, title), title=title, source_url=F.coalesce(pick("url", "source_url", "report_url"), F.lit("manual-snapshot")),
+        observed_at=F.substring(F.coalesce(pick("date", "observed_at"), F.lit(as_of)), 1, 10), summary=F.substring(F.coalesce(pick("summary", "description", "text"), title), 1, 900),
+    ))
 
 
 def snapshot_items(payload: DataFrame) -> DataFrame:
@@ -133,11 +207,13 @@ def feed_entries(feed: DataFrame) -> DataFrame:
     return feed.select("*", text("id").alias("entry_id"), text("title").alias("title"), text("summary").alias("summary"), F.substring(text("published"), 1, 10).alias("published"), F.substring(text("updated"), 1, 10).alias("updated"), link.alias("link")).drop("entry")
 
 
-def feed_signals(entries: DataFrame, config: DataFrame) -> DataFrame:
+def feed_signals(entries: DataFrame, config: DataFrame, as_of: str) -> DataFrame:
     """A signal for each entry and query; queries are a configuration file, a handful of rows."""
-    q = config.select(F.col("name").alias("query_name"), "affected_surfaces", "risk_categories", F.col("proposed_probe_stage").alias("stage"), F.col("query").alias("query_text"))
+    q = config.select(F.col("name").alias("query_name"), F.col("affected_surfaces").alias("q_surfaces"), F.col("risk_categories").alias("q_categories"), F.col("proposed_probe_stage").alias("q_stage"), F.col("query").alias("q_text"))
     j = entries.crossJoin(F.broadcast(q))  # a configuration file
-    url = first_of(F.col("link"), F.col("entry_id"))
-    rest = [c for c in entries.columns if c not in ("title", "summary", "entry_id", "published", "updated", "link")]
-    return j.select(*rest, "query_name", stable_id("SIG-ARXIV", F.col("query_name"), url).alias("signal_id"), "title", url.alias("source_url"), F.lit(1).alias("source_tier"), first_of(F.col("updated"), F.col("published")).alias("observed_at"), F.substring("summary", 1, 900).alias("summary"), "affected_surfaces", "risk_categories", "stage")
-
+    url, day = first_of(F.col("link"), F.col("entry_id")), first_of(F.col("updated"), F.lit(as_of))
+    return j.select(*others(entries, "entry_id", "published", "updated", "link"), "query_name", *source_signal(
+        "arxiv", signal_id=stable_id("SIG-ARXIV", F.col("query_name"), url), probe_id=stable_id("PROBE-ARXIV", F.col("query_name"), url), title=F.col("title"), source_url=url, observed_at=day, summary=F.substring("summary", 1, 900),
+        affected_surfaces=F.col("q_surfaces"), risk_categories=F.col("q_categories"), expected_detection_stage=F.col("q_stage"),
+        description=F.concat(F.lit("Review the paper and convert any safe, relevant finding into a probe for "), "query_name", F.lit(".")), notes=F.concat(F.lit("Generated from arXiv query: "), F.coalesce("q_text", F.lit(""))),
+    ))

@@ -26,6 +26,10 @@ ax AS (SELECT doc_id, [CASE WHEN regexp_matches(low, {sql_text(portable(RETRIEVE
  CASE WHEN len(tq) > 0 THEN tq ELSE ['UNKNOWN'] END AS technique, CASE WHEN len(gl) > 0 THEN gl ELSE ['UNKNOWN'] END AS goal FROM t1)"""
 
 
+#: The day that records without one are given.
+DAY = "2024-01-01"
+
+
 @query(f"WITH {AXES_SQL} SELECT * FROM ax")
 def ontology_axes(spark: SparkSession, d: str) -> DataFrame:
     return ontology.classify(texts(spark, d), "doc_id")
@@ -97,7 +101,7 @@ o AS (SELECT page_id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE sentences EN
 SELECT page_id, k, insight, 'SIG-MIT-' || upper(substr(sha1(k || '||' || insight), 1, 10)) AS signal_id, 'MIT AI Incident Tracker insight ' || k AS title FROM o""")
 def insight_extract(spark: SparkSession, d: str) -> DataFrame:
     """List items first, else sentences, as signals."""
-    s = intake.insight_signals(_pages(spark, d), "2024-01-01")
+    s = intake.insight_signals(_pages(spark, d), DAY)
     return s.select("page_id", F.regexp_extract("title", "([0-9]+)$", 1).cast("long").alias("k"), F.col("summary").alias("insight"), "signal_id", "title")
 
 
@@ -315,20 +319,87 @@ def hypothesis_validate(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- intake ----------------------------------------------------------------
 
+_ID = lambda prefix, *parts: f"'{prefix}-' || upper(substr(sha1({' || {} || '.format(sql_text('||')).join(parts)}), 1, 10))"
+
+
+def _signal_sql(source: str, frm: str, prefix: str, key: list[str], **given: str) -> str:
+    """A SELECT of the 18 fields, the probe's spelt out, from SQL expressions; texts are clean already where they must be."""
+    quoted = lambda v: f"[{', '.join(map(sql_text, v))}]" if isinstance(v, list) else sql_text(v) if isinstance(v, str) else f"CAST({v} AS INTEGER)"
+    values = {"notes": "''", **{k: quoted(v) for k, v in intake.SOURCES[source].items()}, "signal_id": _ID(f"SIG-{prefix}", *key), "probe_id": _ID(f"PROBE-{prefix}", *key), **given}
+    fields = [f for f in intake.FIELDS if f != "proposed_probe"] + intake.PROBE
+    return f"SELECT {', '.join(f'{values[f]} AS {f}' for f in fields)}, {values.get('place', 'NULL')} AS place FROM {frm}"
+
+
+_KEY = "coalesce(nullif(CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END, ''), p_brand)"
+_NAME = "coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, ''), p_type)"
+_CURL = "coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'http://c/' || c_custkey END, ''), 'manual-curation')"
+_XURL = "CASE WHEN user_id % 3 = 0 THEN 'https://x.com/u' || user_id || '/status/' || event_id ELSE 'https://x.com/i/web/status/' || event_id END"
+_XTEXT = "repeat(event_type || ' ', CAST(1 + event_id % 60 AS INTEGER))"
+#: The sources as SQL; `place` orders all their records.
+INTAKE_SQL = " UNION ALL ".join([
+    _signal_sql("arxiv", "part, (VALUES ('agents', 'q1', 'ingress', 0), ('tools', 'q2', 'final', 1)) t(q, qt, st, qn)", "ARXIV", ["q", "'http://a/' || (p_partkey % 300)"], title="p_name || ' ' || (p_partkey % 300)", source_url="'http://a/' || (p_partkey % 300)", observed_at="'2024-01-03'", summary="'s'",
+                affected_surfaces="['s']", risk_categories="['c']", description="'Review the paper and convert any safe, relevant finding into a probe for ' || q || '.'", expected_detection_stage="st", notes="'Generated from arXiv query: ' || qt", place="'a' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') || qn"),
+    _signal_sql("lookup", "nation LEFT JOIN (SELECT s_nationkey, count(*) AS k FROM supplier GROUP BY 1) x ON s_nationkey = n_nationkey", "AIID", ["'http://n/' || n_nationkey"], title="'AIID lookup for http://n/' || n_nationkey", source_url="'http://n/' || n_nationkey", observed_at="'2024-01-01'",
+                summary="'AIID lookup returned ' || coalesce(k, 0) || ' matching result(s) for the source URL.'", evidence_status="CASE WHEN k > 0 THEN 'corroborated' ELSE 'unverified' END", actionability="CASE WHEN k > 0 THEN 3 ELSE 2 END", notes="'lookup_result_count=' || coalesce(k, 0)", place="'b' || lpad(CAST(n_nationkey AS VARCHAR), 12, '0')"),
+    _signal_sql("snapshot", "part", "AIID", [_KEY, _NAME], title=_NAME, source_url="'manual-snapshot'", observed_at="'2024-01-01'", summary=_NAME, place="'c' || lpad(CAST(p_partkey AS VARCHAR), 12, '0')"),
+    _signal_sql("post", f"(SELECT *, trim({_XTEXT}) AS t FROM events) e", "X", [_XURL, _XTEXT], title="'X weak signal from ' || CASE WHEN user_id % 3 = 0 THEN '@u' || user_id ELSE 'X post' END", source_url=_XURL, observed_at="'2024-01-01'", summary="CASE WHEN length(t) <= 220 THEN t ELSE rtrim(substr(t, 1, 217)) || '...' END",
+                place="'d' || lpad(CAST(event_id AS VARCHAR), 12, '0')"),
+    _signal_sql("curated", "customer", "SOCIAL", [_CURL, "c_name"], title="c_name", source_url=_CURL, observed_at="'2024-01-01'", summary="'Manual weak signal requiring review.'", source_reliability="CAST(2 AS INTEGER)", actionability="CAST(3 AS INTEGER)", risk_categories="['jailbreak_motif']",
+                affected_surfaces="list_filter(list_transform(string_split(coalesce(nullif(CASE c_custkey % 4 WHEN 0 THEN '' ELSE ' a , ,b' || c_nationkey END, ''), 'ingress,final_output'), ','), lambda x: trim(x)), lambda x: x <> '')", novelty="CASE WHEN c_custkey % 7 = 0 THEN 4 ELSE CAST(c_custkey % 7 AS INTEGER) END", place="'e' || lpad(CAST(c_custkey AS VARCHAR), 12, '0')"),
+])
+
+
+def _intake(spark: SparkSession, d: str) -> DataFrame:
+    """Signals of all sources, with `place`."""
+    cfg = spark.createDataFrame([("agents", ["s"], ["c"], "ingress", "q1"), ("tools", ["s"], ["c"], "final", "q2")], "name string, affected_surfaces array<string>, risk_categories array<string>, proposed_probe_stage string, query string")
+    entries = table(spark, d, "part").selectExpr("p_partkey", "'i' AS entry_id", "concat(p_name, '  ', p_partkey % 300) AS title", "'s' AS summary", "'2024-01-02' AS published", "'2024-01-03' AS updated", "concat('http://a/', p_partkey % 300) AS link")
+    urls, incidents = table(spark, d, "nation").selectExpr("n_nationkey", "concat('http://n/', n_nationkey) AS url"), table(spark, d, "supplier").selectExpr("concat('http://n/', s_nationkey) AS url")
+    items = table(spark, d, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 2 = 0 THEN cast(p_partkey as string) ELSE '' END AS incident_id", "p_brand AS id", "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS title", "p_type AS name")
+    posts = table(spark, d, "events").selectExpr("event_id", "user_id AS author_id", "repeat(concat(event_type, ' '), cast(1 + event_id % 60 as int)) AS text", "cast(null as string) AS created_at")
+    users = table(spark, d, "events").select("user_id").distinct().where("user_id % 3 = 0").selectExpr("user_id AS author_id", "concat('u', user_id) AS username")
+    records = table(spark, d, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('http://c/', c_custkey) END AS url", "c_name AS title", "CASE c_custkey % 4 WHEN 0 THEN '' ELSE concat(' a , ,b', c_nationkey) END AS affected_surfaces", "cast(c_custkey % 7 as string) AS novelty")
+    place = lambda letter, key, *more: F.concat(F.lit(letter), F.lpad(F.col(key).cast("string"), 12, "0"), *more).alias("place")
+    found = [
+        (intake.feed_signals(entries, cfg, DAY), place("a", "p_partkey", F.when(F.col("query_name") == "agents", "0").otherwise("1"))), (intake.incident_lookups(urls, incidents, DAY), place("b", "n_nationkey")), (intake.incident_snapshot(items, DAY), place("c", "p_partkey")),
+        (intake.posts(posts, users, DAY), place("d", "event_id")), (intake.curated(records, DAY), place("e", "c_custkey")),
+    ]
+    out = None
+    for signals, at in found:
+        part = signals.select(*intake.FIELDS, at)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(INTAKE_SQL)
+def intake_signals(spark: SparkSession, d: str) -> DataFrame:
+    """All 18 fields of the signals of five sources."""
+    s = _intake(spark, d)
+    return s.select(*[f for f in intake.FIELDS if f != "proposed_probe"], "proposed_probe.*", "place")
+
+
+@query(f"""WITH s AS ({INTAKE_SQL}), f AS (SELECT arg_min(s, place) AS r FROM s GROUP BY lower(trim(source_url)), lower(trim(title)))
+SELECT r.probe_id, r.signal_id AS source_signal, least(100, r.novelty * 4 + r.actionability * 8 + r.source_reliability * 5 + CASE r.evidence_status WHEN 'corroborated' THEN 6 ELSE 0 END + CASE r.source_tier WHEN 1 THEN 10 WHEN 2 THEN 6 ELSE 0 END) AS priority, r.title AS title,
+ list_sort(r.risk_categories) AS risk_categories, list_sort(r.affected_surfaces) AS affected_surfaces, r.source_tier = 3 OR r.evidence_status = 'unverified' OR r.raw_detail_policy = 'do_not_reproduce' AS review_required, r.raw_detail_policy AS raw_detail_policy FROM f WHERE r.novelty BETWEEN 1 AND 5""")
+def intake_to_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """From five sources to the probe backlog: adapters, merge, validation, ranking."""
+    merged = corpus.merge_signals(_intake(spark, d), "place")
+    good, _ = validate.split_valid(merged, validate.signal_errors())
+    return triage.backlog(good)
+
 
 @query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'https://x.com/u' || user_id || '/status/' || event_id ELSE 'https://x.com/i/web/status/' || event_id END AS url, CASE WHEN length(t) <= 220 THEN t ELSE rtrim(substr(t, 1, 217)) || '...' END AS summary
 FROM (SELECT event_id, user_id, trim(repeat(event_type || ' ', CAST(1 + event_id % 60 AS INTEGER))) AS t FROM events)""")
 def post_signals(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").selectExpr("event_id", "user_id AS author_id", "repeat(concat(event_type, ' '), cast(1 + event_id % 60 as int)) AS text")
     users = table(spark, d, "events").select("user_id").distinct().where("user_id % 3 = 0").selectExpr("user_id AS author_id", "concat('u', user_id) AS username")
-    return intake.posts(e, users)
+    return intake.posts(e.withColumn("created_at", F.lit(None)), users, DAY).select("event_id", F.col("source_url").alias("url"), "summary")
 
 
 @query("""SELECT c_custkey, 'SIG-SOCIAL-' || upper(substr(sha1(coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'http://c/' || c_custkey END, ''), 'manual-curation') || '||' || c_name), 1, 10)) AS signal_id, 3 AS source_tier,
  list_filter(list_transform(string_split(coalesce(nullif(CASE c_custkey % 4 WHEN 0 THEN '' ELSE ' a , ,b' || c_nationkey END, ''), 'ingress,final_output'), ','), lambda x: trim(x)), lambda x: x <> '') AS affected_surfaces, CASE WHEN c_custkey % 5 = 0 THEN 4 ELSE CAST(c_custkey % 5 AS INTEGER) END AS novelty FROM customer""")
 def curated_signals(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('http://c/', c_custkey) END AS source_url", "c_name AS title", "CASE c_custkey % 4 WHEN 0 THEN '' ELSE concat(' a , ,b', c_nationkey) END AS affected_surfaces", "cast(c_custkey % 5 as string) AS novelty")
-    return intake.curated(r, "2024-01-01").select("c_custkey", "signal_id", "source_tier", "affected_surfaces", "novelty")
+    return intake.curated(r, DAY).select("c_custkey", "signal_id", "source_tier", "affected_surfaces", "novelty")
 
 
 @query("""SELECT n_nationkey, 'SIG-AIID-' || upper(substr(sha1('http://n/' || n_nationkey), 1, 10)) AS signal_id, coalesce(k, 0) AS result_count, CASE WHEN k > 0 THEN 'corroborated' ELSE 'unverified' END AS evidence_status, CASE WHEN k > 0 THEN 3 ELSE 2 END AS actionability
@@ -336,13 +407,13 @@ FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS k FROM supplier GROUP BY
 def incident_lookup(spark: SparkSession, d: str) -> DataFrame:
     urls = table(spark, d, "nation").selectExpr("n_nationkey", "concat('http://n/', n_nationkey) AS url")
     incidents = table(spark, d, "supplier").selectExpr("concat('http://n/', s_nationkey) AS url")
-    return intake.incident_lookups(urls, incidents).select("n_nationkey", "signal_id", "result_count", "evidence_status", "actionability")
+    return intake.incident_lookups(urls, incidents, DAY).select("n_nationkey", "signal_id", "result_count", "evidence_status", "actionability")
 
 
 @query("""SELECT p_partkey, 'SIG-AIID-' || upper(substr(sha1(coalesce(nullif(CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END, ''), p_brand) || '||' || coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, ''), p_type)), 1, 10)) AS signal_id, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, ''), p_type) AS title FROM part""")
 def incident_snapshot(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 2 = 0 THEN cast(p_partkey as string) ELSE '' END AS incident_id", "p_brand AS id", "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS title", "p_type AS name", "cast(null as string) AS url", "cast(null as string) AS summary", "cast(null as string) AS date")
-    return intake.incident_snapshot(items, "2024-01-01").select("p_partkey", "signal_id", "title")
+    return intake.incident_snapshot(items, DAY).select("p_partkey", "signal_id", "title")
 
 
 @query("""SELECT p_partkey, q AS query_name, 'SIG-ARXIV-' || upper(substr(sha1(q || '||' || 'http://a/' || p_partkey), 1, 10)) AS signal_id, p_name || ' ' || p_partkey AS title, 'http://a/' || p_partkey AS source_url FROM part, (VALUES ('agents'), ('tools')) t(q)""")
@@ -350,5 +421,5 @@ def feed_signals(spark: SparkSession, d: str) -> DataFrame:
     entry = "concat('<entry><id>i', p_partkey, '</id><title>', p_name, '  ', p_partkey, '</title><summary>s</summary><published>2024-01-02T00:00:00Z</published><updated>2024-01-03T00:00:00Z</updated><link rel=\"self\" href=\"x\"/><link rel=\"alternate\" href=\"http://a/', p_partkey, '\"/></entry>')"
     feed = table(spark, d, "part").selectExpr("p_partkey", f"{entry} AS entry")
     cfg = spark.createDataFrame([("agents", ["s"], ["c"], "ingress", "q1"), ("tools", ["s"], ["c"], "final", "q2")], "name string, affected_surfaces array<string>, risk_categories array<string>, proposed_probe_stage string, query string")
-    return intake.feed_signals(intake.feed_entries(feed), cfg).select("p_partkey", "query_name", "signal_id", "title", "source_url")
+    return intake.feed_signals(intake.feed_entries(feed), cfg, DAY).select("p_partkey", "query_name", "signal_id", "title", "source_url")
 

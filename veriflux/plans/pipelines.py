@@ -49,8 +49,8 @@ def curated_signals(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     return intake.curated(readers.curated_csv(spark, path), as_of)
 
 
-def post_signals(spark: SparkSession, path: str) -> DataFrame:
-    return intake.posts(*readers.posts_payload(spark, path))
+def post_signals(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+    return intake.posts(*readers.posts_payload(spark, path), as_of)
 
 
 def network_report(spark: SparkSession, path: str) -> str:
@@ -142,5 +142,5 @@ def page_insights(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     return intake.insight_signals(readers.pages(spark, path), as_of)
 
 
-def feed_backlog(spark: SparkSession, feed: str, config: DataFrame) -> DataFrame:
-    return intake.feed_signals(intake.feed_entries(readers.atom_entries(spark, feed)), config)
+def feed_backlog(spark: SparkSession, feed: str, config: DataFrame, as_of: str) -> DataFrame:
+    return intake.feed_signals(readers.atom_entries(spark, feed), config, as_of)
