@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_query_but_a_few_has_an_oracle():
     without = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert without == {"tfidf_lr", "layer_probe", "cross_dataset"}
+    assert without == {"tfidf_lr", "layer_probe", "layer_grid", "cross_dataset"}
     assert len(catalog.queries()) > 65
 
 
@@ -50,7 +50,7 @@ def test_entry(spark):
 
 def test_report(spark):
     t = spark.createDataFrame([(1, 0.5, None, ["a"], True)], "a int, b double, c string, d array<string>, e boolean")
-    assert report("T", [Section("S", t)]) == "# T\n\n## S\n\n| a | b | c | d | e |\n|---|---|---|---|---|\n| 1 | 0.5 | - | a | yes |\n"
+    assert "\n".join(report("T", [Section("S", t)])) == "# T\n\n## S\n\n| a | b | c | d | e |\n|---|---|---|---|---|\n| 1 | 0.5 | - | a | yes |"
     many = markdown(spark.range(2000), ["id"]).split("\n")
     assert len(many) == 2002 and many[-1] == "| 1999 |"
 
@@ -77,6 +77,53 @@ def test_models(spark):
     assert got == {1: True, 2: False}
 
 
+def test_grams_and_scores_against_a_plain_version(spark, tmp_path):
+    """Features of the n-gram classifier, spelt out; a saved model scores alike."""
+    import collections
+    import math
+    import random
+
+    from veriflux.operators import grams
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Élan", "elan", "naïve", "good", "bad", "x", "ok_9", "ﬁne"]) for _ in range(rng.randrange(0, 25))) for _ in range(80)]
+    rows = spark.createDataFrame([(i, t, int("good" in t)) for i, t in enumerate(texts)], "i int, text string, label int").repartition(3)
+    model = grams.TfIdf(rows.select("label", "text"), max_n=2, vocabulary=20)
+    known = {"élan": "elan", "elan": "elan", "naïve": "naive", "good": "good", "bad": "bad", "ok_9": "ok_9", "ﬁne": "fine"}
+
+    def plain(text):
+        tokens = [known[w.lower()] for w in text.split() if len(w) > 1]
+        return collections.Counter([(w,) for w in tokens] + list(zip(tokens, tokens[1:])))
+
+    found = [plain(t) for t in texts]
+    df, total = collections.Counter(g for c in found for g in c), sum(found, collections.Counter())
+    cut = sorted((total[g] for g in df if df[g] >= 2), reverse=True)[19]
+    sure = {g for g in df if df[g] >= 2 and total[g] > cut}  # ties at the vocabulary's end fall by hash
+    assert len(model.vocabulary) == 20 and {round(x, 9) for x in model.idf} >= {round(math.log(81 / (df[g] + 1)) + 1, 9) for g in sure}
+    vectors = {r.i: r.features for r in model.features(model.table(rows.select("i", "text"), "again")).collect()}
+    for i, c in enumerate(found):
+        norm = math.sqrt(sum(v * v for v in vectors[i].values)) if len(vectors[i].values) else 0
+        assert norm == pytest.approx(1.0) if any(g in sure for g in c) else norm in (0, pytest.approx(1.0))
+    old = {r.i: r.prediction for r in model.score(rows.select("i", "text")).collect()}
+    model.save(str(tmp_path / "m"), {"n": 80})
+    assert {r.i: r.prediction for r in grams.TfIdf.load(spark, str(tmp_path / "m")).score(rows.select("i", "text")).collect()} == old
+
+
+def test_layer_grid_equals_one_by_one(spark):
+    rng = __import__("random").Random(2)
+    keys = [(i, rng.randrange(2)) for i in range(160)]
+    layers = {3: 0.2, 5: 2.0, 9: 0.8}  # how far the classes lie apart
+    rows = [(i, layer, [rng.gauss(y * far, 1), rng.gauss(0, 1), 7.0], y) for layer, far in layers.items() for i, y in keys]
+    df = spark.createDataFrame(rows, "key int, layer int, x array<double>, label int").select("key", "layer", ml.array_to_vector("x").alias("vector"), "label").repartition(5)
+    got = {r.layer: r for r in ml.layer_report(df, control=3).collect()}
+    assert {r.best_layer for r in got.values()} == {5} and got[3].control_auc == got[3].auc and got[3].mean_auc == pytest.approx(sum(r.auc for r in got.values()) / 3)
+    for layer in layers:
+        alone = ml.layer_report(df.where(F.col("layer") == layer)).first()
+        assert got[layer].auc == pytest.approx(alone.auc, abs=1e-9)
+        folds = {r.fold: r for r in ml.folded(df.where(F.col("layer") == layer), 5).groupBy("fold").count().collect()}
+        assert len(folds) == 5
+
+
 def test_probe_covers_every_label(spark):
     # label 7 lies apart, 3 to 5 overlap; 9 has too few rows for every fold, 11 for any; nulls are no label
     at = {3: 0.0, 4: 0.1, 5: 0.2, 7: 5.0, 9: -9.0, 11: 20.0, None: 0.0}

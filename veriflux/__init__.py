@@ -1 +1,11 @@
-"""veriflux: agent-risk analytics as Spark DataFrame plans."""
+"""Agent-risk analytics on Spark DataFrames.
+
+Functions that run on executors are pickled by value, so a cluster needs no copy
+of this package on its Python path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .literals import may_match
 from .patterns import LINEAGE_STOP, LINEAGE_TOKEN, any_of, portable
 
 
@@ -37,8 +38,9 @@ def stable_id(prefix: str, *parts: Column, length: int = 10) -> Column:
 
 
 def matches(c: Column, patterns: list[str]) -> Column:
-    """Whether any pattern occurs, ignoring case: one alternation, compiled once."""
-    return F.coalesce(c, F.lit("")).rlike("(?i)" + any_of(patterns))
+    """Whether any pattern occurs, ignoring case: one alternation, compiled once, tried only where a literal of one stands."""
+    text = F.coalesce(c, F.lit(""))
+    return may_match(F.lower(text), patterns) & text.rlike("(?i)" + any_of(patterns))
 
 
 def matching(c: Column, patterns: list[str]) -> Column:

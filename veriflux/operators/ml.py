@@ -8,19 +8,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import confusion_counts
 from ..functions.patterns import PROMPT_INJECTION
+from ..sources.shared import Scratch
+from .grams import TfIdf, gram_table
 
 #: Folds of a probe; buckets in which rows are ranked.
 FOLDS, BUCKETS = 5, 1024
@@ -36,54 +35,6 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(w), label)  # one row for each class
 
 
-#: Most steps of the classifier's fit.
-MAX_ITERATIONS = 1000
-
-
-def gram_pipeline(max_n: int = 3, vocabulary: int = 50_000, hashed: bool = False) -> Pipeline:
-    """Counts of word 1..n-grams. `hashed` needs no vocabulary pass over the corpus."""
-    stages = [SQLTransformer(statement="SELECT *, translate(lower(text), 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc') AS plain FROM __THIS__"), RegexTokenizer(inputCol="plain", outputCol="g1", pattern=r"\b\w\w+\b", gaps=False)]
-    stages += [NGram(n=n, inputCol="g1", outputCol=f"g{n}") for n in range(2, max_n + 1)]
-    grams = ", ".join(f"g{n}" for n in range(1, max_n + 1))
-    stages.append(SQLTransformer(statement=f"SELECT *, concat({grams}) AS grams FROM __THIS__"))
-    stages.append(HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 18) if hashed else CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=vocabulary, minDF=2))
-    return Pipeline(stages=stages)
-
-
-def sublinear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts n of sparse vectors in the column tf become 1 + ln n."""
-    for batch in batches:
-        at = batch.schema.get_field_index("tf")
-        kind, size, indices, values = batch.column(at).flatten()  # what a vector is stored as
-        logs = pa.ListArray.from_arrays(values.offsets, pc.add(pc.ln(values.values), 1.0))
-        tf = pa.StructArray.from_arrays([kind, size, indices, logs.cast(values.type)], fields=list(batch.schema.field(at).type))
-        yield pa.RecordBatch.from_arrays([tf if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
-
-
-class TfIdf:
-    """Word 1..n-grams, 1 + ln of counts, smooth idf ln((n + 1) / (df + 1)) + 1, unit length, balanced logistic regression.
-
-    The corpus is cut into grams twice, for the vocabulary and for the counts; the
-    fit and all scoring read kept counts.
-    """
-
-    def __init__(self, train: DataFrame, max_n: int = 3, vocabulary: int = 50_000, hashed: bool = False):
-        self.grams = gram_pipeline(max_n, vocabulary, hashed).fit(train)
-        counted = self.counted(weighted(train)).persist(StorageLevel.DISK_ONLY)
-        n = max(1, counted.count())
-        idf = IDF(inputCol="tf", outputCol="idf").fit(counted)
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1), inputCol="tf", outputCol="weighed")
-        self.model = Pipeline(stages=[scale, Normalizer(inputCol="weighed", outputCol="features", p=2.0), LogisticRegression(regParam=1.0 / n, weightCol="weight", maxIter=MAX_ITERATIONS)]).fit(counted)
-        counted.unpersist()
-
-    def counted(self, rows: DataFrame) -> DataFrame:
-        counts = self.grams.transform(rows).select(*[c for c in rows.columns if c != "text"], "tf")
-        return counts.mapInArrow(sublinear, counts.schema)
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(self.counted(rows.withColumn("weight", F.lit(1.0))))
-
-
 def split_fold(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
     """Rows with a fold from a hash of the key: the same in any partitioning."""
     return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
@@ -91,14 +42,16 @@ def split_fold(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
 
 def tfidf_report(docs: DataFrame) -> DataFrame:
     """Confusion counts on training folds and the held-out fold, for docs(doc_id, text, label)."""
-    rows = split_fold(docs.where("label is not null and text is not null"), "doc_id")
-    scored = TfIdf(rows.where("fold <> 0")).score(rows).select((F.col("fold") == 0).alias("held_out"), (F.col("prediction") == 1.0).alias("pred"), "label")
+    tmp = Scratch(docs.sparkSession, "tfidf")
+    rows = gram_table(split_fold(docs.where("label is not null and text is not null").select("doc_id", "label", "text"), "doc_id"), 3, tmp, "rows")
+    scored = TfIdf(rows.where("fold <> 0"), 3, tmp=tmp).score(rows).select((F.col("fold") == 0).alias("held_out"), (F.col("prediction") == 1.0).alias("pred"), "label")
     return scored.groupBy("held_out").agg(*confusion_counts(F.col("pred"), F.col("label")))
 
 
 def lexical_auc(train: DataFrame, test: DataFrame) -> float:
     """AUC of a word 1..2-gram control fitted on one data set, on another."""
-    return BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(TfIdf(train, max_n=2).score(test))
+    scored = TfIdf(train.select("label", "text"), max_n=2).score(test.select(F.col("label").cast("double").alias("label"), "text"))
+    return BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(scored)
 
 
 def probe() -> Pipeline:
@@ -106,12 +59,12 @@ def probe() -> Pipeline:
 
 
 def stratified_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """rows(key, vector, label) with a fold: each label's rows are dealt in turn, in hash order.
+    """rows(key, label, and vector if there) with a fold: each label's rows are dealt in turn, in hash order.
 
     Fold sizes of a label differ by one at most, in any partitioning. Ranks are
     counted by hash bucket, so no task holds a whole label.
     """
-    hashed = rows.withColumn("h", F.xxhash64("key", vector_to_array("vector"))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    hashed = rows.withColumn("h", F.xxhash64("key", *([vector_to_array("vector")] if "vector" in rows.columns else []))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     sizes = hashed.groupBy("label", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("label").orderBy("bucket")) - F.col("n")  # BUCKETS rows for each label
     at = hashed.join(F.broadcast(sizes.select("label", "bucket", before.alias("before"))), ["label", "bucket"])
@@ -119,20 +72,23 @@ def stratified_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
     return at.withColumn("fold", F.pmod(rank, F.lit(folds)).cast("int")).drop("h", "bucket", "before")
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, label, fold) of a few rows at a time."""
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
+    """(layer, x, label, fold) of a few rows of one layer at a time."""
     for batch in batches:
         for part in (batch.slice(i, BLOCK_ROWS) for i in range(0, batch.num_rows, BLOCK_ROWS)):
-            yield part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy()
+            x, label, fold, layer = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), *(part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            for each in np.unique(layer):
+                mine = layer == each
+                yield int(each), x[mine], label[mine], fold[mine]
 
 
-def summed(rows: DataFrame, size: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
-    """What add(out, x, label, fold) adds up in an array of so many numbers, over all rows; partial sums meet in a tree."""
+def summed(rows: DataFrame, size: int, add: Callable[[np.ndarray, object, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """What add(out, layer, x, label, fold) adds up in an array of so many numbers, over all rows; partial sums meet in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
-        for x, label, fold in blocks(batches):
-            add(out, x, label, fold)
+        for layer, x, label, fold in blocks(batches):
+            add(out, layer, x, label, fold)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
     return rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(np.add)
@@ -142,45 +98,52 @@ def scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([(x - mean) * scale, np.ones((len(x), 1))])
 
 
-def fit_probes(rows: DataFrame, models: list[tuple], width: int, folds: int) -> dict[tuple, np.ndarray]:
-    """For each (class, fold), weights on raw vectors, the intercept last, fitted on the other folds: see probe().
+def fit_probes(rows: DataFrame, models: list[tuple], width: int, folds: int, layers: list[int]) -> dict[tuple, np.ndarray]:
+    """For each (layer, class, fold), weights on raw vectors, the intercept last, fitted on the layer's other folds: see probe().
 
     Newton's method for many probes at a time: each step reads the rows once for
-    all of them. A constant position gets weight 0.
+    all layers, classes and folds; second derivatives of different layers do not
+    mix. A constant position gets weight 0.
     """
-    def count(out, x, label, fold):
+    place = {layer: i for i, layer in enumerate(layers)}
+
+    def count(out, layer, x, label, fold):
+        o = out.reshape(len(layers), folds, width + 1)[place[layer]]
         for k in range(folds):
-            out[k * (width + 1) :][: width + 1] += np.r_[x[fold == k].sum(0), (fold == k).sum()]
+            o[k] += np.r_[x[fold == k].sum(0), (fold == k).sum()]
 
-    sums = summed(rows, folds * (width + 1), count).reshape(folds, -1)
-    sums = sums.sum(0) - sums
-    n, mean = sums[:, -1], sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+    sums = summed(rows, len(layers) * folds * (width + 1), count).reshape(len(layers), folds, -1)
+    sums = sums.sum(1, keepdims=True) - sums
+    n, mean = sums[:, :, -1], sums[:, :, :-1] / np.maximum(sums[:, :, -1:], 1)
 
-    def square(out, x, label, fold):
+    def square(out, layer, x, label, fold):
+        at = place[layer]
+        o = out.reshape(len(layers), folds, width)[at]
         for k in range(folds):
-            out[k * width :][:width] += ((x[fold != k] - mean[k]) ** 2).sum(0)
+            o[k] += ((x[fold != k] - mean[at, k]) ** 2).sum(0)
 
-    sd = np.sqrt(summed(rows, folds * width, square).reshape(folds, -1) / np.maximum(n[:, None] - 1, 1))
+    sd = np.sqrt(summed(rows, len(layers) * folds * width, square).reshape(len(layers), folds, -1) / np.maximum(n[:, :, None] - 1, 1))
     scale = np.divide(1, sd, out=np.zeros_like(sd), where=sd > 0)
     found: dict[tuple, np.ndarray] = {}
     side = width + 1
     together = max(1, HESSIANS_BYTES // (8 * side * side))
-    positives = {(r.label, r.fold): r["count"] for r in rows.groupBy("label", "fold").count().collect()}
+    positives = {(r.layer, r.label, r.fold): r["count"] for r in rows.groupBy("layer", "label", "fold").count().collect()}
     for start in range(0, len(models), together):
         part = models[start : start + together]
-        mine = [sum(positives.get((c, f), 0) for f in range(folds) if f != k) for c, k in part]
-        weights = [(n[k] / (2 * (n[k] - m)), n[k] / (2 * m)) for (_, k), m in zip(part, mine)]
+        mine = [sum(positives.get((layer, c, f), 0) for f in range(folds) if f != k) for layer, c, k in part]
+        weights = [(n[place[layer], k] / (2 * (n[place[layer], k] - m)), n[place[layer], k] / (2 * m)) for (layer, _, k), m in zip(part, mine)]
         penalty = np.r_[np.full(width, PENALTY), 0.0]
         each = 1 + side + side * side
         at, best, step, before = np.zeros((len(part), side)), np.zeros((len(part), side)), np.zeros((len(part), side)), np.full(len(part), np.inf)
         size = np.ones(len(part))
         for _ in range(MAX_STEPS):
 
-            def slopes(out, x, label, fold, at=at, part=part, weights=weights):
-                for k in {k for _, k in part}:
-                    z, own = scaled(x[fold != k], mean[k], scale[k]), label[fold != k]
-                    for i, (c, f) in enumerate(part):
-                        if f == k:
+            def slopes(out, layer, x, label, fold, at=at, part=part, weights=weights):
+                here = place[layer]
+                for k in {k for of, _, k in part if of == layer}:
+                    z, own = scaled(x[fold != k], mean[here, k], scale[here, k]), label[fold != k]
+                    for i, (of, c, f) in enumerate(part):
+                        if f == k and of == layer:
                             y = own == c
                             m, w = z @ at[i], np.where(y, weights[i][1], weights[i][0])
                             p = 0.5 + 0.5 * np.tanh(m / 2)
@@ -189,7 +152,7 @@ def fit_probes(rows: DataFrame, models: list[tuple], width: int, folds: int) ->
                             o[1 : 1 + side] += z.T @ (w * (p - y))
                             o[1 + side :] += (z.T @ (z * (w * p * (1 - p))[:, None])).ravel()
 
-            got = summed(rows, len(part) * each, slopes).reshape(len(part), each) / np.array([[n[k]] for _, k in part])
+            got = summed(rows, len(part) * each, slopes).reshape(len(part), each) / np.array([[n[place[layer], k]] for layer, _, k in part])
             loss = got[:, 0] + (penalty * at**2).sum(1) / 2
             slope = got[:, 1 : 1 + side] + penalty * at
             better = loss <= before + 1e-12
@@ -200,9 +163,9 @@ def fit_probes(rows: DataFrame, models: list[tuple], width: int, folds: int) ->
             if (better & (np.abs(slope).max(1) < 1e-7)).all():
                 break
             at = best - size[:, None] * step
-        for (c, k), b in zip(part, best):
-            raw = b[:-1] * scale[k]
-            found[c, k] = np.r_[raw, b[-1] - raw @ mean[k]]
+        for (layer, c, k), b in zip(part, best):
+            raw = b[:-1] * scale[place[layer], k]
+            found[layer, c, k] = np.r_[raw, b[-1] - raw @ mean[place[layer], k]]
     return found
 
 
@@ -211,10 +174,10 @@ def held_out_aucs(rows: DataFrame, fitted: dict[tuple, np.ndarray]) -> dict[tupl
     names = list(fitted)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, label, fold in blocks(batches):
-            for i, (c, k) in enumerate(names):
-                if len(own := label[fold == k]):
-                    s = x[fold == k] @ fitted[c, k][:-1] + fitted[c, k][-1]
+        for layer, x, label, fold in blocks(batches):
+            for i, (of, c, k) in enumerate(names):
+                if of == layer and len(own := label[fold == k]):
+                    s = x[fold == k] @ fitted[of, c, k][:-1] + fitted[of, c, k][-1]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int32)), pa.array(s), pa.array((own == c).astype(np.int64))], ["m", "score", "y"])
 
     scores = rows.mapInArrow(score, "m int, score double, y long").groupBy("m", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
@@ -226,26 +189,53 @@ def held_out_aucs(rows: DataFrame, fitted: dict[tuple, np.ndarray]) -> dict[tupl
     return {names[r.m]: r.auc for r in won.collect()}
 
 
+def folded(rows: DataFrame, folds: int) -> DataFrame:
+    """rows(key, vector, label, and layer if there) as (x, label, fold, layer); a key's fold is the same in all layers."""
+    if "layer" not in rows.columns:
+        dealt = stratified_folds(rows, folds).withColumn("layer", F.lit(0))
+    else:
+        dealt = rows.join(stratified_folds(rows.select("key", "label").distinct(), folds), ["key", "label"])
+    return dealt.select(vector_to_array("vector").alias("x"), "label", "fold", F.col("layer").cast("int").alias("layer"))
+
+
+def grid(rows: DataFrame, classes: list | None = None, folds: int = FOLDS) -> dict[tuple, float | None]:
+    """AUC of each (layer, class) against the layer's other labels: see probes()."""
+    rows = Scratch(rows.sparkSession, "probes").save(folded(rows, folds), "rows")
+    sizes = {(r.layer, r.label, r.fold): r["count"] for r in rows.groupBy("layer", "label", "fold").count().collect()}
+    layers, classes = sorted({layer for layer, _, _ in sizes}), sorted({c for _, c, _ in sizes}) if classes is None else classes
+    models = []
+    for layer in layers:
+        in_fold = [sum(n for (at, _, f), n in sizes.items() if at == layer and f == k) for k in range(folds)]
+        for c in classes:
+            mine = [sizes.get((layer, c, k), 0) for k in range(folds)]
+            models += [(layer, c, k) for k in range(folds) if 0 < mine[k] < in_fold[k] and 0 < sum(mine) - mine[k] < sum(in_fold) - in_fold[k]]
+    aucs = held_out_aucs(rows, fit_probes(rows, models, len(rows.first().x), folds, layers)) if models else {}
+    found = {(layer, c): [a for (of, x, _), a in aucs.items() if (of, x) == (layer, c)] for layer in layers for c in classes}
+    return {k: sum(a) / len(a) if a else None for k, a in found.items()}
+
+
 def probes(rows: DataFrame, classes: list | None = None, folds: int = FOLDS) -> dict:
     """AUC of each class (all labels, if none are given) against the other labels of rows(key, vector, label).
 
     It is the mean over folds; a fold counts if its rows, and the others, have
     both sides. Where none does, the class has None. Vectors are of equal length.
     """
-    rows = stratified_folds(rows, folds).select(vector_to_array("vector").alias("x"), "label", "fold").cache()
-    try:
-        sizes = {(r.label, r.fold): r["count"] for r in rows.groupBy("label", "fold").count().collect()}
-        classes = sorted({c for c, _ in sizes}) if classes is None else classes
-        in_fold = [sum(n for (_, f), n in sizes.items() if f == k) for k in range(folds)]
-        models = []
-        for c in classes:
-            mine = [sizes.get((c, k), 0) for k in range(folds)]
-            models += [(c, k) for k in range(folds) if 0 < mine[k] < in_fold[k] and 0 < sum(mine) - mine[k] < sum(in_fold) - in_fold[k]]
-        aucs = held_out_aucs(rows, fit_probes(rows, models, len(rows.first().x), folds)) if models else {}
-    finally:
-        rows.unpersist()
-    found = {c: [a for (x, _), a in aucs.items() if x == c] for c in classes}
-    return {c: sum(a) / len(a) if a else None for c, a in found.items()}
+    found = grid(rows, classes, folds)
+    return {c: found.get((0, c)) for c in classes} if classes is not None else {c: a for (_, c), a in found.items()}
+
+
+def layer_report(rows: DataFrame, control: int = 0, folds: int = FOLDS) -> DataFrame:
+    """layer and auc of rows(key, layer, vector, label), label 1 against others, beside the best layer and a control layer.
+
+    All layers and folds are fitted in the same passes. The best layer has the
+    highest cross-validated AUC, ties to the lowest; a layer without both sides in
+    any fold has null.
+    """
+    aucs = {layer: a for (layer, _), a in grid(rows, [1], folds).items()}
+    known = [(a, -layer) for layer, a in aucs.items() if a is not None]
+    best, at = max(known) if known else (None, None)
+    table = [(layer, a, None if at is None else -at, best, aucs.get(control), sum(a for a, _ in known) / len(known) if known else None) for layer, a in sorted(aucs.items())]
+    return rows.sparkSession.createDataFrame(table, "layer int, auc double, best_layer int, best_auc double, control_auc double, mean_auc double")
 
 
 def cross_validated_auc(rows: DataFrame, folds: int = FOLDS) -> float | None:

@@ -25,17 +25,26 @@ def route(score: Column) -> Column:
     return F.when(score >= 9, "auto_promote_patch_candidate").when(score >= 5, "agentic_review_queue").otherwise("aggregate_watch")
 
 
-def scored_events(nodes: DataFrame) -> DataFrame:
-    e = nodes.select("node_id", F.explode("events").alias("e")).withColumn("score", event_score(F.col("e")))
+def events_of(nodes: DataFrame) -> DataFrame:
+    """The events that nodes carry, as flat rows (node_id, e)."""
+    return nodes.select("node_id", F.explode("events").alias("e"))
+
+
+def scored_events(events: DataFrame) -> DataFrame:
+    """Score and route of flat events(node_id, e)."""
+    e = events.withColumn("score", event_score(F.col("e")))
     return e.select("node_id", F.col("e.event_id").alias("event_id"), F.col("e.category").alias("category"), "score", route(F.col("score")).alias("route"))
 
 
-def network_counts(nodes: DataFrame) -> DataFrame:
-    """Counts of routes, categories, patch channels and modes; nodes are read once."""
-    per_node = F.array(F.struct(F.lit("patch_channel").alias("dimension"), F.col("patch_channel").alias("value")), F.struct(F.lit("mode").alias("dimension"), F.col("mode").alias("value")), F.struct(F.lit("total").alias("dimension"), F.lit("nodes").alias("value")))
-    per_event = F.flatten(F.transform("events", lambda e: F.array(F.struct(F.lit("route").alias("dimension"), route(event_score(e)).alias("value")), F.struct(F.lit("category").alias("dimension"), e["category"].alias("value")), F.struct(F.lit("total").alias("dimension"), F.lit("events").alias("value")))))
-    pairs = F.concat(per_node, F.coalesce(per_event, F.array().cast("array<struct<dimension:string,value:string>>")))
-    return nodes.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
+def network_counts(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """Counts of routes, categories, patch channels and modes of nodes and their flat events; each table is read once.
+
+    A node with a third of all events is no row of its own: counts fold where events lie.
+    """
+    pair = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.alias("value"))
+    of_nodes = nodes.select(F.explode(F.array(pair("patch_channel", F.col("patch_channel")), pair("mode", F.col("mode")), pair("total", F.lit("nodes")))).alias("p"))
+    of_events = events.select(F.explode(F.array(pair("route", route(event_score(F.col("e")))), pair("category", F.col("e.category")), pair("total", F.lit("events")))).alias("p"))
+    return of_nodes.union(of_events).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
 
 
 def raw_field_paths(schema: T.DataType, path: str = "$") -> list[str]:
@@ -56,17 +65,17 @@ def raw_fields_in_json(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(rf'"{name}"\s*:'), F.lit(name)) for name in RAW_FIELD_NAMES]))
 
 
-def privacy_violations(nodes: DataFrame) -> DataFrame:
-    """(subject, reason) of everything that must not be shared."""
-    no, hit = F.lit(False), lambda c, who, why: F.when(c, F.struct(who.alias("subject"), F.lit(why).alias("reason")))
+def unsafe_event(e: Column) -> Column:
+    return F.coalesce(e["contains_raw_content"], F.lit(False)) | F.coalesce(e["contains_private_data"], F.lit(False))
+
+
+def privacy_violations(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """(subject, reason) of everything in nodes and their flat events that must not be shared."""
+    no, hit = F.lit(False), lambda c, why: F.when(c, F.struct(F.col("node_id").alias("subject"), F.lit(why).alias("reason")))
     p = F.col("privacy")
-    of_node = F.array(
-        hit(F.coalesce(p["raw_upload_enabled"], no), F.col("node_id"), "enables raw upload"),
-        hit(~F.coalesce(p["aggregate_only"], no), F.col("node_id"), "is not aggregate-only"),
-        hit(F.coalesce(p["private_data_leaves_device"], no), F.col("node_id"), "leaks private data"),
-    )
-    of_event = F.transform(F.coalesce("events", F.array()), lambda e: hit(F.coalesce(e["contains_raw_content"], no) | F.coalesce(e["contains_private_data"], no), e["event_id"], "is not safe to aggregate"))
-    return nodes.select(F.explode(F.array_compact(F.concat(of_node, of_event))).alias("v")).select("v.*")
+    of_node = F.array(hit(F.coalesce(p["raw_upload_enabled"], no), "enables raw upload"), hit(~F.coalesce(p["aggregate_only"], no), "is not aggregate-only"), hit(F.coalesce(p["private_data_leaves_device"], no), "leaks private data"))
+    found = nodes.select(F.explode(F.array_compact(of_node)).alias("v")).select("v.*")
+    return found.union(events.where(unsafe_event(F.col("e"))).select(F.col("e.event_id").alias("subject"), F.lit("is not safe to aggregate").alias("reason")))
 
 
 def assert_privacy_safe(nodes: DataFrame) -> DataFrame:
@@ -75,5 +84,5 @@ def assert_privacy_safe(nodes: DataFrame) -> DataFrame:
         raise ValueError(f"raw fields are not allowed in shared data: {found}")
     p, no = F.col("privacy"), F.lit(False)
     bad = F.coalesce(p["raw_upload_enabled"], no) | ~F.coalesce(p["aggregate_only"], no) | F.coalesce(p["private_data_leaves_device"], no)
-    bad = bad | F.exists(F.coalesce("events", F.array()), lambda e: F.coalesce(e["contains_raw_content"], no) | F.coalesce(e["contains_private_data"], no))
+    bad = bad | F.exists(F.coalesce("events", F.array()), unsafe_event)
     return nodes.where(F.when(bad, F.raise_error(F.concat("node_id", F.lit(" is not safe to share")))).otherwise(F.lit(True)))

@@ -149,7 +149,7 @@ SCORED_SQL = """sc AS (SELECT *, CASE WHEN score >= 9 THEN 'auto_promote_patch_c
 
 @query(f"WITH {SCORED_SQL} SELECT 'N' || user_id AS node_id, CAST(event_id AS VARCHAR) AS event_id, event_type AS category, score, route FROM sc")
 def telemetry_score(spark: SparkSession, d: str) -> DataFrame:
-    return network.scored_events(derived.nodes(spark, d))
+    return network.scored_events(derived.node_events(spark, d))
 
 
 @query(f"""WITH {SCORED_SQL}, u AS (SELECT DISTINCT user_id FROM events)
@@ -157,13 +157,13 @@ SELECT 'route' AS dimension, route AS value, count(*) AS n FROM sc GROUP BY rout
 UNION ALL SELECT 'total', 'nodes', count(*) FROM u UNION ALL SELECT 'mode', CASE user_id % 2 WHEN 0 THEN 'local' ELSE 'shared' END, count(*) FROM u GROUP BY 2
 UNION ALL SELECT 'patch_channel', CASE user_id % 3 WHEN 0 THEN 'stable' ELSE 'canary' END, count(*) FROM u GROUP BY 2""")
 def network_summary(spark: SparkSession, d: str) -> DataFrame:
-    return network.network_counts(derived.nodes(spark, d))
+    return network.network_counts(derived.nodes(spark, d), derived.node_events(spark, d))
 
 
 @query("""WITH u AS (SELECT DISTINCT user_id FROM events) SELECT 'N' || user_id AS subject, 'enables raw upload' AS reason FROM u WHERE user_id % 10 = 3 UNION ALL SELECT 'N' || user_id, 'is not aggregate-only' FROM u WHERE user_id % 10 = 4
 UNION ALL SELECT 'N' || user_id, 'leaks private data' FROM u WHERE user_id % 10 = 5 UNION ALL SELECT CAST(event_id AS VARCHAR), 'is not safe to aggregate' FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0""")
 def privacy_violations(spark: SparkSession, d: str) -> DataFrame:
-    return network.privacy_violations(derived.nodes(spark, d))
+    return network.privacy_violations(derived.nodes(spark, d), derived.node_events(spark, d))
 
 
 @query("""SELECT event_id, CASE WHEN contains(props, '"raw_prompt"') THEN ['raw_prompt'] ELSE [] END AS raw_fields FROM (SELECT event_id, CASE WHEN event_id % 31 = 0 THEN '{"a": {"raw_prompt": 1}}' ELSE props END AS props FROM events)""")

@@ -48,10 +48,22 @@ def multi_technique_rate(spark: SparkSession, d: str) -> DataFrame:
     return ontology.rates(ontology.classify(texts(spark, d), "doc_id"))
 
 
-@query(f"WITH {AXES_SQL}, {DIST_SQL} SELECT node, n, CASE node {' '.join(f'WHEN {sql_text(k)} THEN {sql_text(v)}' for k, v in ontology.TECHNIQUE_LABELS.items())} ELSE node END AS label FROM (SELECT node, count(*) AS n FROM u WHERE axis = 'technique' GROUP BY node ORDER BY n DESC, node LIMIT 3)")
+_TOP = "(SELECT node, count(*) AS n, min({'d': doc_id, 'i': i}) AS first FROM (SELECT doc_id, unnest(technique) AS node, generate_subscripts(technique, 1) AS i FROM ax) GROUP BY node ORDER BY n DESC, first LIMIT 3)"
+
+
+@query(f"WITH {AXES_SQL} SELECT node, n, CASE node {' '.join(f'WHEN {sql_text(k)} THEN {sql_text(v)}' for k, v in ontology.TECHNIQUE_LABELS.items())} ELSE node END AS label FROM {_TOP}")
 def topk_labels(spark: SparkSession, d: str) -> DataFrame:
-    counts = ontology.distribution(ontology.classify(texts(spark, d), "doc_id")).where("axis = 'technique'").select("node", "n")
-    return ontology.labelled(ontology.most_common(counts, 3)).select("node", "n", "label")
+    top = ontology.most_common(ontology.classify(texts(spark, d), "doc_id"), "technique", "doc_id", 3)
+    return ontology.labelled(top).select("node", "n", "label")
+
+
+_WALK = " ".join(f"WHEN {sql_text(n)} THEN {{'o': {sql_text(o) if o else 'NULL'}, 'a': {sql_text(a) if a else 'NULL'}, 'h': {sql_text(h) if h else 'NULL'}}}" for n, o, a, h in ontology.CROSSWALK)
+
+
+@query(f"WITH {AXES_SQL}, {DIST_SQL}, c AS (SELECT axis, node, count(*) AS n FROM u GROUP BY axis, node), w AS (SELECT *, CASE node {_WALK} END AS x FROM c) SELECT axis, node, n, x.o AS owasp, x.a AS atlas, x.h AS hackaprompt, node IN ({', '.join(map(sql_text, ontology.EXTENSIONS))}) AS is_new FROM w")
+def ontology_crosswalk(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by node beside the ids of other frameworks."""
+    return ontology.crosswalk(ontology.distribution(ontology.classify(texts(spark, d), "doc_id")).drop("share"))
 
 
 # ---- text -----------------------------------------------------------------

@@ -86,18 +86,21 @@ act AS (SELECT st.*, x.first, x.roots FROM st JOIN (SELECT t, i, min(root) AS fi
 al AS (SELECT * FROM act WHERE NOT EXISTS (SELECT 1 FROM st a WHERE a.t = act.t AND a.type = 'approval' AND a.i >= act.first AND a.i < act.i AND (a.ap IN (0, 1) OR act.tool = 'transfer_funds')))"""
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """One node for each user, its events with derived telemetry."""
-    e = table(spark, d, "events").selectExpr(
-        "user_id",
+def node_events(spark: SparkSession, d: str) -> DataFrame:
+    """Flat events of nodes, with derived telemetry: each user is a node."""
+    return table(spark, d, "events").selectExpr(
+        "concat('N', user_id) AS node_id",
         """named_struct('event_id', cast(event_id as string), 'category', event_type, 'signature_hit', event_id % 2 = 0, 'entropy', cast(event_id % 4 as double), 'top_choice_margin', (event_id % 3) * 0.1D,
  'sample_disagreement', (event_id % 5) * 0.25D, 'model_disagreement', (event_id % 7) * 0.125D, 'external_side_effect', event_id % 3 = 1, 'red_team_generated', event_id % 11 = 0, 'patch_version', 'v1',
  'contains_raw_content', event_id % 97 = 0, 'contains_private_data', event_id % 89 = 0) AS e""",
     )
-    g = e.groupBy("user_id").agg(F.collect_list("e").alias("events"))
-    return g.selectExpr(
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """One node for each user, without its events."""
+    return table(spark, d, "events").select("user_id").distinct().selectExpr(
         "concat('N', user_id) AS node_id", "CASE user_id % 2 WHEN 0 THEN 'local' ELSE 'shared' END AS mode", "CASE user_id % 3 WHEN 0 THEN 'stable' ELSE 'canary' END AS patch_channel",
-        "named_struct('source_auditable', true, 'raw_upload_enabled', user_id % 10 = 3, 'aggregate_only', user_id % 10 <> 4, 'private_data_leaves_device', user_id % 10 = 5) AS privacy", "events",
+        "named_struct('source_auditable', true, 'raw_upload_enabled', user_id % 10 = 3, 'aggregate_only', user_id % 10 <> 4, 'private_data_leaves_device', user_id % 10 = 5) AS privacy",
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,14 @@ def tfidf_lr(spark: SparkSession, d: str) -> DataFrame:
     return ml.tfidf_report(docs)
 
 
+@query(None)
+def layer_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Slices of the vectors as layers: all layers and folds of a probe fitted together, the best layer and layer 0 as control."""
+    e = table(spark, d, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 2).cast("int").alias("label"))
+    layers = e.select("vec_id", "label", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("layer"), F.slice("e", 16 * i + 1, 16).alias("v")))).alias("s")).where("size(s.v) = 16")
+    return ml.layer_report(layers.select(F.col("vec_id").alias("key"), F.col("s.layer").alias("layer"), array_to_vector("s.v").alias("vector"), "label"))
+
+
 @query(None)
 def layer_probe(spark: SparkSession, d: str) -> DataFrame:
     """A linear probe on vectors: cross-validated AUC of each label against the rest, beside the best and the mean over labels."""

@@ -64,11 +64,12 @@ class Section:
     note: str = ""
 
 
-def report(title: str, sections: list[Section]) -> str:
-    parts = [f"# {title}"]
+def report(title: str, sections: list[Section]) -> Iterator[str]:
+    """The lines of a report; the driver holds a partition of a table at a time, never a whole one."""
+    yield f"# {title}"
     for s in sections:
-        parts += [f"## {s.title}", *([s.note] if s.note else []), markdown(s.table, s.order)]
-    return "\n\n".join(parts) + "\n"
+        yield from ("", f"## {s.title}", "", *([s.note, ""] if s.note else []))
+        yield from lines(s.table, s.order)
 
 
 # Headings, names and order of what a patch-loop report shows; a name in capitals is shown as code.
