@@ -206,7 +206,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "secrets")
-    texts = id_text(docs)
+    texts = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))  # a null text may share its id with a candidate
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     vocabulary = sorted({t for q in queries.values() if q for option in q for t in option})
     if not vocabulary:
