@@ -34,6 +34,8 @@ CHUNKS, WIDTH, ERRORS, BITS = 10, 5, 1, 16
 SYMBOLS = CHUNKS * WIDTH
 SHINGLE_WORDS = 5
 #: Similarity in percent from which documents are linked.
+#: Names of sets whose doc_id has other sets lie below minus this; doc_ids do not.
+OWN_NAMES = 1 << 62
 PERCENT = 75
 #: Buckets up to this size give all their pairs; larger ones stars, then tiles.
 SMALL_BUCKET = 6
@@ -114,6 +116,13 @@ def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield to_batch(schema, batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
 
 
+def marked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shingle_sets() by the hash of the set."""
+    for batch, sets in ((b, next(shingle_sets(iter([b])))) for b in batches):
+        marks = [mark(t, np.array(s, np.int64)) for t, s in zip(batch.column(1).to_pylist(), sets.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)), sets.column(1)], names=["set_hi", "set_lo", "shingles"])
+
+
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     """(documents, SYMBOLS) keys: each chunk with each one of its symbols left out."""
     each = mix64(signatures.astype(np.uint64) + POSITION)
@@ -324,8 +333,9 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     set, which links with nothing. Documents are linked when the intersection is
     at least 75 percent of the union, on full sets. kept: doc_id = component_id.
     Rows with a null doc_id link with nothing, have a null component_id and are
-    kept. Repeated rows with one doc_id are one document. An empty table gives
-    no rows.
+    kept. Repeated rows with one doc_id are one document, also where their texts
+    differ: each row's set links it, and n_shingles is the row's own. An empty
+    table gives no rows.
     """
     return verdicts(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -362,7 +372,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     texts = id_text(docs)
     signed = tmp.save(texts.mapInArrow(sign, "doc_id long, n_shingles long, set_hi long, set_lo long, signature binary"), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes = tmp.save(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "nodes")
+    mark_ = F.struct("set_hi", "set_lo")
+    repeated = full.groupBy("doc_id").agg(F.min(mark_).alias("a"), F.max(mark_).alias("b")).where("a <> b")
+    repeated = tmp.save(repeated.select("doc_id"), "repeated")  # ids of rows with different sets
+    several = repeated.limit(1).count() > 0
+    nodes = tmp.save(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature")).withColumn("id", F.col("first")), "nodes")
+    if several:  # a set is named by its smallest doc_id, unless that has other sets too
+        again = repeated.select(F.col("doc_id").alias("first"), F.lit(True).alias("again"))
+        own = -F.pmod(F.xxhash64("set_hi", "set_lo"), F.lit(OWN_NAMES)) - OWN_NAMES
+        nodes = tmp.save(nodes.join(again, "first", "left").withColumn("id", F.when(F.col("again"), own).otherwise(F.col("first"))).drop("again"), "named")
 
     found = nodes.select("id", "signature").mapInArrow(index(4 * n), "bucket int, kind int, body binary").repartition(n, "bucket")
     pairs = tmp.save(found.mapInArrow(candidates, "a long, b long, bucket long, size long"), "pairs")
@@ -379,9 +397,16 @@ def verdicts(docs: DataFrame) -> DataFrame:
     wanted = tmp.save(wanted, "wanted")
     near_texts = likely(texts, wanted).where("likely").select("doc_id", "text")
     sets = tmp.save(near_texts.join(wanted, "doc_id", "left_semi").mapInArrow(shingle_sets, "id long, shingles array<long>"), "sets")
+    links, comp = None, None
+    if several:
+        found = texts.join(repeated, "doc_id", "left_semi").mapInArrow(marked_sets, "set_hi long, set_lo long, shingles array<long>").where(F.size("shingles") > 0)
+        named = nodes.where(F.col("id") <= -OWN_NAMES).select("set_hi", "set_lo", "id")
+        sets = sets.union(tmp.save(found.join(named, ["set_hi", "set_lo"]).dropDuplicates(["id"]).select("id", "shingles"), "more_sets"))
+        # rows of one id are one document
+        rows = full.join(repeated, "doc_id", "left_semi").join(nodes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"]).select("doc_id", "id").distinct()
+        links = tmp.save(rows.join(rows.groupBy("doc_id").agg(F.min("id").alias("u")), "doc_id").where("u <> id").select("u", F.col("id").alias("v")), "ties")
 
     # each node's first pair, then its first three that still lead elsewhere, then all that do
-    links, comp = None, None
     for step, most in enumerate((1, 3, None)):
         todo = near if comp is None else across(near, comp)
         if most == 1:
@@ -396,8 +421,12 @@ def verdicts(docs: DataFrame) -> DataFrame:
     new = tmp.save(tiles(large, comp, nodes, sets, tmp).mapInArrow(tile_links, "u long, v long"), "links-last")
     comp = components(links.union(new), tmp, "comp-last")
 
-    ids = nodes.select("set_hi", "set_lo", "id").join(comp, "id", "left").select("set_hi", "set_lo", F.coalesce("component_id", "id").alias("component_id"))
+    ids = nodes.select("set_hi", "set_lo", "id", "first").join(comp, "id", "left").select("set_hi", "set_lo", "first", F.coalesce("component_id", "id").alias("component_id"))
     ids = tmp.save(ids, "ids")
+    if several:  # names of sets stand for no document: a component is named by its smallest one
+        least = ids.groupBy("component_id").agg(F.min("first").alias("least"))
+        ids = tmp.save(ids.join(least, "component_id").select("set_hi", "set_lo", F.col("least").alias("component_id")), "least")
+    ids = ids.select("set_hi", "set_lo", "component_id")
     joined = full.join(ids, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", "component_id", "set_hi", "set_lo")
     rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_hi", "set_lo")
     result = tmp.save(joined.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
