@@ -49,6 +49,8 @@ SOURCES = {
     },
 }
 # End of fixed values.
+#: Words of a bitmap of hashes; items of one or two words that go to every document as one array.
+BITMAP, TINY = 1 << 12, 10_000
 CLEANED = ["title", "source_name", "summary", "risk_hypothesis", "description", "safe_reproduction", "notes"]
 FIELDS = ["signal_id", "title", "source_tier", "source_type", "source_name", "source_url", "observed_at", "summary", "risk_hypothesis", "affected_surfaces", "risk_categories", "evidence_status", "novelty", "actionability", "source_reliability", "raw_detail_policy", "proposed_probe", "notes"]
 PROBE = ["probe_id", "description", "expected_detection_stage", "safe_reproduction"]
@@ -101,33 +103,55 @@ def insight_signals(pages: DataFrame, as_of: str) -> DataFrame:
     ))
 
 
+def bitmap(hashes: DataFrame, column: str) -> DataFrame:
+    """One row with `bits`: BITMAP words of 64 bits, in which each hash of the column has one."""
+    word, bit = F.pmod(F.shiftright(column, 6), F.lit(BITMAP)), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
+    held = hashes.groupBy(word.alias("id")).agg(F.bit_or(bit).alias("bits"))  # BITMAP rows at most
+    every = hashes.sparkSession.range(BITMAP).join(held, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def held(bits: str, h: Column) -> Column:
+    """Whether a hash's bit is set; other hashes may share it."""
+    word = F.get(F.col(bits), F.pmod(F.shiftright(h, 6), F.lit(BITMAP)).cast("int"))
+    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))) != 0
+
+
 def verbatim(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
     """(item_id, doc_id) where a document holds an item's trimmed text.
 
     Both sides meet on runs of `words` words: an item offers its first inner
-    run, a document all of its own, so only likely pairs are compared. Shorter
-    items meet documents on their longest inner word; those of one or two words
-    have none, and are looked for in every document.
+    run, a document those of its own that may be one, by a bitmap of the items'.
+    Shorter items meet documents on their longest inner word, likewise; those of
+    one or two words have none, and are looked for in every document: by one array
+    of all of them as long as there are at most TINY, else by a join.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    run = lambda h, at: F.xxhash64(F.slice(h, at, words))
+    longest = lambda x, y: F.when(F.length(x) != F.length(y), F.length(x) - F.length(y)).when(x < y, -1).when(x > y, 1).otherwise(0)
     body = F.lower(F.trim("text"))
     i = items.select("item_id", body.alias("item"), split(body).alias("w"))
-    run = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, words), " "))
-    # the outer words of an item may touch other letters in a document
-    long = i.where(F.size("w") >= words + 2).select("item_id", "item", run(F.col("w"), 2).alias("run"))
-    d = docs.select("doc_id", F.lower("text").alias("body")).withColumn("w", split(F.col("body")))
-    runs = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda k: run(F.col("w"), k)))).alias("run"))
-    near = runs.join(long.select("run", "item_id"), "run").select("item_id", "doc_id").distinct()
-    hit = near.join(long.select("item_id", "item"), "item_id").join(d.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("item"))).select("item_id", "doc_id")
-    # of an item of a few words the longest inner one stands whole in a document that holds the item
-    inner = F.when(F.size("w") >= 3, F.slice("w", 2, F.size("w") - 2))
-    some = i.where(F.size("w").between(3, words + 1)).select("item_id", "item", F.element_at(F.array_sort(inner, lambda x, y: F.when(F.length(x) != F.length(y), F.length(x) - F.length(y)).when(x < y, -1).when(x > y, 1).otherwise(0)), -1).alias("word"))
-    whole = d.select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(some.select("item_id", "word"), "word").select("item_id", "doc_id")
-    few = whole.join(some.select("item_id", "item"), "item_id").join(d.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("item"))).select("item_id", "doc_id")
+    # the outer words of an item may touch other letters in a document; of an item of a few words the longest inner one stands whole in it
+    long = i.where(F.size("w") >= words + 2).select("item_id", "item", run(hashed("w"), 2).alias("key"))
+    inner = F.slice("w", 2, F.size("w") - 2)
+    some = i.where(F.size("w").between(3, words + 1)).select("item_id", "item", F.xxhash64(F.element_at(F.array_sort(inner, longest), -1)).alias("key"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("h") - words + 1, F.lit(1))), lambda k: run(F.col("h"), k))
+    d = docs.select("doc_id", F.lower("text").alias("body")).withColumn("h", hashed(split(F.col("body"))))
+    d = d.crossJoin(F.broadcast(bitmap(long, "key").withColumnRenamed("bits", "run_bits"))).crossJoin(F.broadcast(bitmap(some, "key").withColumnRenamed("bits", "word_bits")))  # a row of fixed size each
+    keys = lambda found, bits, of: F.transform(F.array_distinct(F.filter(found, lambda h: held(bits, h))), lambda h: F.struct(F.lit(of).alias("of"), h.alias("key")))
+    met = d.select("doc_id", F.explode(F.concat(keys(runs, "run_bits", 0), keys(F.col("h"), "word_bits", 1))).alias("k")).select("doc_id", "k.of", "k.key")
+    wanted = long.withColumn("of", F.lit(0)).union(some.withColumn("of", F.lit(1)))
+    near = met.join(wanted.select("of", "key", "item_id"), ["of", "key"]).select("item_id", "doc_id").distinct()
+    bodies = docs.select("doc_id", F.lower("text").alias("body"))
+    hit = near.join(wanted.select("item_id", "item"), "item_id").join(bodies, "doc_id").where(F.contains("body", F.col("item"))).select("item_id", "doc_id")
     # an item of one or two words may stand inside longer words: nothing but looking helps
     tiny = i.where(F.size("w") < 3).select("item_id", "item")
-    few = few.union(d.select("doc_id", "body").join(tiny, F.contains("body", F.col("item"))).select("item_id", "doc_id"))
-    return hit.union(few)
+    if tiny.count() > TINY:
+        return hit.union(bodies.join(tiny, F.contains("body", F.col("item"))).select("item_id", "doc_id"))
+    listed = bodies.crossJoin(F.broadcast(tiny.agg(F.collect_list(F.struct("item_id", "item")).alias("tiny"))))  # one row of TINY items at most
+    found = F.filter("tiny", lambda x: F.contains(F.col("body"), x["item"]))
+    return hit.union(listed.select(F.explode(found).alias("t"), "doc_id").select("t.item_id", "doc_id"))
 
 
 def posts(items: DataFrame, users: DataFrame, as_of: str, source_name: str | None = None, risk_categories: list[str] | None = None, affected_surfaces: list[str] | None = None, raw_detail_policy: str | None = None) -> DataFrame:
