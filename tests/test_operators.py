@@ -235,6 +235,10 @@ def test_validation(spark, tmp_path):
     got = {r.file: r.errors for r in checked.collect()}
     assert {k: len(v) for k, v in got.items()} == {"0.json": 0, "sub/1.json": 2, "sub/2.json": 3, "sub/cut.json": 1} and all(e.startswith("schema") for e in got["sub/2.json"])
     assert {(r.dimension, r.value): r.n for r in summary.collect()}[("total", "all")] == 1
+    (tmp_path / "schema.json").write_text(json.dumps({"required": ["nothing_has_this"]}))
+    assert {tuple(r.errors)[0] for r in pipelines.validate_traces(spark, str(tmp_path / "in"), str(tmp_path / "schema.json"))[0].collect()} == {"schema: $ lacks nothing_has_this", "schema: $ is not JSON"}
+    (tmp_path / "lines.jsonl").write_text('{"text": "a", "label": 1}\n{"text": \n{"text": "b"}\n')
+    assert readers.labelled_texts(spark, str(tmp_path / "lines.jsonl")).count() == 2
     typed = spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", schemas.TRACE).alias("t")).select("t.*")
     assert sorted(len(r.e) for r in typed.select(validate.trace_errors(validate.as_document("*")).alias("e")).collect()) == [0, 2, 3]  # a null member is a missing one
     with pytest.raises(Exception, match="must be integer"):
@@ -452,3 +456,9 @@ def test_commands_of_detectors_and_incidents(spark, tmp_path, capsys):
     assert main(["all", str(tmp_path)]) == 0
     out = capsys.readouterr().out
     assert "benchmark: ok" in out and "gate: skipped: no such folder" in out
+
+
+def test_deliberation_levels(spark):
+    df = spark.createDataFrame([(r, b) for r in (True, False) for b in (0.0, 0.3, 0.69, 0.7, 1.0)], "r boolean, b double")
+    got = [r.level for r in df.coalesce(1).select(behavior.deliberation_level(F.col("r"), F.col("b")).alias("level")).collect()]
+    assert got == ["auto-proceed", *["proceed and log"] * 2, *["human review"] * 2, "proceed and log", *["human review"] * 2, *["full review"] * 2]

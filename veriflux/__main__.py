@@ -87,7 +87,7 @@ def run(spark: SparkSession, command: str, paths: list[str], output: str | None)
             print(line)
         return 0
     if command == "validate":
-        checked, summary = pipelines.validate_traces(spark, paths[0])
+        checked, summary = pipelines.validate_traces(spark, *paths)
         bad = checked.where(F.size("errors") > 0).select("file", "trace_id", "errors")
         if checked.isEmpty():
             return 2

@@ -137,6 +137,24 @@ def profile(traces: DataFrame) -> DataFrame:
     )
 
 
+#: How an action is looked at, by whether it can be undone and by the band of its blast radius; this table is our own.
+REVERSIBLE = ["read_file", "db_query", "http_get", "write_file"]
+WIDE, WIDEST = 0.3, 0.7
+LEVELS = {True: ["auto-proceed", "proceed and log", "human review"], False: ["proceed and log", "human review", "full review"]}
+
+
+def deliberation_level(reversible: Column, blast: Column) -> Column:
+    """The level of deliberation for an action: reversibility by blast scope."""
+    band = lambda rows: F.when(blast < WIDE, rows[0]).when(blast < WIDEST, rows[1]).otherwise(rows[2])
+    return F.when(reversible, band(LEVELS[True])).otherwise(band(LEVELS[False]))
+
+
+def deliberations(profiles: DataFrame) -> DataFrame:
+    """The level of each profile: an attempt can be undone if all its tools can; without an attempt there is nothing to undo."""
+    reversible = F.forall("attempted_privileged_actions", lambda t: t.isin(REVERSIBLE))
+    return profiles.select("trace_id", reversible.alias("reversible"), "blast_radius", deliberation_level(reversible, F.col("blast_radius")).alias("level"))
+
+
 def naive_detector(task: Column, content: Column) -> Column:
     """An input detector over task and untrusted content."""
     return matches(F.lower(F.concat(F.coalesce(task, F.lit("")), F.lit(" "), F.coalesce(content, F.lit("")))), NAIVE)

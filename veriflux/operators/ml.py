@@ -67,7 +67,7 @@ def stratified_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
     hashed = rows.withColumn("h", F.xxhash64("key", *([vector_to_array("vector")] if "vector" in rows.columns else []))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     sizes = hashed.groupBy("label", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("label").orderBy("bucket")) - F.col("n")  # BUCKETS rows for each label
-    at = hashed.join(F.broadcast(sizes.select("label", "bucket", before.alias("before"))), ["label", "bucket"])
+    at = hashed.join(sizes.select("label", "bucket", before.alias("before")), ["label", "bucket"])
     rank = F.col("before") + F.row_number().over(Window.partitionBy("label", "bucket").orderBy("h"))
     return at.withColumn("fold", F.pmod(rank, F.lit(folds)).cast("int")).drop("h", "bucket", "before")
 

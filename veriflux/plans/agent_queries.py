@@ -269,6 +269,12 @@ def behavior_profile(spark: SparkSession, d: str) -> DataFrame:
     return behavior.profile(derived.detonations(spark, d)).drop("taint_path")
 
 
+@query(f"""WITH {PROFILE_SQL} SELECT CAST(doc_id AS VARCHAR) AS trace_id, NOT act AS reversible, CAST(round(blast, 4) AS DOUBLE) AS blast_radius, CASE WHEN NOT act THEN 'auto-proceed' WHEN blast < 0.3 THEN 'proceed and log' WHEN blast < 0.7 THEN 'human review' ELSE 'full review' END AS level FROM prof""")
+def deliberation_levels(spark: SparkSession, d: str) -> DataFrame:
+    """None of the tools that are attempted here can be undone."""
+    return behavior.deliberations(behavior.profile(derived.detonations(spark, d)))
+
+
 _PATHS = f"""list_concat(
   CASE WHEN len(sig) > 0 THEN list_concat(['untrusted_content_contains_injection_signal'], list_transform(sig[1:3], lambda p: '  signal_pattern: ' || p)) ELSE [] END,
   CASE WHEN act AND regexp_matches('calling' || {plant(0)}, {sql_text('(?i)' + any_of(INJECTION_SIGNALS))}) THEN ['step_1_output_echoes_injection_signal'] ELSE [] END,

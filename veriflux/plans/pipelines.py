@@ -13,12 +13,14 @@ from ..functions.patterns import KEYWORD, PROMPT_INJECTION
 from ..functions.text import contains_any, matches, normalize
 from ..operators import behavior, corpus, grams, intake, ml, monitor, network, ontology, provenance, sentinel, triage, validate
 from ..sources import readers, records, web
+from ..sources.schemas import TRACE_SCHEMA
 from .report import Section, patch_loop, report
 
 
-def validate_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Each trace file with its errors, and the summary of the valid ones."""
-    checked = readers.documents(spark, path).withColumn("errors", validate.trace_errors(F.col("document")))
+def validate_traces(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each trace file with its errors, by the built-in schema or by that of a file, and the summary of the valid ones."""
+    by = readers.json_schema(schema) if schema else TRACE_SCHEMA
+    checked = readers.documents(spark, path).withColumn("errors", validate.trace_errors(F.col("document"), by))
     get = lambda name: F.try_variant_get("document", f"$.{name}", "string").alias(name)
     checked = checked.select("file", *map(get, ("trace_id", "severity", "risk_category", "mitigation_status")), "errors")
     return checked, validate.trace_summary(checked.where(F.size("errors") == 0))
