@@ -26,6 +26,8 @@ THRESHOLD = 0.93
 #: Vectors that are multiplied at once, and blocks of them on one side of a tile at most: a class stands once in each row
 #: and column of its label's tiles, so wide tiles shuffle less. A label has WIDE sides at least before tiles widen.
 BLOCK, MOST_BLOCKS, WIDE = 1024, 32, 8
+#: Names of classes whose vec_id names others too lie below minus this; vec_ids do not.
+OWN_NAMES = 1 << 62
 
 #: What a tile found: u has v more links (COUNT), u and v are in one component (TREE), u on side v has an open pair (ROW).
 COUNT, TREE, ROW = 0, 1, 2
@@ -217,9 +219,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     packed = tmp.save(rows.mapInArrow(pack_vectors, "vec_id long, label string, dims int, body binary"), "packed")
     able = F.col("label").isNotNull() & F.col("body").isNotNull() & F.col("vec_id").isNotNull()
     key = ["label", "dims", "body"]
-    # written once with its numbers: a class is named by a number of its own, since one vec_id may stand in several
-    classes = packed.where(able).groupBy(key).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n")).withColumn("class_id", F.monotonically_increasing_id())
-    classes = tmp.save(classes.mapInArrow(encode, "label string, dims int, body binary, first_id long, n long, class_id long, coded binary"), "classes")
+    folded = tmp.save(packed.where(able).groupBy(key).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n")), "folded")
+    repeated = tmp.save(folded.groupBy("first_id").agg(F.count("*").alias("of")).where("of > 1").select("first_id", F.lit(True).alias("again")), "repeated")
+    several = repeated.limit(1).count() > 0
+    # a class is named by its smallest vec_id, unless that is another class's too
+    own = -F.pmod(F.xxhash64(*key), F.lit(OWN_NAMES)) - OWN_NAMES
+    named = folded.join(repeated, "first_id", "left").withColumn("class_id", F.when(F.col("again"), own).otherwise(F.col("first_id"))) if several else folded.withColumn("class_id", F.col("first_id"))
+    named = named.select(*key, "first_id", "n", "class_id")
+    classes = tmp.save(named.mapInArrow(encode, "label string, dims int, body binary, first_id long, n long, class_id long, coded binary"), "classes")
     wide = F.least(F.greatest(F.floor(F.count("*") / (block * WIDE)), F.lit(1)), F.lit(MOST_BLOCKS)) * block
     blocks = tmp.save(classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / wide).cast("int").alias("blocks")), "blocks")
     dealt = classes.select("label", "dims", "class_id", "n", "coded").join(blocks, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
@@ -235,11 +242,13 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     found = found.union(tmp.save(doubles.repartition(n, *tile).sortWithinPartitions(place).mapInArrow(settle(threshold, block), FOUND), "settled"))
     comp = components(found.where(F.col("kind") == TREE).select("u", "v"), tmp).select(F.col("id").alias("class_id"), "component_id")
     counts = found.where(F.col("kind") == COUNT).groupBy(F.col("u").alias("class_id")).agg(F.sum("v").alias("more"))
-    named = tmp.save(classes.select(*key, "class_id", "first_id", "n").join(comp, "class_id", "left").withColumn("root", F.coalesce("component_id", "class_id")), "named")
-    least = named.where("component_id is not null").groupBy("root").agg(F.min("first_id").alias("least"))  # the root's own row has no component_id
-    least = least.join(named.where("component_id is null").select("root", F.col("first_id").alias("own_id")), "root").select("root", F.least("least", "own_id").alias("least"))
-    verdicts = named.join(least, "root", "left").join(counts, "class_id", "left")
-    verdicts = tmp.save(verdicts.select(*key, (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "first_id").alias("component_id")), "verdicts")
+    verdicts = classes.select(*key, "class_id", "first_id", "n").join(comp, "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    if several:  # names of classes stand for no vector: a component is named by its smallest one
+        verdicts = tmp.save(verdicts, "joined")
+        least = verdicts.groupBy("component_id").agg(F.min("first_id").alias("least"))
+        verdicts = verdicts.join(least, "component_id").withColumn("component_id", F.col("least"))
+    verdicts = verdicts.join(counts, "class_id", "left")
+    verdicts = tmp.save(verdicts.select(*key, (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "verdicts")
     linked = packed.where(able).join(verdicts, key).select("vec_id", "n_links", "component_id")
     alone = packed.where(~able).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     result = tmp.save(linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "result")
