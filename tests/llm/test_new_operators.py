@@ -155,6 +155,18 @@ def test_op13_equals_the_tokenizer(spark):
     assert [tuple(r) for r in queries.op13_token_files(spark, SF).orderBy("start").collect()] == tokens_of(docs)
 
 
+def test_fast_ids_of_every_latin_character():
+    from tokenizers import Tokenizer
+
+    from veriflux.llm.packing import encoder, special_tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fast, exact = encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken"), special_tokens(path)), Tokenizer.from_file(path)
+    for c in map(chr, range(0x260)):
+        for before, after in (("", " "), ("a", "b"), (" ", "'s"), ("1", "2"), ("\n ", "\n"), (".", " ")):
+            assert list(fast(before + c + after)) == exact.encode(before + c + after, add_special_tokens=False).ids
+
+
 def test_token_files_on_awkward_rows(spark):
     docs = cases.frame(spark)
     plain = [tuple(r) for r in token_files.token_files(docs).orderBy("start").collect()]
