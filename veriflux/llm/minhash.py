@@ -333,8 +333,8 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     set, which links with nothing. Documents are linked when the intersection is
     at least 75 percent of the union, on full sets. kept: doc_id = component_id.
     Rows with a null doc_id link with nothing, have a null component_id and are
-    kept. Repeated rows with one doc_id are one document, also where their texts
-    differ: each row's set links it, and n_shingles is the row's own. An empty
+    kept. Repeated rows are one document; rows of one doc_id with different sets
+    are different documents that share an id, each linked by its own set. An empty
     table gives no rows.
     """
     return verdicts(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -402,9 +402,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
         found = texts.join(repeated, "doc_id", "left_semi").mapInArrow(marked_sets, "set_hi long, set_lo long, shingles array<long>").where(F.size("shingles") > 0)
         named = nodes.where(F.col("id") <= -OWN_NAMES).select("set_hi", "set_lo", "id")
         sets = sets.union(tmp.save(found.join(named, ["set_hi", "set_lo"]).dropDuplicates(["id"]).select("id", "shingles"), "more_sets"))
-        # rows of one id are one document
-        rows = full.join(repeated, "doc_id", "left_semi").join(nodes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"]).select("doc_id", "id").distinct()
-        links = tmp.save(rows.join(rows.groupBy("doc_id").agg(F.min("id").alias("u")), "doc_id").where("u <> id").select("u", F.col("id").alias("v")), "ties")
 
     # each node's first pair, then its first three that still lead elsewhere, then all that do
     for step, most in enumerate((1, 3, None)):
