@@ -255,6 +255,44 @@ def test_rankings(spark):
     assert [x[0] for x in spark.createDataFrame([(125,), (124,), (95,), (94,)], "s int").select(triage.priority_band(F.col("s"))).collect()] == ["immediate assessment", "near-term assessment", "watchlist with probe", "watchlist"]
 
 
+def join_rows(df):
+    """Rows that all joins of a plan that has run gave."""
+
+    def rows(plan):
+        name = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        return sum(map(rows, inner)) + (plan.metrics().apply("numOutputRows").value() if "Join" in name else 0)
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+def test_matrix_pairs_classes_before_rows(spark):
+    d = spark.range(200).selectExpr("concat('d', id) AS name", "array('a', 'b', 'c') AS surfaces", "array('x', 'y') AS new_authorities")
+    r = spark.range(200).selectExpr("concat('r', id) AS name", "array('a', 'b', 'c') AS surfaces", "array('e') AS known_evidence")
+    cells = triage.delta_matrix(d, r)
+    got = {(c.delta, c.risk, c.score, tuple(c.overlap)) for c in cells.collect()}
+    assert got == {(f"d{i}", f"r{k}", 17, ("a", "b", "c")) for i in range(200) for k in range(200)}
+    assert join_rows(cells) < 5000
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_matrix_of_odd_rows(spark, monkeypatch, chunk):
+    monkeypatch.setattr(triage, "CHUNK", chunk)
+    sets = [["a"], ["b", "a"], ["a", "b", "b"], ["c", "b", "a"], [], None, ["z"]]
+    left = [(name, s, ["x"] * n if n is not None else None) for s in sets for n in (None, 0, 1, 2, 5) for name in ("d", "d", f"d{n}", None)]
+    right = [(name, s, ["e"] * n) for s in sets for n in (0, 1, 2, 7) for name in ("r", f"r{n}", f"r{n}", None)]
+    cells = triage.delta_matrix(spark.createDataFrame(left, "name string, surfaces array<string>, new_authorities array<string>"), spark.createDataFrame(right, "name string, surfaces array<string>, known_evidence array<string>"))
+    want = []
+    for d, ds, au in left:
+        for r, rs, ev in right:
+            both = sorted(set(ds or []) & set(rs or []))
+            score = 4 * len(both) + 2 * min(len(au or []), 3) + min(len(ev), 3)
+            if both and score >= 8:
+                probe = d and r and f"Create a synthetic fixture for {d} x {r} covering {', '.join(both)}; avoid raw exploit content and score first useful intervention point."
+                want.append((d, r, score, "probe_now" if score >= 13 else "watchlist", both, probe))
+    assert sorted(map(repr, (tuple(c) for c in cells.collect()))) == sorted(map(repr, want))
+
+
 def test_merge_and_sampling(spark):
     rows = [(1, "http://A ", "T", "one"), (2, "http://a", "t ", "two"), (3, "http://a", "t", "one"), (4, "x", "t", None), (5, "x", "T", "late")]
     got = {r.ord: r.notes for r in corpus.merge_signals(spark.createDataFrame(rows, "ord int, source_url string, title string, notes string"), "ord").collect()}
