@@ -297,6 +297,10 @@ def test_merge_and_sampling(spark):
     rows = [(1, "http://A ", "T", "one"), (2, "http://a", "t ", "two"), (3, "http://a", "t", "one"), (4, "x", "t", None), (5, "x", "T", "late")]
     got = {r.ord: r.notes for r in corpus.merge_signals(spark.createDataFrame(rows, "ord int, source_url string, title string, notes string"), "ord").collect()}
     assert got == {1: "one | two", 4: "late"}
+    # two posts whose keys are the same ten digits
+    posts = [("https://x.com/u639/status/174693", "X weak signal from @u639", "a"), ("https://x.com/i/web/status/751916", "X weak signal from X post", "b")]
+    kept = corpus.merge_signals(spark.createDataFrame([(i, *p) for i, p in enumerate(posts)], "ord int, source_url string, title string, notes string"), "ord").collect()
+    assert {r.key for r in kept} == {"KEY-FD11DFEF5F"} and {(r.source_url, r.title, r.notes) for r in kept} == set(posts)
     df = spark.createDataFrame([(i, i % 3) for i in range(90)], "k int, g int")
     sample = corpus.hash_sample(df, 7, "k", 42, "g")
     assert {r.g: r["count"] for r in sample.groupBy("g").count().collect()} == {0: 7, 1: 7, 2: 7}

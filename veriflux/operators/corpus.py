@@ -96,21 +96,24 @@ def prefix_dedupe(df: DataFrame, text: str, order: str, length: int = 300) -> Da
     return df.groupBy(F.xxhash64(key).alias("h_"), key.alias("k_")).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("r"), F.count("*").alias("n_copies")).select("r.*", "n_copies")
 
 
-def dedupe_key(url: Column, title: Column) -> Column:
-    return stable_id("KEY", F.lower(strip(url)), F.lower(strip(title)))
+def folded(c: Column) -> Column:
+    return F.lower(strip(c))
 
 
 def merge_signals(signals: DataFrame, order: str) -> DataFrame:
-    """One row for each (url, title): the first by order, with later notes appended unless contained."""
-    s = signals.withColumn("key", dedupe_key(F.col("source_url"), F.col("title")))
+    """One row for each (url, title): the first by order, with later notes appended unless contained.
+
+    `key` names a row but is a short hash, so rows are told apart by what it is made of.
+    """
+    same = [folded(F.col("source_url")).alias("same_url"), folded(F.col("title")).alias("same_title")]
     # notes that repeat cannot change the fold, so each distinct one is kept once, at its first place
-    notes = s.groupBy("key", "notes").agg(F.min(order).alias("at"), F.min_by(F.struct(*[c for c in signals.columns if c != "notes"]), F.col(order)).alias("row"))
-    g = notes.groupBy("key").agg(F.min_by("row", "at").alias("first"), F.array_sort(F.collect_list(F.struct("at", "notes"))).alias("all"))
+    notes = signals.groupBy(*same, "notes").agg(F.min(order).alias("at"), F.min_by(F.struct(*[c for c in signals.columns if c != "notes"]), F.col(order)).alias("row"))
+    g = notes.groupBy("same_url", "same_title").agg(F.min_by("row", "at").alias("first"), F.array_sort(F.collect_list(F.struct("at", "notes"))).alias("all"))
     fold = F.aggregate(
         F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.coalesce(F.get("all", F.lit(0))["notes"], F.lit("")),
         lambda acc, x: F.when((F.coalesce(x["notes"], F.lit("")) != "") & ~F.contains(acc, F.coalesce(x["notes"], F.lit(""))), F.regexp_replace(F.concat(acc, F.lit(" | "), x["notes"]), r"^[ |]+|[ |]+$", "")).otherwise(acc),
     )
-    return g.select("key", "first.*", fold.alias("notes"))
+    return g.select(stable_id("KEY", F.col("same_url"), F.col("same_title")).alias("key"), "first.*", fold.alias("notes"))
 
 
 def rates(n: Column, d: Column) -> Column:
