@@ -43,6 +43,20 @@ def test_queries_agree_with_their_oracles(spark, name):
     assert sorted((repr([plain(r[c]) for c in columns]) for r in got.collect())) == sorted(repr([plain(v) for v in r]) for r in want.fetchall())
 
 
+def test_means_are_rounded_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    # float values whose means lie near zero, between two roundings, or are not finite; sums are exact, so in any order
+    odd = [(0, [-3e-6, 3e-6, 0.0, -0.0]), (1, [8.399185, -4.342915, 1e30, float("nan")]), (2, [float("inf"), -float("inf"), -5e-6, 2.5e-5]), (3, [0.5, None, -0.25, 0.0]), (3, [-0.5, None, 0.25, 0.0]), (None, [-2e-6])]
+    path = str(tmp_path / "embeddings.parquet")
+    rows = [(i, vector, label) for i, (label, vector) in enumerate(odd)] + [(9, None, 0), (10, [], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["mean_pool"]).fetchall()
+    assert sorted(repr((r.label, list(r["mean"]))) for r in catalog.queries()["mean_pool"](spark, str(tmp_path)).collect()) == sorted(map(repr, want))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

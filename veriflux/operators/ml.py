@@ -13,7 +13,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import confusion_counts
@@ -268,10 +268,20 @@ def best_layer(aucs: DataFrame) -> DataFrame:
     return aucs.agg(F.max_by("layer", "auc").alias("layer"), F.max("auc").alias("auc"), F.avg("auc").alias("mean_auc"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x * 10**digits rounded and divided again; x itself where that is zero or not finite."""
+    scaled = x * F.lit(10.0**digits)
+    whole = F.round(F.abs(scaled)) / F.lit(10.0**digits)
+    return F.when(F.isnan(scaled) | (F.abs(scaled) == float("inf")) | (scaled == 0), x).when(scaled < 0, -whole).otherwise(whole)
+
+
 def mean_pool(rows: DataFrame, vector: str, by: str, digits: int) -> DataFrame:
-    """Mean vector of each group, by position: partial sums fold before the shuffle."""
+    """Mean vector of each group, by position: partial sums fold before the shuffle.
+
+    Means are rounded as doubles, half away from zero, and one that rounds to zero keeps its sign.
+    """
     each = rows.select(by, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
-    means = each.groupBy(by, "i").agg(F.round(F.avg("x"), digits).alias("m"))
+    means = each.groupBy(by, "i").agg(F.avg("x").alias("x")).withColumn("m", rounded(F.col("x"), digits))
     return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))  # as long as a vector
 
 
