@@ -293,6 +293,51 @@ def test_matrix_of_odd_rows(spark, monkeypatch, chunk):
     assert sorted(map(repr, (tuple(c) for c in cells.collect()))) == sorted(map(repr, want))
 
 
+def shuffled(df):
+    """Bytes that all exchanges of a plan that has run wrote."""
+
+    def written(plan):
+        name = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        return sum(map(written, inner)) + (plan.metrics().apply("shuffleBytesWritten").value() if name == "ShuffleExchangeExec" else 0)
+
+    return written(df._jdf.queryExecution().executedPlan())
+
+
+def test_matrix_shuffles_names_about_once(spark):
+    # surfaces that only deltas have tell no classes apart, so the risks' names don't meet each of them
+    d = spark.range(1000).selectExpr("concat('d', id) AS name", "array('a', 'b', concat('own', id % 500)) AS surfaces", "array('x', 'y') AS new_authorities")
+    r = spark.range(500).selectExpr("concat('risk', sha1(cast(id AS string))) AS name", "array('a', 'b', 'c') AS surfaces", "array('e') AS known_evidence")
+    joins = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in joins}
+    try:
+        for k, v in joins.items():
+            spark.conf.set(k, v)
+        cells = triage.delta_matrix(d, r)
+        assert len(cells.collect()) == 500_000
+        assert shuffled(cells) < 1_000_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_matrix_in_bands(spark, monkeypatch):
+    monkeypatch.setattr(triage, "CHUNK", 4)
+    monkeypatch.setattr(triage, "CELLS", 16)
+    d = spark.range(30).selectExpr("concat('d', id) AS name", "array('a', concat('x', id % 3)) AS surfaces", "array('x', 'y') AS new_authorities")
+    r = spark.range(50).selectExpr("concat('r', id) AS name", "array(concat('x', id % 2), 'a') AS surfaces", "array('e') AS known_evidence")
+    got = sorted((c.delta, c.risk, c.score, tuple(c.overlap)) for c in triage.delta_matrix(d, r).collect())
+    assert got == sorted((f"d{i}", f"r{k}", 13 if i % 3 == k % 2 else 9, ("a", f"x{i % 3}") if i % 3 == k % 2 else ("a",)) for i in range(30) for k in range(50))
+
+
+def test_matrix_counts_no_null_surface(spark):
+    cells = triage.delta_matrix(
+        spark.createDataFrame([("d", ["a", None, None], ["x"] * 3), ("n", [None], ["x"] * 3)], "name string, surfaces array<string>, new_authorities array<string>"),
+        spark.createDataFrame([("r", [None, "a"], ["e"] * 3), ("m", [None, "z"], ["e"] * 3)], "name string, surfaces array<string>, known_evidence array<string>"),
+    )
+    assert [(c.delta, c.risk, c.score, c.overlap) for c in cells.collect()] == [("d", "r", 13, ["a"])]
+
+
 def test_merge_and_sampling(spark):
     rows = [(1, "http://A ", "T", "one"), (2, "http://a", "t ", "two"), (3, "http://a", "t", "one"), (4, "x", "t", None), (5, "x", "T", "late")]
     got = {r.ord: r.notes for r in corpus.merge_signals(spark.createDataFrame(rows, "ord int, source_url string, title string, notes string"), "ord").collect()}
